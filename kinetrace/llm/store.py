@@ -8,12 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: dict[str, str | None] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a new temporary one where that is unset (tests)."""
+    """The folder named by spark.checkpoint.dir; a temporary one for each application where that is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        folder = _own.setdefault(app, None) or tempfile.mkdtemp(prefix="spark-")
+        _own[app] = folder
     return folder.rstrip("/")
 
 
