@@ -1,0 +1,135 @@
+"""Chat formatting, secret scan and mixing against brute force."""
+
+import hashlib
+import re
+from collections import defaultdict
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from kinetrace.llm import chat, mixing, queries, secrets
+
+from .conftest import SMALL, documents
+
+ASSIGN = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def brute_spans(text):
+    text = text or ""
+    out = [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    out += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(out))
+
+
+ODD = [
+    None,
+    "",
+    "token=token:abcdefgh12 token='token=abcdefgh'",
+    "é😀 API_KEY: \"abcd-1234_x.y\" Secret = 12345678 passwd:1234567",
+    "AKIAABCDEFGH12345 AKIAAKIASHORT AKIA1234567890AB",
+    "0123456789abcdef" * 2 + " " + "f" * 31 + " token=" + "0a" * 20,
+    "tokentokentoken=abcdefgh password password:=longenough",
+    "x" * 50_000 + " secret=abcdefghij " + "é" * 1000 + "apikey=abcdefghi",
+]
+
+
+def test_secrets_match_brute_force(spark):
+    rows = [(i, t) for i, t in enumerate(ODD)] + [(None, ODD[3]), (3, ODD[3]), (4, ODD[3])]
+    found = secrets.find_secrets(documents(spark, rows)).withColumn("got", secrets.span_text(F.col("spans"))).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        assert r.got == brute_spans(r.text)
+
+
+def test_secret_query_on_whole_table(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    got = queries.op4_secret_scan(spark, SMALL).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        want = brute_spans(texts[r.doc_id])
+        assert (r.spans, r.base_sha256) == (want, hashlib.sha256(want.encode()).hexdigest())
+        assert r.n_assign == want.count("assign") and r.n_hex == want.count("hex")
+
+
+def test_secret_rules_derive_boolean_queries():
+    assign, access, hexes = secrets.RULES
+    assert frozenset({"api", "pi_", "i_k", "_ke", "key"}) in assign.trigrams()
+    assert access.trigrams() == [frozenset({"aki", "kia"})]
+    assert hexes.trigrams() == []
+
+
+def test_secrets_empty_table(spark):
+    assert secrets.find_secrets(documents(spark, [])).count() == 0
+
+
+def test_chat_collapse(spark):
+    a, b, c = ("user", "hi"), ("assistant", "yo"), ("user", "more")
+    logged = {1: [a], 2: [a, b], 3: [a, b, c], 4: [a, b, c], 5: [a, c], 6: [(None, None)], 7: [("", "")], 8: [b, b]}
+    rows = [(k, 10 * i, r, t, 1) for k, turns in logged.items() for i, (r, t) in enumerate(turns)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, h1 int")
+    got = {r.conv_id: r for r in chat.format_chats(df).collect()}
+    assert sorted(got) == [3, 5, 6, 7, 8]
+    assert got[3].n_copies == 2 and got[3].text == "<|user|>\nhi\n<|assistant|>\nyo\n<|user|>\nmore\n<|end|>"
+    assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_chat_ties_and_nulls(spark):
+    df = spark.createDataFrame([(None, None, "user", "b"), (None, None, "user", "a"), (1, 0, "user", "x"), (1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: (r.n_turns, r.text) for r in chat.format_chats(df).collect()}
+    assert got == {None: (2, "<|user|>\na\n<|user|>\nb\n<|end|>"), 1: (2, "<|user|>\nx\n<|user|>\nx\n<|end|>")}
+
+
+def brute_targets(sizes):
+    left, out, free = float(sum(sizes)), [0.0] * len(sizes), {i for i, s in enumerate(sizes) if s}
+    w = [(5, 2, 1)[i % 3] for i in range(len(sizes))]
+    while free:
+        t = {i: left * w[i] / sum(w[j] for j in free) for i in free}
+        over = {i for i in free if t[i] > 3 * sizes[i]}
+        if not over:
+            for i in free:
+                out[i] = t[i]
+            break
+        for i in over:
+            out[i] = 3.0 * sizes[i]
+            left -= out[i]
+        free -= over
+    return out
+
+
+def check_mix(rows):
+    by = defaultdict(list)
+    for r in rows:
+        assert r.size == len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+        assert 0 <= r.taken <= 3 * r.size and r.taken == sum(t.words for t in r.takes)
+        by[r.source].append(r)
+    names = sorted(by, key=lambda s: (s is None, s or ""))
+    sizes = [sum(r.size for r in by[s]) for s in names]
+    for s, size, goal in zip(names, sizes, brute_targets(sizes), strict=True):
+        assert {(r.source_size, round(r.target, 6)) for r in by[s]} == {(size, round(goal, 6))}
+        assert abs(sum(r.taken for r in by[s]) - goal) <= 0.5 + len(by[s]) * (len({r.doc_id for r in by[s]}) < len(by[s]))
+
+
+def test_mix_hits_targets(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    first, again = mixing.mix(docs).orderBy("doc_id").collect(), mixing.mix(docs.repartition(7)).orderBy("doc_id").collect()
+    assert first == again and len(first) == docs.count()
+    check_mix(first)
+    shards = [sum(t.words for r in first for t in r.takes if t.shard == k) for k in range(16)]
+    assert min(shards) > 0 and sum(shards) == sum(r.taken for r in first)
+    assert mixing.shard_rows(mixing.mix(docs)).agg(F.sum("words")).first()[0] == sum(shards)
+
+
+def test_mix_odd_rows(spark):
+    rows = [(1, "a b c", "en", None), (1, "a b c", "en", None), (2, None, "en", "x"), (3, "", "en", "y"), (4, "w " * 5000, "en", "x"), (None, "q r s", "en", "z"), (5, "k", None, "k")]
+    df = documents(spark, rows).withColumn("target", F.lit("old"))
+    check_mix(mixing.mix(df).collect())
+    assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_split_quotas_are_exact():
+    counts = [5, 0, 1000, 37]
+    q = mixing.split_quotas(counts, 16, 3)
+    assert q.sum(axis=0).tolist() == counts and (q >= 0).all()
+    assert np.ptp(q.sum(axis=1)) <= 4
+    assert (q == mixing.split_quotas(counts, 16, 3)).all()
