@@ -5,21 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetrace.llm import chat, mixing, secrets
+from kinetrace.llm import chat, langid, mixing, pii, secrets
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _n_of(kind: str) -> Column:
-    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+def _n_of(kind: str, spans: str = "spans") -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(_read(spark, sf_dir, "conversations")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    held = langid.held_out(F.col("doc_id"))
+    model = langid.fit(docs.where(~held & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang"))
+    return langid.identify(docs.select("doc_id", "text"), model, ["doc_id"]).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    base, spans = secrets.span_text(F.col("base_spans")), secrets.span_text(F.col("spans"))
+    return found.select("doc_id", *[_n_of(k, "base_spans") for k in pii.KINDS], F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = secrets.span_text(F.col("spans"))
@@ -31,7 +44,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.to_json("takes").alias("takes"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op4_secret_scan, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_language_id, op3_personal_data, op4_secret_scan, op10_source_mixing)}
 
 ORACLE_SQL = {
     "op1_chat_formatting": r"""
