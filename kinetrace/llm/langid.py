@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinetrace.llm.store import fields
 from kinetrace.llm.words import mix, slices
 
 N, K, SLOT_BITS = 4, 3, 20
@@ -186,5 +187,4 @@ def identify(docs: DataFrame, model: LanguageFilter | None, keys: list[str]) ->
             yield pa.RecordBatch.from_arrays([*[b[k] for k in keys], pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=[*keys, "lang_pred", "score"])
 
     rows = docs.select(*keys, "text")
-    schema = rows.select(*keys).schema.add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(predict, schema)
+    return rows.mapInArrow(predict, fields(rows.select(*keys), "lang_pred string, score double"))

@@ -26,7 +26,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
+
+from kinetrace.llm.store import fields
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, MARGIN, BATCH = 256, 16, 2048
@@ -410,5 +411,4 @@ def find_personal_data(docs: DataFrame, tagger: Tagger | None = None) -> DataFra
                 at = end
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(base, kinds), pa.array(both, kinds)], names=[*b.schema.names, "base_spans", "spans"])
 
-    spans = T.StructType.fromDDL(f"base_spans {span}, spans {span}")
-    return docs.mapInArrow(scan, T.StructType([*docs.schema.fields, *spans.fields]))
+    return docs.mapInArrow(scan, fields(docs, f"base_spans {span}, spans {span}"))

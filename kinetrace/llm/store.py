@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 _own: dict[str, str | None] = {}
@@ -26,3 +27,8 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fields(df: DataFrame, ddl: str) -> T.StructType:
+    """The schema of df with more columns behind."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])

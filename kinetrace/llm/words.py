@@ -68,13 +68,27 @@ def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         at = end
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first byte and end byte of each word, and for each text the index of its first word (and the end)."""
+#: Every ASCII byte but letters and digits, for words without punctuation.
+PUNCTUATION = np.ones(256, bool)
+PUNCTUATION[0x30:0x3A] = PUNCTUATION[0x41:0x5B] = PUNCTUATION[0x61:0x7B] = PUNCTUATION[0x80:] = False
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SEP, latin: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and end byte of each word, and for each text the index of its first word (and the end).
+
+    separators: for each byte value, whether it parts words.
+    latin: À to Þ are put in lower case too.
+    """
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return none.astype(_U), none, none, np.zeros(len(offsets), np.int64)
-    solid = ~_SEP[data]
+    if latin:
+        accents = np.flatnonzero((data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[:-1] == 0xC3) & (data[1:] != 0x97)) + 1
+        if len(accents):
+            data = data.copy()
+            data[accents] += 0x20
+    solid = ~separators[data]
     before, after = np.empty(n, bool), np.empty(n, bool)
     before[0], after[-1] = False, False
     before[1:], after[:-1] = solid[:-1], solid[1:]
