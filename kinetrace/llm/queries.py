@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetrace.llm import chat, decontamination, langid, mixing, pii, secrets
+from kinetrace.llm import chat, decontamination, langid, mixing, pii, quality, secrets
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -39,6 +39,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[_n_of(r.kind) for r in secrets.RULES], F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.assess(_read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), _read(spark, sf_dir, "labels"))
+    return found.select("doc_id", "quality", "p_bad", "p_toxic", "site_rate", "keep")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.overlaps(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
 
@@ -48,7 +53,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.to_json("takes").alias("takes"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_language_id, op3_personal_data, op4_secret_scan, op6_decontamination, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_language_id, op3_personal_data, op4_secret_scan, op5_quality, op6_decontamination, op10_source_mixing)}
 
 ORACLE_SQL = {
     "op1_chat_formatting": r"""
