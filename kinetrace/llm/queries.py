@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetrace.llm import chat, decontamination, fingerprints, langid, mixing, pages, pii, quality, secrets
+from kinetrace.llm import chat, decontamination, fingerprints, jaccard, langid, mixing, pages, pii, quality, secrets
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked_documents(_read(spark, sf_dir, "documents").select("doc_id", "text"), k=4, percent=85)
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -62,7 +66,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.to_json("takes").alias("takes"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_language_id, op3_personal_data, op4_secret_scan, op5_quality, op6_decontamination, op7_html_extraction, op9_fingerprints, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_language_id, op3_personal_data, op4_secret_scan, op5_quality, op6_decontamination, op7_html_extraction, op8_jaccard_join, op9_fingerprints, op10_source_mixing)}
 
 ORACLE_SQL = {
     "op1_chat_formatting": r"""
