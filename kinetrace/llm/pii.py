@@ -26,6 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from kinetrace.llm.store import fields
 
@@ -383,6 +384,49 @@ def model_spans(tags: np.ndarray, text: str, taken: list[tuple[int, int, int, bo
     return out
 
 
+def _spans(tagger: Tagger, texts: list[str | None]) -> Iterator[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
+    """For each text the rules' spans and all spans, as (start, kind number, end)."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end] or "") <= 1 << 20):
+            size += len(texts[end] or "")
+            end += 1
+        part = [t or "" for t in texts[at:end]]
+        for text, tags in zip(part, tag_texts(tagger, part), strict=True):
+            found = rule_matches(text)
+            kept = [x[:3] for x in found if x[3]]
+            yield kept, sorted(kept + model_spans(tags, text, found))
+        at = end
+
+
+def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """text with each span, or run of spans that overlap, replaced by the kind of its first in angle brackets."""
+    out, at = [], 0
+    for a, kind, b in spans:
+        if a >= at:
+            out += [text[at:a], f"<{KINDS[kind].upper()}>"]
+        at = max(at, b)
+    return "".join([*out, text[at:]])
+
+
+def redact(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
+    """docs with all spans in text masked; n_chars, if there is one, follows. Null stays null."""
+    tagger = tagger or trained()
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b["text"].to_pylist()
+            clean = pa.array([t if t is None or not spans else masked(t, spans) for t, (_, spans) in zip(texts, _spans(tagger, texts), strict=True)], pa.string())
+            yield b.set_column(b.schema.get_field_index("text"), "text", clean)
+
+    found = docs.mapInArrow(scan, docs.schema)
+    if "n_chars" not in docs.columns:
+        return found
+    kind = docs.schema["n_chars"].dataType
+    return found.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(kind)))
+
+
 def find_personal_data(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
     """docs with base_spans and spans, arrays of (start, kind, end, name) by start and kind, code points, end exclusive; spans holds both the rules' and the model's."""
     tagger = tagger or trained()
@@ -395,20 +439,7 @@ def find_personal_data(docs: DataFrame, tagger: Tagger | None = None) -> DataFra
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            base, both = [], []
-            texts = [t or "" for t in b["text"].to_pylist()]
-            at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= 1 << 20):
-                    size += len(texts[end])
-                    end += 1
-                for text, tags in zip(texts[at:end], tag_texts(tagger, texts[at:end]), strict=True):
-                    found = rule_matches(text)
-                    kept = [x[:3] for x in found if x[3]]
-                    base.append(shown(kept))
-                    both.append(shown(sorted(kept + model_spans(tags, text, found))))
-                at = end
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(base, kinds), pa.array(both, kinds)], names=[*b.schema.names, "base_spans", "spans"])
+            found = list(_spans(tagger, b["text"].to_pylist()))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([shown(x) for x, _ in found], kinds), pa.array([shown(y) for _, y in found], kinds)], names=[*b.schema.names, "base_spans", "spans"])
 
     return docs.mapInArrow(scan, fields(docs, f"base_spans {span}, spans {span}"))
