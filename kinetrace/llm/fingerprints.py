@@ -124,19 +124,18 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """(doc_id, text, next_text) in descending order of doc_id, where the first follows the last.
+def _dealt(docs: DataFrame, parts: int | None) -> DataFrame | None:
+    """(doc_id, text, range, guest) in runs of descending doc_id, a guest behind each run; None for an empty table.
 
     Ids are dealt into ranges whose upper bounds are ids that occur. The row at
     an upper bound is dealt to the next higher range too, to follow that range's
     last row; so each text is shuffled once, and each range is one sorted run.
     """
-    spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    parts = parts or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts or max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000).alias("q"), F.max("doc_id").alias("top"), F.count("*").alias("n")).first()
     if not found.n:
-        return rows.withColumn("next_text", F.col("text"))
+        return None
     bounds = sorted({int(x) for x in found.q or []} - {found.top})
     edges = F.array(*[F.lit(b) for b in bounds]).cast("array<long>")
     low = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.size(F.filter(edges, lambda b: b < F.col("doc_id"))))
@@ -144,46 +143,62 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     above = F.when(F.col("doc_id").isin(bounds), F.struct((low + 1).alias("range"), F.lit(1).alias("guest"))) if bounds else F.lit(None).cast("struct<range:int,guest:int>")
     wrap = F.when(F.col("doc_id").eqNullSafe(F.lit(found.top)), F.struct(F.lit(0).alias("range"), F.lit(2).alias("guest")))
     dealt = rows.select("doc_id", "text", F.explode(F.array_compact(F.array(own, above, wrap))).alias("d")).select("doc_id", "text", "d.range", "d.guest")
-    dealt = dealt.repartition(len(bounds) + 1, "range").sortWithinPartitions("range", "guest", F.col("doc_id").desc_nulls_last(), "text")
-
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # (range, doc_id, text) whose follower is not known yet
+    return dealt.repartition(len(bounds) + 1, "range").sortWithinPartitions("range", "guest", F.col("doc_id").desc_nulls_last(), "text")
 
-        def table(out: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*out, strict=True)) or [(), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=["doc_id", "text", "next_text"])
 
-        for b in batches:
-            out, size = [], 0
-            for k, doc, text, guest in zip(b["range"].to_pylist(), b["doc_id"].to_pylist(), b["text"].to_pylist(), b["guest"].to_pylist(), strict=True):
+def _pairs(batches: Iterator[pa.RecordBatch], size: int = 1 << 21) -> Iterator[tuple[list[int | None], list[str], list[str]]]:
+    """Ids, texts and next texts of dealt rows, about size characters at a time."""
+    held = None  # range, id and text whose follower has not come yet
+    ids, texts, nexts, had = [], [], [], 0
+    for b in batches:
+        for lo in range(0, b.num_rows, 64):
+            part = b.slice(lo, 64)
+            for k, doc, text, guest in zip(*(part[c].to_pylist() for c in ("range", "doc_id", "text", "guest")), strict=True):
                 if held is not None and held[0] == k:
-                    out.append((held[1], held[2], text))
-                    size += len(held[2]) + len(text)
+                    ids.append(held[1])
+                    texts.append(held[2])
+                    nexts.append(text)
+                    had += len(held[2])
                 held = None if guest else (k, doc, text)
-                if size > 1 << 23:
-                    yield table(out)
-                    out, size = [], 0
-            if out:
-                yield table(out)
+                if had > size:
+                    yield ids, texts, nexts
+                    ids, texts, nexts, had = [], [], [], 0
+    if ids:
+        yield ids, texts, nexts
 
-    return dealt.mapInArrow(pair, "doc_id long, text string, next_text string")
+
+def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
+    """(doc_id, text, next_text) in descending order of doc_id, where the first follows the last."""
+    dealt = _dealt(docs, parts)
+    schema = "doc_id long, text string, next_text string"
+    if dealt is None:
+        return docs.sparkSession.createDataFrame([], schema)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts, nexts in _pairs(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(nexts, pa.string())], names=["doc_id", "text", "next_text"])
+
+    return dealt.mapInArrow(read, schema)
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of each row."""
+    dealt = _dealt(docs, None)
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    if dealt is None:
+        return docs.sparkSession.createDataFrame([], schema)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, nexts = b["text"].to_pylist(), b["next_text"].to_pylist()
+        for ids, texts, nexts in _pairs(batches):
             edited = [edited_text(t, n) for t, n in zip(texts, nexts, strict=True)]
-            own, new = fingerprints(b["text"]), fingerprints(pa.array(edited, pa.large_string()))
-            follows = [i + 1 if i + 1 < len(texts) and nexts[i] == texts[i + 1] else -1 for i in range(len(texts))]
-            alone = [i for i, f in enumerate(follows) if f < 0]
+            own, new = fingerprints(pa.array(texts, pa.large_string())), fingerprints(pa.array(edited, pa.large_string()))
+            chain = [i + 1 if i + 1 < len(texts) and nexts[i] is texts[i + 1] else -1 for i in range(len(texts))]
+            alone = [i for i, f in enumerate(chain) if f < 0]
             extra = dict(zip(alone, fingerprints(pa.array([nexts[i] for i in alone], pa.large_string())), strict=True))
-            after = [own[f] if f >= 0 else extra[i] for i, f in enumerate(follows)]
+            after = [own[f] if f >= 0 else extra[i] for i, f in enumerate(chain)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    b["doc_id"],
+                    pa.array(ids, pa.int64()),
                     pa.array([len(t) for t in texts], pa.int64()),
                     pa.array([sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited]),
                     pa.array([shown(x) for x in own]),
@@ -194,8 +209,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
             )
 
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(docs).mapInArrow(read, schema)
+    return dealt.mapInArrow(read, schema)
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
