@@ -8,8 +8,9 @@ Prefixes. In one order of all shingles, two sets that link share at least m
 shingles among their first n - ceil(PERCENT * n / 100) + m. Frequent shingles
 come last: their counts come from a hashed sketch over all texts. For each set
 m is the one with the least estimated cost: a longer prefix has more postings
-to read, but only 1/m of them can be candidates that share m. Two sets with
-different m need the smaller one.
+to read, but only 1/m of them can be candidates that share m. It is a quarter of
+the shingles that the set can spare at least, so that a line which many texts
+have makes no candidate by itself. Two sets with different m need the smaller one.
 
 1. Count: one map over the texts sums up the sketch.
 2. Share: a second map gives each prefix shingle with its class; a grouped min
@@ -50,7 +51,8 @@ from kinetrace.llm.store import saved
 from kinetrace.llm.words import mix, shingles, slices, word_hashes
 
 SKETCH_BITS, BITMAP_BITS = 22, 25
-MATCHES = (1, 2, 4, 8, 16)
+#: Matches that a prefix may stand for, as shares of the shingles that a set can spare; the first is the least.
+MATCHES = (0.25, 0.5, 1.0)
 #: Cost of comparing two sets against reading one posting.
 COMPARE = 20.0
 _U = np.uint64
@@ -100,10 +102,8 @@ class _Order:
             return tokens[:0], 1
         cost = np.cumsum(np.r_[0.0, frequent[order]])
         best, take = np.inf, (spare + 1, 1)
-        for m in MATCHES:
+        for m in sorted({min(1 + int(spare * share), max(1, len(tokens) - spare)) for share in MATCHES}):
             end = min(spare + m, len(tokens))
-            if m > 1 and (end < spare + m or m > least_overlap(n, percent)):
-                break
             estimate = end + cost[end] * (1 + COMPARE / m)
             if estimate < best:
                 best, take = estimate, (end, m)
