@@ -36,7 +36,7 @@ def grid(lo: float, hi: float, n: int) -> list[float]:
 
 
 def kde(rows: DataFrame, column: str, points: list[float], keys: list[str], least: int = 2) -> DataFrame:
-    """keys, x and density at each point: Gaussian kernels of width n**(-1/5) times the sample deviation.
+    """keys, point and density at each point: Gaussian kernels of width n**(-1/5) times the sample deviation.
 
     Equal values are counted first, so a value costs one kernel per point however
     often it occurs, and each row of counts meets a stated, small list of points.
@@ -46,10 +46,10 @@ def kde(rows: DataFrame, column: str, points: list[float], keys: list[str], leas
     stats = rows.groupBy(*keys).agg(F.count(column).alias("__n"), F.stddev_samp(column).alias("__sd")).where((F.col("__n") >= least) & (F.col("__sd") > 0))
     counts = rows.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("__c")).join(stats, keys)
     h = F.pow(F.col("__n").cast("double"), F.lit(-0.2)) * F.col("__sd")
-    at = counts.withColumn("__h", h).withColumn("x", F.explode(F.array(*[F.lit(float(p)) for p in points])))
-    u = (F.col("x") - F.col(column)) / F.col("__h")
+    at = counts.withColumn("__h", h).withColumn("point", F.explode(F.array(*[F.lit(float(p)) for p in points])))
+    u = (F.col("point") - F.col(column)) / F.col("__h")
     kernel = F.exp(-u * u / 2) / (F.col("__h") * math.sqrt(2 * math.pi))
-    return at.groupBy(*keys, "x").agg((F.sum(kernel * F.col("__c")) / F.first("__n")).alias("density"))
+    return at.groupBy(*keys, "point").agg((F.sum(kernel * F.col("__c")) / F.first("__n")).alias("density"))
 
 
 def kde_2d(rows: DataFrame, x: str, y: str, xs: list[float], ys: list[float], keys: list[str]) -> DataFrame:

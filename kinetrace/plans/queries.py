@@ -161,11 +161,11 @@ def body_bearing_acf(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {DERIVED}, c AS (SELECT track, frame, cos(dpsi) AS r, cos(phi) AS c, sin(phi) AS s FROM derived)
-SELECT a.track, CAST(b.frame - a.frame AS BIGINT) AS lag, round(avg(a.c * b.c + a.s * b.s), 6) AS phi_acf, count(a.c * b.c) AS pairs
+SELECT a.track, CAST(b.frame - a.frame AS BIGINT) AS lag, round(avg(a.c * b.c + a.s * b.s), 6) + 0.0::DOUBLE AS phi_acf, count(a.c * b.c) AS pairs
 FROM c a JOIN c b ON a.track = b.track AND b.frame - a.frame BETWEEN 0 AND 20 GROUP BY 1, 2""")
 def bearing_acf(spark: SparkSession, d: str) -> DataFrame:
     rows = derived(spark, d).withColumns({"c": F.cos("phi"), "s_": F.sin("phi")})
-    return lagstats.vector_autocorrelation(rows, [0, *LAGS], ["c", "s_"]).select("track", "lag", F.round("dotacf", 6).alias("phi_acf"), "pairs")
+    return lagstats.vector_autocorrelation(rows, [0, *LAGS], ["c", "s_"]).select("track", "lag", (F.round("dotacf", 6) + F.lit(0.0)).alias("phi_acf"), "pairs")
 
 
 @query(f"""WITH {DERIVED}, g AS (SELECT track, frame, cos(dpsi) AS r FROM derived), m AS (SELECT track, avg(r) AS m, var_pop(r) AS v FROM g GROUP BY track),
@@ -255,7 +255,7 @@ _CUBIC = kinematics.local_polynomial_weights(6, 3)
 
 @query(f"""WITH {TRACK}, v AS (SELECT track, frame, CASE WHEN NOT bad THEN x END AS x FROM track), s AS (SELECT track, frame, count(x) OVER (PARTITION BY track ORDER BY frame ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) AS n,
  {" + ".join(f"lag(x, {-k}) OVER W * {c!r}" for k, c in zip(range(-6, 7), _CUBIC, strict=True) if k)} AS v FROM v WINDOW {BOX})
-SELECT track, frame, round(CASE WHEN n = 13 THEN v END, 4) AS v FROM s""".replace("lag(x, -", "lead(x, "))
+SELECT track, frame, round(CAST(CASE WHEN n = 13 THEN v END AS DOUBLE), 4) AS v FROM s""".replace("lag(x, -", "lead(x, "))
 def cubic_velocity(spark: SparkSession, d: str) -> DataFrame:
     rows = masks.masked(tables.track(spark, d), ~F.col("bad"), "x")
     return rows.select("track", "frame", F.round(kinematics.local_slope("x", 6), 4).alias("v"))
@@ -365,17 +365,17 @@ def root_histogram(spark: SparkSession, d: str) -> DataFrame:
     return distributions.root_histogram(tables.track(spark, d), "x", ["track"])
 
 
-@query(f"""WITH {TRACK}, s AS (SELECT strain, count(x) AS n, pow(count(x), -0.2) * stddev_samp(x) AS h FROM track GROUP BY strain), g AS (SELECT unnest(range(21)) * 2500.0 AS gx)
-SELECT t.strain, gx AS x, round(sum(exp(-((gx - t.x) / h) * ((gx - t.x) / h) / 2) / (h * sqrt(2 * pi()))) / max(n) * 1e6, 6) AS density FROM track t JOIN s ON t.strain = s.strain, g GROUP BY t.strain, gx""")
+@query(f"""WITH {TRACK}, s AS (SELECT strain, count(x) AS n, pow(count(x), -0.2) * stddev_samp(x) AS h FROM track GROUP BY strain), g AS (SELECT CAST(unnest(range(21)) * 2500 AS DOUBLE) AS gx)
+SELECT t.strain, g.gx AS point, round(sum(exp(-((gx - t.x) / h) * ((gx - t.x) / h) / 2) / (h * sqrt(2 * pi()))) / max(n) * 1e6, 6) AS density FROM track t JOIN s ON t.strain = s.strain, g GROUP BY t.strain, gx""")
 def density_1d(spark: SparkSession, d: str) -> DataFrame:
     """Kernel density of x, per million."""
     rows = distributions.kde(tables.track(spark, d), "x", [2500.0 * i for i in range(21)], ["strain"])
-    return rows.select("strain", "x", F.round(F.col("density") * 1e6, 6).alias("density"))
+    return rows.select("strain", "point", F.round(F.col("density") * 1e6, 6).alias("density"))
 
 
 @query(f"""WITH {TRACK}, c AS (SELECT strain, pow(count(*), -1.0 / 3) AS f, count(*) AS n, var_samp(x) AS xx, var_samp(y) AS yy, covar_samp(x, y) AS xy FROM track GROUP BY strain),
 s AS (SELECT strain, n, xx * f AS xx, yy * f AS yy, xy * f AS xy, xx * f * yy * f - xy * f * xy * f AS det FROM c),
-g AS (SELECT a * 5000.0 AS gx, b * 10.0 AS gy FROM range(10) t(a), range(10) u(b))
+g AS (SELECT CAST(a * 5000 AS DOUBLE) AS gx, CAST(b * 10 AS DOUBLE) AS gy FROM range(10) t(a), range(10) u(b))
 SELECT strain, gx, gy, round(sum(exp(-(yy * (gx - x) * (gx - x) - 2 * xy * (gx - x) * (gy - y) + xx * (gy - y) * (gy - y)) / det / 2) / (2 * pi() * sqrt(det))) / max(n) * 1e9, 5) AS density
 FROM track JOIN s USING (strain), g GROUP BY 1, 2, 3""")
 def density_2d(spark: SparkSession, d: str) -> DataFrame:
@@ -465,8 +465,8 @@ def body_wave(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {POSTURE}, x AS (SELECT strain AS track, row_number() OVER (PARTITION BY strain ORDER BY frame) - 1 AS k, CAST(p[4] AS DOUBLE) AS h, CAST(p[62] AS DOUBLE) AS t FROM posture),
 m AS (SELECT track, avg(h) AS mh, var_pop(h) AS vh, avg(t) AS mt, var_pop(t) AS vt FROM x GROUP BY track), c AS (SELECT track, k, h - mh AS h, vh, t - mt AS t, vt FROM x JOIN m USING (track)),
-l AS (SELECT p.track, q.k - p.k AS lag, avg(p.h * q.h) / max(p.vh) AS ah, avg(p.t * q.t) / max(p.vt) AS at FROM c p JOIN c q ON p.track = q.track AND q.k - p.k BETWEEN 1 AND 23 GROUP BY 1, 2)
-SELECT CAST(track AS BIGINT) AS track, round(-(min(ah) - min(at)), 6) AS move FROM l GROUP BY track""")
+l AS (SELECT p.track, q.k - p.k AS lag, avg(p.h * q.h) / max(p.vh) AS ah, avg(p.t * q.t) / max(p.vt) AS tl FROM c p JOIN c q ON p.track = q.track AND q.k - p.k BETWEEN 1 AND 23 GROUP BY 1, 2)
+SELECT CAST(track AS BIGINT) AS track, round(-(min(ah) - min(tl)), 6) AS move FROM l GROUP BY track""")
 def head_moves(spark: SparkSession, d: str) -> DataFrame:
     """How much deeper the autocorrelation of the first end falls than that of the last."""
     at = (F.row_number().over(Window.partitionBy("strain").orderBy("frame")) - 1).alias("frame")
