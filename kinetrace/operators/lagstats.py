@@ -34,7 +34,8 @@ def lag_pairs(rows: DataFrame, lags: list[int], values: list[str], keys: list[st
     first = base.select(*keys, "__cut", *now, F.explode(F.array(*[F.lit(n).cast("long") for n in lags])).alias("lag"), F.col("frame").alias("__from"))
     first = first.withColumn("frame", F.col("__from") + F.col("lag"))
     second = base.select(*keys, "frame", F.col("__cut").alias("__end"), *[F.col(v).alias(f"{v}1") for v in values])
-    return first.join(second, [*keys, "frame"]).where("__cut = __end").drop("__cut", "__end", "__from", "frame")
+    met = first.join(second, [*keys, "frame"]).where("__cut = __end")
+    return met.select(*keys, "lag", *[f"{v}0" for v in values], *[f"{v}1" for v in values])
 
 
 def mean_over_pairs(pairs: DataFrame, keys: list[str], out: str, value: Column) -> DataFrame:
