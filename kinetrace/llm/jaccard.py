@@ -23,10 +23,12 @@ have makes no candidate by itself. Two sets with different m need the smaller on
 5. Stars: for each shared shingle the sets in its postings are compared with the
    one that has the fewest unshared shingles. A large group of near copies
    falls together here, by one comparison per set and shingle at most.
-6. Rest: shingles whose postings still lie in two or more groups are joined with
-   themselves, but only sets outside the largest group of the shingle stand on
-   one side. Pairs of different groups that share enough prefix shingles and
-   whose positions allow a link are compared. So no pair that may link is left out.
+6. Rest: where the postings of a shingle still lie in two or more groups, the sets
+   outside the group of its hub (the set with the fewest unshared shingles) are
+   compared with all sets near that hub, in blocks of bounded size and through
+   the postings in the block: sets that share enough prefix shingles are verified.
+   Of any two sets in different groups that share a prefix shingle one is outside
+   the hub's group, so no pair that may link is left out, and no pairs are written.
 7. Components of all links by smallest labels and pointer jumping.
 
 Bitmap hits by chance only let more sets through; no step drops a possible link.
@@ -44,7 +46,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinetrace.llm.store import saved
@@ -55,6 +57,8 @@ SKETCH_BITS, BITMAP_BITS = 22, 25
 MATCHES = (0.25, 0.5, 1.0)
 #: Cost of comparing two sets against reading one posting.
 COMPARE = 20.0
+#: Sets on either side of a block.
+BLOCK = 512
 _U = np.uint64
 
 
@@ -139,9 +143,14 @@ def _bits(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (tokens & low).astype(np.int64), ((tokens >> _U(BITMAP_BITS)) & low).astype(np.int64)
 
 
+def _mark(tokens: np.ndarray, cls: int) -> np.ndarray:
+    """32 bits that tell classes apart, drawn anew for each token: two classes look alike on all shared tokens with a chance of 2**-32 per token."""
+    return (mix(tokens ^ _U(cls % (1 << 64))) >> _U(32)).astype(np.uint32).view(np.int32)
+
+
 def _shared_bitmap(rows: DataFrame) -> np.ndarray:
-    """From (token, cls): a packed bitmap of the tokens that two classes have."""
-    shared = rows.groupBy("token").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a < b").select("token")
+    """From (token, mark): a packed bitmap of the tokens that two classes have."""
+    shared = rows.groupBy("token").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).where("a < b").select("token")
     low = (1 << BITMAP_BITS) - 1
     bit = shared.select(F.explode(F.array(F.col("token").bitwiseAND(low), F.shiftrightunsigned("token", BITMAP_BITS).bitwiseAND(low))).alias("bit"))
     words = bit.groupBy(F.expr("bit div 32").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 AS INT))")).alias("mask")).toArrow()
@@ -157,26 +166,28 @@ def _marked(bitmap: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return out
 
 
-def _postings(spark: SparkSession, docs: DataFrame, order: object, k: int, percent: int) -> DataFrame:
+def _postings(docs: DataFrame, order: object, k: int, percent: int) -> DataFrame:
+    """(token, mark) of every prefix."""
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held, cls, size = [], [], 0
+            held, marks, size = [], [], 0
             for _, tokens in _sets(b["text"], k):
                 if len(tokens):
                     prefix = order.value.prefix(tokens, percent)[0]
                     held.append(prefix)
-                    cls.append(np.full(len(prefix), _class(tokens)))
+                    marks.append(_mark(prefix, _class(tokens)))
                     size += len(prefix)
                 if size > 1 << 18:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64)), pa.array(np.concatenate(cls))], names=["token", "cls"])
-                    held, cls, size = [], [], 0
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64)), pa.array(np.concatenate(marks))], names=["token", "mark"])
+                    held, marks, size = [], [], 0
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64)), pa.array(np.concatenate(cls))], names=["token", "cls"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64)), pa.array(np.concatenate(marks))], names=["token", "mark"])
 
-    return docs.select("text").mapInArrow(read, "token long, cls long")
+    return docs.select("text").mapInArrow(read, "token long, mark int")
 
 
-def _picked(spark: SparkSession, docs: DataFrame, order: object, shared: object, k: int, percent: int) -> DataFrame:
+def _picked(docs: DataFrame, order: object, shared: object, k: int, percent: int) -> DataFrame:
     """doc_id, n and cls of each row, and the tokens of the sets that may have a link."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,13 +216,15 @@ def _picked(spark: SparkSession, docs: DataFrame, order: object, shared: object,
 
 
 def _tokens_of(sets: DataFrame) -> DataFrame:
+    """(token, mark) of every set."""
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for cls, raw in zip(b["cls"].to_pylist(), b["tokens"], strict=True):
-                tokens = np.frombuffer(raw.as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(np.full(len(tokens), cls))], names=["token", "cls"])
+                tokens = np.frombuffer(raw.as_buffer(), _U)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(_mark(tokens, cls))], names=["token", "mark"])
 
-    return sets.select("cls", "tokens").mapInArrow(read, "token long, cls long")
+    return sets.select("cls", "tokens").mapInArrow(read, "token long, mark int")
 
 
 def _narrowed(sets: DataFrame, order: object, shared: object, percent: int) -> DataFrame:
@@ -276,34 +289,77 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _shared_counts(owner: np.ndarray, sorted_: np.ndarray, tokens: np.ndarray, n: int) -> np.ndarray:
+    """How many of tokens each of n sets has, from their tokens in order and whose each is."""
+    lo, hi = np.searchsorted(sorted_, tokens, "left"), np.searchsorted(sorted_, tokens, "right")
+    size = hi - lo
+    at = np.repeat(lo - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+    return np.bincount(owner[at], minlength=n)
+
+
+def _between_groups(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between sets of different groups that are near one hub; near has cls, grp, hub and hub_grp.
+
+    Of two such sets one at least is outside the hub's group. These are compared
+    with all that are near the hub, in blocks of at most about BLOCK sets on
+    either side, through the postings of the block: first the shared prefix
+    shingles are counted, then all.
+    """
+    sizes = near.groupBy("hub").agg(F.count("*").alias("all"), F.count_if(F.col("grp") != F.col("hub_grp")).alias("out")).where("out > 0")
+    blocks = sizes.select("hub", F.ceil(F.col("all") / BLOCK).alias("na"), F.ceil(F.col("out") / BLOCK).alias("no"))
+    rows = near.join(blocks, "hub").join(sets, "cls").select("hub", "cls", "grp", "hub_grp", "n", "m", "tokens", "prefix", "na", "no")
+    place = lambda n: F.pmod(F.xxhash64(F.lit(5), "cls"), F.col(n))
+    other = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    columns = [F.col(c).alias(c) for c in ("hub", "cls", "grp", "n", "m", "tokens", "prefix")]  # own columns for either side
+    inner = rows.select(*columns, place("na").alias("x"), other("no").alias("y"))
+    outer = rows.where("grp != hub_grp").select(*columns, place("no").alias("y"), other("na").alias("x"))
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = [], []
+        if left.num_rows and right.num_rows:
+            ids, groups, n, m = (right[c].to_numpy() for c in ("cls", "grp", "n", "m"))
+            postings = []
+            for lists in ([np.asarray(p, np.int64).view(_U) for p in right["prefix"].to_numpy()], [np.frombuffer(t.as_buffer(), _U) for t in right["tokens"]]):
+                flat, owner = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+                order = np.argsort(flat, kind="stable")
+                postings.append((owner[order], flat[order]))
+            for cls, grp, own_n, own_m, raw, prefix in zip(*(left[c].to_pylist() for c in ("cls", "grp", "n", "m", "tokens", "prefix")), strict=True):
+                same = _shared_counts(*postings[0], np.array(prefix, np.int64).view(_U), len(ids))
+                maybe = (same >= np.minimum(m, own_m)) & (groups != grp) & (100 * np.minimum(n, own_n) >= percent * np.maximum(n, own_n))
+                if maybe.any():
+                    same = _shared_counts(*postings[1], np.frombuffer(raw, _U), len(ids))
+                    hit = ids[maybe & (100 * same >= percent * (n + own_n - same))]
+                    a.append(np.full(len(hit), cls))
+                    b.append(hit)
+        none = np.zeros(0, np.int64)
+        return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
+
+    keys = ["hub", "x", "y"]
+    return outer.groupBy(*keys).cogroup(inner.groupBy(*keys)).applyInArrow(compare, "a long, b long").distinct()
+
+
 def links_and_rows(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) of classes that join all classes which are linked, directly or in steps; doc_id, n and cls of every row."""
-    spark = docs.sparkSession
-    share = spark.sparkContext.broadcast
+    share = docs.sparkSession.sparkContext.broadcast
     order = share(_frequent(docs, k))
-    shared = share(_shared_bitmap(_postings(spark, docs, order, k, percent)))
-    rows = saved(_picked(spark, docs, order, shared, k, percent), "rows")
-    sets = saved(rows.where("tokens IS NOT NULL").select("cls", "n", "tokens").dropDuplicates(["cls"]), "sets")
-    shared = share(_shared_bitmap(_tokens_of(sets)))
-    sets = saved(_narrowed(sets, order, shared, percent), "sets")
-    entries = saved(sets.select("cls", "n", "unshared", "m", F.posexplode("prefix").alias("i", "token")).withColumn("place", F.col("i") + F.col("unshared")).drop("i"), "entries")
-    payload = sets.select("cls", "n", "tokens")
+    shared = share(_shared_bitmap(_postings(docs, order, k, percent)))
+    rows = saved(_picked(docs, order, shared, k, percent), "rows")
+    picked = rows.where("tokens IS NOT NULL").select("cls", "n", "tokens")
+    shared = share(_shared_bitmap(_tokens_of(picked)))
+    sets = saved(_narrowed(picked, order, shared, percent).dropDuplicates(["cls"]), "sets")
+    entries = saved(sets.select("cls", "n", "unshared", F.posexplode("prefix").alias("i", "token")).withColumn("place", F.col("i") + F.col("unshared")).drop("i"), "entries")
 
     hub = F.min_by(F.struct("cls", "n", "unshared", "place"), F.struct("unshared", F.xxhash64("cls"))).alias("b")
     stars = entries.groupBy("token").agg(hub, F.count("*").alias("df")).where("df > 1").select("token", "b.*")
     star_pairs = entries.alias("a").join(stars.alias("b"), "token").where((F.col("a.cls") != F.col("b.cls")) & _may_link(percent))
-    star_links = saved(_verified(star_pairs.select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct(), payload, percent), "links")
+    star_links = saved(_verified(star_pairs.select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct(), sets.select("cls", "n", "tokens"), percent), "links")
 
     groups = components(star_links)
-    entries = saved(entries.join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("grp", F.coalesce("component", "cls")).drop("component"), "entries")
-    per_group = entries.groupBy("token", "grp").agg(F.count("*").alias("size"))
-    largest = per_group.groupBy("token").agg(F.max_by("grp", F.struct("size", "grp")).alias("most"), F.count("*").alias("groups")).where("groups > 1")
-    open_ = saved(entries.join(largest.select("token", "most"), "token"), "open")
-    few = open_.where("grp != most").alias("a")
-    once = (F.col("b.grp") == F.col("b.most")) | (F.col("a.cls") < F.col("b.cls"))
-    pairs = few.join(open_.alias("b"), F.col("a.token") == F.col("b.token")).where((F.col("a.grp") != F.col("b.grp")) & once & _may_link(percent))
-    pairs = pairs.groupBy(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).agg(F.count("*").alias("have"), F.min(F.least("a.m", "b.m")).alias("need"))
-    rest = saved(_verified(pairs.where("have >= need").select("a", "b"), payload, percent), "links")
+    entries = saved(entries.join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("grp", F.coalesce("component", "cls")).select("token", "cls", "grp", "unshared"), "entries")
+    least = F.min_by(F.struct("cls", "grp"), F.struct("unshared", F.xxhash64("cls")))
+    mixed = entries.groupBy("token").agg(least.alias("h"), F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo != hi").select("token", F.col("h.cls").alias("hub"), F.col("h.grp").alias("hub_grp"))
+    near = saved(entries.join(mixed, "token").select("cls", "grp", "hub", "hub_grp").distinct(), "near")
+    rest = saved(_between_groups(near, sets.select("cls", "n", "m", "tokens", "prefix"), percent), "links")
     return star_links.union(rest), rows.select("doc_id", "n", "cls")
 
 

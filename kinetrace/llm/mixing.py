@@ -127,24 +127,23 @@ def mix(docs: DataFrame, shards: int = 16, weights: tuple[float, ...] = WEIGHTS,
     bounds = np.cumsum(split_quotas(drawn, shards, seed), axis=0)[:-1] if plan else np.zeros((0, 0), int)
     table = [(*p, edges[p[0]].edge_place if p[0] in edges else 0, cuts[p[0]]["__order"] if p[0] in cuts else None, cuts[p[0]].part if p[0] in cuts else 0, [int(x) for x in bounds[:, p[0]]]) for p in plan]
     kind = T.StructType([*kind.fields, *T.StructType.fromDDL("edge_place long, cut long, part long, bounds array<long>").fields])
-    table = small(spark.createDataFrame(table, kind)).alias("t")
+    table = spark.createDataFrame(table, kind)
+    table = small(table.select(*[F.col(c).alias(f"__{c}") for c in table.columns]))  # apart from any column of docs
 
     def take(copy: Column) -> Column:
-        place = _place(F.col("source_no"), copy, F.col("__block"), seed, blocks)
+        place = _place(F.col("__source_no"), copy, F.col("__block"), seed, blocks)
         order = F.col("__order")
-        in_edge = F.when(order < F.col("cut"), F.col("size")).when(order == F.col("cut"), F.col("part")).otherwise(F.lit(0))
-        last = F.when(place < F.col("edge_place"), F.col("size")).when(place == F.col("edge_place"), in_edge).otherwise(F.lit(0))
-        words = F.when(copy < F.col("copies"), F.col("size")).when(F.col("cut").isNull(), F.lit(0)).otherwise(last)
+        in_edge = F.when(order < F.col("__cut"), F.col("size")).when(order == F.col("__cut"), F.col("__part")).otherwise(F.lit(0))
+        last = F.when(place < F.col("__edge_place"), F.col("size")).when(place == F.col("__edge_place"), in_edge).otherwise(F.lit(0))
+        words = F.when(copy < F.col("__copies"), F.col("size")).when(F.col("__cut").isNull(), F.lit(0)).otherwise(last)
         at = copy * blocks + place
-        shard = F.size(F.filter(F.col("bounds"), lambda b: b <= at))
+        shard = F.size(F.filter(F.col("__bounds"), lambda b: b <= at))
         return F.struct(copy.cast("int").alias("copy"), shard.alias("shard"), words.cast("long").alias("words"))
 
-    joined = rows.alias("d").join(table, F.col("d.source").eqNullSafe(F.col("t.source")))
-    takes = F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.col("copies")), take), lambda x: x["words"] > 0)
-    joined = joined.withColumn("takes", takes)
+    joined = rows.join(table, F.col("source").eqNullSafe(F.col("__source")))
+    takes = F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.col("__copies")), take), lambda x: x["words"] > 0)
     taken = F.aggregate("takes", F.lit(0).cast("long"), lambda a, x: a + x["words"])
-    keep = [F.col(f"d.`{c}`") for c in docs.columns]
-    return joined.select(*keep, F.col("size"), F.col("source_size"), F.col("target"), taken.alias("taken"), F.col("takes"))
+    return joined.withColumn("takes", takes).select(*[f"`{c}`" for c in docs.columns], "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), taken.alias("taken"), "takes")
 
 
 def shard_rows(mixed: DataFrame, seed: int = 7) -> DataFrame:

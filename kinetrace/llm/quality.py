@@ -233,11 +233,11 @@ def assess(docs: DataFrame, labels: DataFrame, model: Classifier | None = None)
     model = model or fit(docs, labels)
     scored = evidence(docs, model).withColumns({"__host": host_of(F.col("source")), "__path": path_of(F.col("source"), F.col("lang"))})
     slim = evidence(docs.select("text", "source", "lang"), model).select(host_of(F.col("source")).alias("host"), path_of(F.col("source"), F.col("lang")).alias("path"), "p_bad", "p_toxic")
-    sites = saved(site_posteriors(slim), "sites")
+    sites = saved(site_posteriors(slim).select(F.col("host").alias("__s_host"), F.col("path").alias("__s_path"), F.col("site_rate").alias("__rate"), F.col("base_rate").alias("__base")), "sites")
     small = F.broadcast if sites.count() <= BROADCAST_SITES else lambda df: df
-    rows = scored.join(small(sites), F.col("__host").eqNullSafe(F.col("host")) & F.col("__path").eqNullSafe(F.col("path")), "left")
+    rows = scored.join(small(sites), F.col("__host").eqNullSafe(F.col("__s_host")) & F.col("__path").eqNullSafe(F.col("__s_path")), "left")
     own = _logit((1 - F.col("p_bad")) * (1 - F.col("p_toxic")))
-    posterior = own + F.lit(SITE_WEIGHT) * (_logit(F.col("site_rate")) - _logit(F.col("base_rate")))
+    posterior = own + F.lit(SITE_WEIGHT) * (_logit(F.col("__rate")) - _logit(F.col("__base")))
     quality = 1 / (1 + F.exp(-posterior))
     keep = (quality >= THRESHOLD) & (F.col("p_toxic") < THRESHOLD)
-    return rows.select(*docs.columns, "p_bad", "p_toxic", "site_rate", quality.alias("quality"), keep.alias("keep"))
+    return rows.select(*[f"`{c}`" for c in docs.columns], "p_bad", "p_toxic", F.col("__rate").alias("site_rate"), quality.alias("quality"), keep.alias("keep"))
