@@ -133,7 +133,7 @@ def test_quality_toxic_words(spark):
     rows = [(i, " ".join(r.choice(words, 60)) + (" vile scum" if i % 5 == 0 else ""), "en", f"host{i % 3}/a/x") for i in range(600)]
     docs = documents(spark, [*rows, (900, None, None, None), (901, "", "en", "host0/a/x"), (902, "scum " * 20_000, "en", "hostz")])
     labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(300)] + [(5, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
-    got = {r.doc_id: r for r in quality.assess(docs.withColumn("keep", F.lit(1)), labels).collect()}
+    got = {r.doc_id: r for r in quality.assess(docs.withColumns({c: F.lit(1) for c in ("keep", "host", "path", "site_rate", "base_rate")}), labels).collect()}
     assert all(got[i].keep == (i % 5 != 0) for i in range(300, 600)) and len(got) == 603
     assert all(r.keep for r in quality.assess(docs, labels.limit(0)).collect())
     assert quality.assess(docs.limit(0), labels).count() == 0

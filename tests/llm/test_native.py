@@ -122,7 +122,7 @@ def test_mix_hits_targets(spark):
 
 def test_mix_odd_rows(spark):
     rows = [(1, "a b c", "en", None), (1, "a b c", "en", None), (2, None, "en", "x"), (3, "", "en", "y"), (4, "w " * 5000, "en", "x"), (None, "q r s", "en", "z"), (5, "k", None, "k")]
-    df = documents(spark, rows).withColumn("target", F.lit("old"))
+    df = documents(spark, rows).withColumns({c: F.lit("old") for c in ("target", "copies", "rest", "source_no", "cut", "words", "a.b")})
     check_mix(mixing.mix(df).collect())
     assert mixing.mix(df.limit(0)).count() == 0
 
