@@ -6,6 +6,8 @@ frame is no unit of memory and frames of any size spread over the cluster.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,9 @@ def labelled(pixels: DataFrame, eight: bool = True) -> DataFrame:
     Least labels of the neighbours and a jump to the label's own label, until
     nothing moves; each round is checkpointed, so a lost executor costs one round.
     """
+    context = pixels.sparkSession.sparkContext
+    if not context.getCheckpointDir():  # set by spark.checkpoint.dir on a cluster
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     start = pixels.select("frame", "r", "c").distinct().withColumn("label", F.struct("r", "c"))
     around = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (eight or not (a and b))]
     labels = start.checkpoint()
