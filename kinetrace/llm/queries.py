@@ -68,6 +68,24 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_language_id, op3_personal_data, op4_secret_scan, op5_quality, op6_decontamination, op7_html_extraction, op8_jaccard_join, op9_fingerprints, op10_source_mixing)}
 
+def _secret_sql() -> str:
+    """Matches and the pieces between them give positions; a run of hex digits is sought by its least length."""
+    parts = []
+    for no, r in enumerate(secrets.RULES):
+        pattern = f"[0-9a-f]{{{r.least},}}" if r.kind == "hex" else r.pattern
+        quoted = "'" + pattern.replace("'", "''") + "'"
+        parts.append(
+            f"""SELECT doc_id, {no} AS no, '{r.kind}' AS kind, m[i] AS shown, g[i] AS tested, list_sum(list_transform(b[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS start
+FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, {quoted}) AS m, regexp_extract_all(t, {quoted}, {r.group}) AS g, string_split_regex(t, {quoted}) AS b FROM d))
+WHERE length(tested) >= {r.least}"""
+        )
+    found = " UNION ALL ".join(parts)
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{r.kind}') AS n_{r.kind}" for r in secrets.RULES)
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({found}),
+s AS (SELECT doc_id, {counts}, string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + length(shown) AS BIGINT), ',' ORDER BY start, no) AS spans FROM f GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secrets.RULES)}, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN s USING (doc_id)"""
+
+
 ORACLE_SQL = {
     "op1_chat_formatting": r"""
 WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k FROM conversations),
@@ -78,5 +96,15 @@ p AS (SELECT conv_id, k, max(k) OVER (PARTITION BY conv_id) AS n,
 whole AS (SELECT n, upto, min(conv_id) AS conv_id, count(*) AS n_copies, min(shown) AS shown FROM p WHERE k = n GROUP BY n, upto)
 SELECT conv_id, n AS n_turns, n_copies, shown || '<|end|>' AS text, length(shown || '<|end|>') AS n_chars FROM whole
 WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.k < p.n AND p.k = whole.n AND p.upto = whole.upto)
+""",
+    "op4_secret_scan": _secret_sql(),
+    "op8_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g) GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n nx ON x = nx.doc_id JOIN n ny ON y = ny.doc_id WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+r AS (SELECT doc_id AS d, doc_id AS k FROM n UNION SELECT l.y, r.k FROM r JOIN l ON r.d = l.x)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.k, w.doc_id) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT d AS doc_id, min(k) AS k FROM r GROUP BY d) m USING (doc_id)
 """,
 }
