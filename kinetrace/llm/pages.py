@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from kinetrace.llm.store import fields
+from kinetrace.llm.store import bounded_batches, fields
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden|aria-label)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -51,7 +51,7 @@ UNWANTED = frozenset(
     search legal copyright contentinfo complementary dialog disclaimer feedback rating ratings skip toc outbrain taboola paywall""".split()
 )
 WANTED = frozenset("content article post entry main story body text prose".split())
-#: Score of a block: constant, per log of words against ten, closing mark, share of characters in links, in article or main, heading there, paragraph, item, wanted name, unwanted name, page header.
+#: Score of a block: constant, per log of words against ten, closing mark, share of characters in links, in article or main, heading there, paragraph, item, wanted name, unwanted name, header (but for the headings of an article's own).
 SCORE = {"constant": -0.6, "length": 0.9, "closed": 0.8, "links": -4.0, "article": 3.5, "heading": 1.0, "paragraph": 0.6, "item": -0.4, "wanted": 2.5, "unwanted": -9.0, "header": -3.0}
 NEAR, DECAY = 0.8, 0.6
 
@@ -95,7 +95,7 @@ class Block:
         s += SCORE["closed"] * (self.text[-1] in ".!?…:;\"”»") + SCORE["links"] * self.in_links / max(1, self.raw)
         s += SCORE["article"] * e.article + SCORE["heading"] * ((e.article or e.wanted) and e.tag in HEADINGS) + SCORE["paragraph"] * (e.tag == "p")
         s += SCORE["item"] * (e.tag in ("li", "td", "th", "dt", "dd")) + SCORE["wanted"] * (e.wanted and not e.article) + SCORE["unwanted"] * e.unwanted
-        return s + SCORE["header"] * e.header
+        return s + SCORE["header"] * (e.header and not (e.article and e.tag in HEADINGS))
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -302,7 +302,7 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame) -> DataFrame:
     """pages with text, the main text of the html, and without html."""
-    pages = pages.drop("text")
+    pages = bounded_batches(pages).drop("text")
     rest = pages.drop("html")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
