@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kinetrace.functions import scalar
-from kinetrace.operators import distributions, ensembles, headtail, kinematics, lagstats, masks, models, posture, sequences, simulate
+from kinetrace.operators import distributions, ensembles, headtail, kinematics, lagstats, masks, models, pixels, posture, sequences, simulate
 from kinetrace.plans import chains
 from kinetrace.sources import tables
 
@@ -612,3 +612,83 @@ def skeleton_length(spark: SparkSession, d: str) -> DataFrame:
     """The first 16 numbers of each posture, read as eight points."""
     rows = tables.posture(spark, d).select("frame", F.transform(F.sequence(F.lit(1), F.lit(15), F.lit(2)), lambda i: F.element_at("posture", i)).alias("xs"), F.transform(F.sequence(F.lit(2), F.lit(16), F.lit(2)), lambda i: F.element_at("posture", i)).alias("ys"))
     return rows.select("frame", F.round(scalar.arc_length(F.col("xs"), F.col("ys")), 5).alias("length"))
+
+
+# --- joins by key, geometry and pixels --------------------------------------
+
+
+@query("""SELECT o_orderstatus AS ensemble, c_mktsegment AS strain, count(*) AS members, count(DISTINCT c_custkey) AS tracks FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2""")
+def ensemble_members(spark: SparkSession, d: str) -> DataFrame:
+    """The bridge table of ensembles joined to the tracks that it names."""
+    bridge = tables.read(spark, d, "orders").select(F.col("o_orderstatus").alias("ensemble"), F.col("o_custkey").alias("animal"))
+    tracks = tables.read(spark, d, "customer").select(F.col("c_custkey").alias("animal"), F.col("c_mktsegment").alias("strain"))
+    return bridge.join(tracks, "animal").groupBy("ensemble", "strain").agg(F.count("*").alias("members"), F.count_distinct("animal").alias("tracks"))
+
+
+@query("""WITH g AS (SELECT DISTINCT o_orderstatus AS ensemble, o_custkey AS animal FROM orders WHERE o_orderpriority = '1-URGENT'), h AS (SELECT DISTINCT o_orderstatus AS ensemble, o_custkey AS animal FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH'))
+SELECT NOT EXISTS (SELECT 1 FROM g WHERE NOT EXISTS (SELECT 1 FROM h WHERE g.ensemble = h.ensemble AND g.animal = h.animal)) AS within, NOT EXISTS (SELECT 1 FROM h WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.ensemble = h.ensemble AND g.animal = h.animal)) AS holds""")
+def ensemble_comparison(spark: SparkSession, d: str) -> DataFrame:
+    a = _bag(spark, d, "1-URGENT")
+    b = ensembles.union(a, _bag(spark, d, "2-HIGH"))
+    on = ["ensemble", "animal"]
+    lacking = [ensembles.without(x, y, on).agg((F.count("*") == 0).alias(name)) for x, y, name in ((a, b, "within"), (b, a, "holds"))]
+    return lacking[0].crossJoin(lacking[1])
+
+
+@query("""SELECT l_suppkey AS track, count(*) FILTER (WHERE l_quantity <= 2 OR l_quantity + l_linenumber >= 50) AS touching, count(*) FILTER (WHERE l_extendedprice > 0.5::DOUBLE * 30000 AND l_extendedprice < 2::DOUBLE * 30000) AS plausible FROM lineitem GROUP BY 1""")
+def border_and_length(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes within two units of the border, and lengths within half to twice the expected one."""
+    left, right = F.col("width"), F.col("width") + F.col("part")
+    touching = (left <= 2) | (right >= 50)
+    plausible = (F.col("length") > 0.5 * 30_000) & (F.col("length") < 2.0 * 30_000)
+    return tables.size(spark, d).groupBy("track").agg(F.count_if(touching).alias("touching"), F.count_if(plausible).alias("plausible"))
+
+
+@query(f"""WITH {POSTURE}, q AS (SELECT strain AS track, frame, p, lag(p) OVER (PARTITION BY strain ORDER BY frame) AS o FROM posture),
+e AS (SELECT track, frame, CAST(p[1] AS DOUBLE) AS hx, CAST(p[2] AS DOUBLE) AS hy, CAST(p[63] AS DOUBLE) AS tx, CAST(p[64] AS DOUBLE) AS ty, CAST(o[1] AS DOUBLE) AS px, CAST(o[2] AS DOUBLE) AS py, CAST(o[63] AS DOUBLE) AS qx, CAST(o[64] AS DOUBLE) AS qy FROM q)
+SELECT CAST(track AS BIGINT) AS track, frame, (hx - qx) ** 2 + (hy - qy) ** 2 + (tx - px) ** 2 + (ty - py) ** 2 < (hx - px) ** 2 + (hy - py) ** 2 + (tx - qx) ** 2 + (ty - qy) ** 2 AS crossed FROM e""")
+def crossed_ends(spark: SparkSession, d: str) -> DataFrame:
+    """Whether head and tail lie nearer to the last frame's tail and head."""
+    rows = tables.posture(spark, d).withColumn("track", F.col("strain").cast("long"))
+    last = F.lag("posture").over(masks.by_frame())
+    now = {c: F.element_at("posture", i) for c, i in (("hx", 1), ("hy", 2), ("tx", 63), ("ty", 64))}
+    old = {c: F.element_at("last", i) for c, i in (("px", 1), ("py", 2), ("qx", 63), ("qy", 64))}
+    ends = rows.withColumn("last", last).withColumns(now | old)
+    return ends.select("track", "frame", headtail.nearest_ends(*[F.col(c) for c in ("hx", "hy", "tx", "ty", "px", "py", "qx", "qy")]).alias("crossed"))
+
+
+@query(f"""WITH {POSTURE}, k AS (SELECT frame, unnest(range(1, 9)) AS i, p FROM posture), e AS (SELECT frame, CAST(p[2 * i - 1] AS DOUBLE) AS x, CAST(p[2 * i] AS DOUBLE) AS y, CAST(p[2 * (i % 8) + 1] AS DOUBLE) AS u, CAST(p[2 * (i % 8) + 2] AS DOUBLE) AS v FROM k),
+s AS (SELECT frame, sum(x * v - u * y) / 2 AS a, sum((x + u) * (x * v - u * y)) AS mx, sum((y + v) * (x * v - u * y)) AS my FROM e GROUP BY frame)
+SELECT frame, round(abs(a), 7) AS area, round(mx / (6 * nullif(a, 0)), 2) + 0.0::DOUBLE AS cx, round(my / (6 * nullif(a, 0)), 2) + 0.0::DOUBLE AS cy FROM s WHERE abs(a) > 0.005""")
+def contour_moments(spark: SparkSession, d: str) -> DataFrame:
+    """Area and centroid of the polygon of the first eight points."""
+    rows = tables.posture(spark, d).select("frame", F.transform(F.sequence(F.lit(1), F.lit(15), F.lit(2)), lambda i: F.element_at("posture", i)).alias("xs"), F.transform(F.sequence(F.lit(2), F.lit(16), F.lit(2)), lambda i: F.element_at("posture", i)).alias("ys"))
+    found = rows.select("frame", scalar.contour_area_and_centroid(F.col("xs"), F.col("ys")).alias("c")).where("c.area > 0.005")
+    return found.select("frame", F.round("c.area", 7).alias("area"), (F.round("c.x", 2) + F.lit(0.0)).alias("cx"), (F.round("c.y", 2) + F.lit(0.0)).alias("cy"))
+
+
+@query(f"""WITH RECURSIVE {POSTURE}, {CELLS}, px AS (SELECT frame, CAST(i // 8 AS INTEGER) AS r, CAST(i % 8 AS INTEGER) AS c FROM cells WHERE a <= 0),
+z AS (SELECT frame, r, c, r * 8 + c AS k FROM px UNION SELECT p.frame, p.r, p.c, z.k FROM z JOIN px p ON p.frame = z.frame AND abs(p.r - z.r) <= 1 AND abs(p.c - z.c) <= 1),
+m AS (SELECT frame, r, c, min(k) AS k FROM z GROUP BY 1, 2, 3)
+SELECT frame, CAST(k // 8 AS INTEGER) AS first_r, CAST(k % 8 AS INTEGER) AS first_c, count(*) AS area, round(avg(c), 6) AS x, round(avg(r), 6) AS y, max(c) - min(c) + 1 AS w, max(r) - min(r) + 1 AS h FROM m GROUP BY frame, k""")
+def pixel_components(spark: SparkSession, d: str) -> DataFrame:
+    """Each embedding as an image of 8 by 8 pixels: the connected components of its pixels that are not positive."""
+    cells = tables.posture(spark, d).select("frame", F.posexplode("posture").alias("i", "a"))
+    image = cells.select("frame", F.expr("cast(i div 8 AS INT)").alias("r"), (F.col("i") % 8).alias("c"), F.when(F.col("a") > 0, 255).otherwise(0).alias("v"))
+    parts = pixels.components(pixels.labelled(pixels.dark(image, 0.5)))
+    return parts.select("frame", F.col("label.r").alias("first_r"), F.col("label.c").alias("first_c"), "area", digits("x"), digits("y"), "w", "h")
+
+
+@query(f"""WITH {TRACK}, k AS (SELECT track, count(*) AS n, max(frame) AS last FROM track GROUP BY track) SELECT track, n, last, strftime(TIMESTAMP '1970-01-01' + to_seconds(CAST(floor(last / 11.5::DOUBLE) AS BIGINT)), '%H:%M:%S') AS duration FROM k""")
+def track_keys(spark: SparkSession, d: str) -> DataFrame:
+    """The tracks, with their length."""
+    keys = tables.track(spark, d).groupBy("track").agg(F.count("*").alias("n"), F.max("frame").alias("last"))
+    return keys.select("track", "n", "last", scalar.clock(F.col("last") / tables.FRAME_RATE).alias("duration"))
+
+
+@query(f"""WITH {TRACK} SELECT strain, track, place FROM (SELECT strain, track, row_number() OVER (PARTITION BY strain ORDER BY xxx, track) - 1 AS place FROM (SELECT strain, track, max(x) AS xxx FROM track GROUP BY strain, track)) WHERE place < 5""".replace("xxx", "top"))
+def first_tracks(spark: SparkSession, d: str) -> DataFrame:
+    """Of each strain the five tracks whose largest position is least."""
+    tops = tables.track(spark, d).groupBy(F.col("strain").alias("ensemble"), "track").agg(F.max("x").alias("top"))
+    placed = ensembles.members_between(ensembles.ordered(tops, "top", "track"), 0, 5)
+    return placed.select(F.col("ensemble").alias("strain"), "track", "place")
