@@ -8,7 +8,7 @@ Prefixes. In one order of all shingles, two sets that link share at least m
 shingles among their first n - ceil(PERCENT * n / 100) + m. Frequent shingles
 come last: their counts come from a hashed sketch over all texts. For each set
 m is the one with the least estimated cost: a longer prefix has more postings
-to read, but only 1/m of them can be candidates that share m. It is a quarter of
+to read, but only 1/m of them can be candidates that share m. It is half of
 the shingles that the set can spare at least, so that a line which many texts
 have makes no candidate by itself. Two sets with different m need the smaller one.
 
@@ -29,10 +29,12 @@ have makes no candidate by itself. Two sets with different m need the smaller on
    the postings in the block: sets that share enough prefix shingles are verified.
    Of any two sets in different groups that share a prefix shingle one is outside
    the hub's group, so no pair that may link is left out, and no pairs are written.
+   Pairs are joined only within postings of at most LONG sets, and compared if
+   their lengths and places allow a link.
 7. Components of all links by smallest labels and pointer jumping.
 
 Bitmap hits by chance only let more sets through; no step drops a possible link.
-Shingles and classes are 64-bit hashes.
+Shingles and classes are 64-bit hashes; comparisons carry 48 bits of each shingle.
 
 Edge cases: a null or empty text, or one without words, has an empty set and
 links with nothing; with fewer than K words the whole sequence is one shingle.
@@ -49,16 +51,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinetrace.llm.store import saved
+from kinetrace.llm.store import bounded_batches, saved
 from kinetrace.llm.words import mix, shingles, slices, word_hashes
 
 SKETCH_BITS, BITMAP_BITS = 22, 25
 #: Matches that a prefix may stand for, as shares of the shingles that a set can spare; the first is the least.
-MATCHES = (0.25, 0.5, 1.0)
+MATCHES = (0.5, 1.0)
 #: Cost of comparing two sets against reading one posting.
 COMPARE = 20.0
-#: Sets on either side of a block.
-BLOCK = 512
+#: Sets on either side of a block, and the postings of a shingle up to which its pairs are joined.
+BLOCK, LONG = 512, 50
 _U = np.uint64
 
 
@@ -70,6 +72,18 @@ def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
             yield lo + i, np.unique(shingles(words[first[i] : first[i + 1]], k))
 
 
+def _packed(tokens: np.ndarray) -> bytes:
+    """The first 48 bits of sorted tokens: what comparisons carry about."""
+    return (tokens >> _U(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpacked(raw: pa.Scalar | bytes) -> np.ndarray:
+    six = np.frombuffer(raw if isinstance(raw, bytes) else raw.as_buffer(), np.uint8).reshape(-1, 6)
+    out = np.zeros((len(six), 8), np.uint8)
+    out[:, :6] = six
+    return out.view(_U).ravel()
+
+
 def _class(tokens: np.ndarray) -> int:
     total = mix(tokens + _U(0x5DEECE66D)).sum(dtype=_U) + _U(len(tokens))
     return int(mix(np.array([total], _U)).view(np.int64)[0])
@@ -143,14 +157,9 @@ def _bits(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (tokens & low).astype(np.int64), ((tokens >> _U(BITMAP_BITS)) & low).astype(np.int64)
 
 
-def _mark(tokens: np.ndarray, cls: int) -> np.ndarray:
-    """32 bits that tell classes apart, drawn anew for each token: two classes look alike on all shared tokens with a chance of 2**-32 per token."""
-    return (mix(tokens ^ _U(cls % (1 << 64))) >> _U(32)).astype(np.uint32).view(np.int32)
-
-
 def _shared_bitmap(rows: DataFrame) -> np.ndarray:
-    """From (token, mark): a packed bitmap of the tokens that two classes have."""
-    shared = rows.groupBy("token").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).where("a < b").select("token")
+    """From (token, cls): a packed bitmap of the tokens that two classes have."""
+    shared = rows.groupBy("token").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a < b").select("token")
     low = (1 << BITMAP_BITS) - 1
     bit = shared.select(F.explode(F.array(F.col("token").bitwiseAND(low), F.shiftrightunsigned("token", BITMAP_BITS).bitwiseAND(low))).alias("bit"))
     words = bit.groupBy(F.expr("bit div 32").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 AS INT))")).alias("mask")).toArrow()
@@ -167,24 +176,24 @@ def _marked(bitmap: np.ndarray, tokens: np.ndarray) -> np.ndarray:
 
 
 def _postings(docs: DataFrame, order: object, k: int, percent: int) -> DataFrame:
-    """(token, mark) of every prefix."""
+    """(token, cls) of every prefix."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held, marks, size = [], [], 0
+            held, cls, size = [], [], 0
             for _, tokens in _sets(b["text"], k):
                 if len(tokens):
                     prefix = order.value.prefix(tokens, percent)[0]
                     held.append(prefix)
-                    marks.append(_mark(prefix, _class(tokens)))
+                    cls.append(np.full(len(prefix), _class(tokens)))
                     size += len(prefix)
                 if size > 1 << 18:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64)), pa.array(np.concatenate(marks))], names=["token", "mark"])
-                    held, marks, size = [], [], 0
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64)), pa.array(np.concatenate(cls))], names=["token", "cls"])
+                    held, cls, size = [], [], 0
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64)), pa.array(np.concatenate(marks))], names=["token", "mark"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64)), pa.array(np.concatenate(cls))], names=["token", "cls"])
 
-    return docs.select("text").mapInArrow(read, "token long, mark int")
+    return docs.select("text").mapInArrow(read, "token long, cls long")
 
 
 def _picked(docs: DataFrame, order: object, shared: object, k: int, percent: int) -> DataFrame:
@@ -216,35 +225,57 @@ def _picked(docs: DataFrame, order: object, shared: object, k: int, percent: int
 
 
 def _tokens_of(sets: DataFrame) -> DataFrame:
-    """(token, mark) of every set."""
+    """(token, cls) of every set, one of equal sets in a task."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
             for cls, raw in zip(b["cls"].to_pylist(), b["tokens"], strict=True):
-                tokens = np.frombuffer(raw.as_buffer(), _U)
-                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(_mark(tokens, cls))], names=["token", "mark"])
+                if cls not in seen:
+                    seen.add(cls)
+                    tokens = np.frombuffer(raw.as_buffer(), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(np.full(len(tokens), cls))], names=["token", "cls"])
 
-    return sets.select("cls", "tokens").mapInArrow(read, "token long, mark int")
+    return sets.select("cls", "tokens").mapInArrow(read, "token long, cls long")
 
 
 def _narrowed(sets: DataFrame, order: object, shared: object, percent: int) -> DataFrame:
-    """cls, n, unshared, tokens (the shared ones), m and prefix (token, place) of the sets that can reach a link."""
+    """cls, n, unshared, m, tokens (the shared ones, packed) and prefix of the sets that can reach a link."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
             rows = []
             for cls, n, raw in zip(b["cls"].to_pylist(), b["n"].to_pylist(), b["tokens"], strict=True):
+                if cls in seen:
+                    continue
+                seen.add(cls)
                 tokens = np.frombuffer(raw.as_buffer(), _U)
                 tokens = tokens[_marked(shared.value, tokens)]
                 unshared = n - len(tokens)
                 prefix, m = order.value.prefix(tokens, percent, unshared)
                 if len(prefix) >= m:
-                    rows.append((cls, n, unshared, m, tokens.tobytes(), prefix.view(np.int64).tolist()))
+                    rows.append((cls, n, unshared, m, _packed(tokens), _packed(prefix)))
             if rows:
                 cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4], pa.binary()), pa.array(cols[5], pa.list_(pa.int64()))], names=["cls", "n", "unshared", "m", "tokens", "prefix"])
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4], pa.binary()), pa.array(cols[5], pa.binary())], names=["cls", "n", "unshared", "m", "tokens", "prefix"])
+
+    return sets.mapInArrow(read, "cls long, n long, unshared long, m long, tokens binary, prefix binary")
+
+
+def _entries(sets: DataFrame) -> DataFrame:
+    """token, cls, n, unshared, m and place of each prefix shingle."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = [_unpacked(p) for p in b["prefix"]]
+            row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+            at = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(x)) for x in lists]])
+            columns = {c: b[c].to_numpy()[row] for c in ("cls", "n", "unshared", "m")}
+            tokens = np.concatenate([np.zeros(0, _U), *lists]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (tokens, *columns.values(), at + columns["unshared"])], names=["token", *columns, "place"])
 
-    return sets.mapInArrow(read, "cls long, n long, unshared long, m long, tokens binary, prefix array<long>")
+    return sets.select("cls", "n", "unshared", "m", "prefix").mapInArrow(read, "token long, cls long, n long, unshared long, m long, place long")
 
 
 def _may_link(percent: int) -> Column:
@@ -265,7 +296,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for i, (x, y, n_a, n_b) in enumerate(zip(batch["x"], batch["y"], batch["n_a"].to_pylist(), batch["n_b"].to_pylist(), strict=True)):
-                both = np.concatenate([np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)])
+                both = np.concatenate([_unpacked(x), _unpacked(y)])
                 both.sort()
                 same = int((both[1:] == both[:-1]).sum())
                 if 100 * same >= percent * (n_a + n_b - same):
@@ -319,15 +350,15 @@ def _between_groups(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame
         if left.num_rows and right.num_rows:
             ids, groups, n, m = (right[c].to_numpy() for c in ("cls", "grp", "n", "m"))
             postings = []
-            for lists in ([np.asarray(p, np.int64).view(_U) for p in right["prefix"].to_numpy()], [np.frombuffer(t.as_buffer(), _U) for t in right["tokens"]]):
+            for lists in ([_unpacked(p) for p in right["prefix"]], [_unpacked(t) for t in right["tokens"]]):
                 flat, owner = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
                 order = np.argsort(flat, kind="stable")
                 postings.append((owner[order], flat[order]))
             for cls, grp, own_n, own_m, raw, prefix in zip(*(left[c].to_pylist() for c in ("cls", "grp", "n", "m", "tokens", "prefix")), strict=True):
-                same = _shared_counts(*postings[0], np.array(prefix, np.int64).view(_U), len(ids))
+                same = _shared_counts(*postings[0], _unpacked(prefix), len(ids))
                 maybe = (same >= np.minimum(m, own_m)) & (groups != grp) & (100 * np.minimum(n, own_n) >= percent * np.maximum(n, own_n))
                 if maybe.any():
-                    same = _shared_counts(*postings[1], np.frombuffer(raw, _U), len(ids))
+                    same = _shared_counts(*postings[1], _unpacked(raw), len(ids))
                     hit = ids[maybe & (100 * same >= percent * (n + own_n - same))]
                     a.append(np.full(len(hit), cls))
                     b.append(hit)
@@ -340,14 +371,14 @@ def _between_groups(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 def links_and_rows(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) of classes that join all classes which are linked, directly or in steps; doc_id, n and cls of every row."""
-    share = docs.sparkSession.sparkContext.broadcast
+    share = bounded_batches(docs).sparkSession.sparkContext.broadcast
     order = share(_frequent(docs, k))
     shared = share(_shared_bitmap(_postings(docs, order, k, percent)))
     rows = saved(_picked(docs, order, shared, k, percent), "rows")
     picked = rows.where("tokens IS NOT NULL").select("cls", "n", "tokens")
     shared = share(_shared_bitmap(_tokens_of(picked)))
     sets = saved(_narrowed(picked, order, shared, percent).dropDuplicates(["cls"]), "sets")
-    entries = saved(sets.select("cls", "n", "unshared", F.posexplode("prefix").alias("i", "token")).withColumn("place", F.col("i") + F.col("unshared")).drop("i"), "entries")
+    entries = saved(_entries(sets), "entries")
 
     hub = F.min_by(F.struct("cls", "n", "unshared", "place"), F.struct("unshared", F.xxhash64("cls"))).alias("b")
     stars = entries.groupBy("token").agg(hub, F.count("*").alias("df")).where("df > 1").select("token", "b.*")
@@ -355,11 +386,18 @@ def links_and_rows(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[Data
     star_links = saved(_verified(star_pairs.select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct(), sets.select("cls", "n", "tokens"), percent), "links")
 
     groups = components(star_links)
-    entries = saved(entries.join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("grp", F.coalesce("component", "cls")).select("token", "cls", "grp", "unshared"), "entries")
+    entries = saved(entries.join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("grp", F.coalesce("component", "cls")).drop("component"), "entries")
     least = F.min_by(F.struct("cls", "grp"), F.struct("unshared", F.xxhash64("cls")))
-    mixed = entries.groupBy("token").agg(least.alias("h"), F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo != hi").select("token", F.col("h.cls").alias("hub"), F.col("h.grp").alias("hub_grp"))
-    near = saved(entries.join(mixed, "token").select("cls", "grp", "hub", "hub_grp").distinct(), "near")
-    rest = saved(_between_groups(near, sets.select("cls", "n", "m", "tokens", "prefix"), percent), "links")
+    mixed = entries.groupBy("token").agg(least.alias("h"), F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count("*").alias("all")).where("lo != hi")
+    open_ = saved(entries.join(mixed.select("token", F.col("h.cls").alias("hub"), F.col("h.grp").alias("hub_grp"), "all"), "token"), "open")
+    # postings so long that even one set beside each is many pairs go by blocks; in the others, the few pairs are joined
+    near = saved(open_.where(F.col("all") > LONG).select("cls", "grp", "hub", "hub_grp").distinct(), "near")
+    blocked = _between_groups(near, sets.select("cls", "n", "m", "tokens", "prefix"), percent)
+    short = open_.where(F.col("all") <= LONG)
+    once = (F.col("b.grp") == F.col("b.hub_grp")) | (F.col("a.cls") < F.col("b.cls"))
+    pairs = short.where("grp != hub_grp").alias("a").join(short.alias("b"), F.col("a.token") == F.col("b.token")).where((F.col("a.grp") != F.col("b.grp")) & once & _may_link(percent))
+    pairs = pairs.select(F.least("a.cls", "b.cls").alias("a"), F.greatest("a.cls", "b.cls").alias("b")).distinct()
+    rest = saved(blocked.union(_verified(pairs, sets.select("cls", "n", "tokens"), percent)), "links")
     return star_links.union(rest), rows.select("doc_id", "n", "cls")
 
 

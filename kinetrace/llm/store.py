@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,3 +33,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 def fields(df: DataFrame, ddl: str) -> T.StructType:
     """The schema of df with more columns behind."""
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])
+
+
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, with Arrow batches to Python workers held to BATCH_BYTES in its session: by rows alone a batch of long texts has no bound."""
+    conf = df.sparkSession.conf
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(\d+)([bkmg]?)b?", conf.get(name).lower()).groups()
+    if int(number) << {"k": 10, "m": 20, "g": 30}.get(unit, 0) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
