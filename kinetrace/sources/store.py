@@ -16,6 +16,10 @@ REGION = "video string, strain string, animal string, crop struct<x:int,y:int,w:
 VIDEO = "video string, file string, store string, frame_rate double, pixels_per_micron double, threshold double, expected_length double, expected_width double, posture_points int"
 MEMBER = "grp string, ensemble string, place int, store string, strain string, animal string"
 KEYS = ("video", "strain", "animal")
+# The keys of the configuration files' format.
+VIDEO_KEYS = ("videoFile", "storeFile", "frameRate", "pixelSize", "threshold", "expectedWormLength", "expectedWormWidth", "numberOfPosturePoints")
+REGION_KEYS = ("strainName", "wormName", "cropRegion", "foodCircle")
+TRACK_KEYS = ("storeFile", "strain", "wormID")
 
 
 def write_observations(observations: DataFrame, path: str) -> None:
@@ -61,12 +65,12 @@ def read_video_config(spark: SparkSession, text: str) -> tuple[DataFrame, DataFr
     config = load_yaml(text)
     videos, regions = [], []
     for v in config.get("videos", []):
-        s = v.get("videoSettings", {})
-        name = s.get("videoFile", "")
-        videos.append((name, name, s.get("storeFile"), s.get("frameRate"), s.get("pixelSize"), s.get("threshold"), s.get("expectedWormLength"), s.get("expectedWormWidth"), s.get("numberOfPosturePoints")))
+        settings = [v.get("videoSettings", {}).get(k) for k in VIDEO_KEYS]
+        name = settings[0] or ""
+        videos.append((name, name, *settings[1:]))
         for r in v.get("regions", []):
-            crop, food = r.get("cropRegion"), r.get("foodCircle")
-            regions.append((name, r.get("strainName"), r.get("wormName"), tuple(map(int, crop)) if crop else None, tuple(map(float, food)) if food else None))
+            strain, animal, crop, food = (r.get(k) for k in REGION_KEYS)
+            regions.append((name, strain, animal, tuple(map(int, crop)) if crop else None, tuple(map(float, food)) if food else None))
     double = {3, 4, 5, 6, 7}
     videos = [tuple(float(x) if i in double and x is not None else x for i, x in enumerate(row)) for row in videos]
     return spark.createDataFrame(videos, VIDEO), spark.createDataFrame(regions, REGION)
@@ -77,7 +81,7 @@ def read_members(spark: SparkSession, text: str) -> DataFrame:
     config = load_yaml(text)
     ensembles = config.get("ensembles") or [config if "trajectories" in config else {"trajectories": [config]}]
     rows = [
-        (config.get("name"), e.get("name"), i, os.path.expandvars(t["storeFile"]), str(t["strain"]), str(t["wormID"]))
+        (config.get("name"), e.get("name"), i, *(os.path.expandvars(str(t[k])) for k in TRACK_KEYS))
         for e in ensembles
         for i, t in enumerate(e["trajectories"])
     ]
@@ -89,7 +93,7 @@ def members_as_yaml(members: DataFrame) -> str:
     rows = members.orderBy("ensemble", "place").collect()
     ensembles: dict[str, list[dict]] = {}
     for r in rows:
-        ensembles.setdefault(r.ensemble, []).append({"storeFile": r.store, "strain": r.strain, "wormID": r.animal})
+        ensembles.setdefault(r.ensemble, []).append(dict(zip(TRACK_KEYS, (r.store, r.strain, r.animal), strict=True)))
     return yaml.safe_dump({"name": rows[0].grp if rows else None, "ensembles": [{"name": k, "trajectories": v} for k, v in ensembles.items()]}, sort_keys=False)
 
 
