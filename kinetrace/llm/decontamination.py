@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinetrace.llm.store import fields, saved
+from kinetrace.llm.store import bounded_batches, fields, saved
 from kinetrace.llm.words import PUNCTUATION, mix, slices, word_hashes
 
 MASKS = ((0, 1, 2, 4, 7, 9), (0, 2, 3, 6, 8, 10), (0, 1, 4, 5, 6, 10), (0, 3, 4, 7, 8, 9), (0, 1, 2, 3, 4, 5))
@@ -99,7 +99,7 @@ def _bit(hashes: np.ndarray, no: int) -> np.ndarray:
 
 def segments(docs: DataFrame, seeds: DataFrame, short: tuple[int, ...]) -> DataFrame:
     """Stretches of documents with seeds that the benchmark may have: doc_id, row, segment, start, words, hits (hash, place)."""
-    spark = docs.sparkSession
+    spark = bounded_batches(docs).sparkSession
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

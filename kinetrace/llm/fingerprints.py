@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinetrace.llm.store import fields, saved
+from kinetrace.llm.store import bounded_batches, fields, saved
 from kinetrace.llm.words import PUNCTUATION, mix, slices, word_hashes
 
 # Common words of six languages.
@@ -131,7 +131,7 @@ def _dealt(docs: DataFrame, parts: int | None) -> DataFrame | None:
     an upper bound is dealt to the next higher range too, to follow that range's
     last row; so each text is shuffled once, and each range is one sorted run.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = bounded_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     parts = parts or max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000).alias("q"), F.max("doc_id").alias("top"), F.count("*").alias("n")).first()
     if not found.n:
@@ -214,7 +214,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """docs with fingerprint and n_signatures."""
-    docs = docs.drop("fingerprint", "n_signatures")
+    docs = bounded_batches(docs).drop("fingerprint", "n_signatures")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

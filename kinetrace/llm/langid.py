@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinetrace.llm.store import fields
+from kinetrace.llm.store import bounded_batches, fields
 from kinetrace.llm.words import mix, slices
 
 N, K, SLOT_BITS = 4, 3, 20
@@ -160,7 +160,7 @@ def _no_letter(text: str | None) -> bool:
 
 def identify(docs: DataFrame, model: LanguageFilter | None, keys: list[str]) -> DataFrame:
     """keys of docs, lang_pred and score; only text is looked at."""
-    spark = docs.sparkSession
+    spark = bounded_batches(docs).sparkSession
     shared = spark.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinetrace.llm.store import fields
+from kinetrace.llm.store import bounded_batches, fields
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, MARGIN, BATCH = 256, 16, 2048
@@ -420,7 +420,7 @@ def redact(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
             clean = pa.array([t if t is None or not spans else masked(t, spans) for t, (_, spans) in zip(texts, _spans(tagger, texts), strict=True)], pa.string())
             yield b.set_column(b.schema.get_field_index("text"), "text", clean)
 
-    found = docs.mapInArrow(scan, docs.schema)
+    found = bounded_batches(docs).mapInArrow(scan, docs.schema)
     if "n_chars" not in docs.columns:
         return found
     kind = docs.schema["n_chars"].dataType
@@ -430,7 +430,7 @@ def redact(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
 def find_personal_data(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
     """docs with base_spans and spans, arrays of (start, kind, end, name) by start and kind, code points, end exclusive; spans holds both the rules' and the model's."""
     tagger = tagger or trained()
-    docs = docs.drop("base_spans", "spans")
+    docs = bounded_batches(docs).drop("base_spans", "spans")
     span = "array<struct<start:int,no:int,end:int,kind:string>>"
     kinds = pa.list_(pa.struct([("start", pa.int32()), ("no", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 

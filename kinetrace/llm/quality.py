@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinetrace.llm.store import fields, saved
+from kinetrace.llm.store import bounded_batches, fields, saved
 from kinetrace.llm.words import PUNCTUATION, slices, word_hashes
 
 FIT_ROWS = 20_000
@@ -171,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Classif
 
 def evidence(docs: DataFrame, model: Classifier | None) -> DataFrame:
     """docs with p_bad and p_toxic, the classifier's chances for each whole text."""
-    docs = docs.drop("p_bad", "p_toxic")
+    docs = bounded_batches(docs).drop("p_bad", "p_toxic")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
