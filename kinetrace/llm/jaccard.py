@@ -15,8 +15,8 @@ have makes no candidate by itself. Two sets with different m need the smaller on
 1. Count: one map over the texts sums up the sketch.
 2. Share: a second map gives each prefix shingle with its class; a grouped min
    and max finds the shingles that two classes share. They are marked in a bitmap of fixed size.
-3. Pick: a third map keeps the sets of those texts whose prefix has m shared
-   shingles (only they can have a link), with the class of every text.
+3. Pick: a third map keeps the sets of those texts whose prefix for that least m has
+   m shared shingles (only they can have a link), with the class of every text.
 4. Among these sets shingles that occur once are found in the same way and put
    first in the order: they match nothing, so each shortens what its set can still
    reach, and the sets that cannot reach any link go.
@@ -94,6 +94,18 @@ def least_overlap(a: int, percent: int) -> int:
     return -(-percent * a // 100)
 
 
+def matches(n: int, spare: int, share: float) -> int:
+    """Matches of a prefix by share of the spare ones of n shingles; grows with the set."""
+    return min(1 + int(spare * share), max(1, n - spare))
+
+
+def least_prefix(n: int, percent: int) -> tuple[int, int]:
+    """Length of a prefix of a set of n, and the matches in it with any set that it links with, whatever m either has."""
+    small = least_overlap(n, percent)
+    m = matches(small, small - least_overlap(small, percent), MATCHES[0])
+    return n - small + m, m
+
+
 class _Order:
     """Rank of shingles: those known to be frequent last, by their count, the rest by hash."""
 
@@ -120,7 +132,7 @@ class _Order:
             return tokens[:0], 1
         cost = np.cumsum(np.r_[0.0, frequent[order]])
         best, take = np.inf, (spare + 1, 1)
-        for m in sorted({min(1 + int(spare * share), max(1, len(tokens) - spare)) for share in MATCHES}):
+        for m in sorted({matches(len(tokens), spare, share) for share in MATCHES}):
             end = min(spare + m, len(tokens))
             estimate = end + cost[end] * (1 + COMPARE / m)
             if estimate < best:
@@ -207,7 +219,8 @@ def _picked(docs: DataFrame, order: object, shared: object, k: int, percent: int
                 return pa.RecordBatch.from_arrays([b["doc_id"][done : done + len(n)], pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "n", "cls", "tokens"])
 
             for _, tokens in _sets(b["text"], k):
-                prefix, m = order.value.prefix(tokens, percent)
+                end, m = least_prefix(len(tokens), percent)
+                prefix = order.value.prefix(tokens, percent)[0][:end]
                 keep = len(tokens) > 0 and int(_marked(shared.value, prefix).sum()) >= m
                 n.append(len(tokens))
                 cls.append(_class(tokens))

@@ -88,3 +88,22 @@ def test_components_of_long_chains(spark):
     rows = [(i, i + 1) for i in range(200)] + [(500, 900), (900, 700)]
     got = {r.node: r.component for r in jaccard.components(spark.createDataFrame(rows, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(201)) and got[900] == got[700] == got[500] == 500
+
+
+def test_linked_sets_with_different_matches(spark):
+    """Frequent shingles only on one side, 18 rare ones on the other: 16 matches and 10."""
+    base = " ".join("b%d" % i for i in range(105))
+    near = base + " " + " ".join("n%d" % i for i in range(18))
+    got = check(documents(spark, [(i, base) for i in range(1, 31)] + [(0, near)]), 4, 85)
+    assert {c for _, _, c in got} == {0}
+
+
+@pytest.mark.parametrize("percent", [60, 80, 85])
+def test_least_prefix_holds_for_every_partner(percent):
+    for n in range(1, 300):
+        end, m = jaccard.least_prefix(n, percent)
+        for other in range(jaccard.least_overlap(n, percent), n * 100 // percent + 1):
+            for size in (n, other):
+                spare = size - jaccard.least_overlap(size, percent)
+                assert 1 <= m <= min(jaccard.matches(size, spare, share) for share in jaccard.MATCHES)
+        assert end == n - jaccard.least_overlap(n, percent) + m
