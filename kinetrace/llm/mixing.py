@@ -34,6 +34,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
 #: A table of one row per source is broadcast up to this many sources, and joined by shuffle beyond.
 BROADCAST_SOURCES = 10_000
+#: numpy draws from fewer block copies than this.
+MOST = 10**9
 OUTPUTS = ("size", "source_size", "target", "taken", "takes")
 
 
@@ -59,6 +61,31 @@ def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, cap: float =
     return out.tolist()
 
 
+def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
+    """Good ones among draws; beyond numpy's limit by inversion over all values within 12 deviations of the mode, and 40."""
+    if good + bad < MOST:
+        return int(rng.hypergeometric(good, bad, draws))
+    total = good + bad
+    mode = (draws + 1) * (good + 1) // (total + 2)
+    far = 40 + int(12 * (draws * (good / total) * (bad / total) * ((total - draws) / (total - 1))) ** 0.5)
+    least, most = max(0, draws - bad, mode - far), min(good, draws, mode + far)
+    k = np.arange(least, most, dtype=float)
+    log = np.r_[0.0, np.cumsum(np.log((good - k) / (k + 1) * ((draws - k) / (bad - draws + k + 1))))]
+    upto = np.cumsum(np.exp(log - log.max()))
+    return least + min(int(np.searchsorted(upto, rng.random() * upto[-1], "right")), most - least)
+
+
+def _draw(rng: np.random.Generator, have: np.ndarray, take: int) -> np.ndarray:
+    """Multivariate hypergeometric: halves of the sources draw their shares first while they are too many for numpy."""
+    if int(have.sum()) < MOST:
+        return rng.multivariate_hypergeometric(have, take, method="marginals")
+    if len(have) == 1:
+        return np.asarray([take], np.int64)
+    mid = len(have) // 2
+    left = _hypergeometric(rng, int(have[:mid].sum()), int(have[mid:].sum()), take)
+    return np.concatenate([_draw(rng, have[:mid], left), _draw(rng, have[mid:], take - left)])
+
+
 def split_quotas(counts: list[int], shards: int, seed: int) -> np.ndarray:
     """Block copies of each source for each shard: rows are shards, columns sources; columns sum to counts."""
 
@@ -68,7 +95,7 @@ def split_quotas(counts: list[int], shards: int, seed: int) -> np.ndarray:
             return
         mid = (lo + hi) // 2
         take = int(have.sum()) * (mid - lo) // (hi - lo)
-        left = np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(have, take, method="marginals")
+        left = _draw(np.random.default_rng([seed, lo, hi]), have, take)
         split(left, lo, mid)
         split(have - left, mid, hi)
 

@@ -1,10 +1,12 @@
 """Chat formatting, secret scan and mixing against brute force."""
 
 import hashlib
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from kinetrace.llm import chat, mixing, queries, secrets
@@ -133,3 +135,32 @@ def test_split_quotas_are_exact():
     assert q.sum(axis=0).tolist() == counts and (q >= 0).all()
     assert np.ptp(q.sum(axis=1)) <= 4
     assert (q == mixing.split_quotas(counts, 16, 3)).all()
+
+
+def test_quotas_beyond_numpys_limit():
+    counts = np.full(250_000, 4097)
+    q = mixing.split_quotas(counts, 16, 3)
+    assert (q >= 0).all() and (q.sum(axis=0) == counts).all() and np.ptp(q.sum(axis=1)) <= 4
+    assert abs(q[0].mean() - 4097 / 16) < 0.1 and abs(q[0].var() / (4097 / 16 * 15 / 16) - 1) < 0.03
+
+
+@pytest.mark.parametrize(("good", "bad", "draws"), [(6 * 10**8, 9 * 10**8, 7 * 10**8), (10**9, 3, 5 * 10**8), (5, 2 * 10**9, 10**9), (10**12, 10**12, 1), (0, 10**9, 7), (10**9, 0, 7)])
+def test_large_hypergeometric_moments(good, bad, draws):
+    rng, n, total = np.random.default_rng(5), 60, good + bad
+    got = np.array([mixing._hypergeometric(rng, good, bad, draws) for _ in range(n)])
+    mean, var = draws * good / total, draws * good / total * bad / total * (total - draws) / (total - 1)
+    assert got.min() >= max(0, draws - bad) and got.max() <= min(good, draws)
+    assert abs(got.mean() - mean) <= 4 * (var / n) ** 0.5 and var * 0.4 <= got.var() <= var * 1.8
+
+
+def test_draw_by_halves_has_the_exact_distribution(monkeypatch):
+    """Three sources of 4, 3 and 5 block copies, 6 drawn, all by inversion."""
+    monkeypatch.setattr(mixing, "MOST", 1)
+    rng, have, n = np.random.default_rng(2), np.array([4, 3, 5]), 20_000
+    seen = Counter(tuple(int(x) for x in mixing._draw(rng, have, 6)) for _ in range(n))
+    for a in range(5):
+        for b in range(4):
+            if 0 <= (c := 6 - a - b) <= 5:
+                p = math.comb(4, a) * math.comb(3, b) * math.comb(5, c) / math.comb(12, 6)
+                assert abs(seen.pop((a, b, c), 0) / n - p) < 5 * (p / n) ** 0.5
+    assert not seen
