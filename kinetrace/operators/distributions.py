@@ -84,20 +84,21 @@ def _normalised(counts: DataFrame, keys: list[str], bin_: str, n: str, out: str)
     return joined.select(*keys, bin_, (F.col(n) / F.col("__t")).alias(out))
 
 
-def divergences(p: DataFrame, q: DataFrame, bin_: str = "bin", n: str = "n") -> DataFrame:
-    """One row: kl (terms with p = 0 count 0), kl_strict (0 if any p is 0) and js in bits, of two tables of (bin, n) with one row per bin.
+def divergences(p: DataFrame, q: DataFrame, bin_: str = "bin", n: str = "n", keys: list[str] | None = None) -> DataFrame:
+    """One row, or one for each of the keys: kl (terms with p = 0 count 0), kl_strict (0 if any p is 0) and js in bits, of two tables of (keys, bin, n) with one row per bin.
 
     Bins that only one table has count 0 in the other; kl is NULL where q is 0 and p is not.
     """
-    a, b = _normalised(p, [], bin_, n, "p"), _normalised(q, [], bin_, n, "q")
-    both = a.join(b, bin_, "full").select(bin_, F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("q", F.lit(0.0)).alias("q"))
+    keys = keys or []
+    a, b = _normalised(p, keys, bin_, n, "p"), _normalised(q, keys, bin_, n, "q")
+    both = a.join(b, [*keys, bin_], "full").select(*keys, bin_, F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("q", F.lit(0.0)).alias("q"))
     term = lambda x, y: F.when(x > 0, x * F.log2(x / F.nullif(y, F.lit(0.0)))).otherwise(0.0)
     m = (F.col("p") + F.col("q")) / 2
-    out = both.agg(
+    out = both.groupBy(*keys).agg(
         F.sum(term(F.col("p"), F.col("q"))).alias("kl"),
         F.count_if((F.col("p") > 0) & (F.col("q") == 0)).alias("lacking"),
         F.count_if(F.col("p") == 0).alias("zeros"),
         F.sum((term(F.col("p"), m) + term(F.col("q"), m)) / 2).alias("js"),
     )
     kl = F.when(F.col("lacking") == 0, F.col("kl"))
-    return out.select(kl.alias("kl"), F.when(F.col("zeros") > 0, 0.0).otherwise(kl).alias("kl_strict"), "js")
+    return out.select(*keys, kl.alias("kl"), F.when(F.col("zeros") > 0, 0.0).otherwise(kl).alias("kl_strict"), "js")

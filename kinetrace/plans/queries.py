@@ -692,3 +692,59 @@ def first_tracks(spark: SparkSession, d: str) -> DataFrame:
     tops = tables.track(spark, d).groupBy(F.col("strain").alias("ensemble"), "track").agg(F.max("x").alias("top"))
     placed = ensembles.members_between(ensembles.ordered(tops, "top", "track"), 0, 5)
     return placed.select(F.col("ensemble").alias("strain"), "track", "place")
+
+
+# --- whole vectors, all frames, all strains: the queries of these names above take a part ---------------
+
+
+@query(f"""WITH {POSTURE}, g AS (SELECT strain AS track, frame, list_transform(p, lambda e: CAST(e AS DOUBLE)) AS p FROM posture), l AS (SELECT *, lag(p) OVER W AS q FROM g WINDOW {BOX}),
+m AS (SELECT track, frame, {" + ".join(f"abs(p[{i}] - q[{i}])" for i in range(1, 65))} AS a, {" + ".join(f"abs(p[{65 - i}] - q[{i}])" for i in range(1, 65))} AS b FROM l)
+SELECT CAST(track AS BIGINT) AS track, frame, round(a / 64, 6) AS direct, round(b / 64, 6) AS flipped, sum(CASE WHEN b < a THEN 1 ELSE 0 END) OVER (PARTITION BY track ORDER BY frame ROWS UNBOUNDED PRECEDING) % 2 = 1 AS flip FROM m""")
+def orientation_whole(spark: SparkSession, d: str) -> DataFrame:
+    rows = tables.posture(spark, d).withColumn("track", F.col("strain").cast("long"))
+    return sequences.orient(rows).select("track", "frame", digits("direct"), digits("flipped"), "flip")
+
+
+@query(f"""WITH {POSTURE}, {CELLS} SELECT a.strain, CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, round(covar_samp(a.a, b.a), 7) AS cov FROM cells a JOIN cells b ON a.frame = b.frame GROUP BY 1, 2, 3""")
+def posture_covariance_by_strain_whole(spark: SparkSession, d: str) -> DataFrame:
+    return posture.covariance(tables.posture(spark, d), keys=["strain"]).select("strain", "i", "j", digits("cov", 7))
+
+
+@query(f"""WITH {POSTURE} SELECT frame, round({" + ".join(f"CAST(p[{i + 1}] AS DOUBLE) * {1 / (i + 1)!r}" for i in range(64))}, 6) AS amplitude FROM posture""")
+def posture_projection_whole(spark: SparkSession, d: str) -> DataFrame:
+    return tables.posture(spark, d).select("frame", F.round(posture.projection(F.col("posture"), [1 / (i + 1) for i in range(64)]), 6).alias("amplitude"))
+
+
+def _points(spark: SparkSession, d: str) -> DataFrame:
+    """Each posture read as points: numbers in turn are x and y."""
+    take = lambda first: F.transform(F.sequence(F.lit(first), F.size("posture") - 2 + first, F.lit(2)), lambda i: F.element_at("posture", i))
+    return tables.posture(spark, d).select("frame", take(1).alias("xs"), take(2).alias("ys"))
+
+
+@query(f"""WITH {POSTURE}, d AS (SELECT frame, unnest(range(1, 32)) AS i, p FROM posture) SELECT frame, round(sum(sqrt((CAST(p[2 * i + 1] AS DOUBLE) - p[2 * i - 1]) ** 2 + (CAST(p[2 * i + 2] AS DOUBLE) - p[2 * i]) ** 2)), 5) AS length FROM d GROUP BY frame""")
+def skeleton_length_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _points(spark, d).select("frame", F.round(scalar.arc_length(F.col("xs"), F.col("ys")), 5).alias("length"))
+
+
+@query(f"""WITH {POSTURE}, k AS (SELECT frame, unnest(range(1, 33)) AS i, p FROM posture), e AS (SELECT frame, CAST(p[2 * i - 1] AS DOUBLE) AS x, CAST(p[2 * i] AS DOUBLE) AS y, CAST(p[2 * (i % 32) + 1] AS DOUBLE) AS u, CAST(p[2 * (i % 32) + 2] AS DOUBLE) AS v FROM k),
+s AS (SELECT frame, sum(x * v - u * y) / 2 AS a, sum((x + u) * (x * v - u * y)) AS mx, sum((y + v) * (x * v - u * y)) AS my FROM e GROUP BY frame)
+SELECT frame, round(abs(a), 7) AS area, round(mx / (6 * nullif(a, 0)), 2) + 0.0::DOUBLE AS cx, round(my / (6 * nullif(a, 0)), 2) + 0.0::DOUBLE AS cy FROM s""")
+def contour_moments_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Every polygon; no centroid where the area is 0."""
+    found = _points(spark, d).select("frame", scalar.contour_area_and_centroid(F.col("xs"), F.col("ys")).alias("c"))
+    return found.select("frame", F.round("c.area", 7).alias("area"), (F.round("c.x", 2) + F.lit(0.0)).alias("cx"), (F.round("c.y", 2) + F.lit(0.0)).alias("cy"))
+
+
+@query(f"""WITH {TRACK}, c AS (SELECT strain, CAST(floor(x / 2500.0) AS BIGINT) AS bin, count(*) AS n FROM track GROUP BY 1, 2), f AS (SELECT strain, bin, n / sum(n) OVER (PARTITION BY strain)::DOUBLE AS f FROM c),
+s AS (SELECT DISTINCT strain FROM c), k AS (SELECT a.strain AS a, b.strain AS b FROM s a JOIN s b ON a.strain <> b.strain), g AS (SELECT DISTINCT k.a, k.b, c.bin FROM k JOIN c ON c.strain IN (k.a, k.b)),
+b AS (SELECT g.a, g.b, coalesce(p.f, 0) AS p, coalesce(q.f, 0) AS q, (coalesce(p.f, 0) + coalesce(q.f, 0)) / 2 AS m FROM g LEFT JOIN f p ON p.strain = g.a AND p.bin IS NOT DISTINCT FROM g.bin LEFT JOIN f q ON q.strain = g.b AND q.bin IS NOT DISTINCT FROM g.bin)
+SELECT a, b, round(CASE WHEN count(*) FILTER (WHERE p > 0 AND q = 0) = 0 THEN sum(CASE WHEN p > 0 THEN p * log2(p / nullif(q, 0)) ELSE 0 END) END, 9) AS kl,
+ round(CASE WHEN count(*) FILTER (WHERE p = 0) > 0 THEN 0.0 WHEN count(*) FILTER (WHERE p > 0 AND q = 0) = 0 THEN sum(CASE WHEN p > 0 THEN p * log2(p / nullif(q, 0)) ELSE 0 END) END, 9) AS kl_strict,
+ round(sum((CASE WHEN p > 0 THEN p * log2(p / m) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / m) ELSE 0 END) / 2), 9) AS js FROM b GROUP BY a, b""")
+def strain_divergence_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Every ordered pair of strains."""
+    counts = tables.track(spark, d).groupBy("strain", F.floor(F.col("x") / 2500.0).alias("bin")).agg(F.count("*").alias("n"))
+    strains = counts.select("strain").distinct()
+    p = counts.withColumnRenamed("strain", "a").crossJoin(strains.withColumnRenamed("strain", "b")).where("a != b")
+    q = counts.withColumnRenamed("strain", "b").crossJoin(strains.withColumnRenamed("strain", "a")).where("a != b")
+    return distributions.divergences(p, q, keys=["a", "b"]).select("a", "b", digits("kl", 9), digits("kl_strict", 9), digits("js", 9))
