@@ -4,7 +4,12 @@ import html
 import itertools
 import random
 import re
+import time
+from collections import Counter
 
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from kinetrace.llm import pages, queries
@@ -73,3 +78,74 @@ def test_odd_rows(spark):
     assert got[1] == got[2] == got[3] == got[5] == "" and got[None] == pages.main_text(PAGE)
     assert got[4].endswith("cut off paragraph of some words, here it ends") and got[7].count("\n\n") == 19_999
     assert pages.extract(df.limit(0)).count() == 0
+
+
+MORE = "<p>Another long paragraph of the same article, which has many words, a comma, and an end that closes it well.</p>"
+TARGET = "Target paragraph that must survive, with words."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<article><p title=it's>{TARGET}</p>{MORE}</article>",
+        f'<article><p title="a > b" alt=\'"\'>{TARGET}</p>{MORE}</article>',
+        f'<article><p data-hidden="false">{TARGET}</p>{MORE}</article>',
+        f'<article><p data-state="was hidden before">{TARGET}</p>{MORE}</article>',
+        f'<main data-toggle="hidden"><p>{TARGET}</p>{MORE}</main>',
+        f'<article><p data-id="comment-7">{TARGET}</p>{MORE}</article>',
+        f'<article><p id="more">{TARGET}</p>{MORE}</article>',
+        f'<main id="more-on-rivers"><p>{TARGET}</p>{MORE}</main>',
+        f'<article class="story popular"><p>{TARGET}</p>{MORE}</article>',
+        f"<body><form><div><h1>Rivers</h1><p>{TARGET}</p>{MORE}<input></div></form></body>",
+        f"<form action=x><article><h1>Rivers</h1><p>{TARGET}</p>{MORE}</article></form>",
+        f"<body><nav><ul><li><a href=x>Home</a></li><article><h1>Rivers</h1><p>{TARGET}</p>{MORE}</article></body>",
+        f"<body><nav><ul><li><a href=x>Home</a></li></ul><div><h1>Rivers</h1><p>{TARGET}</p>{MORE}</div></body>",
+        f'<div class="page has-sidebar"><div class="sidebar-layout"><main><p>{TARGET}</p>{MORE}</main></div></div>',
+        f"<div><p>{TARGET}</p><p>Two words.</p></div>",
+    ],
+)
+def test_attributes_and_wrappers_lose_no_text(page):
+    got = pages.main_text(page).split("\n\n")
+    assert TARGET in got and ("Another" not in page or any(x.startswith("Another long") for x in got)) and "Home" not in got
+
+
+def test_forms_and_comments_in_an_article_go():
+    page = f'<article><h1>Rivers</h1><p>{TARGET}</p><form><p>Sign up please, all of you, now.</p><input></form>{MORE}<div class="comments"><p>I like it a lot, thank you for this.</p></div></article>'
+    assert len(pages.main_text(page).split("\n\n")) == 3
+
+
+def words_right(made, shown):
+    """Words shown that are content, words shown, words of the content."""
+    a, b = (Counter(w for t in texts for w in t.split()) for texts in (made, shown))
+    return (a & b).total(), b.total(), a.total()
+
+
+def test_pages_without_marks_are_told_by_the_classifier():
+    """Generated pages of another seed, and those of the table with elements and names hidden."""
+    r, total = np.random.default_rng(99), np.zeros(3)
+    for _ in range(100):
+        page, content = pages.made_page(r, False)
+        total += words_right(content, pages.main_text(page).split("\n\n"))
+    assert total[0] >= 0.97 * total[1] and total[0] >= 0.97 * total[2]
+    total[:] = 0
+    for row in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist():
+        bare = re.sub(r"<(/?)(article|nav|footer)>", r"<\1div>", row["html"]).replace(' class="ad"', "")
+        total += words_right(article(row["html"]).split("\n\n"), pages.main_text(bare).split("\n\n"))
+    assert total[0] >= 0.97 * total[1] and total[0] >= 0.97 * total[2]
+
+
+def test_the_cut_mends_what_single_blocks_get_wrong():
+    """A low score among neighbours that are content stays content; alone it goes."""
+    assert pages.min_cut([2.0, -0.5, 2.0], [(0, 1, 0.8), (1, 2, 0.8)]) == [True, True, True]
+    assert pages.min_cut([2.0, -0.5, 2.0], []) == [True, False, True]
+
+
+def test_deep_pages_take_linear_time():
+    def seconds(n):
+        page = "<div>" * n + "<p>some words, here.</p>" + "</section></span></p>" * n + "".join(f"<div><p>word {i}.</p>" for i in range(n))
+        began = time.perf_counter()
+        pages.main_text(page)
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert min(seconds(16_000) for _ in range(2)) < 20 * min(seconds(2000) for _ in range(2)) + 0.2
