@@ -35,8 +35,9 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(_read(spark, sf_dir, "documents").select("doc_id", "text"))
-    spans = secrets.span_text(F.col("spans"))
-    return found.select("doc_id", *[_n_of(r.kind) for r in secrets.RULES], F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
+    base = [r.kind for r in secrets.RULES if r.base]
+    shown = secrets.span_text(F.filter("spans", lambda s: s["kind"].isin(base)))
+    return found.select("doc_id", *[_n_of(k) for k in base], F.sha2(shown, 256).alias("base_sha256"), secrets.span_text(F.col("spans")).alias("spans"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,10 +81,12 @@ FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_ex
 WHERE length(tested) >= {r.least}"""
         )
     found = " UNION ALL ".join(parts)
-    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{r.kind}') AS n_{r.kind}" for r in secrets.RULES)
+    base = [r.kind for r in secrets.RULES if r.base]
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in base)
+    shown = "string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + length(shown) AS BIGINT), ',' ORDER BY start, no)"
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({found}),
-s AS (SELECT doc_id, {counts}, string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + length(shown) AS BIGINT), ',' ORDER BY start, no) AS spans FROM f GROUP BY doc_id)
-SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secrets.RULES)}, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN s USING (doc_id)"""
+s AS (SELECT doc_id, {counts}, {shown} AS spans, {shown} FILTER (WHERE no < {len(base)}) AS base FROM f GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in base)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN s USING (doc_id)"""
 
 
 ORACLE_SQL = {

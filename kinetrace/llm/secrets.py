@@ -1,67 +1,178 @@
 """Secret scan by a trigram inverted index, in DataFrame functions only.
 
-Each rule is a regular expression with the least length of one group. From its
-literal words (branches apart) comes a Boolean trigram query: any one of several
-sets of trigrams, all of them. The index holds (trigram, document) for the
-trigrams that some query names, over texts in lower case. A grouped count
-intersects the postings of each set; what remains are candidates, on which the
-expression itself is run. A rule without a mandatory trigram, such as a run of
-hex digits, is run on all texts in the same scan that reads them.
+Each rule is a regular expression with the least length of one group. From the
+expression itself a Boolean trigram query is derived (trigram_query()): any one of
+several sets of trigrams, all of them, that every match must hold, case aside. The
+index holds (trigram, row) for the trigrams that some query names, over texts in
+lower case. A grouped count intersects the postings of each set; what remains are
+candidates, on whose texts the expression is run. A rule without a mandatory
+trigram, such as a run of hex digits, is run on all texts in the scan that reads them.
+
+A bitmap of the candidates' hashes, sized by their number up to MOST_BITS, is
+broadcast: only texts of rows that it holds are shuffled to their candidates, and
+of these only the spans found go on. Where there are more candidates than the bitmap
+can tell apart, more texts are shuffled; none is left out. A row is known by two hashes of its
+id and text, so null and repeated ids spread, and equal rows are looked at once.
 
 Matches are leftmost and do not overlap within a rule. Positions come from the
 pieces that split() leaves between them, in code points, end exclusive.
 
-Edge cases: a null or empty text has no spans; a null or repeated doc_id is
-treated by row (a candidate id is tested on each row that has it); an empty table gives an
-empty result; extra columns of the input are kept, those named like an output column replaced.
+Edge cases: a null or empty text has no spans; rows with a null or repeated doc_id are
+told apart by their texts; an empty table gives an empty result; extra columns of the
+input are kept, those named like an output column replaced.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinetrace.llm.store import saved
+
+ALL = (frozenset(),)
+#: Strings that a part of an expression may be spelt out to, alternatives of a query, and characters of a class.
+SPELT, ALTERNATIVES, MEMBERS = 64, 64, 8
+#: Bits of the candidates' bitmap: BITS_EACH for each, MOST_BITS at most (8 MB).
+BITS_EACH, MOST_BITS = 16, 1 << 26
+_parser = re._parser  # the standard library's own reader of expressions
+Query = tuple[frozenset[str], ...]
+
+
+def _trigrams(word: str) -> frozenset[str]:
+    return frozenset(word[i : i + 3] for i in range(len(word) - 2))
+
+
+def _thinned(members: frozenset[str]) -> frozenset[str]:
+    """members without those that overlap with two others: a shorter question with nearly the same answer."""
+    left = set(members)
+    for t in sorted(members):
+        if any(u != t and u[1:] == t[:2] for u in left) and any(u != t and u[:2] == t[1:] for u in left):
+            left.discard(t)
+    return frozenset(left)
+
+
+def _of(words: set[str]) -> Query:
+    return ALL if any(len(w) < 3 for w in words) else _any(*[(_trigrams(w),) for w in sorted(words)])
+
+
+def _any(*queries: Query) -> Query:
+    """Alternatives; those that ask more than another are left out."""
+    sets = {s for q in queries for s in q}
+    least = tuple(sorted((s for s in sets if not any(o < s for o in sets)), key=sorted))
+    return least if len(least) <= ALTERNATIVES else ALL
+
+
+def _both(a: Query, b: Query) -> Query:
+    return _any(tuple({x | y for x in a for y in b})) if len(a) * len(b) <= ALTERNATIVES else min(a, b, key=len)
+
+
+def _sequence(items: list) -> tuple[set[str] | None, Query]:
+    run, query, exact = {""}, ALL, True
+    for item in items:
+        words, asked = _item(*item)
+        if words is not None and len(run) * len(words) <= SPELT:
+            run = {a + b for a in run for b in words}
+            continue
+        query, exact = _both(query, _both(_of(run), asked if words is None else _of(words))), False
+        run = {""}
+    return (run, ALL) if exact else (None, _both(query, _of(run)))
+
+
+def _item(op: object, value: object) -> tuple[set[str] | None, Query]:
+    """What one item of a parsed expression can be: a few words in lower case, or anything that fulfils a query."""
+    name = str(op)
+    if name == "LITERAL":
+        return {chr(value).lower()}, ALL
+    if name == "IN":
+        if all(str(o) == "LITERAL" for o, _ in value) and len(value) <= MEMBERS:
+            return {chr(c).lower() for _, c in value}, ALL
+        return None, ALL
+    if name in ("AT", "ASSERT", "ASSERT_NOT"):
+        return {""}, ALL
+    if name == "SUBPATTERN":
+        return _sequence(value[-1])
+    if name == "ATOMIC_GROUP":
+        return _sequence(value)
+    if name == "BRANCH":
+        parts = [_sequence(x) for x in value[1]]
+        if all(w is not None for w, _ in parts) and sum(len(w) for w, _ in parts) <= SPELT:
+            return set().union(*[w for w, _ in parts]), ALL
+        return None, _any(*[q if w is None else _of(w) for w, q in parts])
+    if name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+        least, most, inner = value
+        words, query = _sequence(inner)
+        if words is not None and (least, int(most)) == (0, 1):
+            return words | {""}, ALL
+        if words is not None and least == most and len(words) ** least <= SPELT:
+            return _sequence(list(inner) * least)
+        return None, ALL if least == 0 else query if words is None else _of(words)
+    return None, ALL
+
+
+@lru_cache(maxsize=64)
+def trigram_query(pattern: str) -> Query:
+    """Sets of trigrams: every match, in lower case, holds all members of one of them at least; () if nothing is mandatory."""
+    words, query = _sequence(list(_parser.parse(pattern)))
+    query = query if words is None else _of(words)
+    return () if frozenset() in query else tuple(_thinned(s) for s in query)
+
 
 @dataclass(frozen=True)
 class Rule:
-    """words: literal texts, any of which each match holds (case aside); () if there are none of three characters."""
+    """A pattern whose group is least characters long; base rules are those of the contract, the others add to them."""
 
     kind: str
     pattern: str
-    words: tuple[str, ...] = ()
     group: int = 0
     least: int = 1
+    base: bool = False
 
-    def trigrams(self) -> list[frozenset[str]]:
-        """Any of these sets, all members of it; [] if the rule must scan all."""
-        sets = [frozenset(w[i : i + 3] for i in range(len(w) - 2)) for w in (x.lower() for x in self.words)]
-        return list(dict.fromkeys(sets)) if sets and all(sets) else []
+    def trigrams(self) -> Query:
+        return trigram_query(self.pattern)
 
 
 RULES = (
-    Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", ("password", "passwd", "secret", "token", "api_key", "apikey"), 2, 8),
-    Rule("access", r"AKIA[A-Z0-9]+", ("AKIA",), 0, 16),
-    Rule("hex", r"[0-9a-f]+", (), 0, 32),
+    Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, True),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 16, True),
+    Rule("hex", r"[0-9a-f]+", 0, 32, True),
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[A-Za-z0-9+/=\x09-\x0D\x20]*-----END [A-Z ]{0,40}PRIVATE KEY-----)?"),
+    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("connection", r"(?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|s?ftp)://[^\x00-\x20:@/]{1,64}:[^\x00-\x20@/]{4,128}@[A-Za-z0-9.-]+"),
+    Rule("vendor", r"(?:gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})"),
+    Rule("bearer", r"""(?i:authorization)["']?\x20*[:=]\x20*["']?(?i:bearer|basic)\x20+([A-Za-z0-9+/_.=~-]+)""", 1, 8),
 )
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with __k1 and __k2, which tell rows apart."""
+    return docs.withColumns({"__k1": F.xxhash64(F.lit(1), "doc_id", F.col("doc_id").isNull(), "text"), "__k2": F.xxhash64(F.lit(2), "text", "doc_id")})
+
+
 def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The index: (trigram, doc_id) for every trigram that a rule's query names."""
+    """The index: (trigram, __k1, __k2) for every trigram that a rule's query names."""
     wanted = sorted({t for r in rules for s in r.trigrams() for t in s})
-    text = F.lower(F.col("text"))
-    found = F.array(*[F.when(F.contains(F.col("__low"), F.lit(t)), F.lit(t)) for t in wanted]) if wanted else F.array().cast("array<string>")
-    low = docs.select("doc_id", text.alias("__low"))
-    return low.select("doc_id", F.explode(F.array_compact(found)).alias("trigram"))
+
+    def held(low: Column) -> Column:
+        return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in wanted])) if wanted else F.array().cast("array<string>")
+
+    # a lambda takes the lowered text once; as a column of its own it would be put into each of the tests
+    found = F.transform(F.array(F.lower(F.col("text"))), held)
+    return _keyed(docs.select("doc_id", "text")).select("__k1", "__k2", F.explode(F.flatten(found)).alias("trigram"))
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(doc_id, kinds): per document the rules whose query its postings fulfil."""
+    """(__k1, __k2, kinds): per row the rules whose query its postings fulfil."""
     sets = [(r.kind, f"{r.kind}{i}", t, len(s)) for r in rules for i, s in enumerate(r.trigrams()) for t in sorted(s)]
     queries = index.sparkSession.createDataFrame(sets, "kind string, clause string, trigram string, need int")
-    hits = index.join(F.broadcast(queries), "trigram").groupBy("doc_id", "kind", "clause", "need").agg(F.count_distinct("trigram").alias("have"))
-    return hits.where("have = need").groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
+    hits = index.join(F.broadcast(queries), "trigram").groupBy("__k1", "__k2", "kind", "clause", "need").agg(F.count_distinct("trigram").alias("have"))
+    return hits.where("have = need").groupBy("__k1", "__k2").agg(F.collect_set("kind").alias("kinds"))
+
+
+SPANS = "array<struct<start:int,no:int,end:int,kind:string>>"
 
 
 def _spans(text: Column, rule: Rule, no: int) -> Column:
@@ -70,8 +181,8 @@ def _spans(text: Column, rule: Rule, no: int) -> Column:
     all_of = F.regexp_extract_all(text, pattern, F.lit(0))
     tested = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else all_of
     sizes = F.zip_with(F.split(text, rule.pattern, -1), F.arrays_zip(all_of.alias("m"), tested.alias("g")), lambda before, x: F.struct(F.char_length(before).alias("before"), F.char_length(x["m"]).alias("len"), F.char_length(x["g"]).alias("tested")))
-    spot = "struct<at:int,spans:array<struct<start:int,no:int,end:int,kind:string>>>"
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,no:int,end:int,kind:string>>").alias("spans")).cast(spot)
+    spot = f"struct<at:int,spans:{SPANS}>"
+    first = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans")).cast(spot)
 
     def step(a: Column, x: Column) -> Column:
         start = a["at"] + x["before"]
@@ -86,26 +197,38 @@ def _spans(text: Column, rule: Rule, no: int) -> Column:
 def _scan(rule: Rule) -> Rule:
     """The same matches of a one-class run, sought by its least length: shorter runs are never built."""
     if rule.kind == "hex" and rule.pattern == r"[0-9a-f]+":
-        return Rule(rule.kind, rf"[0-9a-f]{{{rule.least},}}", (), 0, rule.least)
+        return Rule(rule.kind, rf"[0-9a-f]{{{rule.least},}}", 0, rule.least)
     return rule
 
 
+def _maybe(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Those of the keyed rows whose hash is in the bitmap of the candidates found."""
+    bits = 1 << 15
+    wanted = BITS_EACH * found.count()
+    while bits < min(wanted, MOST_BITS):
+        bits *= 2
+    slot = F.pmod(F.col("__k1"), F.lit(bits))
+    table = found.groupBy(F.bitmap_bucket_number(slot).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("__bits"))
+    place = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    known = F.expr("shiftright(__byte, cast(__place % 8 AS INT)) & 1") == 1
+    joined = rows.withColumn("__bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(table), "__bucket")
+    return joined.withColumns({"__byte": byte, "__place": place}).where(known).drop("__bucket", "__bits", "__byte", "__place")
+
+
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with spans: array of (start, no, end, kind), by start and then by the order of the rules."""
-    docs = docs.drop("spans")
-    found = candidates(postings(docs, rules), rules).alias("c")
-    rows = docs.alias("d").join(found, F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")), "left")
-    none = F.array().cast("array<struct<start:int,no:int,end:int,kind:string>>")
-    text = F.coalesce(F.col("d.text"), F.lit(""))
-    parts = []
-    for no, rule in enumerate(rules):
-        if rule.trigrams():
-            test = F.coalesce(F.array_contains("c.kinds", rule.kind), F.lit(False))
-        else:
-            rule = _scan(rule)
-            test = F.rlike(text, F.lit(rule.pattern))
-        parts.append(F.when(test, _spans(text, rule, no)).otherwise(none))
-    return rows.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.array_sort(F.concat(*parts)).alias("spans"))
+    docs = _keyed(docs.drop("spans", "__k1", "__k2"))
+    found = saved(candidates(postings(docs, rules), rules), "candidates")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    none = F.array().cast(SPANS)
+    numbered = list(enumerate(rules))
+    tested = [F.when(F.array_contains("kinds", r.kind), _spans(F.col("text"), r, no)).otherwise(none) for no, r in numbered if r.trigrams()]
+    verified = _maybe(docs.select("__k1", "__k2", "text"), found).join(found, ["__k1", "__k2"]).select("__k1", "__k2", F.concat(none, *tested).alias("__spans"))
+    verified = verified.where(F.size("__spans") > 0).dropDuplicates(["__k1", "__k2"])
+    scanned = [F.when(F.rlike(text, F.lit(r.pattern)), _spans(text, r, no)).otherwise(none) for no, r in ((no, _scan(r)) for no, r in numbered if not r.trigrams())]
+    rows = docs.withColumn("__scanned", F.concat(none, *scanned)).join(verified, ["__k1", "__k2"], "left")
+    return rows.select(*[f"`{c}`" for c in docs.columns if c not in ("__k1", "__k2")], F.array_sort(F.concat("__scanned", F.coalesce("__spans", none))).alias("spans"))
 
 
 def span_text(spans: Column) -> Column:
