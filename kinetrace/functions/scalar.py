@@ -52,6 +52,75 @@ def mean_point_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / F.size(a)
 
 
+def mean_distance(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """Mean Euclidean distance of two chains of equally many points, point by point."""
+    across = F.zip_with(ax, bx, lambda p, q: (p - q) * (p - q))
+    along = F.zip_with(ay, by, lambda p, q: (p - q) * (p - q))
+    return F.aggregate(F.zip_with(across, along, lambda p, q: F.sqrt(p + q)), F.lit(0.0), lambda s, x: s + x) / F.size(ax)
+
+
+def midpoint(xs: Column, ys: Column) -> Column:
+    """Struct (x, y) at half the length of a chain, between its points by the straight line; NULL for no points."""
+    n = F.size(xs)
+    steps = F.transform(F.sequence(F.lit(1), n), lambda i: F.when(i == 1, F.lit(0.0)).otherwise(distance(F.get(xs, i - 1), F.get(ys, i - 1), F.get(xs, i - 2), F.get(ys, i - 2))))
+    run = F.aggregate(steps, F.array().cast("array<double>"), lambda done, x: F.concat(done, F.array(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0.0)) + x)))
+
+    def found(upto: Column) -> Column:
+        half = F.element_at(upto, -1) / 2
+        at = F.greatest(F.size(F.filter(upto, lambda x: x <= half)), F.lit(1))
+        after = F.least(at + 1, n)
+        part = F.element_at(upto, after) - F.element_at(upto, at)
+        share = F.when(part > 0, (half - F.element_at(upto, at)) / part).otherwise(0.0)
+        between = lambda v: F.element_at(v, at) + share * (F.element_at(v, after) - F.element_at(v, at))
+        return F.struct(between(xs).alias("x"), between(ys).alias("y"))
+
+    return F.when(n > 0, F.get(F.transform(F.array(run), found), F.lit(0)))
+
+
+def body_width(mid_x: Column, mid_y: Column, xs: Column, ys: Column, scale: Column | float = 1.0) -> Column:
+    """Twice the least distance of the midpoint from the points of the outline, over scale; NULL without points."""
+    return F.array_min(F.zip_with(xs, ys, lambda x, y: distance(x, y, mid_x, mid_y))) * 2 / scale
+
+
+def end_position(points: Column, end: int, origin: Column, scale: Column | float) -> Column:
+    """One coordinate of the first (end 1) or last (end -1) point of a chain in its box, as a place in the recording: (point + origin) / scale."""
+    return (F.try_element_at(points, F.lit(end)) + origin) / scale
+
+
+def boundary_angles(xs: Column, ys: Column, apart: int = 2) -> Column:
+    """At each point of a closed outline the angle between the points so many steps before and behind, in radians; NULL where two of them coincide."""
+    n = F.size(xs)
+    at = lambda v, i: F.element_at(v, (F.pmod(i - 1, n) + 1).cast("int"))
+
+    def angle(i: Column) -> Column:
+        ux, uy = at(xs, i - apart) - at(xs, i), at(ys, i - apart) - at(ys, i)
+        vx, vy = at(xs, i + apart) - at(xs, i), at(ys, i + apart) - at(ys, i)
+        sizes = F.nullif(speed(ux, uy) * speed(vx, vy), F.lit(0.0))
+        return F.acos(F.greatest(F.least((ux * vx + uy * vy) / sizes, F.lit(1.0)), F.lit(-1.0)))
+
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), angle)).otherwise(F.array().cast("array<double>"))
+
+
+def cropped(x: Column, origin: Column) -> Column:
+    """A coordinate of the recording in a box that starts at origin."""
+    return x - origin
+
+
+def uncropped(x: Column, origin: Column) -> Column:
+    """A coordinate in a box that starts at origin, in the recording."""
+    return x + origin
+
+
+def remaining(indices: Column, taken: Column) -> Column:
+    """Distinct elements of one array of indices that another lacks."""
+    return F.array_except(indices, taken)
+
+
+def label(*parts: Column) -> Column:
+    """The name shown for a track: its parts, as a rule strain and animal, with a space between."""
+    return F.concat_ws(" ", *parts)
+
+
 def tangent_angles(xs: Column, ys: Column) -> Column:
     """Angles of central differences along a chain, unwrapped, with their mean taken off."""
     inner = F.sequence(F.lit(2), F.size(xs) - 1)
@@ -94,5 +163,21 @@ def reversal_curve(tau: Column, scale: float, plateau: float) -> Column:
     return (1 - plateau) * F.exp(-tau / scale) + plateau
 
 
+def speed_curve(tau: Column, diffusion: float, scale: float) -> Column:
+    """Covariance of a mean-reverting speed: D s e^(-tau/s)."""
+    return diffusion * scale * F.exp(-tau / scale)
+
+
+def bearing_curve(tau: Column, diffusion: float) -> Column:
+    """Correlation of a diffusing bearing: e^(-D tau)."""
+    return F.exp(-diffusion * tau)
+
+
+def mode_score(parameters: list[Column], means: list[float], mode: list[float]) -> Column:
+    """Projection of log10 of the parameters' sizes, less their means, on a mode; as many of the parameters count as the mode has entries."""
+    terms = [(F.log10(F.abs(p)) - m) * w for p, m, w in zip(parameters, means, mode)]  # noqa: B905
+    return sum(terms[1:], terms[0])
+
+
 def stationary_variance(sigma: Column, tau: Column) -> Column:
     return sigma * sigma * tau / 2

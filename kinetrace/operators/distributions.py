@@ -7,8 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A grid of evaluation points is broadcast up to this many.
-BROADCAST_POINTS = 200_000
+#: A grid of evaluation points is a constant of the plan, up to this many.
+MOST_POINTS = 20_000
 
 
 def histogram(rows: DataFrame, column: str, lo: float, hi: float, bins: int, keys: list[str] | None = None) -> DataFrame:
@@ -39,14 +39,15 @@ def kde(rows: DataFrame, column: str, points: list[float], keys: list[str], leas
     """keys, point and density at each point: Gaussian kernels of width n**(-1/5) times the sample deviation.
 
     Equal values are counted first, so a value costs one kernel per point however
-    often it occurs, and each row of counts meets a stated, small list of points.
+    often it occurs, and each row of counts meets a stated, small list of points:
+    round continuous values to a fraction of the kernel's width first.
     """
-    if len(points) > BROADCAST_POINTS:
+    if len(points) > MOST_POINTS:
         raise ValueError("evaluate so many points by parts")
     stats = rows.groupBy(*keys).agg(F.count(column).alias("__n"), F.stddev_samp(column).alias("__sd")).where((F.col("__n") >= least) & (F.col("__sd") > 0))
     counts = rows.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("__c")).join(stats, keys)
     h = F.pow(F.col("__n").cast("double"), F.lit(-0.2)) * F.col("__sd")
-    at = counts.withColumn("__h", h).withColumn("point", F.explode(F.array(*[F.lit(float(p)) for p in points])))
+    at = counts.withColumn("__h", h).withColumn("point", F.explode(F.lit([float(p) for p in points])))
     u = (F.col("point") - F.col(column)) / F.col("__h")
     kernel = F.exp(-u * u / 2) / (F.col("__h") * math.sqrt(2 * math.pi))
     return at.groupBy(*keys, "point").agg((F.sum(kernel * F.col("__c")) / F.first("__n")).alias("density"))
@@ -58,8 +59,8 @@ def kde_2d(rows: DataFrame, x: str, y: str, xs: list[float], ys: list[float], ke
     stats = stats.withColumn("__f", F.pow(F.col("__n").cast("double"), F.lit(-1 / 3)))
     stats = stats.withColumns({c: F.col(c) * F.col("__f") for c in ("__xx", "__yy", "__xy")}).withColumn("__det", F.col("__xx") * F.col("__yy") - F.col("__xy") * F.col("__xy")).where("__det > 0")
     counts = rows.groupBy(*keys, x, y).agg(F.count("*").alias("__c")).join(stats, keys)
-    cells = F.array(*[F.struct(F.lit(float(a)).alias("gx"), F.lit(float(b)).alias("gy")) for a in xs for b in ys])
-    at = counts.select("*", F.inline(cells))
+    grid_of = lambda v: F.explode(F.lit([float(a) for a in v]))
+    at = counts.withColumn("gx", grid_of(xs)).withColumn("gy", grid_of(ys))
     dx, dy = F.col("gx") - F.col(x), F.col("gy") - F.col(y)
     q = (F.col("__yy") * dx * dx - 2 * F.col("__xy") * dx * dy + F.col("__xx") * dy * dy) / F.col("__det")
     return at.groupBy(*keys, "gx", "gy").agg((F.sum(F.col("__c") * F.exp(-q / 2) / (2 * math.pi * F.sqrt("__det"))) / F.first("__n")).alias("density"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -94,3 +97,39 @@ def bootstrap_band(values: DataFrame, keys: list[str], samples: int = 200, seed:
     drawn = values.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumn("__k", times)
     means = drawn.groupBy(*keys, "sample").agg((F.sum(F.col("value") * F.col("__k")) / F.nullif(F.sum("__k"), F.lit(0))).alias("__m"))
     return means.groupBy(*keys).agg(F.avg("__m").alias("mean"), F.percentile("__m", 0.025).alias("low"), F.percentile("__m", 0.975).alias("high"))
+
+
+def bootstrap_of(values: DataFrame, picks: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, mean, low and high over stated samples with replacement; values: keys, place, value; picks: keys, sample, place, a row per draw."""
+    means = picks.join(values, [*keys, "place"]).groupBy(*keys, "sample").agg(F.avg("value").alias("__m"))
+    return means.groupBy(*keys).agg(F.avg("__m").alias("mean"), F.percentile("__m", 0.025).alias("low"), F.percentile("__m", 0.975).alias("high"))
+
+
+def ensemble_average(tracks: DataFrame, curve: Callable[[pd.DataFrame], pd.Series], keys: list[str], samples: int = 200, seed: int = 1, swap: bool = True) -> DataFrame:
+    """keys, place, mean, low and high: a user's curve of each track, averaged over the tracks of each of the keys with its band at every place.
+
+    curve takes one track's rows by frame and gives numbers, indexed by place (a lag, say).
+    It runs per track in pandas; all else is grouped sums. swap: bands over samples that exchange one track; else a bootstrap.
+    """
+    names = [*keys, "track"]
+    kinds = ", ".join(f"{k} {tracks.schema[k].dataType.simpleString()}" for k in names)
+
+    def apply(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        found = curve(part.sort_values("frame"))
+        out = pd.DataFrame({"point": found.index.astype("float64"), "value": found.to_numpy(float)})
+        for i, (k, v) in enumerate(zip(names, key, strict=True)):
+            out.insert(i, k, v)
+        return out
+
+    points = tracks.groupBy(*names).applyInPandas(apply, f"{kinds}, point double, value double").where("value IS NOT NULL AND NOT isnan(value)")
+    at = [*keys, "point"]
+    placed = points.withColumn("place", (F.row_number().over(Window.partitionBy(*at).orderBy("track")) - 1).cast("long"))
+    if not swap:
+        return bootstrap_band(placed, at, samples, seed)
+    sizes = placed.groupBy(*at).agg(F.count("*").alias("n"))
+    return one_swap_band(placed, draws(sizes, at, samples, seed), at)
+
+
+def subsample(rows: DataFrame, most: int, by: list[str], seed: int = 0) -> DataFrame:
+    """At most so many rows, without replacement: those with the least hashes of the columns by."""
+    return rows.orderBy(F.xxhash64(F.lit(seed), *by), *by).limit(most)

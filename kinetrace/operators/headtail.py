@@ -40,6 +40,13 @@ def by_motion(speed: Column, head: Column, tail: Column, head_speed: Column, tai
     )
 
 
+def by_brightness(told: Column, first: Column, last: Column, least: float = 0.2) -> Column:
+    """told (method, flip), and 3 by the brighter end where no other rule tells."""
+    first_leads, last_leads = (first - last) / F.nullif(first, F.lit(0.0)) > least, (last - first) / F.nullif(last, F.lit(0.0)) > least
+    grey = F.when(first_leads, F.struct(F.lit(3).alias("method"), F.lit(False).alias("flip"))).when(last_leads, F.struct(F.lit(3).alias("method"), F.lit(True).alias("flip")))
+    return F.when(told["method"] > 0, told).otherwise(F.coalesce(grey, told))
+
+
 def nearest_ends(hx: Column, hy: Column, tx: Column, ty: Column, px: Column, py: Column, qx: Column, qy: Column) -> Column:
     """Whether head (h) and tail (t) lie nearer to the last tail (q) and head (p): then the ends are crossed."""
     d = lambda ax, ay, bx, by: (ax - bx) * (ax - bx) + (ay - by) * (ay - by)

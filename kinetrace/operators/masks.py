@@ -11,7 +11,7 @@ def by_frame(*order: str) -> Window:
     return Window.partitionBy("track").orderBy(*(order or ("frame",)))
 
 
-def flag_bad_size(rows: DataFrame, length: tuple[float, float] = (0.7, 1.3), width: tuple[float, float] = (0.9, 1.1)) -> DataFrame:
+def flag_bad_size(rows: DataFrame, length: tuple[float, float] = (0.9, 1.1), width: tuple[float, float] = (0.7, 1.3)) -> DataFrame:
     """rows with bad: length or width missing, zero, or outside its band around the track's median of the measured frames.
 
     The medians are one row per track, joined back, so no track is sorted.

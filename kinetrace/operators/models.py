@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -115,15 +115,45 @@ def reversal_rates(fits: DataFrame) -> DataFrame:
 def autoregression_sums(rows: DataFrame, keys: list[str], columns: list[str], order: int = 1) -> DataFrame:
     """keys, i, j, s and n: sums of products of the regressors (1, then lags 1..order of each column) and, from index 1000 on, the present values."""
     w = Window.partitionBy(*keys).orderBy("frame")
-    past = [F.lag(c, k).over(w) for k in range(1, order + 1) for c in columns]
-    terms = [(0, F.lit(1.0)), *[(i + 1, e.cast("double")) for i, e in enumerate(past)], *[(1000 + i, F.col(c).cast("double")) for i, c in enumerate(columns)]]
+    terms = _terms(w, columns, order)
     lagged = rows.select(*keys, *[e.alias(f"__{i}") for i, e in terms])
-    whole = lagged.dropna(subset=[f"__{i}" for i, _ in terms])
+    return _sums(lagged.dropna(subset=[f"__{i}" for i, _ in terms]), keys, terms)
+
+
+def _terms(w: Window, columns: list[str], order: int) -> list[tuple[int, Column]]:
+    """(index, value) of the constant, the lagged and, from 1000 on, the present values."""
+    past = [F.lag(c, k).over(w) for k in range(1, order + 1) for c in columns]
+    return [(0, F.lit(1.0)), *[(i + 1, e.cast("double")) for i, e in enumerate(past)], *[(1000 + i, F.col(c).cast("double")) for i, c in enumerate(columns)]]
+
+
+def _sums(whole: DataFrame, keys: list[str], terms: list[tuple[int, Column]]) -> DataFrame:
     sums = whole.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(F.col(f"__{i}") * F.col(f"__{j}")).alias(f"{i}_{j}") for i, _ in terms for j, _ in terms if i <= j])
     cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"{i}_{j}").alias("s")) for i, _ in terms for j, _ in terms if i <= j])
     return sums.select(*keys, "n", F.inline(cells))
 
 
+def autoregression_windows(rows: DataFrame, keys: list[str], columns: list[str], size: int, order: int = 1, least_present: float = 0.75) -> DataFrame:
+    """keys, window (the middle frame) and autoregression_sums() of each window of size frames whose columns are present in more than least_present of them.
+
+    Windows start every tenth of their size. The lags look back before windows are
+    formed, so a window's first frames keep their past.
+    """
+    step, w = max(1, size // 10), Window.partitionBy(*keys).orderBy("frame")
+    terms = _terms(w, columns, order)
+    lagged = rows.select(*keys, "frame", *[e.alias(f"__{i}") for i, e in terms], F.max("frame").over(Window.partitionBy(*keys)).alias("__last"))
+    half = size // 2
+    first = F.greatest(F.floor((F.col("frame") - size) / step) + 1, F.lit(0))
+    listed = lagged.withColumn("__no", F.explode(F.sequence(first, F.floor(F.col("frame") / step)))).withColumn("window", F.col("__no") * step + half).where(F.col("window") + half <= F.col("__last") + 1)
+    whole = listed.dropna(subset=[f"__{i}" for i, _ in terms])
+    return _sums(whole, [*keys, "window"], terms).where(F.col("n") > least_present * size)
+
+
+def normalised_modes(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """rows with each column less its mean over its deviation, within keys."""
+    w = Window.partitionBy(*keys)
+    return rows.withColumns({c: (F.col(c) - F.avg(c).over(w)) / F.nullif(F.stddev_pop(c).over(w), F.lit(0.0)) for c in columns})
+
+
 def autoregression(sums: DataFrame, keys: list[str], dims: int, order: int, dt: float) -> DataFrame:
     """keys, mode, frequency and damping time of each eigenvalue of the fitted dynamics, from autoregression_sums()."""
     p = 1 + dims * order

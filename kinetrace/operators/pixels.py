@@ -42,8 +42,11 @@ def labelled(pixels: DataFrame, eight: bool = True) -> DataFrame:
     nothing moves; each round is checkpointed, so a lost executor costs one round.
     """
     context = pixels.sparkSession.sparkContext
-    if not context.getCheckpointDir():  # set by spark.checkpoint.dir on a cluster
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    if not context.getCheckpointDir():
+        folder = pixels.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     start = pixels.select("frame", "r", "c").distinct().withColumn("label", F.struct("r", "c"))
     around = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (eight or not (a and b))]
     labels = start.checkpoint()
@@ -75,3 +78,17 @@ def not_persistent(labels: DataFrame, persistent: DataFrame) -> DataFrame:
     """Labels of components that touch none of the persistent (r, c) pixels."""
     touched = labels.join(persistent.select("r", "c").distinct(), ["r", "c"], "left_semi").select("frame", "label").distinct()
     return labels.join(touched, ["frame", "label"], "left_anti")
+
+
+def end_brightness(pixels: DataFrame, skeletons: DataFrame, share: float = 1 / 6) -> DataFrame:
+    """frame, first and last: median grey of the body's pixels nearest to the first and to the last share of the skeleton's points.
+
+    pixels: frame, r, c, v of the body only; skeletons: frame, xs (columns) and ys
+    (rows), one row per frame. A pixel goes to the point that is least far; of equally near ones to the first.
+    """
+    met = pixels.join(skeletons.select("frame", "xs", "ys"), "frame")
+    far = F.zip_with("xs", "ys", lambda x, y: (x - F.col("c")) * (x - F.col("c")) + (y - F.col("r")) * (y - F.col("r")))
+    placed = met.withColumn("__far", far).withColumn("__at", F.array_position("__far", F.array_min("__far")))
+    n = F.round(F.size("xs") * share)
+    first, last = F.when(F.col("__at") <= n, F.col("v")), F.when(F.col("__at") > F.size("xs") - n, F.col("v"))
+    return placed.groupBy("frame").agg(F.median(first).alias("first"), F.median(last).alias("last"))

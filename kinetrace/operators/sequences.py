@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kinetrace.functions.scalar import mean_point_distance
+from kinetrace.functions.scalar import mean_distance, mean_point_distance
 from kinetrace.operators.masks import by_frame
 
 BEFORE = (Window.unboundedPreceding, -1)
@@ -38,6 +35,17 @@ def orient(rows: DataFrame, posture: str = "posture") -> DataFrame:
     return seen.withColumn("flip", F.sum("__turn").over(w.rowsBetween(*UPTO)) % 2 == 1).drop("__turn")
 
 
+def orient_points(rows: DataFrame, xs: str = "xs", ys: str = "ys") -> DataFrame:
+    """orient() for chains of points: mean Euclidean distance per point to the last chain, as it is and turned round."""
+    w = by_frame()
+    last = lambda c: F.last(c, ignorenulls=True).over(w.rowsBetween(*BEFORE))
+    held = rows.withColumns({"__lx": last(xs), "__ly": last(ys)})
+    lx, ly, x, y = F.col("__lx"), F.col("__ly"), F.col(xs), F.col(ys)
+    seen = held.withColumns({"direct": mean_distance(x, y, lx, ly), "flipped": mean_distance(F.reverse(x), F.reverse(y), lx, ly)}).drop("__lx", "__ly")
+    seen = seen.withColumn("__turn", F.coalesce((F.col("flipped") < F.col("direct")).cast("int"), F.lit(0)))
+    return seen.withColumn("flip", F.sum("__turn").over(w.rowsBetween(*UPTO)) % 2 == 1).drop("__turn")
+
+
 def apply_flip(rows: DataFrame, posture: str = "posture") -> DataFrame:
     return rows.withColumn(posture, F.when(F.col("flip"), F.reverse(F.col(posture))).otherwise(F.col(posture)))
 
@@ -49,40 +57,66 @@ def islands(rows: DataFrame, member: Column) -> DataFrame:
     return runs.groupBy("track", "island").agg(F.min("frame").alias("begin"), (F.max("frame") + 1).alias("end"), F.count("*").alias("n")).drop("island")
 
 
-SEGMENT = "track long, segment int, begin long, end long"
-
+def greedy_segments(rows: DataFrame, present: Column, jump: Column, gap: int = 3, longest: int = 10_000, least: int = 150) -> DataFrame:
+    """track, begin and end (exclusive) of stretches of consistent frames of more than least frames.
 
-def greedy_segments(rows: DataFrame, value: str, jump: float, gap: int = 3, longest: int = 10_000, least: int = 150) -> DataFrame:
-    """track, segment, begin and end of stretches of consistent frames, by one pass over each track.
+    From its first frame a segment goes on until a frame at which jump holds, until
+    more than gap frames in a row are missing (not present; the last of them still
+    belongs to it) or until it has longest frames; the next begins right there, be it in
+    missing frames. A segment's own first frame counts neither as missing nor as a jump.
 
-    A segment ends before a frame whose value lies jump or more from the last
-    valid one of it, where more than gap frames in a row are missing, and at
-    longest frames. Segments of more than least frames stay. The rule depends on
-    where the last segment ended, so each track is scanned in order by itself.
+    Where a segment ends depends on where it began, but only at jumps and in runs
+    of missing frames: windows cut each track into runs, and one fold over the runs, far
+    fewer than the frames, does the rest. Within a run the breaks are evenly spaced.
     """
-
-    def scan(key: tuple, frames: pd.DataFrame) -> pd.DataFrame:
-        frames = frames.sort_values("frame")
-        out, begin, last, last_value, missing = [], None, None, None, 0
-        for f, v in zip(frames["frame"], frames[value], strict=True):
-            if pd.isna(v):
-                missing += 1
-                if begin is not None and missing > gap:
-                    out.append((begin, last + 1))
-                    begin = None
-                continue
-            if begin is not None and (abs(v - last_value) >= jump or f - begin >= longest):
-                out.append((begin, last + 1))
-                begin = None
-            if begin is None:
-                begin = f
-            last, last_value, missing = f, v, 0
-        if begin is not None:
-            out.append((begin, last + 1))
-        kept = [(a, b) for a, b in out if b - a > least]
-        return pd.DataFrame({"track": [key[0]] * len(kept), "segment": range(len(kept)), "begin": [a for a, _ in kept], "end": [b for _, b in kept]}).astype({"segment": "int32"})
-
-    return rows.select("track", "frame", value).groupBy("track").applyInPandas(scan, SEGMENT)
+    w = by_frame()
+    flags = rows.select("track", "frame", F.coalesce(present, F.lit(False)).alias("__here"), F.coalesce(jump, F.lit(False)).alias("__jump"))
+    flags = flags.withColumn("__jump", F.col("__jump") & F.col("__here"))
+    cut = F.col("__jump") | (F.col("__here") != F.coalesce(F.lag("__here").over(w), ~F.col("__here")))
+    runs = flags.withColumn("__run", F.sum(cut.cast("int")).over(w.rowsBetween(*UPTO))).groupBy("track", "__run").agg(
+        F.min("frame").alias("start"), F.max("frame").alias("last"), F.min_by("__here", "frame").alias("here"), F.min_by("__jump", "frame").alias("jump")
+    )
+    lists = runs.groupBy("track").agg(F.array_sort(F.collect_list(F.struct("start", "last", "here", "jump"))).alias("runs"))
+    spans = "array<struct<begin:bigint,end:bigint>>"
+    state = f"struct<begin:bigint,out:{spans}>"
+    period = min(gap + 2, longest)
+    none = F.array().cast(spans)
+
+    def span(begin: Column, end: Column) -> Column:
+        return F.when(end - begin > least, F.array(F.struct(begin.cast("bigint").alias("begin"), end.cast("bigint").alias("end")))).otherwise(none)
+
+    def even(first: Column, many: Column, step: int) -> Column:
+        """many spans of step frames from first on."""
+        if step <= least:
+            return none
+        each = F.transform(F.sequence(F.lit(0).cast("bigint"), many - 1), lambda i: F.struct((first + i * step).cast("bigint").alias("begin"), (first + (i + 1) * step).cast("bigint").alias("end")))
+        return F.when(many > 0, each).otherwise(none).cast(spans)
+
+    def step(s: Column, r: Column) -> Column:
+        # frames that are here: a jump begins anew, and the length is cut
+        begin = F.when(r["jump"], r["start"]).otherwise(s["begin"])
+        closed = F.when(r["jump"], span(s["begin"], r["start"])).otherwise(none)
+        many = F.floor((r["last"] - begin) / longest).cast("bigint")
+        here = F.struct((begin + many * longest).alias("begin"), F.concat(s["out"], closed, even(begin, many, longest)).alias("out"))
+        # missing frames: the first break, then one each period
+        natural = F.when(s["begin"] == r["start"], s["begin"] + gap + 2).otherwise(r["start"] + gap + 1)
+        first = F.least(natural, s["begin"] + longest)
+        more = F.floor((r["last"] + 1 - first) / period).cast("bigint")
+        away = F.when(first <= r["last"] + 1, F.struct((first + more * period).alias("begin"), F.concat(s["out"], span(s["begin"], first), even(first, more, period)).alias("out"))).otherwise(F.struct(s["begin"].alias("begin"), s["out"].alias("out")))
+        return F.when(r["here"], here.cast(state)).otherwise(away.cast(state))
+
+    start = F.struct(F.element_at("runs", 1)["start"].alias("begin"), none.alias("out")).cast(state)
+    end = F.element_at("runs", -1)["last"] + 1
+    folded = lists.select("track", F.aggregate("runs", start, step, lambda s: F.concat(s["out"], span(s["begin"], end))).alias("s"))
+    return folded.select("track", F.inline("s"))
+
+
+def segments_by_present(rows: DataFrame, present: Column, jump: Column, gap: int = 10, longest: int = 500, least: int = 150) -> DataFrame:
+    """greedy_segments() of any length that have more than least frames present, with n, their number."""
+    spans = greedy_segments(rows, present, jump, gap, longest, 0)
+    held = in_segments(rows.select("track", "frame", F.coalesce(present, F.lit(False)).alias("__here")), spans)
+    counts = held.where("begin IS NOT NULL AND __here").groupBy("track", "begin").agg(F.count("*").alias("n")).where(F.col("n") > least)
+    return spans.join(counts, ["track", "begin"])
 
 
 def in_segments(rows: DataFrame, segments: DataFrame) -> DataFrame:
@@ -103,26 +137,34 @@ def reversals(rows: DataFrame, state: Column) -> DataFrame:
     """track, begin and end of stretches of backward motion.
 
     state is 0 (unknown), 1 (forward) or 2 (backward). Backward motion starts at
-    two 2s in a row; it ends at two 1s in a row or at any 0. Each of these is an
-    event at its first frame, and the latest event so far tells the motion: a
-    forward fill, then runs without gaps.
+    two 2s in a row; it ends at two 1s in a row or at any 0. The first frame and the
+    last two start and end nothing; what has not ended by then is left out. A begin right
+    after a 0, and an end at a 0, is not known: NULL.
+
+    Each start or end is an event at its first frame, and the latest event so far
+    tells the motion: a forward fill, then runs without gaps.
     """
     w = by_frame()
     stated = rows.select("track", "frame", state.alias("s"))
-    following = F.lead("s").over(w)
-    event = F.when((F.col("s") == 2) & (following == 2), 1).when((F.col("s") == 0) | ((F.col("s") == 1) & (following == 1)), 0)
-    marked = stated.withColumn("event", event)
-    backward = F.last("event", ignorenulls=True).over(w.rowsBetween(*UPTO)) == 1
-    return islands(marked.withColumn("back", F.coalesce(backward, F.lit(False))), F.col("back")).select("track", "begin", "end")
+    stated = stated.withColumns({"__next": F.lead("s").over(w), "__last": F.lag("s").over(w), "__left": F.lead("s", 2).over(w)})
+    event = F.when((F.col("s") == 2) & (F.col("__next") == 2), 1).when((F.col("s") == 0) | ((F.col("s") == 1) & (F.col("__next") == 1)), 0)
+    marked = stated.withColumn("__event", F.when(F.col("__last").isNotNull() & F.col("__left").isNotNull(), event))
+    filled = marked.withColumn("__back", F.coalesce(F.last("__event", ignorenulls=True).over(w.rowsBetween(*UPTO)) == 1, F.lit(False)))
+    backward = filled.where("__back").withColumn("__run", F.col("frame") - F.row_number().over(w))
+    runs = backward.groupBy("track", "__run").agg(
+        F.min("frame").alias("__from"), (F.max("frame") + 1).alias("__to"), F.min_by("__last", "frame").alias("__before"), F.max_by("__next", "frame").alias("__after"), F.count_if(F.col("__next").isNull()).alias("__open")
+    )
+    known = lambda at, s: F.when(F.col(s) != 0, F.col(at))
+    return runs.where("__open = 0").select("track", known("__from", "__before").alias("begin"), known("__to", "__after").alias("end"))
 
 
 def near_boundaries(rows: DataFrame, intervals: DataFrame, within: int) -> DataFrame:
-    """rows with near: a begin or end of the track's intervals lies fewer than within frames away.
+    """rows with near: a known begin or end of the track's intervals lies fewer than within frames away.
 
     The nearest boundary before and after each frame comes from one window over
     rows and boundaries together, instead of a range join.
     """
-    edges = intervals.select("track", F.explode(F.array("begin", "end")).alias("frame"))
+    edges = intervals.select("track", F.explode(F.array_compact(F.array("begin", "end"))).alias("frame"))
     both = rows.withColumn("__edge", F.lit(None).cast("long")).unionByName(edges.withColumn("__edge", F.col("frame")), allowMissingColumns=True)
     w = Window.partitionBy("track").orderBy("frame").rangeBetween
     before = F.max("__edge").over(w(Window.unboundedPreceding, 0))
@@ -130,16 +172,3 @@ def near_boundaries(rows: DataFrame, intervals: DataFrame, within: int) -> DataF
     marked = both.withColumns({"__before": before, "__after": after}).where(F.col("__edge").isNull())
     near = (F.col("frame") - F.col("__before") < within) | (F.col("__after") - F.col("frame") < within)
     return marked.withColumn("near", F.coalesce(near, F.lit(False))).select(*rows.columns, "near")
-
-
-def label_steps(states: Iterator[int]) -> list[int]:
-    """reversals() of one track as a plain loop, for tests: 1 in backward motion."""
-    s, out, back = list(states), [], False
-    for i, x in enumerate(s):
-        following = s[i + 1] if i + 1 < len(s) else None
-        if x == 2 and following == 2:
-            back = True
-        elif x == 0 or x == 1 and following == 1:
-            back = False
-        out.append(int(back))
-    return out

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinetrace.operators import kinematics
 
 Step = Callable[[float, float], float]
 
@@ -51,6 +55,31 @@ def poisson_events(spark: SparkSession, replicates: int, scale: float, until: fl
     return spark.range(replicates).mapInPandas(run, "replicate long, event long, t double")
 
 
+def binned_events(events: DataFrame, until: float, dt: float) -> DataFrame:
+    """replicate, frame and event (1 where some event's time is nearest to the frame, else 0) of poisson_events() up to until."""
+    frames = int(until / dt + 0.5)
+    hit = events.select("replicate", F.rint(F.col("t") / dt).cast("long").alias("frame")).distinct().withColumn("__hit", F.lit(1))
+    every = events.select("replicate").distinct().withColumn("frame", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(frames - 1).cast("long"))))
+    return every.join(hit, ["replicate", "frame"], "left").select("replicate", "frame", F.coalesce("__hit", F.lit(0)).alias("event"))
+
+
+def centroid_model(spark: SparkSession, replicates: int, frames: int, dt: float, mu_s: float, tau_s: float, d_s: float, k_psi: float, d_psi: float, tau_forward: float, tau_reverse: float, seed: int = 0) -> DataFrame:
+    """replicate, frame, t, s, psi, dpsi, phi, vx, vy, x, y of an animal by the parameters of the model.
+
+    A mean-reverting speed (not below 0), a drifting and diffusing body bearing
+    and a two-state process of reversals (dpsi is pi in reverse) give the velocity;
+    its running trapezoid sums are the positions, from 0.
+    """
+    keys = ["replicate", "frame"]
+    pace = mean_reverting(spark, replicates, frames, dt, mu_s, tau_s, float(np.sqrt(2 * d_s)), seed).select(*keys, F.greatest("y", F.lit(0.0)).alias("s"))
+    heading = drift_diffusion(spark, replicates, frames, dt, k_psi, d_psi, seed + 1).withColumnRenamed("y", "psi")
+    back = two_state(spark, replicates, frames, dt, tau_forward, tau_reverse, seed + 2)
+    rows = pace.join(heading, keys).join(back, keys).withColumn("dpsi", F.when(F.col("reverse"), math.pi).otherwise(0.0)).withColumn("phi", F.col("psi") + F.col("dpsi"))
+    rows = rows.withColumns({"vx": F.col("s") * F.cos("phi"), "vy": F.col("s") * F.sin("phi")}).withColumn("track", F.col("replicate"))
+    placed = kinematics.integrate(kinematics.integrate(rows, "vx", "x", dt), "vy", "y", dt)
+    return placed.select(*keys, (F.col("frame") * dt).alias("t"), "s", "psi", "dpsi", "phi", "vx", "vy", "x", "y")
+
+
 def two_state(spark: SparkSession, replicates: int, frames: int, dt: float, tau_forward: float, tau_reverse: float, seed: int = 0) -> DataFrame:
     """replicate, frame, reverse: a process that stays exponential times in each state, forward first."""
 

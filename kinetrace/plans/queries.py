@@ -52,16 +52,33 @@ def derived(spark: SparkSession, d: str) -> DataFrame:
 
 
 DERIVED = f"""{TRACK}, v0 AS (SELECT *, CASE WHEN {VALID} THEN x END AS vx_, CASE WHEN {VALID} THEN y END AS vy_ FROM track),
-v1 AS (SELECT track, strain, frame, oriented, vx_ AS x, vy_ AS y, (lead(vx_) OVER W - lag(vx_) OVER W) / 2.0 AS vx, (lead(vy_) OVER W - lag(vy_) OVER W) / 2.0 AS vy FROM v0 WINDOW {BOX}),
+v1 AS (SELECT track, strain, frame, oriented, excluded, vx_ AS x, vy_ AS y, (lead(vx_) OVER W - lag(vx_) OVER W) / 2.0 AS vx, (lead(vy_) OVER W - lag(vy_) OVER W) / 2.0 AS vy FROM v0 WINDOW {BOX}),
 v2 AS (SELECT *, sqrt(vx * vx + vy * vy) AS s, CASE WHEN vx <> 0 OR vy <> 0 THEN atan2(vy, vx) END AS phi FROM v1),
 v3 AS (SELECT *, CASE WHEN oriented THEN lag(phi) OVER W END AS psi FROM v2 WINDOW {BOX}),
 derived AS (SELECT *, (phi - psi + {PI}) - {TWO_PI} * floor((phi - psi + {PI}) / {TWO_PI}) - {PI} AS dpsi FROM v3)"""
 STATE = "CASE WHEN dpsi IS NULL THEN 0 WHEN abs(dpsi) > pi() / 2 THEN 2 ELSE 1 END"
-REVERSALS = f"""{DERIVED}, st AS (SELECT track, frame, {STATE} AS s FROM derived), nx AS (SELECT *, lead(s) OVER W AS n FROM st WINDOW {BOX}),
-ev AS (SELECT *, CASE WHEN s = 2 AND n = 2 THEN 1 WHEN s = 0 OR (s = 1 AND n = 1) THEN 0 END AS e FROM nx),
-bk AS (SELECT track, frame, coalesce(last_value(e IGNORE NULLS) OVER (PARTITION BY track ORDER BY frame ROWS UNBOUNDED PRECEDING), 0) AS b FROM ev),
-ru AS (SELECT track, frame, frame - row_number() OVER (PARTITION BY track ORDER BY frame) AS g FROM bk WHERE b = 1),
-rev AS (SELECT track, min(frame) AS "begin", max(frame) + 1 AS "end" FROM ru GROUP BY track, g)"""
+REVERSALS = f"""{DERIVED}, st AS (SELECT track, frame, {STATE} AS s FROM derived), nx AS (SELECT *, lead(s) OVER W AS n, lag(s) OVER W AS p, lead(s, 2) OVER W AS m FROM st WINDOW {BOX}),
+ev AS (SELECT *, CASE WHEN p IS NULL OR m IS NULL THEN NULL WHEN s = 2 AND n = 2 THEN 1 WHEN s = 0 OR (s = 1 AND n = 1) THEN 0 END AS e FROM nx),
+bk AS (SELECT *, coalesce(last_value(e IGNORE NULLS) OVER (PARTITION BY track ORDER BY frame ROWS UNBOUNDED PRECEDING), 0) AS b FROM ev),
+ed AS (SELECT *, coalesce(lag(b) OVER W, 0) AS o FROM bk WINDOW {BOX}), pt AS (SELECT track, frame, b, CASE WHEN CASE WHEN b = 1 THEN p ELSE s END <> 0 THEN frame END AS known FROM ed WHERE b <> o),
+rev AS (SELECT track, known AS "begin", later AS "end" FROM (SELECT *, lead(known) OVER W AS later, lead(frame) OVER W AS closed FROM pt WINDOW {BOX}) WHERE b = 1 AND closed IS NOT NULL)"""
+NEAR = f"""{REVERSALS}, bo AS (SELECT track, unnest(["begin", "end"]) AS f FROM rev), nr AS (SELECT DISTINCT d.track, d.frame FROM derived d JOIN bo ON d.track = bo.track AND abs(d.frame - bo.f) < 3)"""
+#: Derived tracks with the speed off reversals and the unwrapped heading; only frames with an orientation count.
+FREE = f"""{NEAR}, pg AS (SELECT track, frame, psi, psi - lag(psi) OVER W AS d FROM derived WHERE psi IS NOT NULL WINDOW {BOX}),
+pu AS (SELECT track, frame, psi + {TWO_PI} * sum(CASE WHEN abs(d) > {PI} THEN -floor((d + {PI}) / {TWO_PI}) ELSE 0 END) OVER (PARTITION BY track ORDER BY frame ROWS UNBOUNDED PRECEDING) AS turned FROM pg),
+o AS (SELECT d.track, d.strain, d.frame, d.excluded, d.psi, d.dpsi, CASE WHEN d.oriented THEN d.x END AS x, CASE WHEN d.oriented THEN d.y END AS y, CASE WHEN d.oriented THEN d.vx END AS vx, CASE WHEN d.oriented THEN d.vy END AS vy,
+ CASE WHEN d.oriented THEN d.s END AS s, CASE WHEN d.oriented AND nr.frame IS NULL THEN d.s END AS free, pu.turned FROM derived d LEFT JOIN nr ON d.track = nr.track AND d.frame = nr.frame LEFT JOIN pu ON d.track = pu.track AND d.frame = pu.frame)"""
+#: Embeddings as tracks of skeletons, one for each strain: 32 points (numbers in turn are x and y) and 64 angles, missing where the first number is low.
+SKELETON = f"""{POSTURE}, sk AS (SELECT CAST(strain AS BIGINT) AS track, row_number() OVER (PARTITION BY strain ORDER BY frame) - 1 AS frame, CASE WHEN p[1] >= -0.1 THEN list_transform(p, lambda e: CAST(e AS DOUBLE)) END AS p FROM posture),
+ql AS (SELECT *, last_value(p IGNORE NULLS) OVER (PARTITION BY track ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS q FROM sk),
+di AS (SELECT track, frame, p, ({" + ".join(f"sqrt((p[{2 * i - 1}] - q[{2 * i - 1}]) ** 2 + (p[{2 * i}] - q[{2 * i}]) ** 2)" for i in range(1, 33))}) / 32 AS direct, ({" + ".join(f"sqrt((p[{65 - 2 * i}] - q[{2 * i - 1}]) ** 2 + (p[{66 - 2 * i}] - q[{2 * i}]) ** 2)" for i in range(1, 33))}) / 32 AS flipped FROM ql),
+fr AS (SELECT *, sum(CASE WHEN flipped < direct THEN 1 ELSE 0 END) OVER (PARTITION BY track ORDER BY frame ROWS UNBOUNDED PRECEDING) % 2 = 1 AS flip, p IS NOT NULL AS here, coalesce(least(direct, flipped) >= {{jump}}, false) AS jump FROM di),
+sr AS (SELECT track, frame, frame AS "begin", 0 AS miss, false AS done FROM fr WHERE frame = 0 UNION ALL
+ SELECT f.track, f.frame, CASE WHEN sr.done OR f.jump OR f.frame - sr."begin" >= {{longest}} THEN f.frame ELSE sr."begin" END, CASE WHEN sr.done OR f.jump OR f.frame - sr."begin" >= {{longest}} OR f.here THEN 0 ELSE sr.miss + 1 END,
+  NOT (sr.done OR f.jump OR f.frame - sr."begin" >= {{longest}} OR f.here) AND sr.miss + 1 > {{gap}} FROM sr JOIN fr f ON f.track = sr.track AND f.frame = sr.frame + 1),
+sg AS (SELECT track, "begin", max(frame) + 1 AS "end" FROM sr GROUP BY track, "begin")"""
+CUTS = {"jump": 0.22, "gap": 1, "longest": 12}
+SEGMENTED = SKELETON.format(**CUTS)
 
 
 # --- lag statistics ---------------------------------------------------------
@@ -110,9 +127,9 @@ SELECT a.track, CAST(b.frame - a.frame AS BIGINT) AS lag, round(avg(a.d * b.d) /
 FROM c a JOIN c b ON a.track = b.track AND b.frame - a.frame BETWEEN 0 AND 20 GROUP BY 1, 2, b.frame = a.frame""")
 def acf(spark: SparkSession, d: str) -> DataFrame:
     """Autocovariance (in squared thousands) and autocorrelation."""
-    rows = tables.track(spark, d)
-    cov, cor = lagstats.autocovariance(rows, [0, *LAGS], "x"), lagstats.autocorrelation(rows, [0, *LAGS], "x")
-    return cov.join(cor.drop("pairs"), ["track", "lag"]).select("track", "lag", F.round(F.col("acv") / 1e6, 6).alias("acv"), digits("acf"), "pairs")
+    cov = lagstats.autocovariance(tables.track(spark, d), [0, *LAGS], "x")
+    cor = F.when(F.col("lag") == 0, 1.0).otherwise(F.col("acv") / F.nullif("var", F.lit(0.0)))
+    return cov.select("track", "lag", F.round(F.col("acv") / 1e6, 6).alias("acv"), F.round(cor, 6).alias("acf"), "pairs")
 
 
 @query(f"""WITH {TRACK}, m AS (SELECT track, avg(x) AS mx, avg(y) AS my, sqrt(var_pop(x) * var_pop(y)) AS s FROM track GROUP BY track),
@@ -123,7 +140,11 @@ def ccf(spark: SparkSession, d: str) -> DataFrame:
     return lagstats.cross_correlation(tables.track(spark, d), 12, "x", "y").select("track", "lag", digits("ccf"), "pairs")
 
 
-@query()
+@query(f"""WITH RECURSIVE {TRACK}, m AS (SELECT track, avg(x) AS m, var_pop(x) AS v FROM track GROUP BY track), c AS (SELECT track, frame, x - m AS d, v FROM track JOIN m USING (track)),
+a AS (SELECT a.track, b.frame - a.frame AS lag, avg(a.d * b.d) / max(a.v) AS acf FROM c a JOIN c b ON a.track = b.track AND b.frame - a.frame BETWEEN 1 AND 8 GROUP BY 1, 2), l AS (SELECT track, list(acf ORDER BY lag) AS r FROM a GROUP BY track),
+d AS (SELECT track, r, 1 AS k, [r[1]] AS phi FROM l UNION ALL SELECT track, r, k + 1, list_append(list_transform(range(1, k + 1), lambda i: phi[i] - new * phi[k + 1 - i]), new) FROM
+ (SELECT *, (r[k + 1] - list_sum(list_transform(range(1, k + 1), lambda i: phi[i] * r[k + 1 - i]))) / (1 - list_sum(list_transform(range(1, k + 1), lambda i: phi[i] * r[i]))) AS new FROM d WHERE k < len(r)))
+SELECT track, CAST(k AS BIGINT) AS lag, round(phi[k], 6) AS pacf FROM d""")
 def pacf(spark: SparkSession, d: str) -> DataFrame:
     rows = lagstats.partial_autocorrelation(lagstats.autocorrelation(tables.track(spark, d), LAGS[:8], "x"))
     return rows.select("track", "lag", digits("pacf"))
@@ -138,8 +159,8 @@ FROM ws GROUP BY 1, 2 HAVING CAST(count(*) FILTER (WHERE {VALID}) AS DOUBLE) / c
 def sufficient_windows(spark: SparkSession, d: str) -> DataFrame:
     """Windows of 20 frames, half overlapping, with more than half of their frames valid."""
     listed = masks.windows(tables.track(spark, d), 20)
-    present = masks.present_fraction(listed, masks.centroid_valid(), "track", "window").where("present > 0.5")
-    return present.join(listed.groupBy("track", "window").agg(F.min("frame").alias("first_frame")), ["track", "window"])
+    share = (F.count_if(masks.centroid_valid()) / F.count("*")).alias("present")
+    return listed.groupBy("track", "window").agg(F.count("*").alias("n"), share, F.min("frame").alias("first_frame")).where("present > 0.5")
 
 
 @query(f"""WITH {TRACK}{WINDOWED.format("track")}, m AS (SELECT track, "window", avg(x) AS m FROM ws GROUP BY 1, 2), c AS (SELECT track, "window", frame, x - m AS d FROM ws JOIN m USING (track, "window")),
@@ -177,17 +198,58 @@ def reversal_state_acf(spark: SparkSession, d: str) -> DataFrame:
     return lagstats.autocorrelation(rows, list(range(11)), "r").select("track", "lag", digits("acf", 5), "pairs")
 
 
-@query()
+#: Divisor and digits of each curve; by 7, as means of whole numbers would else often lie half-way between two roundings.
+_SCALES = {"msd": (7.0, 3), "vacf": (7.0, 3), "s_acf": (1e6, 5), "psi_acf": (1.0, 6), "dpsi_acf": (1.0, 6), "psi_trend": (1.0, 6)}
+
+
+@query(f"""WITH {FREE}{WINDOWED.format("o")}, kp AS (SELECT *, count(s) OVER K::DOUBLE / count(*) OVER K AS pr FROM ws WINDOW K AS (PARTITION BY track, "window")),
+kd AS (SELECT *, free - avg(free) OVER K AS ds, sum(CAST(excluded AS INTEGER)) OVER (PARTITION BY track, "window" ORDER BY frame ROWS UNBOUNDED PRECEDING) AS cut FROM kp WHERE pr > 0.3 WINDOW K AS (PARTITION BY track, "window")),
+cv AS (SELECT a.track, a."window", CAST(b.frame - a.frame AS BIGINT) AS lag, avg((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS msd, avg(b.vx * a.vx + b.vy * a.vy) AS vacf, avg(b.ds * a.ds) AS s_acf,
+ avg(cos(b.psi) * cos(a.psi) + sin(b.psi) * sin(a.psi)) AS psi_acf, avg(cos(b.dpsi) * cos(a.dpsi) + sin(b.dpsi) * sin(a.dpsi)) AS dpsi_acf, abs(avg(b.turned - a.turned)) AS psi_trend
+ FROM kd a JOIN kd b ON a.track = b.track AND a."window" = b."window" AND b.frame - a.frame BETWEEN 0 AND 7 AND a.cut = b.cut GROUP BY 1, 2, 3)
+{" UNION ALL ".join(f"SELECT track, '{m}' AS metric, lag, CAST(lag AS DOUBLE) AS tau, round(avg({m}) / {k!r}, {n}) + 0.0::DOUBLE AS value, count({m}) AS windows FROM cv GROUP BY track, lag" for m, (k, n) in _SCALES.items())}""")
 def correlation_table(spark: SparkSession, d: str) -> DataFrame:
-    """All curves of all tracks, as one long table."""
+    """Six curves of all tracks, as one long table: the first two over 7, covariances of speed in millions."""
     rows = chains.with_reversals(derived(spark, d), 3)
-    return chains.correlation_table(rows, list(range(8)), 20, 0.3).select("track", "metric", "lag", "tau", digits("value"), "windows")
+    table = chains.correlation_table(rows, list(range(8)), 20, 0.3)
+    value = F.coalesce(*[F.when(F.col("metric") == m, F.round(F.col("value") / k, n)) for m, (k, n) in _SCALES.items()])
+    return table.select("track", "metric", "lag", "tau", (value + F.lit(0.0)).alias("value"), "windows")
+
+
+@query(f"""WITH {FREE}, fs AS (SELECT track, count(free) AS n, stddev_samp(free) AS sd FROM o GROUP BY track HAVING count(free) >= 20), gp AS (SELECT unnest(range(0, 20)) * 1000.0 AS point),
+ke AS (SELECT o.track, gp.point, sum(exp(-0.5 * pow((gp.point - free) / (pow(n, -0.2) * sd), 2))) / (max(n) * max(pow(n, -0.2) * sd) * sqrt(2 * pi())) AS v FROM o JOIN fs USING (track) CROSS JOIN gp WHERE free IS NOT NULL GROUP BY 1, 2)
+SELECT track, CAST(point AS DOUBLE) AS speed, round(v * 1e4, 6) AS density FROM ke""")
+def speed_distribution(spark: SparkSession, d: str) -> DataFrame:
+    """Density of each track's speed off reversals."""
+    rows = chains.with_reversals(derived(spark, d), 3)
+    return chains.speed_density(rows, [1000.0 * i for i in range(20)], 20).select("track", F.col("point").alias("speed"), F.round(F.col("density") * 1e4, 6).alias("density"))
+
+
+@query(f"""WITH {FREE}, fm AS (SELECT *, free - avg(free) OVER (PARTITION BY track) AS ds, sum(CAST(excluded AS INTEGER)) OVER (PARTITION BY track ORDER BY frame ROWS UNBOUNDED PRECEDING) AS cut FROM o)
+SELECT a.track, CAST(b.frame - a.frame AS BIGINT) AS lag, round(avg(a.ds * b.ds) / 1e6, 6) AS acv, count(a.ds * b.ds) AS pairs FROM fm a JOIN fm b ON a.track = b.track AND b.frame - a.frame BETWEEN 0 AND 10 AND a.cut = b.cut GROUP BY 1, 2""")
+def speed_autocovariance(spark: SparkSession, d: str) -> DataFrame:
+    """Of the speed off reversals, pairs across excluded frames left out."""
+    rows = masks.masked(chains.with_reversals(derived(spark, d), 3), F.col("oriented") & ~F.col("near"), "s")
+    cov = lagstats.autocovariance(rows, list(range(11)), "s", exclude=F.col("excluded"))
+    return cov.select("track", "lag", F.round(F.col("acv") / 1e6, 6).alias("acv"), "pairs")
+
+
+@query(f"""WITH {FREE}{WINDOWED.format("o")}, kt AS (SELECT track, "window", regr_slope(turned, CAST(frame AS DOUBLE)) AS k FROM ws GROUP BY 1, 2 HAVING count(turned)::DOUBLE / count(*) > 0.2)
+SELECT track, round(avg(abs(k)), 6) AS trend, count(k) AS windows FROM kt GROUP BY track""")
+def bearing_trend(spark: SparkSession, d: str) -> DataFrame:
+    """Mean size of the slope of the unwrapped heading in windows that have a fifth of it."""
+    rows = masks.windows(kinematics.unwrap(derived(spark, d), "psi"), 20)
+    share = F.count("unwrapped").over(Window.partitionBy("track", "window")) / F.count("*").over(Window.partitionBy("track", "window"))
+    held = rows.withColumn("share", share).where("share > 0.2")
+    return models.mean_abs_trend(held, ["track"], "window", "frame", "unwrapped").select("track", digits("trend"), "windows")
 
 
 @query()
 def model_fits(spark: SparkSession, d: str) -> DataFrame:
-    rows = chains.with_reversals(derived(spark, d), 3)
-    return chains.fit_tracks(chains.correlation_table(rows, list(range(8)), 20, 0.3))
+    """Eight parameters of each track, on food and off the border, lengths from the size table of the same key."""
+    rows = chains.with_food_and_edge(tables.track(spark, d), tables.arena(spark, d).withColumns({"food_r": F.col("food_r") * 8, "box_h": F.col("box_h") + 1000}), "on_food", -2000)
+    lengths = tables.size(spark, d).groupBy("track").agg(F.median("length").alias("length"))
+    return chains.fit_model(rows.join(lengths, "track", "left"), list(range(8)), 20)
 
 
 # --- masks ------------------------------------------------------------------
@@ -195,7 +257,7 @@ def model_fits(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH s AS (SELECT l_suppkey AS track, l_extendedprice AS length, l_quantity AS width FROM lineitem),
 m AS (SELECT track, median(length) AS ml, median(width) AS mw FROM s WHERE length <> 0 AND width <> 0 GROUP BY track)
-SELECT track, count(*) AS n, count(*) FILTER (WHERE NOT coalesce(length <> 0 AND width <> 0 AND length BETWEEN 0.7 * ml AND 1.3 * ml AND width BETWEEN 0.9 * mw AND 1.1 * mw, false)) AS n_bad,
+SELECT track, count(*) AS n, count(*) FILTER (WHERE NOT coalesce(length <> 0 AND width <> 0 AND length BETWEEN 0.9 * ml AND 1.1 * ml AND width BETWEEN 0.7 * mw AND 1.3 * mw, false)) AS n_bad,
   max(ml) AS mid_length, max(mw) AS mid_width FROM s LEFT JOIN m USING (track) GROUP BY track""")
 def bad_size(spark: SparkSession, d: str) -> DataFrame:
     rows = masks.flag_bad_size(tables.size(spark, d))
@@ -236,10 +298,11 @@ def food_and_edge(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("track").agg(F.count_if(masks.on_food()).alias("n_on_food"), F.count_if(masks.near_edge(500)).alias("n_edge"), F.count("*").alias("n"))
 
 
-@query(f"WITH {TRACK} SELECT track FROM track WHERE frame < 2 GROUP BY track HAVING NOT bool_or({VALID})")
+@query(f"WITH {TRACK} SELECT track * 8 + frame // 12 AS track FROM track GROUP BY 1 HAVING NOT bool_or({VALID} AND y > 60)")
 def entirely_missing(spark: SparkSession, d: str) -> DataFrame:
-    """Tracks whose first two frames are both missing."""
-    return masks.entirely_missing(masks.frame_slice(tables.track(spark, d), 0, 2), masks.centroid_valid())
+    """Pieces of twelve frames, each a track of its own, without a valid frame above y = 60."""
+    rows = tables.track(spark, d).withColumn("track", F.col("track") * 8 + F.floor(F.col("frame") / 12))
+    return masks.entirely_missing(rows, masks.centroid_valid() & (F.col("y") > 60))
 
 
 # --- velocities and angles --------------------------------------------------
@@ -301,34 +364,84 @@ def last_good(spark: SparkSession, d: str) -> DataFrame:
     return sequences.last_good(tables.track(spark, d), masks.centroid_valid(), "x").select("track", "frame", "last_x", "frames_since")
 
 
-def _strain_postures(spark: SparkSession, d: str) -> DataFrame:
-    """Postures as tracks: one per strain, frames in the order of their numbers; every 7th is missing."""
-    rows = tables.posture(spark, d).withColumn("posture", F.when(F.col("frame") % 7 != 3, F.slice("posture", 1, 8)))
-    return rows.withColumn("track", F.col("strain").cast("long"))
-
-
-@query(f"""WITH {POSTURE}, g AS (SELECT strain AS track, frame, list_transform(p[1:8], lambda e: CAST(e AS DOUBLE)) AS p FROM posture WHERE frame % 7 <> 3), l AS (SELECT *, lag(p) OVER W AS q FROM g WINDOW {BOX}),
-m AS (SELECT track, frame, {" + ".join(f"abs(p[{i}] - q[{i}])" for i in range(1, 9))} AS a, {" + ".join(f"abs(p[{9 - i}] - q[{i}])" for i in range(1, 9))} AS b FROM l)
-SELECT CAST(track AS BIGINT) AS track, frame, round(a / 8, 6) AS direct, round(b / 8, 6) AS flipped, sum(CASE WHEN b < a THEN 1 ELSE 0 END) OVER (PARTITION BY track ORDER BY frame ROWS UNBOUNDED PRECEDING) % 2 = 1 AS flip FROM m""")
-def orientation(spark: SparkSession, d: str) -> DataFrame:
-    rows = sequences.orient(_strain_postures(spark, d)).where("posture IS NOT NULL")
-    return rows.select("track", "frame", digits("direct"), digits("flipped"), "flip")
-
-
 @query(f"""WITH {TRACK}, g AS (SELECT track, frame, frame - row_number() OVER (PARTITION BY track ORDER BY frame) AS g FROM track WHERE {VALID})
 SELECT track, min(frame) AS "begin", max(frame) + 1 AS "end", count(*) AS n FROM g GROUP BY track, g""")
 def valid_runs(spark: SparkSession, d: str) -> DataFrame:
     return sequences.islands(tables.track(spark, d), masks.centroid_valid())
 
 
-def _segments(spark: SparkSession, d: str) -> DataFrame:
-    rows = masks.masked(tables.track(spark, d), ~F.col("bad"), "x")
-    return sequences.greedy_segments(rows, "x", jump=15_000, gap=3, longest=40, least=5)
+def _skeletons(spark: SparkSession, d: str) -> DataFrame:
+    """Embeddings as tracks of skeletons, one for each strain: points xs, ys and angles; NULL where the first number is low."""
+    at = (F.row_number().over(Window.partitionBy("strain").orderBy("frame")) - 1).cast("long")
+    rows = tables.posture(spark, d).select(F.col("strain").cast("long").alias("track"), at.alias("frame"), F.when(F.element_at("posture", 1) >= -0.1, F.col("posture")).alias("posture"))
+    take = lambda first: F.transform(F.sequence(F.lit(first), F.size("posture") - 2 + first, F.lit(2)), lambda i: F.element_at("posture", i))
+    return rows.withColumns({"xs": F.when(F.col("posture").isNotNull(), take(1)), "ys": F.when(F.col("posture").isNotNull(), take(2))})
 
 
-@query()
+@query(f"""WITH RECURSIVE {SEGMENTED} SELECT track, frame, round(direct, 6) AS direct, round(flipped, 6) AS flipped, flip FROM fr""")
+def skeleton_orientation(spark: SparkSession, d: str) -> DataFrame:
+    """Mean distance per point to the last skeleton, as it is and turned round."""
+    return sequences.orient_points(_skeletons(spark, d)).select("track", "frame", digits("direct"), digits("flipped"), "flip")
+
+
+@query(f"""WITH RECURSIVE {SEGMENTED} SELECT track, "begin", "end" FROM sg WHERE "end" - "begin" > 3""")
 def segments(spark: SparkSession, d: str) -> DataFrame:
-    return _segments(spark, d)
+    """Stretches of skeletons that follow each other closely."""
+    rows = sequences.orient_points(_skeletons(spark, d))
+    return sequences.greedy_segments(rows, F.col("xs").isNotNull(), F.least("direct", "flipped") >= CUTS["jump"], CUTS["gap"], CUTS["longest"], 3)
+
+
+@query(f"""WITH RECURSIVE {SKELETON.format(jump=0.25, gap=2, longest=7)} SELECT s.track, s."begin", s."end", count(*) FILTER (WHERE f.here) AS n FROM sg s JOIN fr f ON f.track = s.track AND f.frame >= s."begin" AND f.frame < s."end" GROUP BY 1, 2, 3 HAVING count(*) FILTER (WHERE f.here) > 4""")
+def segments_by_present(spark: SparkSession, d: str) -> DataFrame:
+    """Segments of enough frames that are not missing."""
+    rows = sequences.orient_points(_skeletons(spark, d))
+    found = sequences.segments_by_present(rows, F.col("xs").isNotNull(), F.least("direct", "flipped") >= 0.25, 2, 7, 4)
+    return found.select("track", "begin", "end", "n")
+
+
+_TURNED = f"""{SEGMENTED}, tp AS (SELECT track, frame, CASE WHEN flip THEN list_reverse(p) ELSE p END AS p FROM fr), se AS (SELECT * FROM sg WHERE "end" - "begin" > 3),
+av AS (SELECT track, unnest(range(1, 65)) AS i, unnest(p) AS a FROM tp WHERE p IS NOT NULL), sd AS (SELECT track, i, stddev_pop(a) AS sd FROM av WHERE i <= 5 OR i > 59 GROUP BY 1, 2), ra AS (SELECT track, sum(sd) FILTER (WHERE i <= 5) / sum(sd) FILTER (WHERE i > 59) AS ratio FROM sd GROUP BY track),
+pa AS (SELECT s.track, s."begin", t.frame, p[4] AS h, p[62] AS t, p[21] AS a, p[31] AS b FROM se s JOIN tp t ON t.track = s.track AND t.frame >= s."begin" AND t.frame < s."end" WHERE p IS NOT NULL),
+pm AS (SELECT *, h - avg(h) OVER S AS dh, t - avg(t) OVER S AS dt, a - avg(a) OVER S AS da, b - avg(b) OVER S AS db, var_pop(h) OVER S AS vh, var_pop(t) OVER S AS vt, sqrt(var_pop(a) OVER S * var_pop(b) OVER S) AS sab FROM pa WINDOW S AS (PARTITION BY track, "begin")),
+ac AS (SELECT x.track, x."begin", y.frame - x.frame AS lag, avg(x.dh * y.dh) / nullif(max(x.vh), 0) AS ah, avg(x.dt * y.dt) / nullif(max(x.vt), 0) AS tl FROM pm x JOIN pm y ON x.track = y.track AND x."begin" = y."begin" AND y.frame - x.frame BETWEEN 1 AND 23 GROUP BY 1, 2, 3),
+mo AS (SELECT track, "begin", min(tl) - min(ah) AS move FROM ac GROUP BY 1, 2),
+cc AS (SELECT x.track, x."begin", y.frame - x.frame AS lag, avg(x.da * y.db) / nullif(max(x.sab), 0) AS ccf FROM pm x JOIN pm y ON x.track = y.track AND x."begin" = y."begin" AND y.frame - x.frame BETWEEN -12 AND 11 GROUP BY 1, 2, 3),
+de AS (SELECT track, "begin", lag / 11.5 AS delay FROM (SELECT *, row_number() OVER (PARTITION BY track, "begin" ORDER BY ccf DESC, lag) AS rn FROM cc WHERE ccf IS NOT NULL) WHERE rn = 1),
+ht AS (SELECT s.*, ratio, delay, move, CASE WHEN ratio > 1.05 OR ratio < 1 / 1.05::DOUBLE THEN 1 WHEN abs(delay) > 0.08 THEN 3 WHEN abs(move) > 0.05 THEN 2 ELSE 0 END AS method,
+ CASE WHEN ratio > 1.05 THEN false WHEN ratio < 1 / 1.05::DOUBLE THEN true WHEN abs(delay) > 0.08 THEN delay < 0 WHEN abs(move) > 0.05 THEN move < 0 ELSE false END AS flip FROM se s LEFT JOIN ra USING (track) LEFT JOIN de USING (track, "begin") LEFT JOIN mo USING (track, "begin"))"""
+
+
+@query(f"""WITH RECURSIVE {_TURNED} SELECT track, "begin", "end", round(ratio, 6) AS ratio, round(delay, 6) AS delay, round(move, 6) AS move, method, flip FROM ht""")
+def head_and_tail(spark: SparkSession, d: str) -> DataFrame:
+    """Which end leads in each segment, by posture."""
+    found = chains.head_and_tail(_skeletons(spark, d), least=3, least_ratio=1.05, **CUTS)
+    return found.select("track", "begin", "end", digits("ratio"), digits("delay"), digits("move"), "method", "flip")
+
+
+@query(f"""WITH RECURSIVE {_TURNED} SELECT t.track, t.frame, coalesce(h.method > 0, false) AS oriented, round(CASE WHEN h.method > 0 AND h.flip THEN p[64] ELSE p[1] END, 7) AS first_angle, round(CASE WHEN h.method > 0 AND h.flip THEN p[1] ELSE p[64] END, 7) AS last_angle
+FROM tp t LEFT JOIN ht h ON h.track = t.track AND t.frame >= h."begin" AND t.frame < h."end" WHERE t.frame >= 0""")
+def head_first(spark: SparkSession, d: str) -> DataFrame:
+    """Postures from head to tail in the segments that are told."""
+    rows = _skeletons(spark, d)
+    told = chains.head_and_tail(rows, least=3, least_ratio=1.05, **CUTS)
+    turned = chains.head_first(rows, told, least=3, **CUTS)
+    return turned.select("track", "frame", "oriented", F.round(F.element_at("posture", 1), 7).alias("first_angle"), F.round(F.element_at("posture", -1), 7).alias("last_angle"))
+
+
+@query(f"""WITH RECURSIVE {SEGMENTED}, tq AS (SELECT track, frame, flip, p, list_sum(list_transform(range(1, 33), lambda i: p[2 * i - 1])) / 32 AS x, list_sum(list_transform(range(1, 33), lambda i: p[2 * i])) / 32 AS y FROM fr), se AS (SELECT * FROM sg WHERE "end" - "begin" > 3),
+te AS (SELECT *, CASE WHEN flip THEN p[63] ELSE p[1] END - x AS hx, CASE WHEN flip THEN p[64] ELSE p[2] END - y AS hy, CASE WHEN flip THEN p[1] ELSE p[63] END - x AS tx, CASE WHEN flip THEN p[2] ELSE p[64] END - y AS ty, (lead(x) OVER W - lag(x) OVER W) * 11.5 / 2 AS vx, (lead(y) OVER W - lag(y) OVER W) * 11.5 / 2 AS vy FROM tq WINDOW {BOX}),
+ts AS (SELECT s.track, s."begin", s."end", t.* EXCLUDE (track), (lead(hx) OVER S - lag(hx) OVER S) * 11.5 / 2 AS hu, (lead(hy) OVER S - lag(hy) OVER S) * 11.5 / 2 AS hv, (lead(tx) OVER S - lag(tx) OVER S) * 11.5 / 2 AS tu, (lead(ty) OVER S - lag(ty) OVER S) * 11.5 / 2 AS tv
+ FROM se s JOIN te t ON t.track = s.track AND t.frame >= s."begin" AND t.frame < s."end" WINDOW S AS (PARTITION BY s.track, s."begin" ORDER BY t.frame)),
+tg AS (SELECT track, "begin", "end", median(sqrt(vx * vx + vy * vy)) AS speed, count(*) FILTER (WHERE cos(atan2(hy, hx) - atan2(vy, vx)) > cos(atan2(ty, tx) - atan2(vy, vx))) AS n_first,
+ count(*) FILTER (WHERE cos(atan2(ty, tx) - atan2(vy, vx)) > cos(atan2(hy, hx) - atan2(vy, vx))) AS n_last, avg(sqrt(hu * hu + hv * hv)) AS fs, avg(sqrt(tu * tu + tv * tv)) AS ls FROM ts GROUP BY 1, 2, 3),
+th AS (SELECT *, coalesce(speed, 0) > 0.1 AND greatest(n_first, n_last) > 0 AND coalesce(greatest(n_first, n_last)::DOUBLE / nullif(least(n_first, n_last), 0), 'inf'::DOUBLE) > 1.3 AS leads, greatest(coalesce(fs, 0), coalesce(ls, 0)) / nullif(least(coalesce(fs, 0), coalesce(ls, 0)), 0) > 1.1 AS ends FROM tg)
+SELECT track, "begin", "end", round(speed, 6) AS speed, n_first, n_last, round(fs, 6) AS first_speed, round(ls, 6) AS last_speed, CASE WHEN leads THEN 1 WHEN ends THEN 2 ELSE -1 END AS method, CASE WHEN leads THEN n_last > n_first WHEN ends THEN ls > fs ELSE false END AS flip FROM th""")
+def head_and_tail_by_motion(spark: SparkSession, d: str) -> DataFrame:
+    """Which end leads in each segment, by motion of the centroid and of the ends."""
+    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x) / F.size(c)
+    rows = _skeletons(spark, d).withColumns({"x": mean("xs"), "y": mean("ys")})
+    found = chains.head_and_tail_by_motion(rows, 1 / 11.5, least=3, least_speed=0.1, **CUTS)
+    return found.select("track", "begin", "end", digits("speed"), "n_first", "n_last", digits("first_speed"), digits("last_speed"), "method", "flip")
 
 
 @query(f"""WITH {TRACK}, g AS (SELECT track, frame, frame - row_number() OVER (PARTITION BY track ORDER BY frame) AS g FROM track WHERE {VALID}),
@@ -344,8 +457,7 @@ def reversal_intervals(spark: SparkSession, d: str) -> DataFrame:
     return sequences.reversals(derived(spark, d), chains.motion_state())
 
 
-@query(f"""WITH {REVERSALS}, b AS (SELECT track, unnest(["begin", "end"]) AS f FROM rev), n AS (SELECT DISTINCT d.track, d.frame FROM derived d JOIN b ON d.track = b.track AND abs(d.frame - b.f) < 3)
-SELECT d.track, d.frame, n.frame IS NOT NULL AS near FROM derived d LEFT JOIN n ON d.track = n.track AND d.frame = n.frame""")
+@query(f"""WITH {NEAR} SELECT d.track, d.frame, nr.frame IS NOT NULL AS near FROM derived d LEFT JOIN nr ON d.track = nr.track AND d.frame = nr.frame""")
 def near_reversals(spark: SparkSession, d: str) -> DataFrame:
     return chains.with_reversals(derived(spark, d), 3).select("track", "frame", "near")
 
@@ -392,18 +504,6 @@ def hexagons(spark: SparkSession, d: str) -> DataFrame:
     return distributions.hexbin(tables.track(spark, d), F.col("x") / 1000.0, F.col("y") / 10.0, 1.0).select("hx", "hy", "n", digits("log_n"))
 
 
-@query(f"""WITH {TRACK}, c AS (SELECT strain, CAST(floor(x / 2500.0) AS BIGINT) AS bin, count(*) AS n FROM track WHERE strain < 2 GROUP BY 1, 2),
-p AS (SELECT bin, n / (SELECT sum(n) FROM c WHERE strain = 0)::DOUBLE AS p FROM c WHERE strain = 0), q AS (SELECT bin, n / (SELECT sum(n) FROM c WHERE strain = 1)::DOUBLE AS q FROM c WHERE strain = 1),
-b AS (SELECT coalesce(p, 0) AS p, coalesce(q, 0) AS q, (coalesce(p, 0) + coalesce(q, 0)) / 2 AS m FROM p FULL JOIN q USING (bin))
-SELECT round(CASE WHEN count(*) FILTER (WHERE p > 0 AND q = 0) = 0 THEN sum(CASE WHEN p > 0 THEN p * log2(p / nullif(q, 0)) ELSE 0 END) END, 9) AS kl,
- round(CASE WHEN count(*) FILTER (WHERE p = 0) > 0 THEN 0.0 WHEN count(*) FILTER (WHERE p > 0 AND q = 0) = 0 THEN sum(CASE WHEN p > 0 THEN p * log2(p / nullif(q, 0)) ELSE 0 END) END, 9) AS kl_strict,
- round(sum((CASE WHEN p > 0 THEN p * log2(p / m) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / m) ELSE 0 END) / 2), 9) AS js FROM b""")
-def strain_divergence(spark: SparkSession, d: str) -> DataFrame:
-    rows = tables.track(spark, d).withColumn("bin", F.floor(F.col("x") / 2500.0))
-    counts = [rows.where(F.col("strain") == s).groupBy("bin").agg(F.count("*").alias("n")) for s in (0, 1)]
-    return distributions.divergences(*counts).select(digits("kl", 9), digits("kl_strict", 9), digits("js", 9))
-
-
 # --- posture ----------------------------------------------------------------
 
 
@@ -412,24 +512,12 @@ def posture_covariance(spark: SparkSession, d: str) -> DataFrame:
     return posture.covariance(tables.posture(spark, d)).select("i", "j", digits("cov", 7))
 
 
-@query(f"""WITH {POSTURE}, {CELLS} SELECT a.strain, CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, round(covar_samp(a.a, b.a), 7) AS cov FROM cells a JOIN cells b ON a.frame = b.frame WHERE a.i < 12 AND b.i < 12 GROUP BY 1, 2, 3""")
-def posture_covariance_by_strain(spark: SparkSession, d: str) -> DataFrame:
-    rows = tables.posture(spark, d).withColumn("posture", F.slice("posture", 1, 12))
-    return posture.covariance(rows, keys=["strain"]).select("strain", "i", "j", digits("cov", 7))
-
-
 @query()
 def explained_variance(spark: SparkSession, d: str) -> DataFrame:
     return posture.explained(spark, posture.modes(posture.covariance(tables.posture(spark, d)))[0])
 
 
-@query(f"""WITH {POSTURE} SELECT frame, round({" + ".join(f"CAST(p[{i + 1}] AS DOUBLE) * {1 / (i + 1)!r}" for i in range(16))}, 6) AS amplitude FROM posture""")
-def posture_projection(spark: SparkSession, d: str) -> DataFrame:
-    rows = tables.posture(spark, d).withColumn("posture", F.slice("posture", 1, 16))
-    return rows.select("frame", F.round(posture.projection(F.col("posture"), [1 / (i + 1) for i in range(16)]), 6).alias("amplitude"))
-
-
-_ENDS = f"""{POSTURE}, {CELLS}, e AS (SELECT strain, stddev_pop(a) FILTER (WHERE i < 5) AS head_sd, stddev_pop(a) FILTER (WHERE i >= 59) AS tail_sd FROM cells GROUP BY strain)"""
+_ENDS = f"""{POSTURE}, {CELLS}, q AS (SELECT strain, i, stddev_pop(a) AS sd FROM cells GROUP BY strain, i), e AS (SELECT strain, sum(sd) FILTER (WHERE i < 5) AS head_sd, sum(sd) FILTER (WHERE i >= 59) AS tail_sd FROM q GROUP BY strain)"""
 
 
 @query(f"WITH {_ENDS} SELECT strain, round(head_sd, 7) AS head_sd, round(tail_sd, 7) AS tail_sd, round(head_sd / tail_sd, 6) AS ratio, CASE WHEN head_sd / tail_sd > 1.02 OR head_sd / tail_sd < 1 / 1.02::DOUBLE THEN 3 ELSE 0 END AS method, (head_sd / tail_sd > 1.02 OR head_sd / tail_sd < 1 / 1.02::DOUBLE) AND head_sd / tail_sd < 1 AS flip FROM e")
@@ -535,8 +623,22 @@ def one_swap_band(spark: SparkSession, d: str) -> DataFrame:
     return ensembles.one_swap_band(values, swaps, ["strain"]).select("strain", digits("mean", 3), digits("low", 3), digits("high", 3))
 
 
-@query()
+@query(f"""WITH {TRACK}, v AS (SELECT strain, row_number() OVER (PARTITION BY strain ORDER BY track) - 1 AS place, avg(x) AS value FROM track GROUP BY strain, track), n AS (SELECT strain, count(*) AS n FROM v GROUP BY strain),
+p AS (SELECT strain, n, sample, unnest(range(n)) AS i FROM (SELECT strain, n, unnest(range(100)) AS sample FROM n)), m AS (SELECT p.strain, sample, avg(value) AS m FROM p JOIN v ON v.strain = p.strain AND v.place = (i * i * 31 + sample * 17 + i * sample * 7 + 3) % n GROUP BY 1, 2)
+SELECT strain, round(avg(m), 3) AS mean, round(quantile_cont(m, 0.025), 3) AS low, round(quantile_cont(m, 0.975), 3) AS high FROM m GROUP BY strain""")
 def bootstrap_band(spark: SparkSession, d: str) -> DataFrame:
+    """Bands over samples with replacement, by a stated table of draws."""
+    means = tables.track(spark, d).groupBy("strain", "track").agg(F.avg("x").alias("value"))
+    values = means.withColumn("place", (F.row_number().over(Window.partitionBy("strain").orderBy("track")) - 1).cast("long"))
+    sizes = values.groupBy("strain").agg(F.count("*").alias("n"))
+    drawn = sizes.withColumn("sample", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(99).cast("long")))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    i, k = F.col("i"), F.col("sample")
+    picks = drawn.select("strain", "sample", ((i * i * 31 + k * 17 + i * k * 7 + 3) % F.col("n")).alias("place"))
+    return ensembles.bootstrap_of(values, picks, ["strain"]).select("strain", digits("mean", 3), digits("low", 3), digits("high", 3))
+
+
+@query()
+def hashed_bootstrap_band(spark: SparkSession, d: str) -> DataFrame:
     totals = tables.track(spark, d).groupBy("strain", "track").agg(F.avg("x").alias("value")).withColumnRenamed("track", "place")
     return ensembles.bootstrap_band(totals, ["strain"], 100)
 
@@ -607,13 +709,6 @@ def scalar_functions(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {POSTURE}, d AS (SELECT frame, unnest(range(1, 8)) AS i, p FROM posture) SELECT frame, round(sum(sqrt((CAST(p[2 * i + 1] AS DOUBLE) - p[2 * i - 1]) ** 2 + (CAST(p[2 * i + 2] AS DOUBLE) - p[2 * i]) ** 2)), 5) AS length FROM d GROUP BY frame""")
-def skeleton_length(spark: SparkSession, d: str) -> DataFrame:
-    """The first 16 numbers of each posture, read as eight points."""
-    rows = tables.posture(spark, d).select("frame", F.transform(F.sequence(F.lit(1), F.lit(15), F.lit(2)), lambda i: F.element_at("posture", i)).alias("xs"), F.transform(F.sequence(F.lit(2), F.lit(16), F.lit(2)), lambda i: F.element_at("posture", i)).alias("ys"))
-    return rows.select("frame", F.round(scalar.arc_length(F.col("xs"), F.col("ys")), 5).alias("length"))
-
-
 # --- joins by key, geometry and pixels --------------------------------------
 
 
@@ -657,16 +752,6 @@ def crossed_ends(spark: SparkSession, d: str) -> DataFrame:
     return ends.select("track", "frame", headtail.nearest_ends(*[F.col(c) for c in ("hx", "hy", "tx", "ty", "px", "py", "qx", "qy")]).alias("crossed"))
 
 
-@query(f"""WITH {POSTURE}, k AS (SELECT frame, unnest(range(1, 9)) AS i, p FROM posture), e AS (SELECT frame, CAST(p[2 * i - 1] AS DOUBLE) AS x, CAST(p[2 * i] AS DOUBLE) AS y, CAST(p[2 * (i % 8) + 1] AS DOUBLE) AS u, CAST(p[2 * (i % 8) + 2] AS DOUBLE) AS v FROM k),
-s AS (SELECT frame, sum(x * v - u * y) / 2 AS a, sum((x + u) * (x * v - u * y)) AS mx, sum((y + v) * (x * v - u * y)) AS my FROM e GROUP BY frame)
-SELECT frame, round(abs(a), 7) AS area, round(mx / (6 * nullif(a, 0)), 2) + 0.0::DOUBLE AS cx, round(my / (6 * nullif(a, 0)), 2) + 0.0::DOUBLE AS cy FROM s WHERE abs(a) > 0.005""")
-def contour_moments(spark: SparkSession, d: str) -> DataFrame:
-    """Area and centroid of the polygon of the first eight points."""
-    rows = tables.posture(spark, d).select("frame", F.transform(F.sequence(F.lit(1), F.lit(15), F.lit(2)), lambda i: F.element_at("posture", i)).alias("xs"), F.transform(F.sequence(F.lit(2), F.lit(16), F.lit(2)), lambda i: F.element_at("posture", i)).alias("ys"))
-    found = rows.select("frame", scalar.contour_area_and_centroid(F.col("xs"), F.col("ys")).alias("c")).where("c.area > 0.005")
-    return found.select("frame", F.round("c.area", 7).alias("area"), (F.round("c.x", 2) + F.lit(0.0)).alias("cx"), (F.round("c.y", 2) + F.lit(0.0)).alias("cy"))
-
-
 @query(f"""WITH RECURSIVE {POSTURE}, {CELLS}, px AS (SELECT frame, CAST(i // 8 AS INTEGER) AS r, CAST(i % 8 AS INTEGER) AS c FROM cells WHERE a <= 0),
 z AS (SELECT frame, r, c, r * 8 + c AS k FROM px UNION SELECT p.frame, p.r, p.c, z.k FROM z JOIN px p ON p.frame = z.frame AND abs(p.r - z.r) <= 1 AND abs(p.c - z.c) <= 1),
 m AS (SELECT frame, r, c, min(k) AS k FROM z GROUP BY 1, 2, 3)
@@ -694,24 +779,24 @@ def first_tracks(spark: SparkSession, d: str) -> DataFrame:
     return placed.select(F.col("ensemble").alias("strain"), "track", "place")
 
 
-# --- whole vectors, all frames, all strains: the queries of these names above take a part ---------------
+# --- postures as a whole, all ordered pairs of strains -----------------------
 
 
 @query(f"""WITH {POSTURE}, g AS (SELECT strain AS track, frame, list_transform(p, lambda e: CAST(e AS DOUBLE)) AS p FROM posture), l AS (SELECT *, lag(p) OVER W AS q FROM g WINDOW {BOX}),
 m AS (SELECT track, frame, {" + ".join(f"abs(p[{i}] - q[{i}])" for i in range(1, 65))} AS a, {" + ".join(f"abs(p[{65 - i}] - q[{i}])" for i in range(1, 65))} AS b FROM l)
 SELECT CAST(track AS BIGINT) AS track, frame, round(a / 64, 6) AS direct, round(b / 64, 6) AS flipped, sum(CASE WHEN b < a THEN 1 ELSE 0 END) OVER (PARTITION BY track ORDER BY frame ROWS UNBOUNDED PRECEDING) % 2 = 1 AS flip FROM m""")
-def orientation_whole(spark: SparkSession, d: str) -> DataFrame:
+def orientation(spark: SparkSession, d: str) -> DataFrame:
     rows = tables.posture(spark, d).withColumn("track", F.col("strain").cast("long"))
     return sequences.orient(rows).select("track", "frame", digits("direct"), digits("flipped"), "flip")
 
 
 @query(f"""WITH {POSTURE}, {CELLS} SELECT a.strain, CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, round(covar_samp(a.a, b.a), 7) AS cov FROM cells a JOIN cells b ON a.frame = b.frame GROUP BY 1, 2, 3""")
-def posture_covariance_by_strain_whole(spark: SparkSession, d: str) -> DataFrame:
+def posture_covariance_by_strain(spark: SparkSession, d: str) -> DataFrame:
     return posture.covariance(tables.posture(spark, d), keys=["strain"]).select("strain", "i", "j", digits("cov", 7))
 
 
 @query(f"""WITH {POSTURE} SELECT frame, round({" + ".join(f"CAST(p[{i + 1}] AS DOUBLE) * {1 / (i + 1)!r}" for i in range(64))}, 6) AS amplitude FROM posture""")
-def posture_projection_whole(spark: SparkSession, d: str) -> DataFrame:
+def posture_projection(spark: SparkSession, d: str) -> DataFrame:
     return tables.posture(spark, d).select("frame", F.round(posture.projection(F.col("posture"), [1 / (i + 1) for i in range(64)]), 6).alias("amplitude"))
 
 
@@ -722,14 +807,14 @@ def _points(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {POSTURE}, d AS (SELECT frame, unnest(range(1, 32)) AS i, p FROM posture) SELECT frame, round(sum(sqrt((CAST(p[2 * i + 1] AS DOUBLE) - p[2 * i - 1]) ** 2 + (CAST(p[2 * i + 2] AS DOUBLE) - p[2 * i]) ** 2)), 5) AS length FROM d GROUP BY frame""")
-def skeleton_length_whole(spark: SparkSession, d: str) -> DataFrame:
+def skeleton_length(spark: SparkSession, d: str) -> DataFrame:
     return _points(spark, d).select("frame", F.round(scalar.arc_length(F.col("xs"), F.col("ys")), 5).alias("length"))
 
 
 @query(f"""WITH {POSTURE}, k AS (SELECT frame, unnest(range(1, 33)) AS i, p FROM posture), e AS (SELECT frame, CAST(p[2 * i - 1] AS DOUBLE) AS x, CAST(p[2 * i] AS DOUBLE) AS y, CAST(p[2 * (i % 32) + 1] AS DOUBLE) AS u, CAST(p[2 * (i % 32) + 2] AS DOUBLE) AS v FROM k),
 s AS (SELECT frame, sum(x * v - u * y) / 2 AS a, sum((x + u) * (x * v - u * y)) AS mx, sum((y + v) * (x * v - u * y)) AS my FROM e GROUP BY frame)
 SELECT frame, round(abs(a), 7) AS area, round(mx / (6 * nullif(a, 0)), 2) + 0.0::DOUBLE AS cx, round(my / (6 * nullif(a, 0)), 2) + 0.0::DOUBLE AS cy FROM s""")
-def contour_moments_whole(spark: SparkSession, d: str) -> DataFrame:
+def contour_moments(spark: SparkSession, d: str) -> DataFrame:
     """Every polygon; no centroid where the area is 0."""
     found = _points(spark, d).select("frame", scalar.contour_area_and_centroid(F.col("xs"), F.col("ys")).alias("c"))
     return found.select("frame", F.round("c.area", 7).alias("area"), (F.round("c.x", 2) + F.lit(0.0)).alias("cx"), (F.round("c.y", 2) + F.lit(0.0)).alias("cy"))
@@ -741,7 +826,7 @@ b AS (SELECT g.a, g.b, coalesce(p.f, 0) AS p, coalesce(q.f, 0) AS q, (coalesce(p
 SELECT a, b, round(CASE WHEN count(*) FILTER (WHERE p > 0 AND q = 0) = 0 THEN sum(CASE WHEN p > 0 THEN p * log2(p / nullif(q, 0)) ELSE 0 END) END, 9) AS kl,
  round(CASE WHEN count(*) FILTER (WHERE p = 0) > 0 THEN 0.0 WHEN count(*) FILTER (WHERE p > 0 AND q = 0) = 0 THEN sum(CASE WHEN p > 0 THEN p * log2(p / nullif(q, 0)) ELSE 0 END) END, 9) AS kl_strict,
  round(sum((CASE WHEN p > 0 THEN p * log2(p / m) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / m) ELSE 0 END) / 2), 9) AS js FROM b GROUP BY a, b""")
-def strain_divergence_whole(spark: SparkSession, d: str) -> DataFrame:
+def strain_divergence(spark: SparkSession, d: str) -> DataFrame:
     """Every ordered pair of strains."""
     counts = tables.track(spark, d).groupBy("strain", F.floor(F.col("x") / 2500.0).alias("bin")).agg(F.count("*").alias("n"))
     strains = counts.select("strain").distinct()

@@ -7,6 +7,7 @@ import os
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinetrace.sources.tables import missing
 
@@ -100,3 +101,63 @@ def members_as_yaml(members: DataFrame) -> str:
 def members_of(observations: DataFrame, members: DataFrame) -> DataFrame:
     """Observations of the member tracks, once for each ensemble that has them."""
     return observations.join(members, ["strain", "animal"])
+
+
+DERIVED = """video string, strain string, animal string, frame long, t double, x double, y double, vx double, vy double, s double, phi double, psi double, dpsi double, head_x double, head_y double,
+    tail_x double, tail_y double, bad boolean, oriented boolean, posture array<double>"""
+SEGMENT = "video string, strain string, animal string, begin long, end long, method int, flip boolean"
+
+
+def conformed(rows: DataFrame, schema: str) -> DataFrame:
+    """rows with the columns of a schema, in its order and types; those that rows lack are NULL."""
+    kinds = T.StructType.fromDDL(schema)
+    return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds])
+
+
+def write_derived(frames: DataFrame, segments: DataFrame, path: str) -> None:
+    """Store what post-processing gives: one row per frame, one per segment; masked values stay NULL."""
+    conformed(frames, DERIVED).write.partitionBy("video", "strain").mode("overwrite").parquet(f"{path}/frames")
+    conformed(segments, SEGMENT).write.partitionBy("video", "strain").mode("overwrite").parquet(f"{path}/segments")
+
+
+def read_derived(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.schema(DERIVED).parquet(f"{path}/frames"), spark.read.schema(SEGMENT).parquet(f"{path}/segments")
+
+
+def write_setup(videos: DataFrame, regions: DataFrame, path: str) -> None:
+    """Store the two small tables of a recording's configuration."""
+    conformed(videos, VIDEO).coalesce(1).write.mode("overwrite").parquet(f"{path}/videos")
+    conformed(regions, REGION).coalesce(1).write.mode("overwrite").parquet(f"{path}/regions")
+
+
+def read_setup(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.schema(VIDEO).parquet(f"{path}/videos"), spark.read.schema(REGION).parquet(f"{path}/regions")
+
+
+def video_config_as_yaml(videos: DataFrame, regions: DataFrame) -> str:
+    """The inverse of read_video_config; a configuration is a small table of names and numbers."""
+    held: dict[str, list[dict]] = {}
+    for r in regions.orderBy("video", "strain", "animal").collect():
+        values = (r.strain, r.animal, list(r.crop) if r.crop else None, list(r.food) if r.food else None)
+        held.setdefault(r.video, []).append({k: v for k, v in zip(REGION_KEYS, values, strict=True) if v is not None})
+    listed = []
+    for v in videos.orderBy("video").collect():
+        settings = {k: x for k, x in zip(VIDEO_KEYS, v[1:], strict=True) if x is not None}
+        listed.append({"regions": held.get(v.video, []), "videoSettings": settings})
+    return yaml.safe_dump({"videos": listed}, sort_keys=False)
+
+
+def write_curves(curves: DataFrame, path: str) -> None:
+    """Store curves as one long table: a row per track, metric and lag; a folder for each metric."""
+    curves.select("track", "metric", "lag", "tau", "value", "windows").write.partitionBy("metric").mode("overwrite").parquet(path)
+
+
+def write_parameters(parameters: DataFrame, path: str) -> None:
+    """Store fitted parameters; tracks of which nothing could be fitted are left out."""
+    names = [c for c in parameters.columns if c != "track"]
+    parameters.where(F.coalesce(*[F.col(c).cast("double") for c in names]).isNotNull()).write.mode("overwrite").parquet(path)
+
+
+def write_simulation(replicates: DataFrame, path: str) -> None:
+    """Store simulated rows, a folder for each replicate's number modulo 64."""
+    replicates.withColumn("part", (F.col("replicate") % 64).cast("int")).write.partitionBy("part").mode("overwrite").parquet(path)

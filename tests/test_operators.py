@@ -4,11 +4,13 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from kinetrace.functions import scalar
 from kinetrace.operators import distributions, ensembles, headtail, kinematics, lagstats, masks, models, pixels, posture, sequences, simulate
+from kinetrace.plans import chains, protocol
 
 TRACK = "track long, frame long, x double, y double"
 
@@ -82,26 +84,91 @@ def test_autocorrelation_bounds_and_pacf(spark):
     assert abs(fit.slope - 0.6) < 0.05 and abs(fit.sigma - 1) < 0.05 and abs(fit.tau - 2.5) < 0.4
 
 
+def loop_reversals(states):
+    """(begin, end) by one pass over the states; None where one is not known."""
+    out, begin, inside = [], None, False
+    for j in range(1, len(states) - 2):
+        if not inside and states[j] == 2 == states[j + 1]:
+            begin, inside = (None if states[j - 1] == 0 else j), True
+        elif inside and states[j] == 1 == states[j + 1]:
+            out.append((begin, j))
+            inside = False
+        elif inside and states[j] == 0:
+            out.append((begin, None))
+            inside = False
+    return out
+
+
 def test_reversals_match_a_state_machine(spark):
     r = random.Random(5)
     rows = [(t, i, r.choices([0, 1, 2], [1, 3, 4])[0]) for t in range(6) for i in range(70)]
     df = spark.createDataFrame(rows, "track long, frame long, s int")
-    got = {(x.track, f) for x in sequences.reversals(df, F.col("s")).collect() for f in range(x.begin, x.end)}
-    want = {(t, i) for t in range(6) for i, b in enumerate(sequences.label_steps([s for k, _, s in rows if k == t])) if b}
-    assert got == want and want
+    order = lambda x: tuple(-1 if v is None else v for v in x)
+    got = sorted(((x.track, x.begin, x.end) for x in sequences.reversals(df, F.col("s")).collect()), key=order)
+    want = sorted(((t, *x) for t in range(6) for x in loop_reversals([s for k, _, s in rows if k == t])), key=order)
+    assert got == want and {x[1] is None for x in want} == {x[2] is None for x in want} == {True, False}
     spans = sequences.reversals(df, F.col("s"))
-    edges = {(x.track, e) for x in spans.collect() for e in (x.begin, x.end)}
+    edges = {(x.track, e) for x in spans.collect() for e in (x.begin, x.end) if e is not None}
     for x in sequences.near_boundaries(df, spans, 3).collect():
         assert x.near == any((x.track, x.frame + k) in edges for k in (-2, -1, 0, 1, 2))
 
 
-def test_greedy_segments_break_where_they_should(spark):
-    x = [0.0] * 10 + [None] * 3 + [0.1] * 5 + [None] * 4 + [0.2] * 8 + [9.0] * 7 + [9.1] * 30
-    df = spark.createDataFrame([(1, i, v) for i, v in enumerate(x)], "track long, frame long, x double")
-    got = [(r.begin, r.end) for r in sequences.greedy_segments(df, "x", jump=5.0, gap=3, longest=25, least=4).orderBy("begin").collect()]
-    assert got == [(0, 18), (22, 30), (30, 55), (55, 67)]
-    empty = spark.createDataFrame([(1, 0, None)], "track long, frame long, x double")
-    assert sequences.greedy_segments(empty, "x", 1.0).count() == 0
+@pytest.mark.parametrize(
+    ("states", "want"),
+    [
+        ([1, 1, 2, 2, 2, 1, 1, 1], [(2, 5)]),  # plain
+        ([1, 0, 2, 2, 2, 1, 1, 1], [(None, 5)]),  # begins after a missing frame
+        ([1, 1, 2, 2, 0, 1, 1, 1], [(2, None)]),  # ends at a missing frame
+        ([1, 1, 2, 0, 2, 2, 1, 1, 1], [(None, 6)]),  # a single 2 and a gap start nothing
+        ([2, 2, 2, 1, 1, 1, 1], [(1, 3)]),  # the first frame starts nothing
+        ([1, 1, 2, 2, 2, 2, 2], []),  # does not end
+        ([1, 1, 2, 2, 2, 1, 1], []),  # the last two frames end nothing
+        ([0, 2], []),
+    ],
+)
+def test_reversals_by_hand(spark, states, want):
+    df = spark.createDataFrame([(1, i, s) for i, s in enumerate(states)], "track long, frame long, s int")
+    assert [(x.begin, x.end) for x in sequences.reversals(df, F.col("s")).collect()] == want == loop_reversals(states)
+
+
+def loop_segments(here, jump, gap, longest, least):
+    """Segments by one pass over the frames."""
+    out, i, n = [], 0, len(here)
+    while i < n:
+        begin, missing = i, 0
+        i += 1
+        while i < n and i - begin < longest and not (here[i] and jump[i]):
+            missing = 0 if here[i] else missing + 1
+            i += 1
+            if missing > gap:
+                break
+        out.append((begin, i))
+    return [x for x in out if x[1] - x[0] > least]
+
+
+@pytest.mark.parametrize(("gap", "longest", "least"), [(3, 10_000, 4), (1, 6, 0), (2, 7, 2), (3, 4, 0), (5, 3, 0), (0, 9, 1)])
+def test_segments_match_a_loop(spark, gap, longest, least):
+    r = random.Random(gap)
+    rows = []
+    for t in range(12):
+        away = False
+        for i in range(60):
+            away = r.random() < (0.85 if away else 0.12)
+            rows.append((t, i, not away, r.random() < 0.1))
+    rows += [(90, 0, False, False), (91, 0, True, True)] + [(92, i, False, False) for i in range(40)]
+    df = spark.createDataFrame(rows, "track long, frame long, here boolean, jump boolean")
+    want = sorted((t, *x) for t in {x[0] for x in rows} for x in loop_segments([x[2] for x in rows if x[0] == t], [x[3] for x in rows if x[0] == t], gap, longest, least))
+    got = sorted((x.track, x.begin, x.end) for x in sequences.greedy_segments(df, F.col("here"), F.col("jump"), gap, longest, least).collect())
+    assert got == want
+    many = sequences.segments_by_present(df, F.col("here"), F.col("jump"), gap, longest, 2).collect()
+    every = {(t, *x) for t in {x[0] for x in rows} for x in loop_segments([x[2] for x in rows if x[0] == t], [x[3] for x in rows if x[0] == t], gap, longest, 0)}
+    held = {(t, b, e): sum(h for k, i, h, _ in rows if k == t and b <= i < e) for t, b, e in every}
+    assert {(x.track, x.begin, x.end): x.n for x in many} == {k: n for k, n in held.items() if n > 2}
+
+
+def test_segments_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "track long, frame long, here boolean, jump boolean")
+    assert sequences.greedy_segments(df, F.col("here"), F.col("jump")).count() == 0
 
 
 def test_frames_find_their_segment(spark):
@@ -158,6 +225,31 @@ def test_densities_integrate_to_one(spark):
     assert distributions.hexbin(df, F.col("x"), F.col("y"), 1.0).agg(F.sum("n")).first()[0] == 300
 
 
+def test_end_variance_sums_deviations_of_points(spark):
+    """Points with different means and no spread have no variance."""
+    rows = [(1, i, [5.0 + (i % 2), -3.0, 0.0, 0.0, 0.0, 1.0, 2.0, 3.0, 4.0, 5.0 + 3 * (i % 2)]) for i in range(10)]
+    got = posture.end_variance(spark.createDataFrame(rows, "track long, frame long, posture array<double>"), ["track"]).first()
+    assert abs(got.head_sd - 0.5) < 1e-12 and abs(got.tail_sd - 1.5) < 1e-12 and abs(got.ratio - 1 / 3) < 1e-12
+
+
+def test_size_bands(spark):
+    """Length within a tenth, width within three tenths of the median."""
+    rows = [(1, i, 100.0, 10.0) for i in range(21)] + [(1, 100, 112.0, 10.0), (1, 101, 109.0, 10.0), (1, 102, 100.0, 12.5), (1, 103, 100.0, 13.5)]
+    got = masks.flag_bad_size(spark.createDataFrame(rows, "track long, frame long, length double, width double")).where("bad").select("frame").collect()
+    assert sorted(r.frame for r in got) == [100, 103]
+
+
+def test_covariance_of_keys_and_lengths(spark):
+    r = np.random.default_rng(3)
+    rows = [(k, r.normal(size=4).tolist()) for k in ("a", None, "b") for _ in range(30)]
+    df = spark.createDataFrame(rows, "k string, posture array<double>")
+    got = {(x.k, x.i, x.j): x.cov for x in posture.covariance(df, keys=["k"]).collect()}
+    for k in ("a", None, "b"):
+        want = np.cov(np.array([v for q, v in rows if q == k]).T)
+        assert all(abs(got[k, i, j] - want[i, j]) < 1e-12 for i in range(4) for j in range(4))
+    assert posture.covariance(df.limit(0)).count() == 0
+
+
 def test_divergences(spark):
     table = lambda ns: spark.createDataFrame(list(enumerate(ns)), "bin long, n long")
     p, q = [1, 3, 0, 4], [2, 2, 3, 1]
@@ -255,6 +347,132 @@ def test_scalars(spark):
     assert len(bent) == 18 and abs(sum(bent)) < 1e-9 and np.allclose(np.diff(bent), 3 / 19)
 
 
+def test_skeleton_scalars(spark):
+    df = spark.createDataFrame([([0.0, 3.0, 3.0], [0.0, 0.0, 1.0]), ([2.0], [5.0]), ([], [])], "xs array<double>, ys array<double>")
+    got = [r[0] for r in df.select(scalar.midpoint(F.col("xs"), F.col("ys"))).collect()]
+    assert (got[0].x, got[0].y) == (2.0, 0.0) and (got[1].x, got[1].y) == (2.0, 5.0) and got[2] is None
+    ends = df.select(scalar.body_width(F.lit(0.0), F.lit(0.0), F.col("xs"), F.col("ys"), 2.0).alias("w"), scalar.end_position(F.col("xs"), -1, F.lit(10), 2.0).alias("e")).collect()
+    assert [(r.w, r.e) for r in ends] == [(0.0, 6.5), (math.sqrt(29), 6.0), (None, None)]
+    square = spark.createDataFrame([([0.0, 1.0, 2.0, 2.0, 2.0, 1.0, 0.0, 0.0], [0.0, 0.0, 0.0, 1.0, 2.0, 2.0, 2.0, 1.0])], "xs array<double>, ys array<double>")
+    angles = square.select(scalar.boundary_angles(F.col("xs"), F.col("ys")).alias("a")).first().a
+    assert np.allclose(angles[::2], math.pi / 2) and len(angles) == 8
+    one = spark.range(1).select(scalar.remaining(F.array(*[F.lit(i) for i in (1, 2, 2, 3)]), F.array(F.lit(3))).alias("r"), scalar.label(F.lit("N2"), F.lit("7")).alias("l"), scalar.mode_score([F.lit(10.0), F.lit(-100.0), F.lit(5.0)], [1.0, 1.0], [2.0, 3.0]).alias("s"))
+    assert one.first().asDict() == {"r": [1, 2], "l": "N2 7", "s": 3.0}
+    curves = spark.range(1).select(scalar.speed_curve(F.lit(2.0), 3.0, 4.0), scalar.bearing_curve(F.lit(2.0), 0.5), scalar.cropped(F.lit(7), F.lit(2)), scalar.uncropped(F.lit(5), F.lit(2))).first()
+    assert np.allclose(list(curves), [12 * math.exp(-0.5), math.exp(-1), 5, 7])
+
+
+def test_binned_events_and_centroid_model(spark):
+    events = spark.createDataFrame([(0, 0, 0.26), (0, 1, 0.31), (0, 2, 0.9), (1, 0, 0.0)], "replicate long, event long, t double")
+    got = {(r.replicate, r.frame): r.event for r in simulate.binned_events(events, 1.0, 0.1).collect()}
+    assert len(got) == 20 and {k for k, v in got.items() if v} == {(0, 3), (0, 9), (1, 0)}
+    rows = simulate.centroid_model(spark, 2, 400, 0.1, 5.0, 2.0, 0.5, 0.1, 0.05, 6.0, 2.0, seed=4).orderBy("replicate", "frame").toPandas()
+    one = rows[rows.replicate == 0]
+    assert len(rows) == 800 and (rows.s >= 0).all() and set(rows.dpsi.round(6)) == {0.0, round(math.pi, 6)}
+    assert np.allclose(one.phi, one.psi + one.dpsi) and np.allclose(one.vx, one.s * np.cos(one.phi))
+    assert np.allclose(one.x, np.r_[0, np.cumsum((one.vx.to_numpy()[1:] + one.vx.to_numpy()[:-1]) / 2 * 0.1)])
+
+
+def test_sliding_autoregression(spark):
+    r = np.random.default_rng(5)
+    y, z = [0.0], [0.0]
+    for _ in range(399):
+        y.append(0.9 * y[-1] + 0.1 * z[-1] + r.normal())
+        z.append(-0.1 * y[-2] + 0.8 * z[-1] + r.normal())
+    rows = [(1, i, None if 200 <= i < 240 else float(a), float(b)) for i, (a, b) in enumerate(zip(y, z))]
+    df = spark.createDataFrame(rows, TRACK)
+    sums = models.autoregression_windows(df, ["track"], ["x", "y"], 100)
+    found = {x.window: x.n for x in sums.select("window", "n").distinct().collect()}
+    want = {}
+    for i in range(50, 351, 10):
+        n = sum(1 for k in range(i - 50, i + 50) if k > 0 and all(rows[q][2] is not None for q in (k, k - 1)))
+        if n > 75:
+            want[i] = n
+    assert found == want
+    at = 120
+    k = np.arange(at - 50, at + 50)
+    a = np.stack([np.ones(100), np.array(y)[k - 1], np.array(z)[k - 1]], axis=1)
+    step = np.linalg.lstsq(a, np.stack([np.array(y)[k], np.array(z)[k]], axis=1), rcond=None)[0][1:].T
+    rates = np.log(np.linalg.eigvals(step).astype(complex)) / 0.1
+    fits = models.autoregression(sums, ["track", "window"], 2, 1, 0.1).where(F.col("window") == at).collect()
+    assert np.allclose(sorted(f.frequency for f in fits), sorted(abs(rates.imag) / 2 / np.pi)) and np.allclose(sorted(f.damping for f in fits), sorted(-1 / rates.real))
+    modes = models.normalised_modes(df, ["track"], ["y"]).agg(F.avg("y"), F.stddev_pop("y")).first()
+    assert abs(modes[0]) < 1e-9 and abs(modes[1] - 1) < 1e-9
+
+
+def test_posture_dynamics_of_a_known_system(spark):
+    """A rotation that shrinks: its frequency and damping time come back."""
+    turn, shrink = 0.3, 0.95
+    p, rows = np.array([1.0, 0.0]), []
+    for i in range(60):
+        rows.append((1, i, float(p[0]), float(p[1])))
+        p = shrink * np.array([[math.cos(turn), -math.sin(turn)], [math.sin(turn), math.cos(turn)]]) @ p
+    sums = models.autoregression_sums(spark.createDataFrame(rows, TRACK), ["track"], ["x", "y"])
+    for r in models.autoregression(sums, ["track"], 2, 1, 0.5).collect():
+        assert abs(r.frequency - turn / 0.5 / 2 / math.pi) < 1e-6 and abs(r.damping + 0.5 / math.log(shrink)) < 1e-4
+
+
+def test_user_curves_of_ensembles(spark):
+    rows = [(g, t, i, float(t + i * i)) for g in ("a", "b") for t in range(6) for i in range(8)]
+    df = spark.createDataFrame(rows, "grp string, track long, frame long, x double")
+
+    def curve(part):
+        x = part["x"].to_numpy()
+        return pd.Series({lag: float((x[lag:] - x[: len(x) - lag]).mean()) for lag in (1, 2)})
+
+    for swap in (True, False):
+        got = {(r.grp, r.point): r for r in ensembles.ensemble_average(df, curve, ["grp"], 50, swap=swap).collect()}
+        assert set(got) == {(g, p) for g in "ab" for p in (1.0, 2.0)} and abs(got["a", 1.0].mean - 7.0) < 1e-9 and abs(got["b", 2.0].low - 14.0) < 1e-9
+    some = ensembles.subsample(df, 10, ["grp", "track", "frame"], 3)
+    assert some.count() == 10 and some.exceptAll(ensembles.subsample(df.repartition(3), 10, ["grp", "track", "frame"], 3)).isEmpty()
+
+
+def test_brightness(spark):
+    pixels_ = [(0, r, c, 10 * c) for r in range(3) for c in range(13)]
+    df = spark.createDataFrame(pixels_, "frame int, r int, c int, v int")
+    line_ = spark.createDataFrame([(0, [float(x) for x in range(13)], [1.0] * 13)], "frame int, xs array<double>, ys array<double>")
+    got = pixels.end_brightness(df, line_).first()
+    assert (got["first"], got["last"]) == (5.0, 115.0)
+    told = F.struct(F.lit(-1).alias("method"), F.lit(False).alias("flip"))
+    rows = spark.createDataFrame([(10.0, 5.0), (5.0, 10.0), (10.0, 9.0), (None, 1.0)], "a double, b double").select(headtail.by_brightness(told, F.col("a"), F.col("b")).alias("h")).collect()
+    assert [(x.h.method, x.h.flip) for x in rows] == [(3, False), (3, True), (-1, False), (-1, False)]
+
+
+def test_food_and_edges_exclude(spark):
+    arena = spark.createDataFrame([(0, 0, 0, 10, 0, 0, 100, 100)], "strain int, food_x long, food_y long, food_r long, box_x long, box_y long, box_w long, box_h long")
+    df = spark.createDataFrame([(1, 0, 50, 50, False), (1, 1, 5, 60, False), (1, 2, 5, 5, True), (1, 3, 0, 11, False)], "track long, frame long, x long, y long, excluded boolean").withColumn("strain", F.lit(0))
+    off = lambda **k: [r.excluded for r in chains.with_food_and_edge(df, arena, **k).orderBy("frame").collect()]
+    assert off(mode="on_food") == [True, True, False, False] and off(mode="off_food") == [False, False, True, True]
+    assert off(margin=10) == [False, True, True, True] and off() == [False, False, True, False]
+
+
+def test_exclusion_reaches_every_curve(spark):
+    """A pair across an excluded frame counts for none of the curves."""
+    rows = [(1, i, 2.0 * i, 0.0, 2.0, 0.0, 2.0, 0.1, 0.0, i == 5, True) for i in range(10)]
+    df = spark.createDataFrame(rows, "track long, frame long, x double, y double, vx double, vy double, s double, psi double, dpsi double, excluded boolean, oriented boolean")
+    df = df.withColumns({c: F.when(~F.col("excluded"), F.col(c)) for c in ("x", "y", "vx", "vy", "s", "psi", "dpsi")})
+    table = chains.correlation_table(df, [0, 2, 6], 10, 0.3)
+    first = {(r.metric, r.lag): r for r in table.collect()}
+    assert first["msd", 2].value == 16.0 and first["vacf", 2].value == 4.0 and abs(first["psi_acf", 2].value - 1) < 1e-12 and first["psi_trend", 2].value == 0
+    assert not any(k[1] == 6 and r.value is not None for k, r in first.items())
+
+
+def test_bundle_has_seven_metrics(spark):
+    r = np.random.default_rng(1)
+    x = r.normal(size=(300, 2)).cumsum(axis=0)
+    rows = spark.createDataFrame([(1, i, float(a), float(b), False, True, False) for i, (a, b) in enumerate(x)], "track long, frame long, x double, y double, bad boolean, oriented boolean, excluded boolean")
+    moving = chains.with_reversals(chains.derived_track(rows, 1.0), 2)
+    table = chains.metric_bundle(moving, [0, 1, 5], 50, [0.0, 0.5, 1.0, 2.0], 0.3)
+    assert {x.metric for x in table.select("metric").distinct().collect()} == {*chains.METRICS, "s_dist"}
+    assert table.where("metric = 's_dist'").count() == 4
+    fits = chains.fit_model(rows, list(range(12)), 50).collect()
+    assert len(fits) == 1 and set(chains.PARAMETERS) < set(fits[0].asDict()) and fits[0].mu_s > 0 and fits[0].k_psi > 0 and fits[0].length is None
+    model = protocol.CentroidModel(tuple(range(12)), 50, 100)
+    assert model.vectors(model.fit(rows)).first().vector[0] == fits[0].mu_s
+    again = model.simulate(spark, {"mu_s": 2.0, "tau_s": 3.0, "d_s": 0.1, "k_psi": 0.1, "d_psi": 0.02, "tau_forward": 9.0, "tau_reverse": 3.0}, 2)
+    assert again.count() == 200 and model.scores(model.fit(rows).withColumns({p: F.lit(10.0) for p in chains.PARAMETERS}), [0.0] * 7, [1.0] * 7).first().score == 7.0
+
+
 def test_pixel_components_match_flood_fill(spark):
     r = random.Random(6)
     grid = {(y, x) for y in range(14) for x in range(14) if r.random() < 0.45}
