@@ -1,17 +1,21 @@
 """Personal data by rules and by a character-level bidirectional LSTM with a CRF.
 
 The rules find e-mail addresses, IPv4 addresses, card numbers and international
-phone numbers; what they find stays. The model adds spans in other writings,
-such as national phone numbers and spelt-out e-mail addresses. It is trained in
-numpy from labelled spans (labelled_windows(): seeded, generated), with
-hard sigmoid and hard tanh gates so that a step is a product and a few clips.
+phone numbers; what they find stays. The model adds spans of all four kinds in other
+writings: national phone numbers, spelt-out e-mail addresses, cards with dots or
+wide gaps, addresses with bracketed or spaced dots. It is trained in numpy from
+labelled spans (labelled_windows(): seeded, generated), with hard sigmoid and hard
+tanh gates so that a step is a product and a few clips.
 
 Whole texts are read in windows of WINDOW characters that overlap by 2 * MARGIN.
-The Viterbi path is decoded per window; where windows overlap, each character
-takes the tag of the window whose edge is farther, and spans are then formed
-over the whole text. A window in which no other path can beat "nothing" (a bound
-over its scores shows it) needs no decoding. A model span is kept if it touches
-no rule's match, kept or dropped, and has the shape of its kind.
+Where two windows overlap, their emissions are blended by the distance from either
+edge; one Viterbi path per whole text is then the best one under the CRF. Only islands
+of it need the search: a stretch of FAR characters that each lose as much by
+any other tag as it takes to leave and enter again is "nothing" in some best path.
+Windows without a digit or a sign of an address hold no valid span and are not read,
+but for those beside one that has. A model span is widened to whole words, up to
+SPARE outer ones are left out if it is not valid with them, and it is kept if it touches none of the rules' and its content is valid: four numbers up to 255, 14 to 19 digits with their check sum, 10 to 15 digits, or an address once
+its signs are written out. The layout is the model's to judge.
 
 Edge cases: null is an empty text, without spans. Equal texts get equal spans.
 The input's other columns are kept; those named like an output column are replaced.
@@ -20,8 +24,10 @@ The input's other columns are kept; those named like an output column are replac
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +38,10 @@ from kinetrace.llm.store import bounded_batches, fields
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, MARGIN, BATCH = 256, 16, 2048
-HIDDEN = 8
+HIDDEN = 10
+FAR, JOIN, SPARE = 24, 12, 3
+#: What a window must hold to be read: a digit, an at sign, a bracketed "at", or "at" and "dot" as words.
+_TRIGGER = re.compile(r"[0-9@]|[(\[{<]\x20*at\x20*[)\]}>]|\bat\b(?=[^@]{1,64}?\bdot\b)", re.I)
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _HOST = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -78,7 +87,8 @@ def rule_matches(text: str) -> list[tuple[int, int, int, bool]]:
 # --- the model -------------------------------------------------------------
 
 _PUNCT = ".@+-()_%:/,#[]<>="
-_V = 7 + len(_PUNCT)  # padding, lower, upper, digit, space, other, a t o d (in spelt-out addresses) apart
+_SPELT = "atdo"
+_V = 6 + len(_PUNCT) + len(_SPELT)  # padding, lower, upper, digit, space, other; the letters of spelt-out signs apart
 _CLASS = np.full(129, 5, np.int16)
 _CLASS[ord("a") : ord("z") + 1] = 1
 _CLASS[ord("A") : ord("Z") + 1] = 2
@@ -87,7 +97,8 @@ _CLASS[[32, 9, 10, 11, 12, 13]] = 4
 _CLASS[128] = 1
 for _i, _c in enumerate(_PUNCT):
     _CLASS[ord(_c)] = 6 + _i
-_CLASS[ord("t")] = 6 + len(_PUNCT)
+for _i, _c in enumerate(_SPELT):
+    _CLASS[ord(_c)] = _CLASS[ord(_c.upper())] = 6 + len(_PUNCT) + _i
 _TAGS = 1 + len(KINDS)
 
 
@@ -95,6 +106,11 @@ def char_classes(text: str) -> np.ndarray:
     return _CLASS[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 128)]
 
 
+def _by_direction(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums over time and windows of the products of (time, direction, window, …) arrays."""
+    return np.stack([a[:, d].reshape(-1, a.shape[-1]).T @ b[:, d].reshape(-1, b.shape[-1]) for d in (0, 1)])
+
+
 class Tagger:
     """x: gate inputs by class; u: recurrent; e, b: emissions; t: transitions. Direction 0 reads forward, 1 backward."""
 
@@ -139,39 +155,40 @@ class Tagger:
                 out[s] += score
         return out
 
-    def _open_windows(self, em: np.ndarray) -> np.ndarray:
-        """Windows in which some path might score at least as much as tag 0 throughout.
-
-        A stretch of other tags gains at most the sum of its best emissions and
-        moves over those of tag 0; the largest such sum is that of a best subarray.
-        """
-        move = self.p["t"].astype(np.float32) - np.float32(self.p["t"][0, 0])
-        enter, leave, stay = move[0, 1:].max(), move[1:, 0].max(), move[1:, 1:].max()
-        rise = em[:, 1:].max(axis=1) - em[:, 0] + stay
-        total = np.cumsum(rise, axis=0, dtype=np.float32)
-        before = np.zeros_like(total)
-        before[1:] = total[:-1]
-        low = np.minimum.accumulate(before[1:], axis=0)
-        slack = np.float32(1e-2)
-        gain = total.max(axis=0) - stay + leave  # from the window's first character on
-        gain = np.maximum(gain, total[-1] - stay)  # the whole window
-        if len(total) > 1:
-            inner = (total[1:] - low).max(axis=0) - stay + enter + leave
-            tail = total[-1] - before[1:].min(axis=0) - stay + enter  # to the last character
-            gain = np.maximum(gain, np.maximum(inner, tail))
-        return np.flatnonzero(gain >= -slack)
-
-    def decode(self, em: np.ndarray) -> np.ndarray:
-        """Best tag of each (time, window); windows that a bound shows to hold nothing skip the search."""
-        steps, _, n = em.shape
+    def paths(self, ems: list[np.ndarray]) -> list[np.ndarray]:
+        """The best tags of each text from its (time, tags) scores; a path begins and ends beside "nothing"."""
         move = self.p["t"].astype(np.float32)
-        tags = np.zeros((steps, n), np.int8)
-        live = self._open_windows(em)
-        if not len(live):
-            return tags
-        em = em[:, :, live]
-        back = np.zeros((steps, _TAGS, len(live)), np.int8)
-        best = em[0]
+        out = [np.zeros(len(e), np.int8) for e in ems]
+        enter, leave, stay, idle = move[0, 1:], move[1:, 0], move[1:, 1:].max(), move[0, 0]
+        split = max(0.0, float(2 * stay - enter.min() - leave.min())) + float(np.ptp(enter) + np.ptp(leave)) + 1e-2
+        islands = []
+        for i, e in enumerate(ems):
+            loss = e[:, 0] + idle - e[:, 1:].max(axis=1) - stay
+            hot = np.flatnonzero(loss < split / FAR)
+            if len(hot):
+                cuts = np.flatnonzero(np.diff(hot) > FAR)
+                islands += [(int(b) + 1 - int(a), i, int(a)) for a, b in zip(hot[np.r_[0, cuts + 1]], hot[np.r_[cuts, len(hot) - 1]], strict=True)]
+        islands.sort(reverse=True)
+        at = 0
+        while at < len(islands):
+            end = at + max(1, min(4096, (1 << 20) // islands[at][0]))
+            part = islands[at:end]
+            em = np.full((part[0][0], _TAGS, len(part)), -1e4, np.float32)
+            em[:, 0] = 0
+            for j, (n, i, a) in enumerate(part):
+                em[:n, :, j] = ems[i][a : a + n]
+            for j, (n, i, a) in enumerate(part):
+                if j == 0:
+                    tags = self._search(em, move)
+                out[i][a : a + n] = tags[:n, j]
+            at = end
+        return out
+
+    def _search(self, em: np.ndarray, move: np.ndarray) -> np.ndarray:
+        """Viterbi over (time, tags, islands), tag 0 before and after."""
+        steps, _, n = em.shape
+        back = np.zeros((steps, _TAGS, n), np.int8)
+        best = em[0] + move[0][:, None]
         for s in range(1, steps):
             top = best[0] + move[0][:, None]
             for k in range(1, _TAGS):
@@ -179,79 +196,87 @@ class Tagger:
                 back[s][path > top] = k
                 top = np.maximum(top, path)
             best = top + em[s]
-        tag = best.argmax(axis=0)
-        tags[-1, live] = tag
+        tags = np.zeros((steps, n), np.int8)
+        tag = (best + move[:, 0][:, None]).argmax(axis=0)
+        tags[-1] = tag
         for s in range(steps - 1, 0, -1):
-            tag = back[s][tag, np.arange(len(live))]
-            tags[s - 1, live] = tag
+            tag = back[s][tag, np.arange(n)]
+            tags[s - 1] = tag
         return tags
 
-    # training: the same forward pass with what the gradient needs
-    def _run(self, classes: np.ndarray, d: int) -> list[tuple]:
-        h, n = self.h, classes.shape[1]
-        hid, cell, tape = np.zeros((n, h)), np.zeros((n, h)), []
-        for s in range(len(classes)) if d == 0 else range(len(classes) - 1, -1, -1):
-            z = self.p["x"][d][classes[s]] + hid @ self.p["u"][d]
-            raw = z[:, : 3 * h] * 0.2 + 0.5
-            gates, cand = np.clip(raw, 0, 1), np.clip(z[:, 3 * h :], -1, 1)
-            i, f, o = gates[:, :h], gates[:, h : 2 * h], gates[:, 2 * h :]
-            cell_new = f * cell + i * cand
+    # training: the same forward pass with what the gradient needs, both directions at once
+    def _run(self, classes: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
+        """Hidden states (time, direction, window, unit) in each direction's own time, and a tape."""
+        h, (steps, n) = self.h, classes.shape
+        kind = self.p["u"].dtype
+        x = np.stack([self.p["x"][0][classes], self.p["x"][1][classes[::-1]]], axis=1)
+        hid, cell, tape = np.zeros((2, n, h), kind), np.zeros((2, n, h), kind), []
+        states = np.empty((steps, 2, n, h), kind)
+        for s in range(steps):
+            z = x[s] + hid @ self.p["u"]
+            raw = z[..., : 3 * h] * 0.2 + 0.5
+            gates, cand = np.clip(raw, 0, 1), np.clip(z[..., 3 * h :], -1, 1)
+            cell_new = gates[..., h : 2 * h] * cell + gates[..., :h] * cand
             act = np.clip(cell_new, -1, 1)
-            tape.append((s, hid, cell, i, f, o, cand, act, (raw > 0) & (raw < 1), np.abs(z[:, 3 * h :]) < 1, np.abs(cell_new) < 1))
-            hid, cell = o * act, cell_new
-            tape[-1] += (hid,)
-        return tape
+            tape.append((hid, cell, gates, cand, act, gates == raw, z[..., 3 * h :] == cand, act == cell_new))
+            hid, cell = gates[..., 2 * h :] * act, cell_new
+            states[s] = hid
+        return states, tape
 
     def _crf(self, em: np.ndarray, tags: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """Loss per window and its gradients by emissions and transitions."""
+        """Loss per window and its gradients by emissions and transitions, by scaled sums of forward and backward products."""
         steps, n, k = em.shape
-        move = self.p["t"]
-
-        def lse(a: np.ndarray, axis: int) -> np.ndarray:
-            m = a.max(axis=axis, keepdims=True)
-            return np.squeeze(m, axis) + np.log(np.exp(a - m).sum(axis=axis))
-
-        fwd, bwd = np.empty_like(em), np.zeros_like(em)
-        fwd[0] = em[0]
-        for s in range(1, steps):
-            fwd[s] = lse(fwd[s - 1][:, :, None] + move, 1) + em[s]
+        move = np.exp(self.p["t"])
+        high = em.max(axis=2, keepdims=True)
+        local = np.exp(em - high)
+        fwd, bwd, scale = np.empty_like(em), np.ones_like(em), np.empty((steps, n, 1), em.dtype)
+        a = local[0]
+        for s in range(steps):
+            if s:
+                a = (fwd[s - 1] @ move) * local[s]
+            scale[s] = a.sum(axis=1, keepdims=True)
+            fwd[s] = a / scale[s]
         for s in range(steps - 2, -1, -1):
-            bwd[s] = lse(move[None] + (em[s + 1] + bwd[s + 1])[:, None, :], 2)
-        z = lse(fwd[-1], 1)
+            bwd[s] = ((local[s + 1] * bwd[s + 1]) @ move.T) / scale[s + 1]
+        z = (np.log(scale) + high).sum(axis=(0, 2))
         rows, time = np.arange(n), np.arange(steps)[:, None]
-        gold = em[time, rows, tags].sum(axis=0) + move[tags[:-1], tags[1:]].sum(axis=0)
-        g_em = np.exp(fwd + bwd - z[None, :, None])
+        gold = em[time, rows, tags].sum(axis=0) + self.p["t"][tags[:-1], tags[1:]].sum(axis=0)
+        g_em = fwd * bwd
         g_em[time, rows, tags] -= 1
-        g_move = np.zeros_like(move)
-        for s in range(1, steps):
-            g_move += np.exp(fwd[s - 1][:, :, None] + move + (em[s] + bwd[s])[:, None, :] - z[:, None, None]).sum(axis=0)
+        after = local[1:] * bwd[1:] / scale[1:]
+        g_move = (fwd[:-1].reshape(-1, k).T @ after.reshape(-1, k)) * move
         np.add.at(g_move, (tags[:-1].ravel(), tags[1:].ravel()), -1)
         return float((z - gold).mean()), g_em / n, g_move / n
 
     def step(self, classes: np.ndarray, tags: np.ndarray) -> tuple[float, dict]:
         """Loss and gradients of a batch of (time, windows)."""
-        h = self.h
-        tapes = [self._run(classes, d) for d in (0, 1)]
-        em = np.zeros((*classes.shape, _TAGS)) + self.p["b"]
-        for d in (0, 1):
-            for t in tapes[d]:
-                em[t[0]] += t[-1] @ self.p["e"][d]
+        h, (steps, n) = self.h, classes.shape
+        states, tape = self._run(classes)
+        em = states[:, 0] @ self.p["e"][0] + states[::-1, 1] @ self.p["e"][1] + self.p["b"]
         loss, g_em, g_move = self._crf(em, tags)
-        g = {k: np.zeros_like(v) for k, v in self.p.items()}
-        g["t"], g["b"] = g_move, g_em.sum(axis=(0, 1))
-        for d in (0, 1):
-            g_hid, g_cell = 0.0, 0.0
-            for s, hid0, cell0, i, f, o, cand, act, in_gate, in_cand, in_cell, hid in reversed(tapes[d]):
-                g["e"][d] += hid.T @ g_em[s]
-                g_hid = g_hid + g_em[s] @ self.p["e"][d].T
-                g_cell = g_cell + g_hid * o * in_cell
-                g_z = np.concatenate([np.concatenate([g_cell * cand, g_cell * cell0, g_hid * act], axis=1) * in_gate * 0.2, g_cell * i * in_cand], axis=1)
-                np.add.at(g["x"][d], classes[s], g_z)
-                g["u"][d] += hid0.T @ g_z
-                g_hid, g_cell = g_z @ self.p["u"][d].T, g_cell * f
+        g = {"t": g_move, "b": g_em.sum(axis=(0, 1))}
+        own = np.stack([g_em, g_em[::-1]], axis=1)  # in each direction's own time
+        g["e"] = _by_direction(states, own)
+        from_em = own @ self.p["e"].transpose(0, 2, 1)
+        back = self.p["u"].transpose(0, 2, 1)
+        g_hid, g_cell = np.zeros_like(states[0]), np.zeros_like(states[0])
+        g_z = np.empty((steps, 2, n, 4 * h), states.dtype)
+        for s in range(steps - 1, -1, -1):
+            hid0, cell0, gates, cand, act, in_gate, in_cand, in_cell = tape[s]
+            g_hid = g_hid + from_em[s]
+            g_cell = g_cell + g_hid * gates[..., 2 * h :] * in_cell
+            z = g_z[s]
+            z[..., :h], z[..., h : 2 * h], z[..., 2 * h : 3 * h] = g_cell * cand, g_cell * cell0, g_hid * act
+            z[..., : 3 * h] *= in_gate
+            z[..., : 3 * h] *= 0.2
+            z[..., 3 * h :] = g_cell * gates[..., :h] * in_cand
+            g_hid, g_cell = z @ back, g_cell * gates[..., h : 2 * h]
+        before = np.stack([t[0] for t in tape])
+        g["u"] = _by_direction(before, g_z)
+        g["x"] = np.stack([np.stack([np.bincount(c, z[:, k], _V) for k in range(4 * h)], axis=1) for c, z in ((classes.ravel(), g_z[:, 0].reshape(-1, 4 * h)), (classes[::-1].ravel(), g_z[:, 1].reshape(-1, 4 * h)))]).astype(states.dtype)
         return loss, g
 
-    def train(self, classes: np.ndarray, tags: np.ndarray, epochs: int = 24, batch: int = 192, rate: float = 0.02, seed: int = 1) -> list[float]:
+    def train(self, classes: np.ndarray, tags: np.ndarray, epochs: int = 24, batch: int = 160, rate: float = 0.03, seed: int = 1) -> list[float]:
         """Adam over windows in columns; returns the mean loss of each epoch."""
         r = np.random.default_rng(seed)
         m, v, t, losses = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2)), 0, 0, []
@@ -271,9 +296,8 @@ class Tagger:
         return losses
 
 
-def labelled_windows(n: int = 1500, width: int = 72, seed: int = 3) -> list[tuple[str, list[tuple[int, int, int]]]]:
-    """Generated texts with their (start, end, kind number) spans."""
-    r = np.random.default_rng(seed)
+def writings(r: np.random.Generator) -> dict[str, tuple[int, Callable[[], str]]]:
+    """Ways to write personal data: name, kind number and a maker; those with _ in front are the rules' own."""
 
     def word(lo: int = 2, hi: int = 11) -> str:
         return "".join(r.choice(list("etaoinshrdlucmfwygpbvk"), r.integers(lo, hi)))
@@ -281,33 +305,70 @@ def labelled_windows(n: int = 1500, width: int = 72, seed: int = 3) -> list[tupl
     def digits(k: int) -> str:
         return "".join(str(x) for x in r.integers(0, 10, k))
 
+    def name() -> str:
+        return str(r.choice([word(3), f"{word(3)}.{word(3)}", f"{word(3)}_{word(2)}", f"{word(3)}{digits(2)}"]))
+
     def card() -> str:
         body = digits(int(r.choice([13, 14, 15, 15, 15, 18])))
-        full = next(body + c for c in "0123456789" if luhn(body + c))
-        sep = str(r.choice(["", "", " ", "-"]))
-        return sep.join(full[i : i + 4] for i in range(0, len(full), 4))
-
-    made = (
-        lambda: (str(r.choice([f"{word()}.{digits(2)}@{word()}.{word()}.com", f"{word()}@{word()}.org", f"{word()}_{word()}@mail{digits(1)}.example.com", f"{word()} [at] {word()} [dot] com", f"{word()} (at) {word()}.org"])), 0),
-        lambda: (".".join(str(x) for x in r.integers(0, 256, 4)), 1),
-        lambda: (card(), 2),
-        lambda: (str(r.choice([f"+{digits(1)} ({digits(3)}) {digits(3)}-{digits(4)}", f"+{digits(2)} {digits(3)} {digits(6)}", f"+{digits(11)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"({digits(4)}) {digits(6)}"])), 3),
-    )
+        return next(body + c for c in "0123456789" if luhn(body + c))
+
+    def groups(text: str, sep: str, size: int = 4) -> str:
+        return sep.join(text[i : i + size] for i in range(0, len(text), size))
+
+    def parts() -> list[str]:
+        return [str(x) for x in r.integers(0, 256, 4)]
+
+    tld = lambda: str(r.choice(["com", "org", "net", "de", "fr", "es", "info"]))
+    return {
+        "_email": (0, lambda: str(r.choice([f"{word()}.{digits(2)}@{word()}.{word()}.com", f"{word()}@{word()}.org", f"{word()}_{word()}@mail{digits(1)}.example.com"]))),
+        "a [at] b [dot] com": (0, lambda: f"{name()} [at] {word()} [dot] {tld()}"),
+        "a (at) b.com": (0, lambda: f"{name()}{r.choice([' ', ''])}({r.choice(['at', 'AT'])}){r.choice([' ', ''])}{word()}.{tld()}"),
+        "a at b dot com": (0, lambda: f"{name()} at {word(3)} dot {tld()}"),
+        "_ip": (1, lambda: ".".join(parts())),
+        "1[.]2[.]3[.]4": (1, lambda: str(r.choice(["[.]", "(.)"])).join(parts())),
+        "1 . 2 . 3 . 4": (1, lambda: " . ".join(parts())),
+        "_card": (2, lambda: groups(card(), str(r.choice(["", "", " ", "-"])))),
+        "dddd.dddd.dddd.dddd": (2, lambda: groups(card(), ".")),
+        "dddd  dddd  dddd  dddd": (2, lambda: groups(card(), str(r.choice(["  ", " - ", "/"])))),
+        "_phone": (3, lambda: str(r.choice([f"+{digits(1)} ({digits(3)}) {digits(3)}-{digits(4)}", f"+{digits(2)} {digits(3)} {digits(6)}", f"+{digits(11)}"]))),
+        "(ddd) ddd-dddd": (3, lambda: f"({digits(3)}) {digits(3)}-{digits(4)}"),
+        "ddd-ddd-dddd": (3, lambda: f"{digits(3)}-{digits(3)}-{digits(4)}"),
+        "ddd ddd dddd": (3, lambda: f"{digits(3)} {digits(3)} {digits(4)}"),
+        "ddd.ddd.dddd": (3, lambda: f"{digits(3)}.{digits(3)}.{digits(4)}"),
+        "(dddd) dddddd": (3, lambda: f"({digits(4)}) {digits(6)}"),
+        "0d dd dd dd dd": (3, lambda: f"0{digits(1)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}"),
+        "0ddd/ddddddd": (3, lambda: f"0{digits(int(r.integers(2, 5)))}{r.choice(['/', ' ', '-'])}{digits(int(r.integers(7, 9)))}"),
+    }
+
+
+def labelled_windows(n: int = 1600, width: int = 72, seed: int = 3) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """Generated texts with their (start, end, kind number) spans."""
+    r = np.random.default_rng(seed)
+    made = list(writings(r).values())
+
+    def word(lo: int = 2, hi: int = 11) -> str:
+        return "".join(r.choice(list("etaoinshrdlucmfwygpbvk"), r.integers(lo, hi)))
+
+    def digits(k: int) -> str:
+        return "".join(str(x) for x in r.integers(0, 10, k))
+
     plain = (
         lambda: word(), lambda: word(), lambda: word(), lambda: word().title(), lambda: word() + ".", lambda: word() + ",", lambda: word().upper() + "!!", lambda: word() + str(r.choice(["###", "%%%", "***", "$$$", "&&&"])),
         lambda: digits(int(r.integers(1, 6))), lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f"{digits(2)}:{digits(2)}", lambda: f"{digits(1)}.{digits(1)}.{digits(1)}", lambda: f"${digits(3)}.{digits(2)}", lambda: "|",
         lambda: 'token = "' + "".join(r.choice(list("0123456789abcdef"), 30)) + '"', lambda: f"https://{word()}.{word()}.com/{word()}?{word()}={digits(3)}", lambda: f"({word()})", lambda: f"@{word()}", lambda: f"+{digits(2)}%", lambda: "at", lambda: "dot", lambda: digits(int(r.integers(6, 10))), lambda: f"AKIA{word().upper()}{digits(6)}",
+        lambda: f"{word()} at {word()}", lambda: f"{digits(2)}/{digits(2)}/{digits(4)}", lambda: f"{digits(3)},{digits(3)},{digits(3)}.{digits(2)}", lambda: f"{digits(2)} {digits(2)} {digits(2)}", lambda: f"{digits(3)}-{digits(2)}", lambda: f"({digits(4)})", lambda: f"{digits(1)}.{digits(2)} {digits(1)}.{digits(2)} {digits(1)}.{digits(2)} {digits(1)}.{digits(2)}", lambda: f"{digits(3)}-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}", lambda: digits(int(r.integers(10, 14))),
     )
     out = []
     for _ in range(n):
         text, spans = "", []
         while len(text) < width:
-            if r.random() < 0.16:
-                shown, kind = made[r.integers(4)]()
+            if r.random() < 0.2:
+                kind, make = made[r.integers(len(made))]
+                shown = make()
                 spans.append((len(text), len(text) + len(shown), kind))
             else:
                 shown = plain[r.integers(len(plain)) if r.random() < 0.4 else r.integers(8)]()
-            text += shown + ("\n" if r.random() < 0.05 else " ")
+            text += shown + str(r.choice(["\n", ", ", ". ", " ", " ", " ", " ", " ", " ", " "]))
         out.append((text, spans))
     return out
 
@@ -323,9 +384,10 @@ def _columns(labelled: list[tuple[str, list[tuple[int, int, int]]]], width: int)
 
 
 @lru_cache(maxsize=4)
-def trained(n: int = 1500, width: int = 72, seed: int = 3) -> Tagger:
+def trained(n: int = 1600, width: int = 72, seed: int = 3) -> Tagger:
     """The tagger learnt from labelled_windows(n, width, seed): the same at each call."""
     tagger = Tagger()
+    tagger.p = {k: v.astype(np.float32) for k, v in tagger.p.items()}
     tagger.train(*_columns(labelled_windows(n, width, seed), width))
     return tagger
 
@@ -333,54 +395,118 @@ def trained(n: int = 1500, width: int = 72, seed: int = 3) -> Tagger:
 # --- whole texts -----------------------------------------------------------
 
 
-def tag_texts(tagger: Tagger, texts: list[str]) -> list[np.ndarray]:
-    """The tag of each character of each text, from overlapping windows."""
+def _wanted(text: str) -> list[int]:
+    """Starts of the windows to read: those that hold a trigger, and their neighbours."""
     hop = WINDOW - 2 * MARGIN
-    where = [(i, s) for i, t in enumerate(texts) for s in range(0, max(1, len(t) - 2 * MARGIN), hop) if t]
+    count = max(1, -(-(len(text) - 2 * MARGIN) // hop))
+    hit = np.zeros(count + 2, bool)
+    for m in _TRIGGER.finditer(text):
+        last = min(m.start() // hop, count - 1)
+        hit[last : last + 3] = True  # its own window, the one before (in whose overlap it may lie) and the one behind
+    return [hop * int(k) for k in np.flatnonzero(hit[1:-1])]
+
+
+def tag_texts(tagger: Tagger, texts: list[str]) -> list[np.ndarray]:
+    """The tag of each character of each text: blended emissions of overlapping windows, one best path for the whole text."""
+    hop, lap = WINDOW - 2 * MARGIN, 2 * MARGIN
+    where = [(i, s) for i, t in enumerate(texts) if t for s in _wanted(t)]
     out = [np.zeros(len(t), np.int8) for t in texts]
-    codes = [char_classes(t) for t in texts]
+    if not where:
+        return out
+    ems = {i: np.full((len(texts[i]), _TAGS), -1e3, np.float32) for i, _ in where}
+    for e in ems.values():
+        e[:, 0] = 0
+    codes = {i: char_classes(texts[i]) for i in ems}
+    rise = ((np.arange(lap) + 0.5) / lap).astype(np.float32)[:, None]
+    last: tuple[int, int, np.ndarray | None] = (-1, -1, None)
     for lo in range(0, len(where), BATCH):
         part = where[lo : lo + BATCH]
         grid = np.zeros((len(part), WINDOW), np.intp)
         for j, (i, s) in enumerate(part):
             c = codes[i][s : s + WINDOW]
             grid[j, : len(c)] = c
-        tags = tagger.decode(tagger.emissions(np.ascontiguousarray(grid.T)))
-        for j in np.flatnonzero(tags.any(axis=0)):
-            i, s = part[j]
-            a = s + MARGIN if s else 0
-            b = s + WINDOW - MARGIN if s + WINDOW < len(texts[i]) else len(texts[i])
-            out[i][a:b] = tags[a - s : b - s, j]
+        found = np.ascontiguousarray(tagger.emissions(np.ascontiguousarray(grid.T)).transpose(2, 0, 1))
+        for j, (i, s) in enumerate(part):
+            e, own = ems[i], found[j][: len(texts[i]) - s]
+            tail = last[2] if last[:2] == (i, s - hop) else None
+            e[s : s + WINDOW] = own
+            if tail is not None:
+                n = min(lap, len(own))
+                e[s : s + n] = rise[:n] * own[:n] + (1 - rise[:n]) * tail[:n]
+            last = (i, s, found[j][hop:])
+    for i, path in zip(ems, tagger.paths(list(ems.values())), strict=True):
+        out[i] = path
     return out
 
 
-def _shape_fits(shown: str, kind: int) -> bool:
-    n = len(_DIGIT.findall(shown))
+_AT = re.compile(r"\x20*[(\[{<]\x20*at\x20*[)\]}>]\x20*|\x20+at\x20+", re.I)
+_DOT = re.compile(r"\x20*[(\[{<]\x20*(?:dot|\.)\x20*[)\]}>]\x20*|\x20+dot\x20+", re.I)
+_ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_NUMBER = re.compile("[0-9]+")
+_WORD = re.compile(r"\S+")
+
+
+def _valid(shown: str, kind: int) -> bool:
+    """Whether what is written, in whatever layout, can be of its kind."""
     if kind == 0:
-        return len(shown) >= 8 and bool(re.search(r"[A-Za-z0-9]\x20?([\[(]at[\])]|@)\x20?[A-Za-z0-9].*(\.|[\[(]dot[\])])\x20?[A-Za-z]{2}", shown))
-    if kind == 3:
-        return 10 <= n <= 15 and bool(re.fullmatch(r"\(?[0-9]{3,4}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{3,4}", shown))
-    return False  # a valid IP or card number in any writing is already the rules'
+        return bool(_ADDRESS.fullmatch(_DOT.sub(".", _AT.sub("@", shown))))
+    numbers = _NUMBER.findall(shown)
+    if kind == 1:
+        return len(numbers) == 4 and all(int(x) <= 255 for x in (y[-9:] for y in numbers)) and all(len(x.lstrip("0")) <= 3 for x in numbers) and not any(c.isalpha() for c in shown)
+    digits = "".join(numbers)
+    if any(c.isalpha() for c in shown):
+        return False
+    return 14 <= len(digits) <= 19 and luhn(digits) if kind == 2 else 10 <= len(digits) <= 15
+
+
+def _within(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
+    """A span, then the spans without one to SPARE of its outer words, the fewest left out first."""
+    words = [(a + m.start(), a + m.end()) for m in _WORD.finditer(text[a:b])] if b - a <= 4 * WINDOW else [(a, b)]
+    for total in range(min(SPARE + 1, len(words))):
+        for left in range(total + 1):
+            x, y = words[left][0], words[len(words) - 1 - total + left][1]
+            while y > x and text[y - 1] in ".,;:!?":
+                y -= 1
+            yield x, y
 
 
 def model_spans(tags: np.ndarray, text: str, taken: list[tuple[int, int, int, bool]]) -> list[tuple[int, int, int]]:
-    """Runs of one tag, trimmed of space, that touch none of taken and have their kind's shape."""
+    """Runs of one tag, trimmed of space, that touch none of taken and are valid."""
     if not tags.any():
         return []
     edge = np.flatnonzero(np.diff(np.concatenate(([0], tags, [0]))))
-    out = []
-    for a, b in zip(edge[:-1], edge[1:], strict=True):
-        if not tags[a]:
-            continue
+    kept = [x for x in taken if x[3]]
+    starts, ends = [x[0] for x in kept], list(accumulate((x[2] for x in kept), max))
+    out, last = [], 0
+    runs = [(a, b, int(tags[a]) - 1) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True) if tags[a]]
+    joined: list[tuple[int, int, int]] = []
+    for a, b, kind in runs:  # what the path parts by less than a word is one span
+        if joined and joined[-1][2] == kind and a - joined[-1][1] <= JOIN:
+            joined[-1] = (joined[-1][0], b, kind)
+        else:
+            joined.append((a, b, kind))
+    tried = sorted({*joined, *runs}, key=lambda x: (x[0], -x[1]))
+    for a, b, kind in tried:
         while a < b and text[a].isspace():
             a += 1
         while b > a and (text[b - 1].isspace() or text[b - 1] in ".,;:"):
             b -= 1
-        kind = int(tags[a]) - 1 if a < b else -1
-        alone = not any(x[0] < b and a < x[2] for x in taken if x[3] or x[1] != 2 or kind != 3)
-        bounded = (a == 0 or not (text[a - 1].isalnum() or text[a - 1] in "+-.")) and (b == len(text) or not text[b].isalnum())
-        if kind >= 0 and alone and bounded and _shape_fits(text[a:b], kind):
-            out.append((int(a), kind, int(b)))
+        if a >= b or a < last:
+            continue
+        # an end within a word or number goes to its end
+        least, most = max(last, a - WINDOW), min(len(text), b + WINDOW)
+        while a > least and (text[a - 1].isalnum() or kind == 0 and text[a - 1] in "._%+-"):
+            a -= 1
+        while b < most and text[b].isalnum():
+            b += 1
+        for x, y in _within(text, a, b):
+            upto = bisect_left(starts, y)
+            alone = not upto or ends[upto - 1] <= x
+            bounded = (x == 0 or not (text[x - 1].isalnum() or text[x - 1] in "+-.")) and (y == len(text) or not text[y].isalnum())
+            if alone and bounded and _valid(text[x:y], kind):
+                out.append((x, kind, y))
+                last = y
+                break
     return out
 
 

@@ -2,9 +2,11 @@
 
 import hashlib
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from kinetrace.llm import langid, pii, quality, queries
@@ -94,21 +96,64 @@ def test_tagger_gradients_and_exact_decoding():
             down = tagger.step(classes, tags)[0]
             v[at] = keep
             assert abs((up - down) / 2e-5 - g[k][at]) < 1e-4 + 0.02 * abs(g[k][at])
-    em = r.normal(0, 2, (9, 5, 30)).astype(np.float32)
-    em[:, 0] += 3
-    best = tagger.decode(em)
-    for j in range(30):
-        path = [((em[0, t, j]), [t]) for t in range(5)]
-        for s in range(1, 9):
-            path = [max((v + tagger.p["t"][p[-1], t] + em[s, t, j], [*p, t]) for v, p in path) for t in range(5)]
-        assert max(path)[1] == best[:, j].tolist()
-
-
-def test_tagger_held_out():
-    tagger = pii.trained()
-    classes, tags = pii._columns(pii.labelled_windows(200, 72, 77), 72)
-    got = tagger.decode(tagger.emissions(classes))
-    assert (got == tags)[tags > 0].mean() > 0.9 and (got == tags)[tags == 0].mean() > 0.96
+
+
+def best_path(em, move):
+    """Viterbi of one text as a plain recursion, tag 0 before and after; the best score."""
+    score = em[0] + move[0]
+    for e in em[1:]:
+        score = (score[:, None] + move).max(axis=0) + e
+    return (score + move[:, 0]).max()
+
+
+def test_paths_are_best_over_whole_texts():
+    """Islands and stretches that are passed over give a path with the score of the best one."""
+    r = np.random.default_rng(4)
+    tagger = pii.Tagger(seed=2, hidden=3)
+    tagger.p["t"] = r.normal(0, 1, (5, 5)) + np.eye(5) * 2
+    ems = []
+    for k in range(60):
+        n = int(r.integers(1, 400))
+        em = r.normal(0, 2, (n, 5)).astype(np.float32)
+        em[:, 0] += 8 * (np.sin(np.arange(n) / r.integers(5, 60)) > r.uniform(-1, 1)) + (k % 3)
+        ems.append(em)
+    ems.append(np.full((300, 5), -1e3, np.float32))
+    ems[-1][:, 0] = 0
+    move = tagger.p["t"].astype(np.float32)
+    for em, path in zip(ems, tagger.paths(ems), strict=True):
+        ends = np.r_[0, path, 0]
+        score = em[np.arange(len(em)), path].sum() + move[ends[:-1], ends[1:]].sum()
+        assert abs(score - best_path(em, move)) < 1e-2 + 1e-5 * abs(score)
+
+
+def test_recall_of_every_writing():
+    """Spans found exactly, in prose of the sample table, by way of writing."""
+    tagger, r = pii.trained(), np.random.default_rng(1234)
+    prose = [t for t in pq.read_table(f"{SMALL}/documents.parquet")["text"].to_pylist() if t and 200 < len(t) < 5000][:60]
+    for name, (kind, make) in pii.writings(r).items():
+        texts, want = [], []
+        for _ in range(80):
+            words, shown = prose[r.integers(len(prose))].split(" "), make()
+            before = " ".join(words[: len(words) // 2])[-300:]
+            texts.append(f"{before} {shown} {' '.join(words[len(words) // 2 :])[:300]}")
+            want.append((len(before) + 1, kind, len(before) + 1 + len(shown)))
+        found = [all_ for _, all_ in pii._spans(tagger, texts)]
+        assert np.mean([w in f for w, f in zip(want, found, strict=True)]) >= 0.9, name
+    added = sum(len(all_) - len(base) for base, all_ in pii._spans(tagger, prose))
+    assert added <= 2
+
+
+def test_many_matches_take_linear_time():
+    def seconds(n):
+        text = "mail ab@cd.ef or 0123 456789 " * n
+        tags = pii.tag_texts(pii.trained(), [text])[0]
+        matches = pii.rule_matches(text)
+        began = time.perf_counter()
+        pii.model_spans(tags, text, matches)
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert seconds(8000) < 16 * seconds(1000) + 0.2
 
 
 def test_windows_cover_long_texts():
