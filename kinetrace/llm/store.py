@@ -17,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one for each application where that is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         app = spark.sparkContext.applicationId
         folder = _own.setdefault(app, None) or tempfile.mkdtemp(prefix="spark-")
         _own[app] = folder
@@ -42,7 +44,7 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     """df, with Arrow batches to Python workers held to BATCH_BYTES in its session: by rows alone a batch of long texts has no bound."""
     conf = df.sparkSession.conf
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    number, unit = re.fullmatch(r"(\d+)([bkmg]?)b?", conf.get(name).lower()).groups()
-    if int(number) << {"k": 10, "m": 20, "g": 30}.get(unit, 0) > BATCH_BYTES:
+    number, unit = re.fullmatch(r"(\d+)([bkmgtp]?)i?b?", conf.get(name).strip().lower()).groups()
+    if int(number) << {"k": 10, "m": 20, "g": 30, "t": 40, "p": 50}.get(unit, 0) > BATCH_BYTES:
         conf.set(name, str(BATCH_BYTES))
     return df

@@ -1,6 +1,7 @@
 """Chat formatting, secret scan and mixing against brute force."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -192,6 +193,35 @@ def test_mix_odd_rows(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mix_of_many_sources(spark, monkeypatch):
+    """More sources than are broadcast, several runs of the draw, a source with a third of the rows."""
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 5)
+    monkeypatch.setattr(mixing, "CHUNK", 8)
+    r = random.Random(8)
+    rows = [(i, " ".join(["w"] * r.randint(0, 30)), "en", "hot" if i % 3 == 0 else f"s{r.randint(0, 40)}") for i in range(900)]
+    mixed = mixing.mix(documents(spark, rows), shards=4)
+    got = mixed.collect()
+    assert len(got) == 900 and sorted(got) == sorted(mixing.mix(documents(spark, rows[::-1]), shards=4).collect())
+    check_mix(got)
+    shards = [sum(t.words for x in got for t in x.takes if t.shard == k) for k in range(4)]
+    assert max(shards) < 1.3 * min(shards)
+
+
+def test_runs_of_the_draw_have_the_exact_distribution(monkeypatch):
+    """Totals of runs drawn first, then each run's sources: as one draw over all sources."""
+    have, n = np.array([4, 3, 5, 2]), 4000
+    seen = Counter()
+    for k in range(n):
+        _, left = mixing.split_tree(np.array([7, 7]), 2, [k])
+        takes = left[0, 2]
+        parts = [mixing.split_tree(have[2 * i : 2 * i + 2], 2, [k, 1 + i], {(0, 2): int(takes[i])})[0][0] for i in (0, 1)]
+        seen[tuple(int(x) for p in parts for x in p)] += 1
+    for want in itertools.product(*[range(x + 1) for x in have]):
+        if sum(want) == 7:
+            p = math.prod(math.comb(int(a), b) for a, b in zip(have, want)) / math.comb(14, 7)
+            assert abs(seen[want] / n - p) < 5 * (p / n) ** 0.5 + 1e-3
+
+
 def test_split_quotas_are_exact():
     counts = [5, 0, 1000, 37]
     q = mixing.split_quotas(counts, 16, 3)
