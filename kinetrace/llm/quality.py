@@ -19,8 +19,9 @@ The host is the source up to the first slash; the path is the rest of the source
 
 Edge cases: null text is empty and has only style figures; null source or lang
 make a site of their own. Without labels nothing is rejected on evidence (both
-heads give PRIOR). Labels with null marks are not used; a document with several
-labels counts as often. Repeated rows each count. Columns named like an output column are replaced.
+heads give PRIOR). Labels with null marks are not used; of several labels of a document
+the majority counts (a tie is bad, or toxic), of several texts with one id the one with the least hash is
+learnt from. Repeated rows each count in their sites. Columns named like an output column are replaced.
 """
 
 from __future__ import annotations
@@ -38,7 +39,9 @@ from kinetrace.llm.words import PUNCTUATION, slices, word_hashes
 FIT_ROWS = 20_000
 DIMS = 1 << 16
 THRESHOLD, PRIOR = 0.5, 0.05
-BROADCAST_SITES = 20_000
+BROADCAST_SITES, SALTS = 20_000, 32
+#: A word is chosen if its share differs between classes by so many standard errors; at most so many for each head.
+STRONG, MOST_WORDS = 4.0, 300
 #: Of a path's shift against the global share, the part that counts as evidence on a document.
 SITE_WEIGHT = 0.5
 OUTPUTS = ("p_bad", "p_toxic", "site_rate", "quality", "keep")
@@ -107,26 +110,29 @@ def _ridge_logistic(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 25
     return w
 
 
-def train(lists: list[np.ndarray], style: np.ndarray, labels: np.ndarray, strong: float = 4.0, most: int = 300, ridge: float = 0.2) -> Classifier:
-    """Ridge logistic regression on style and the words whose frequency differs by strong standard errors; labels has a column for each head."""
+def chosen_words(have: np.ndarray, among: np.ndarray, n: int, yes: int) -> np.ndarray:
+    """Buckets whose frequency differs most between yes of n documents and the rest; have and among count documents by bucket."""
+    if not 0 < yes < n:
+        return np.zeros(0, np.int64)
+    rate = have / n
+    error = np.sqrt(rate * (1 - rate) * (1 / yes + 1 / (n - yes))) + 1e-9
+    z = np.where(have >= 5, np.abs(among / yes - (have - among) / (n - yes)) / error, 0)
+    pick = np.argsort(-z, kind="stable")[:MOST_WORDS]
+    return pick[z[pick] >= STRONG]
+
+
+def train(lists: list[np.ndarray], style: np.ndarray, labels: np.ndarray, picked: list[np.ndarray], ridge: float = 0.2) -> Classifier:
+    """Ridge logistic regression on style and the words picked for each head; labels has a column for each head."""
     n = len(lists)
     flat, doc = np.concatenate(lists), np.repeat(np.arange(n), [len(x) for x in lists])
     squares = _squares(style)
     mean, spread = squares.mean(axis=0), squares.std(axis=0) + 1e-3
     words, weights, bias = np.zeros((DIMS, 2)), np.zeros((squares.shape[1], 2)), np.zeros(2)
-    have = np.bincount(flat, minlength=DIMS)
     for k in (0, 1):
-        y = labels[:, k]
-        yes = y.sum()
-        if not 0 < yes < n:
-            bias[k] = _odds(yes / n)
+        y, pick = labels[:, k], picked[k]
+        if not 0 < y.sum() < n:
+            bias[k] = _odds(y.mean())
             continue
-        among = np.bincount(flat, weights=y[doc], minlength=DIMS)
-        rate = have / n
-        error = np.sqrt(rate * (1 - rate) * (1 / yes + 1 / (n - yes))) + 1e-9
-        z = np.where(have >= 5, np.abs(among / yes - (have - among) / (n - yes)) / error, 0)
-        pick = np.argsort(-z, kind="stable")[:most]
-        pick = pick[z[pick] >= strong]
         column = np.full(DIMS, -1)
         column[pick] = np.arange(len(pick))
         x = np.zeros((n, len(pick) + squares.shape[1] + 1))
@@ -148,7 +154,8 @@ def _odds(p: float) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Classifier | None:
     """A classifier from about fit_rows labelled rows; None if there are none."""
-    marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").select("doc_id", "quality", "toxic")
+    marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id")
+    marks = marks.agg((F.avg((F.col("quality") == 0).cast("int")) >= 0.5).alias("bad"), (F.avg((F.col("toxic") == 1).cast("int")) >= 0.5).alias("toxic"))
     total = marks.count()
     if total > fit_rows:
         marks = marks.where(F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 40)) < int((1 << 40) * fit_rows / total))
@@ -157,16 +164,27 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Classif
         for b in batches:
             for lo, hi, data, offsets in slices(b["text"]):
                 lists, style = features(data, offsets)
-                yield pa.RecordBatch.from_arrays([b["doc_id"][lo:hi], b["quality"][lo:hi], b["toxic"][lo:hi], pa.array([x.astype(np.int32) for x in lists], pa.list_(pa.int32())), pa.array(list(style), pa.list_(pa.float64()))], names=["doc_id", "quality", "toxic", "words", "style"])
+                yield pa.RecordBatch.from_arrays([b["doc_id"][lo:hi], b["bad"][lo:hi], b["toxic"][lo:hi], pa.array([x.astype(np.int32) for x in lists], pa.list_(pa.int32())), pa.array(list(style), pa.list_(pa.float64()))], names=["doc_id", "bad", "toxic", "words", "style"])
 
-    marked = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("doc_id", "quality", "toxic", "text")
+    found = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id")
+    marked = found.groupBy("doc_id", "bad", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     kind = fields(marked.drop("text"), "words array<int>, style array<double>")
-    rows = marked.mapInArrow(read, kind).toArrow().sort_by([("doc_id", "ascending")])  # fit_rows rows of DIMS words at most
-    if not len(rows):
+    sample = saved(marked.mapInArrow(read, kind), "marked")
+    counts = sample.select("bad", "toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("have"), F.count_if("bad").alias("bad"), F.count_if("toxic").alias("toxic")).toArrow()  # DIMS rows at most
+    sums = sample.agg(F.count("*").alias("n"), F.count_if("bad").alias("bad"), F.count_if("toxic").alias("toxic")).first()
+    if not sums.n:
         return None
+    have, among = np.zeros(DIMS), {h: np.zeros(DIMS) for h in ("bad", "toxic")}
+    at = counts["word"].to_numpy()
+    have[at] = counts["have"].to_numpy()
+    for h in among:
+        among[h][at] = counts[h].to_numpy()
+    picked = [chosen_words(have, among[h], sums.n, sums[h]) for h in among]
+    wanted = F.lit([int(x) for x in np.unique(np.concatenate(picked))]).cast("array<int>")
+    rows = sample.withColumn("words", F.array_intersect("words", wanted)).toArrow().sort_by([("doc_id", "ascending")])  # fit_rows rows of 2 * MOST_WORDS words at most
     lists = [np.asarray(x, np.int64) for x in rows["words"].to_numpy(zero_copy_only=False)]
-    labels_ = np.stack([rows["quality"].to_numpy() == 0, rows["toxic"].to_numpy() == 1], axis=1).astype(float)
-    return train(lists, np.stack(rows["style"].to_numpy(zero_copy_only=False)), labels_)
+    marks_ = np.stack([rows["bad"].to_numpy(zero_copy_only=False), rows["toxic"].to_numpy(zero_copy_only=False)], axis=1).astype(float)
+    return train(lists, np.stack(rows["style"].to_numpy(zero_copy_only=False)), marks_, picked)
 
 
 def evidence(docs: DataFrame, model: Classifier | None) -> DataFrame:
@@ -199,8 +217,8 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def site_posteriors(scored: DataFrame) -> DataFrame:
-    """(host, path, host_rate, site_rate, base_rate) from rows with host, path, p_bad and p_toxic."""
+def site_table(scored: DataFrame) -> tuple[DataFrame, dict[str, float]]:
+    """(host, path, good, n, h_good, h_n) from rows with host, path, p_bad and p_toxic; good and n of all, and the strength of either prior."""
     good = (1 - F.col("p_bad")) * (1 - F.col("p_toxic"))
     paths = saved(scored.groupBy("host", "path").agg(F.sum(good).alias("good"), F.count("*").alias("n")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("good").alias("h_good"), F.sum("n").alias("h_n"))
@@ -219,25 +237,48 @@ def site_posteriors(scored: DataFrame) -> DataFrame:
         between = max((r.ss - r.chance) / r.n, 1e-6)
         return float(np.clip(r.base / r.n / between, 2.0, 10_000.0))
 
-    total = paths.agg(F.coalesce(F.sum("good") / F.sum("n"), F.lit(1 - PRIOR))).first()[0]
-    k_host = strength(hosts, "h_good", "h_n", F.lit(float(total)))
-    hosts = hosts.withColumn("host_rate", (F.col("h_good") + k_host * total) / (F.col("h_n") + k_host))
-    known = paths.alias("p").join(hosts.alias("h"), F.col("p.host").eqNullSafe(F.col("h.host"))).select("p.*", "host_rate")
-    k_path = strength(known, "good", "n", F.col("host_rate"))
-    return known.select("host", "path", "host_rate", ((F.col("good") + k_path * F.col("host_rate")) / (F.col("n") + k_path)).alias("site_rate"), F.lit(float(total)).alias("base_rate"))
+    sums = paths.agg(F.coalesce(F.sum("good"), F.lit(0.0)).alias("good"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    base = sums.good / sums.n if sums.n else 1 - PRIOR
+    k_host = strength(hosts, "h_good", "h_n", F.lit(float(base)))
+    known = paths.alias("p").join(hosts.alias("h"), F.col("p.host").eqNullSafe(F.col("h.host"))).select("p.*", "h_good", "h_n")
+    k_path = strength(known, "good", "n", (F.col("h_good") + k_host * base) / (F.col("h_n") + k_host))
+    return known, {"good": float(sums.good), "n": float(sums.n), "k_host": k_host, "k_path": k_path}
+
 
+def rates(known: dict[str, float], site: dict[str, Column], own: Column, count: int) -> tuple[Column, Column]:
+    """Posterior shares of a path and of all documents, without count documents whose good is own; site: good, n, h_good and h_n."""
+    rest = known["n"] - count
+    base = (known["good"] - own) / rest if rest > 0 else F.lit(1 - PRIOR)
+    host = (site["h_good"] - own + known["k_host"] * base) / (site["h_n"] - count + known["k_host"])
+    return (site["good"] - own + known["k_path"] * host) / (site["n"] - count + known["k_path"]), base
 
-def assess(docs: DataFrame, labels: DataFrame, model: Classifier | None = None) -> DataFrame:
-    """docs with p_bad, p_toxic, site_rate, quality (posterior of being acceptable) and keep."""
+
+def assess(docs: DataFrame, labels: DataFrame, model: Classifier | None = None, columns: list[str] | None = None) -> DataFrame:
+    """columns of docs (all by default) with p_bad, p_toxic, site_rate (without the document), quality (posterior of being acceptable) and keep.
+
+    Without text among the columns each text is scored once and the scores are stored; with it, scored again in the result.
+    """
     docs = docs.drop(*OUTPUTS)
+    columns = docs.columns if columns is None else columns
     model = model or fit(docs, labels)
-    scored = evidence(docs, model).withColumns({"__host": host_of(F.col("source")), "__path": path_of(F.col("source"), F.col("lang"))})
-    slim = evidence(docs.select("text", "source", "lang"), model).select(host_of(F.col("source")).alias("host"), path_of(F.col("source"), F.col("lang")).alias("path"), "p_bad", "p_toxic")
-    sites = saved(site_posteriors(slim).select(F.col("host").alias("__s_host"), F.col("path").alias("__s_path"), F.col("site_rate").alias("__rate"), F.col("base_rate").alias("__base")), "sites")
-    small = F.broadcast if sites.count() <= BROADCAST_SITES else lambda df: df
-    rows = scored.join(small(sites), F.col("__host").eqNullSafe(F.col("__s_host")) & F.col("__path").eqNullSafe(F.col("__s_path")), "left")
-    own = _logit((1 - F.col("p_bad")) * (1 - F.col("p_toxic")))
-    posterior = own + F.lit(SITE_WEIGHT) * (_logit(F.col("__rate")) - _logit(F.col("__base")))
+    placed = {"__host": host_of(F.col("source")), "__path": path_of(F.col("source"), F.col("lang"))}
+    scored = evidence(docs, model).withColumns(placed)
+    slim = scored.select(*[f"`{c}`" for c in columns if c != "text"], "__host", "__path", "p_bad", "p_toxic")
+    if "text" not in columns:
+        scored = slim = saved(slim, "scored")
+    else:
+        slim = evidence(docs.select("text", "source", "lang"), model).withColumns(placed)
+    table, known = site_table(slim.select(F.col("__host").alias("host"), F.col("__path").alias("path"), "p_bad", "p_toxic"))
+    sites = saved(table.select(*[F.col(c).alias(f"__s_{c}") for c in table.columns]), "sites")
+    here = F.col("__host").eqNullSafe(F.col("__s_host")) & F.col("__path").eqNullSafe(F.col("__s_path"))
+    if sites.count() <= BROADCAST_SITES:
+        rows = scored.join(F.broadcast(sites), here)
+    else:  # a site of many rows is spread over SALTS tasks
+        salted = sites.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = scored.withColumn("__mine", F.pmod(F.xxhash64("p_bad", "p_toxic", "doc_id"), F.lit(SALTS)).cast("int")).join(salted, here & (F.col("__mine") == F.col("__salt")))
+    good = (1 - F.col("p_bad")) * (1 - F.col("p_toxic"))
+    site, base = rates(known, {c: F.col(f"__s_{c}") for c in ("good", "n", "h_good", "h_n")}, good, 1)
+    posterior = _logit(good) + F.lit(SITE_WEIGHT) * (_logit(site) - _logit(base))
     quality = 1 / (1 + F.exp(-posterior))
     keep = (quality >= THRESHOLD) & (F.col("p_toxic") < THRESHOLD)
-    return rows.select(*[f"`{c}`" for c in docs.columns], "p_bad", "p_toxic", F.col("__rate").alias("site_rate"), quality.alias("quality"), keep.alias("keep"))
+    return rows.select(*[f"`{c}`" for c in columns], "p_bad", "p_toxic", site.alias("site_rate"), quality.alias("quality"), keep.alias("keep"))

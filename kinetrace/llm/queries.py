@@ -41,7 +41,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality.assess(_read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), _read(spark, sf_dir, "labels"))
+    found = quality.assess(_read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), _read(spark, sf_dir, "labels"), columns=["doc_id"])
     return found.select("doc_id", "quality", "p_bad", "p_toxic", "site_rate", "keep")
 
 

@@ -1,12 +1,16 @@
 """The trained operators: held-out accuracy, whole texts, odd rows."""
 
 import hashlib
+import math
+import random
 import re
 import time
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from kinetrace.llm import langid, pii, quality, queries
@@ -184,11 +188,130 @@ def test_quality_toxic_words(spark):
     assert quality.assess(docs.limit(0), labels).count() == 0
 
 
-def test_site_shrinkage(spark):
+def brute_quality(rows):
+    """(site_rate, quality) of each (host, path, p_bad, p_toxic) by plain sums, each row's own share left out."""
+    good = [(1 - b) * (1 - t) for _, _, b, t in rows]
+    paths, hosts = defaultdict(lambda: [0.0, 0]), defaultdict(lambda: [0.0, 0])
+    for g, (h, p, _, _) in zip(good, rows, strict=True):
+        for table, key in ((paths, (h, p)), (hosts, h)):
+            table[key][0] += g
+            table[key][1] += 1
+    total, n = sum(good), len(rows)
+
+    def strength(members):  # (sum, number, parent's mean)
+        ss = sum(k * (s / k - m) ** 2 for s, k, m in members)
+        chance, base = sum(m * (1 - m) for _, _, m in members), sum(k * m * (1 - m) for _, k, m in members)
+        return float(np.clip(base / n / max((ss - chance) / n, 1e-6), 2, 10_000))
+
+    k_host = strength([(s, k, total / n) for s, k in hosts.values()])
+    k_path = strength([(s, k, (hosts[h][0] + k_host * total / n) / (hosts[h][1] + k_host)) for (h, _), (s, k) in paths.items()])
+    logit = lambda p: math.log(min(max(p, 1e-4), 1 - 1e-4) / (1 - min(max(p, 1e-4), 1 - 1e-4)))
+    for g, (h, p, _, _) in zip(good, rows, strict=True):
+        base = (total - g) / (n - 1)
+        host = (hosts[h][0] - g + k_host * base) / (hosts[h][1] - 1 + k_host)
+        site = (paths[h, p][0] - g + k_path * host) / (paths[h, p][1] - 1 + k_path)
+        yield site, 1 / (1 + math.exp(-(logit(g) + quality.SITE_WEIGHT * (logit(site) - logit(base)))))
+
+
+@pytest.mark.parametrize("sites", [20_000, 3])
+def test_posteriors_match_brute_force(spark, monkeypatch, sites):
+    """Both joins, null hosts and paths, a site of one row."""
+    monkeypatch.setattr(quality, "BROADCAST_SITES", sites)
+    r = np.random.default_rng(6)
+    rows = [(i, None, str(r.choice(["en", "de"])), [None, "a/x/1", "a/y/2", "b/x/3", "c"][min(int(r.integers(0, 9)), 4)], 0) for i in range(300)] + [(300, None, None, "lone/z/1", 0)]
+    marks = {i: (float(r.beta(1, 4)), float(r.beta(1, 9))) for i, *_ in rows}
+    chances = spark.createDataFrame([(i, *m) for i, m in marks.items()], "doc_id long, p_bad double, p_toxic double")
+    monkeypatch.setattr(quality, "evidence", lambda docs, model: docs.join(chances, "doc_id"))
+    got = {x.doc_id: x for x in quality.assess(documents(spark, rows), spark.createDataFrame([], "doc_id long, quality int, toxic int"), quality.Classifier(np.zeros((4, 2)), np.zeros((16, 2)), np.zeros(2)), ["doc_id", "source"]).collect()}
+    assert len(got) == 301
+    split = lambda s, lang: (None, lang) if s is None else (s.split("/")[0], s.split("/")[1] if s.count("/") > 1 else lang)
+    want = brute_quality([(*split(s, lang), *marks[i]) for i, _, lang, s, _ in rows])
+    for (i, *_), (site, q) in zip(rows, want, strict=True):
+        assert abs(got[i].site_rate - site) < 1e-9 and abs(got[i].quality - q) < 1e-9 and got[i].keep == (q >= 0.5 and marks[i][1] < 0.5)
+
+
+def test_sparse_sites_shrink(spark):
     rows = [("a", "x", 0.1, 0.0)] * 500 + [("a", "y", 0.9, 0.0)] * 2 + [("b", "x", 0.9, 0.0)] * 500 + [(None, None, 0.5, 0.0)]
-    got = {(r.host, r.path): r for r in quality.site_posteriors(spark.createDataFrame(rows, "host string, path string, p_bad double, p_toxic double")).collect()}
-    assert got["a", "x"].site_rate > 0.85 and got["b", "x"].site_rate < 0.15
-    assert got["a", "y"].site_rate > got["b", "x"].site_rate + 0.2 and len(got) == 4
+    table, known = quality.site_table(spark.createDataFrame(rows, "host string, path string, p_bad double, p_toxic double"))
+    site, _ = quality.rates(known, {c: F.col(c) for c in ("good", "n", "h_good", "h_n")}, F.lit(0.0), 0)
+    got = {(r.host, r.path): r.rate for r in table.withColumn("rate", site).collect()}
+    assert got["a", "x"] > 0.85 and got["b", "x"] < 0.15 and got["a", "y"] > got["b", "x"] + 0.2 and len(got) == 4
+
+
+def test_sample_of_labels_stays_bounded(spark):
+    """Repeated rows of one labelled id, several labels of one id, more labels than are fitted."""
+    rows = [(i, f"good words {i} " * 5 if i % 2 else f"bad stuff {i} " * 5, "en", "s", 0) for i in range(200)] + [(1, "x y z", "en", "s", 0)] * 300
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)] + [(1, 1, 0)] * 50, "doc_id long, quality int, toxic int")
+    model = quality.fit(documents(spark, rows), labels, 80)
+    got = quality.evidence(documents(spark, [(900, "good words 7 good", "en", "s", 0), (901, "bad stuff 7", "en", "s", 0)]), model).orderBy("doc_id").collect()
+    assert got[0].p_bad < 0.5 < got[1].p_bad
+
+
+def brute_language(rows, model):
+    """The best language and its score by sets of n-grams that the filter holds, corrected by the filter's own fill."""
+    for text in rows:
+        data = text.encode()
+        folded = " " + "".join(chr(c).lower() if chr(c).isascii() and chr(c).isalpha() else chr(c) if c >= 128 else " " for c in data) + " "
+        grams = [g for g in (folded[i : i + langid.N] for i in range(len(folded) - langid.N + 1)) if "  " not in g]
+        if not grams:
+            yield model.langs[0], 0.0
+            continue
+        counts = []
+        for k in range(len(model.langs)):
+            fill = float(((model.words[k // 64] >> model.words.dtype.type(k % 64)) & model.words.dtype.type(1)).mean())
+            found = 0
+            for g in grams:
+                value = np.array([sum(ord(c) << (8 * i) for i, c in enumerate(g))], np.uint32)
+                found += all(int(model.words[k // 64][int(s[0])]) >> (k % 64) & 1 for s in langid._slots(value))
+            chance = fill**langid.K
+            counts.append(min(max((found / len(grams) - chance) / (1 - chance), 0), 1))
+        best = max(range(len(counts)), key=lambda k: (counts[k], -k))
+        yield model.langs[best], counts[best]
+
+
+def brute_held(rows):
+    """N-grams that each language holds, by plain counting."""
+    counts = defaultdict(Counter)
+    for text, lang in rows:
+        folded = " " + "".join(chr(c).lower() if chr(c).isascii() and chr(c).isalpha() else chr(c) if c >= 128 else " " for c in text.encode()) + " "
+        counts[lang].update(g for g in (folded[i : i + langid.N] for i in range(len(folded) - langid.N + 1)) if "  " not in g)
+    share = {lang: {g: n / c.total() for g, n in c.items()} for lang, c in counts.items()}
+    top = defaultdict(float)
+    for c in share.values():
+        for g, p in c.items():
+            top[g] = max(top[g], p)
+    return {lang: {g for g, p in share[lang].items() if p >= langid.SHARE * top[g] and counts[lang][g] >= langid.MIN_COUNT} for lang in counts}
+
+
+def test_language_matches_brute_force(spark):
+    """The filter holds what plain counting says, and predictions follow from it as they should."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    learn = docs.where(~langid.held_out(F.col("doc_id")))
+    model = langid.fit(learn.select("doc_id", "text", "lang"))
+    rows = [(r.text, r.lang) for r in learn.collect() if r.text is not None and r.lang is not None]
+    held = brute_held(rows)
+    assert sorted(model.langs) == sorted(held) and model.rows == [sum(x == lang for _, x in rows) for lang in model.langs]
+    value = lambda g: np.array([sum(ord(c) << (8 * i) for i, c in enumerate(g))], np.uint32)
+    for k, lang in enumerate(model.langs):
+        slots = np.unique(np.concatenate([np.concatenate(langid._slots(value(g))) for g in held[lang]]))
+        bits = np.flatnonzero((model.words[0] >> model.words.dtype.type(k)) & model.words.dtype.type(1))
+        assert np.array_equal(slots, bits)
+    texts = {r.doc_id: r.text for r in docs.collect() if r.text and any(c.isalpha() for c in r.text) and len(r.text) < 4000}
+    got = {r.doc_id: r for r in queries.op2_language_id(spark, SMALL).collect()}
+    for i, (lang, score) in zip(texts, brute_language(texts.values(), model), strict=True):
+        assert got[i].lang_pred == lang and abs(got[i].score - score) < 1e-9
+
+
+def test_more_than_64_languages(spark):
+    r = random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    vocabulary = {k: ["".join(r.choice(letters) for _ in range(7)) for _ in range(12)] for k in range(70)}
+    rows = [(1000 * j + k, " ".join(r.choices(words, k=60)), f"l{k:02}") for k, words in vocabulary.items() for j in range(3)]
+    model = langid.fit(documents(spark, [(*x, "s", 0) for x in rows]))
+    assert len(model.langs) == 70 and model.words.shape[0] == 2
+    tests = [(k, " ".join(r.choices(words, k=30))) for k, words in vocabulary.items()]
+    got = {x.doc_id: x.lang_pred for x in langid.identify(documents(spark, tests), model, ["doc_id"]).collect()}
+    assert all(got[k] == f"l{k:02}" for k in range(70))
 
 
 def test_word_hashes_agree_with_split():
