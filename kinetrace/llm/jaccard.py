@@ -14,13 +14,16 @@ have makes no candidate by itself. Two sets with different m need the smaller on
 
 1. Count: one map over the texts sums up the sketch.
 2. Share: a second map gives each prefix shingle with its class; a grouped min
-   and max finds the shingles that two classes share. They are marked in a bitmap of fixed size.
+   and max finds the shingles that two classes share. They are marked in a bitmap
+   sized by their number, up to a bound.
 3. Pick: a third map keeps the sets of those texts whose prefix for that least m has
    m shared shingles (only they can have a link), with the class of every text.
 4. Among these sets shingles that occur once are found in the same way and put
    first in the order: they match nothing, so each shortens what its set can still
    reach, and the sets that cannot reach any link go.
-5. Stars: for each shared shingle the sets in its postings are compared with the
+5. Stars: only the shingles that come first in a prefix, one more than a set can
+   spare, have postings from here on; two sets that link share one of these. For each
+   shared shingle the sets in its postings are compared with the
    one that has the fewest unshared shingles. A large group of near copies
    falls together here, by one comparison per set and shingle at most.
 6. Rest: where the postings of a shingle still lie in two or more groups, the sets
@@ -33,8 +36,12 @@ have makes no candidate by itself. Two sets with different m need the smaller on
    their lengths and places allow a link.
 7. Components of all links by smallest labels and pointer jumping.
 
+Keys with many rows (a shingle of many sets, the hub of a large group, a set of many
+copies, a large component) are joined in parts, see store.spread_join().
+
 Bitmap hits by chance only let more sets through; no step drops a possible link.
-Shingles and classes are 64-bit hashes; comparisons carry 48 bits of each shingle.
+Shingles are 64-bit hashes; comparisons carry 48 bits of each. Classes have two such
+hashes: sets that share the first but not the second are told apart.
 
 Edge cases: a null or empty text, or one without words, has an empty set and
 links with nothing; with fewer than K words the whole sequence is one shingle.
@@ -51,10 +58,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinetrace.llm.store import bounded_batches, saved
+from kinetrace.llm.store import bounded_batches, hot_keys, saved, spread_join
 from kinetrace.llm.words import mix, shingles, slices, word_hashes
 
-SKETCH_BITS, BITMAP_BITS = 22, 25
+SKETCH_BITS = 22
+#: Bits of a bitmap for each shingle in it, and the least and most there may be (as powers of two; 64 MB at most).
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 18, 29
 #: Matches that a prefix may stand for, as shares of the shingles that a set can spare; the first is the least.
 MATCHES = (0.5, 1.0)
 #: Cost of comparing two sets against reading one posting.
@@ -84,8 +93,8 @@ def _unpacked(raw: pa.Scalar | bytes) -> np.ndarray:
     return out.view(_U).ravel()
 
 
-def _class(tokens: np.ndarray) -> int:
-    total = mix(tokens + _U(0x5DEECE66D)).sum(dtype=_U) + _U(len(tokens))
+def _class(tokens: np.ndarray, salt: int = 0x5DEECE66D) -> int:
+    total = mix(tokens + _U(salt)).sum(dtype=_U) + _U(len(tokens))
     return int(mix(np.array([total], _U)).view(np.int64)[0])
 
 
@@ -164,27 +173,31 @@ def _frequent(docs: DataFrame, k: int) -> _Order:
     return _Order(found["slot"].to_numpy(), found["n"].to_numpy())
 
 
-def _bits(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    low = _U((1 << BITMAP_BITS) - 1)
-    return (tokens & low).astype(np.int64), ((tokens >> _U(BITMAP_BITS)) & low).astype(np.int64)
+class _Bitmap:
+    """Which tokens may be marked: two bits for each, in 2**size."""
 
+    def __init__(self, size: int, packed: np.ndarray):
+        self.size, self.packed = size, packed
 
-def _shared_bitmap(rows: DataFrame) -> np.ndarray:
-    """From (token, cls): a packed bitmap of the tokens that two classes have."""
-    shared = rows.groupBy("token").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a < b").select("token")
-    low = (1 << BITMAP_BITS) - 1
-    bit = shared.select(F.explode(F.array(F.col("token").bitwiseAND(low), F.shiftrightunsigned("token", BITMAP_BITS).bitwiseAND(low))).alias("bit"))
-    words = bit.groupBy(F.expr("bit div 32").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 AS INT))")).alias("mask")).toArrow()
-    out = np.zeros(1 << (BITMAP_BITS - 5), np.uint32)  # of fixed size, as is what is collected
-    out[words["word"].to_numpy()] = words["mask"].to_numpy().astype(np.uint32)
-    return out
+    def __call__(self, tokens: np.ndarray) -> np.ndarray:
+        out = np.ones(len(tokens), bool)
+        for shift in (0, 32):
+            bit = ((tokens >> _U(shift)) & _U((1 << self.size) - 1)).astype(np.int64)
+            out &= ((self.packed[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
+        return out
 
 
-def _marked(bitmap: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    out = np.ones(len(tokens), bool)
-    for bit in _bits(tokens):
-        out &= ((bitmap[bit >> 5] >> (bit & 31).astype(np.uint32)) & np.uint32(1)).astype(bool)
-    return out
+def _shared_bitmap(rows: DataFrame) -> _Bitmap:
+    """From (token, cls): a bitmap of the tokens that two classes have."""
+    shared = saved(rows.groupBy("token").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a < b").select("token"), "shared")
+    size = min(max(LEAST_BITS, (BITS_EACH * shared.count()).bit_length()), MOST_BITS)
+    low = (1 << size) - 1
+    bit = shared.select(F.explode(F.array(F.col("token").bitwiseAND(low), F.shiftrightunsigned("token", 32).bitwiseAND(low))).alias("bit")).select((F.col("bit") + 1).alias("bit"))
+    parts = bit.groupBy(F.bitmap_bucket_number("bit").alias("no")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).toArrow()  # 2**size bits at most
+    out = np.zeros(1 << (size - 3), np.uint8)
+    for no, bits in zip(parts["no"].to_pylist(), parts["bits"].to_pylist(), strict=True):
+        out[(no - 1) * 4096 : no * 4096] = np.frombuffer(bits, np.uint8)[: max(0, len(out) - (no - 1) * 4096)]
+    return _Bitmap(size, out)
 
 
 def _postings(docs: DataFrame, order: object, k: int, percent: int) -> DataFrame:
@@ -209,32 +222,43 @@ def _postings(docs: DataFrame, order: object, k: int, percent: int) -> DataFrame
 
 
 def _picked(docs: DataFrame, order: object, shared: object, k: int, percent: int) -> DataFrame:
-    """doc_id, n and cls of each row, and the tokens of the sets that may have a link."""
+    """doc_id, n, cls and its second hash of each row, and the tokens of the sets that may have a link."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, cls, raw, done, size = [], [], [], 0, 0
+            n, cls, other, raw, done, size = [], [], [], [], 0, 0
 
             def table(b: pa.RecordBatch = b) -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([b["doc_id"][done : done + len(n)], pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "n", "cls", "tokens"])
+                return pa.RecordBatch.from_arrays([b["doc_id"][done : done + len(n)], pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(other, pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "n", "cls", "other", "tokens"])
 
             for _, tokens in _sets(b["text"], k):
                 end, m = least_prefix(len(tokens), percent)
                 prefix = order.value.prefix(tokens, percent)[0][:end]
-                keep = len(tokens) > 0 and int(_marked(shared.value, prefix).sum()) >= m
+                keep = len(tokens) > 0 and int(shared.value(prefix).sum()) >= m
                 n.append(len(tokens))
                 cls.append(_class(tokens))
+                other.append(_class(tokens, 0x2545F4914F6CDD1D))
                 raw.append(tokens.tobytes() if keep else None)
                 size += len(raw[-1] or b"")
                 if size > 1 << 23:
                     yield table()
                     done += len(n)
-                    n, cls, raw, size = [], [], [], 0
+                    n, cls, other, raw, size = [], [], [], [], 0
             if n:
                 yield table()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(read, f"doc_id {kind}, n long, cls long, tokens binary")
+    return docs.select("doc_id", "text").mapInArrow(read, f"doc_id {kind}, n long, cls long, other long, tokens binary")
+
+
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """rows in which sets with one first hash and different second ones have classes of their own; of 10**10 sets some three do."""
+    seconds = rows.groupBy("cls").agg(F.min("other").alias("least"), F.max("other").alias("most")).where("least < most").select("cls", "least")
+    seconds = saved(seconds, "seconds")
+    if not seconds.limit(1).count():
+        return rows.drop("other")
+    apart = rows.join(seconds, "cls", "left").withColumn("cls", F.when(F.col("other") != F.col("least"), F.xxhash64("cls", "other")).otherwise(F.col("cls")))
+    return saved(apart.drop("other", "least"), "rows")
 
 
 def _tokens_of(sets: DataFrame) -> DataFrame:
@@ -264,7 +288,7 @@ def _narrowed(sets: DataFrame, order: object, shared: object, percent: int) -> D
                     continue
                 seen.add(cls)
                 tokens = np.frombuffer(raw.as_buffer(), _U)
-                tokens = tokens[_marked(shared.value, tokens)]
+                tokens = tokens[shared.value(tokens)]
                 unshared = n - len(tokens)
                 prefix, m = order.value.prefix(tokens, percent, unshared)
                 if len(prefix) >= m:
@@ -276,12 +300,13 @@ def _narrowed(sets: DataFrame, order: object, shared: object, percent: int) -> D
     return sets.mapInArrow(read, "cls long, n long, unshared long, m long, tokens binary, prefix binary")
 
 
-def _entries(sets: DataFrame) -> DataFrame:
-    """token, cls, n, unshared, m and place of each prefix shingle."""
+def _entries(sets: DataFrame, percent: int) -> DataFrame:
+    """token, cls, n, unshared, m and place of the first prefix shingles of each set, one more than it can spare."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = [_unpacked(p) for p in b["prefix"]]
+            first = [n - least_overlap(n, percent) - u + 1 for n, u in zip(b["n"].to_pylist(), b["unshared"].to_pylist(), strict=True)]
+            lists = [_unpacked(p)[:k] for p, k in zip(b["prefix"], first, strict=True)]
             row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
             at = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(x)) for x in lists]])
             columns = {c: b[c].to_numpy()[row] for c in ("cls", "n", "unshared", "m")}
@@ -300,8 +325,8 @@ def _may_link(percent: int) -> Column:
     return lengths & (before + after >= need)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of classes that link."""
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, hot: DataFrame | None = None) -> DataFrame:
+    """Those of the pairs (a, b) of classes that link; hot: the b of many pairs."""
     left = sets.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("x"))
     right = sets.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("y"))
 
@@ -316,18 +341,20 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([batch["a"].take(pa.array(keep, pa.int64())), batch["b"].take(pa.array(keep, pa.int64()))], names=["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").mapInArrow(compare, "a long, b long")
+    return spread_join(pairs.join(left, "a"), right, "b", hot).select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component): for each node of the links (a, b) the smallest node that it reaches."""
     both = saved(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
+    hubs = hot_keys(both, "b")
     labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        lower = labels.join(near, "node").select("node", F.least("component", "near").alias("new"), F.col("component").alias("old"))
+        near = spread_join(both, labels.select(F.col("node").alias("b"), "component"), "b", hubs).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        lower = saved(labels.join(near, "node").select("node", F.least("component", "near").alias("new"), F.col("component").alias("old")), "lower")
         jump = lower.select(F.col("node").alias("new"), F.col("new").alias("root"))
-        stepped = saved(lower.join(jump, "new").select("node", F.least("new", "root").alias("component"), (F.least("new", "root") != F.col("old")).alias("moved")), "labels")
+        found = spread_join(lower, jump, "new", hot_keys(lower, "new"))
+        stepped = saved(found.select("node", F.least("new", "root").alias("component"), (F.least("new", "root") != F.col("old")).alias("moved")), "labels")
         labels = stepped.select("node", "component")
         if not stepped.where("moved").limit(1).count():
             return labels
@@ -387,22 +414,31 @@ def links_and_rows(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[Data
     share = bounded_batches(docs).sparkSession.sparkContext.broadcast
     order = share(_frequent(docs, k))
     shared = share(_shared_bitmap(_postings(docs, order, k, percent)))
-    rows = saved(_picked(docs, order, shared, k, percent), "rows")
+    rows = _told_apart(saved(_picked(docs, order, shared, k, percent), "rows"))
     picked = rows.where("tokens IS NOT NULL").select("cls", "n", "tokens")
     shared = share(_shared_bitmap(_tokens_of(picked)))
     sets = saved(_narrowed(picked, order, shared, percent).dropDuplicates(["cls"]), "sets")
-    entries = saved(_entries(sets), "entries")
+    return links_of(sets, saved(_entries(sets, percent), "entries"), percent), rows.select("doc_id", "n", "cls")
 
+
+def links_of(sets: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join all classes which are linked, directly or in steps.
+
+    sets: cls, n, unshared, m, tokens and prefix (packed); entries: token, cls, n,
+    unshared, m and place of the shingles by which candidates are sought. Both are stored tables.
+    """
     hub = F.min_by(F.struct("cls", "n", "unshared", "place"), F.struct("unshared", F.xxhash64("cls"))).alias("b")
-    stars = entries.groupBy("token").agg(hub, F.count("*").alias("df")).where("df > 1").select("token", "b.*")
-    star_pairs = entries.alias("a").join(stars.alias("b"), "token").where((F.col("a.cls") != F.col("b.cls")) & _may_link(percent))
-    star_links = saved(_verified(star_pairs.select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct(), sets.select("cls", "n", "tokens"), percent), "links")
+    stars = saved(entries.groupBy("token").agg(hub, F.count("*").alias("df")).where("df > 1").select("token", "b.*", "df"), "stars")
+    lines = hot_keys(entries, "token")
+    met = spread_join(entries.select("token", F.struct("cls", "n", "unshared", "place").alias("a")), stars.select("token", F.struct("cls", "n", "unshared", "place").alias("b")), "token", lines)
+    star_pairs = met.where((F.col("a.cls") != F.col("b.cls")) & _may_link(percent)).select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct()
+    star_links = saved(_verified(star_pairs, sets.select("cls", "n", "tokens"), percent, hot_keys(stars.select(F.col("cls").alias("b"), "df"), "b", "df")), "links")
 
     groups = components(star_links)
     entries = saved(entries.join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("grp", F.coalesce("component", "cls")).drop("component"), "entries")
     least = F.min_by(F.struct("cls", "grp"), F.struct("unshared", F.xxhash64("cls")))
     mixed = entries.groupBy("token").agg(least.alias("h"), F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count("*").alias("all")).where("lo != hi")
-    open_ = saved(entries.join(mixed.select("token", F.col("h.cls").alias("hub"), F.col("h.grp").alias("hub_grp"), "all"), "token"), "open")
+    open_ = saved(spread_join(entries, mixed.select("token", F.col("h.cls").alias("hub"), F.col("h.grp").alias("hub_grp"), "all"), "token", lines), "open")
     # postings so long that even one set beside each is many pairs go by blocks; in the others, the few pairs are joined
     near = saved(open_.where(F.col("all") > LONG).select("cls", "grp", "hub", "hub_grp").distinct(), "near")
     blocked = _between_groups(near, sets.select("cls", "n", "m", "tokens", "prefix"), percent)
@@ -411,7 +447,7 @@ def links_and_rows(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[Data
     pairs = short.where("grp != hub_grp").alias("a").join(short.alias("b"), F.col("a.token") == F.col("b.token")).where((F.col("a.grp") != F.col("b.grp")) & once & _may_link(percent))
     pairs = pairs.select(F.least("a.cls", "b.cls").alias("a"), F.greatest("a.cls", "b.cls").alias("b")).distinct()
     rest = saved(blocked.union(_verified(pairs, sets.select("cls", "n", "tokens"), percent)), "links")
-    return star_links.union(rest), rows.select("doc_id", "n", "cls")
+    return star_links.union(rest)
 
 
 def linked_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -419,10 +455,11 @@ def linked_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     links, rows = links_and_rows(docs, k, percent)
     classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc"))
     groups = components(links).withColumnRenamed("node", "cls")
-    grouped = classes.join(groups, "cls", "left").withColumn("grp", F.coalesce("component", "cls"))
-    smallest = grouped.groupBy("grp").agg(F.min("doc").alias("component_id"))
-    of_class = grouped.join(smallest, "grp").select("cls", "component_id")
-    found = rows.join(of_class, "cls", "left")
+    large = hot_keys(groups, "component")
+    grouped = classes.join(groups, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    smallest = grouped.groupBy("component").agg(F.min("doc").alias("component_id"))
+    of_class = spread_join(grouped, smallest, "component", large).select("cls", "component_id")
+    found = spread_join(rows, of_class, "cls", hot_keys(rows, "cls"), "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

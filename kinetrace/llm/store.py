@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -48,3 +49,31 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     if int(number) << {"k": 10, "m": 20, "g": 30, "t": 40, "p": 50}.get(unit, 0) > BATCH_BYTES:
         conf.set(name, str(BATCH_BYTES))
     return df
+
+
+#: A key is hot if it has more rows than this, and than a share of 1 in MOST_HOT of all rows.
+HOT_ROWS, MOST_HOT = 500, 5000
+
+
+def hot_keys(df: DataFrame, key: str, weight: str | None = None) -> DataFrame | None:
+    """(key, __parts) of the hot keys of a stored table: MOST_HOT rows at most. None if there are none.
+
+    weight: a column that says for how many rows a row counts.
+    """
+    n = F.sum(weight) if weight else F.count("*")
+    total = df.agg(n).first()[0] or 0
+    limit = max(HOT_ROWS, total // MOST_HOT)
+    found = df.groupBy(key).agg(n.alias("__n")).where(F.col("__n") > limit).select(key, F.ceil(F.col("__n") / limit).cast("int").alias("__parts")).collect()
+    kind = T.StructType([df.schema[key], T.StructField("__parts", T.IntegerType())])
+    return df.sparkSession.createDataFrame(found, kind) if found else None
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """left joined to right on key, where right has few rows for each key: a hot key's rows on the left go to several tasks, its rows on the right to each of them."""
+    if hot is None:
+        return left.join(right, key, how)
+    rest = [c for c in left.columns if c != key]
+    parts = F.coalesce("__parts", F.lit(1))
+    spread = left.join(F.broadcast(hot), key, "left").withColumn("__part", F.pmod(F.xxhash64(*rest), parts).cast("int")).drop("__parts")
+    copied = right.join(F.broadcast(hot), key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return spread.join(copied, [key, "__part"], how).drop("__part")

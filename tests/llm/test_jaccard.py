@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from kinetrace.llm import jaccard, queries
+from kinetrace.llm import jaccard, queries, store
 
 from .conftest import documents
 
@@ -107,3 +107,33 @@ def test_least_prefix_holds_for_every_partner(percent):
                 spare = size - jaccard.least_overlap(size, percent)
                 assert 1 <= m <= min(jaccard.matches(size, spare, share) for share in jaccard.MATCHES)
         assert end == n - jaccard.least_overlap(n, percent) + m
+
+
+def test_hot_keys_are_joined_in_parts(spark, monkeypatch):
+    """With nearly every key hot, results stay the same."""
+    monkeypatch.setattr(store, "HOT_ROWS", 2)
+    monkeypatch.setattr(jaccard, "LONG", 3)
+    r = random.Random(3)
+    line = " ".join("l%d" % i for i in range(30))
+    base = ["w%d" % i for i in range(60)]
+    texts = [" ".join(base[:i] + ["x%d" % r.randrange(5)] + base[i + 1 :]) for i in range(50)] + [line] * 40 + [line + " " + " ".join("v%d" % r.randrange(300) for _ in range(6)) for _ in range(40)] + [None, ""]
+    check(documents(spark, list(enumerate(texts))), 4, 85)
+
+
+def test_spread_join(spark, monkeypatch):
+    monkeypatch.setattr(store, "HOT_ROWS", 10)
+    left = spark.createDataFrame([(1 if i < 300 else i, i) for i in range(400)] + [(None, 7)], "k long, v long")
+    right = spark.createDataFrame([(k, k * 10) for k in range(0, 390)], "k long, w long")
+    hot = store.hot_keys(left, "k")
+    assert [(r.k, r[1]) for r in hot.collect()] == [(1, 30)] and store.hot_keys(right, "k") is None
+    for how in ("inner", "left"):
+        want, got = left.join(right, "k", how), store.spread_join(left, right, "k", hot, how)
+        assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_sets_with_one_hash_are_told_apart(spark, monkeypatch):
+    """All classes collide in their first hash: the second one parts them."""
+    rows = spark.createDataFrame([(i, 4, 77, i // 2, None) for i in range(10)], "doc_id long, n long, cls long, other long, tokens binary")
+    got = {r.doc_id: r.cls for r in jaccard._told_apart(rows).collect()}
+    assert len(got) == 10 and len(set(got.values())) == 5 and all(got[2 * i] == got[2 * i + 1] for i in range(5))
+    assert jaccard._told_apart(rows.where("doc_id < 2")).columns == ["doc_id", "n", "cls", "tokens"]
