@@ -1,23 +1,30 @@
 """Document fingerprints by spot signatures.
 
-A spot signature is a common word (an anchor) with the chain of the next CHAIN
-content words that follow it; its hash is kept in 32 bits. A fingerprint is the
-set of a text's signatures, as sorted hex words. Prose has many anchors, lists
-and boilerplate few, so that what counts is running text. A text with fewer than
-LEAST signatures takes every word as an anchor, chained to the words that follow.
-The likeness of two fingerprints is the Jaccard index of their sets.
-
-near_duplicates() compares fingerprints: sets are dealt into partitions by
-length, so that sets of one pair lie in the same or the next partition at the
-wanted threshold; within them only sets that share one of their rarest
-signatures and whose lengths allow the threshold are compared, and a comparison
-stops at the first position from which the threshold is out of reach.
+A spot signature is an anchor with the chain of the next CHAIN content words that
+follow it; its hash is kept in 32 bits. Anchors are common words, every word whose
+hash falls in one of EVERY classes, and the text's start; all other words are content.
+A fingerprint is the set of a text's signatures, as sorted hex words. Prose has many
+anchors, lists and boilerplate few, so that what counts is running text; the rule is
+the same for texts of any length. The likeness of two fingerprints is the
+Jaccard index of their sets.
+
+near_duplicates() compares fingerprints: sets are partitioned by length, so that
+sets of one pair lie in the same or the next partition at the wanted threshold;
+within them only sets that share one of their first signatures and whose lengths
+and places allow the threshold are compared, first with the set that stands for a
+posting, then in blocks (see jaccard.links_of()), and a comparison of two sets stops
+where the threshold is out of reach. Copies and pairs within a group are never
+written out: the result is a class for each fingerprint.
+
+fingerprint_edits() needs each text's follower. Texts are dealt into ranges of about
+RANGE_BYTES in the order of their ids, each its own task, with the first row of the next range as a
+guest; each text is shuffled once. The bounds come from at most about BOUND_ROWS rows drawn by hash.
 
 Words are runs of letters, digits and non-ASCII characters, A-Z and À-Þ in lower case.
 
 Edge cases: null counts as an empty text; a text without words has an empty
 fingerprint, like only to another empty one (likeness 1). In the descending
-order null ids come last, equal ids by text; after the last row comes the first.
+order null ids come last, equal ids by the first HEAD characters of their texts; after the last row comes the first.
 A table of one row follows itself. Other columns are kept or ignored as stated.
 """
 
@@ -31,7 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinetrace.llm.store import bounded_batches, fields, saved
+from kinetrace.llm.jaccard import _entries, _packed, components, least_overlap, links_of
+from kinetrace.llm.store import bounded_batches, fields, hot_keys, saved, spread_join
 from kinetrace.llm.words import PUNCTUATION, mix, slices, word_hashes
 
 # Common words of six languages.
@@ -43,7 +51,8 @@ ANCHORS = tuple(
     che da del della di e gli il in la le nel non per si sono un una
     com da das do dos e em na não no o os para por que se um uma""".split()
 )
-CHAIN, LEAST = 2, 4
+CHAIN, EVERY = 2, 16
+RANGE_BYTES, MOST_RANGES, BOUND_ROWS, HEAD = 32 << 20, 1 << 16, 100_000, 32
 _U = np.uint64
 _STEP = (_U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB))
 
@@ -62,7 +71,7 @@ def _is_anchor(words: np.ndarray) -> np.ndarray:
     maybe = np.flatnonzero(out)
     at = np.searchsorted(_ANCHOR_SET, words[maybe])
     out[maybe] = _ANCHOR_SET[np.minimum(at, len(_ANCHOR_SET) - 1)] == words[maybe]
-    return out
+    return out | (words % _U(EVERY) == 0)
 
 
 def _signatures(words: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
@@ -80,19 +89,17 @@ def _signatures(words: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
         values = mix(values + words[at] * _STEP[1 + i % 2])
         inside &= at < first[doc + 1]
     values, doc = (mix(values) >> _U(32)).astype(np.uint32)[inside], doc[inside]
-    ends = np.searchsorted(doc, np.arange(texts + 1))
-    out = []
-    for i in range(texts):
-        found = np.unique(values[ends[i] : ends[i + 1]])
-        if len(found) < LEAST and first[i + 1] > first[i]:
-            w = words[first[i] : first[i + 1]]
-            n = max(1, len(w) - CHAIN)
-            every = w[:n] * _STEP[0]
-            for k in range(1, min(CHAIN, len(w) - 1) + 1):
-                every = mix(every + w[k : k + n] * _STEP[1 + (k - 1) % 2])
-            found = np.unique((mix(every + _U(1)) >> _U(32)).astype(np.uint32))
-        out.append(found)
-    return out
+    # each text's start, with the words that follow it, whatever they are
+    some = np.flatnonzero(np.diff(first) > 0)
+    starts = np.full(len(some), _U(0x51ED270B))
+    for i in range(CHAIN + 1):
+        at = first[some] + i
+        here = at < first[some + 1]
+        starts = np.where(here, mix(starts + words[np.minimum(at, max(0, len(words) - 1))] * _STEP[i % 3]), starts)
+    values, doc = np.concatenate([values, (mix(starts) >> _U(32)).astype(np.uint32)]), np.concatenate([doc, some])
+    order = np.argsort(doc, kind="stable")
+    values, ends = values[order], np.searchsorted(doc[order], np.arange(texts + 1))
+    return [np.unique(values[ends[i] : ends[i + 1]]) for i in range(texts)]
 
 
 def fingerprints(texts: pa.Array) -> list[np.ndarray]:
@@ -124,26 +131,49 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _dealt(docs: DataFrame, parts: int | None) -> DataFrame | None:
+def _dealt(docs: DataFrame, range_bytes: int) -> DataFrame | None:
     """(doc_id, text, range, guest) in runs of descending doc_id, a guest behind each run; None for an empty table.
 
-    Ids are dealt into ranges whose upper bounds are ids that occur. The row at
-    an upper bound is dealt to the next higher range too, to follow that range's
-    last row; so each text is shuffled once, and each range is one sorted run.
+    Rows are ordered by a key of their id, the head of the text and, so that equal rows
+    spread too, the partition they were read in. Ranges are parted by keys that occur:
+    a range's first row is dealt to the one before it as well, and the very first row to the last range.
     """
     rows = bounded_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    parts = parts or max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000).alias("q"), F.max("doc_id").alias("top"), F.count("*").alias("n")).first()
-    if not found.n:
+    number = F.coalesce(F.bitwise_not(F.col("doc_id").cast("long")), F.lit(0).cast("long"))
+    key = F.struct(F.col("doc_id").isNull().alias("a"), number.alias("b"), F.substring("text", 1, HEAD).alias("c"), F.spark_partition_id().alias("d"))
+    keyed = rows.withColumn("key", key)
+    narrow = keyed.select("key", F.octet_length("text").cast("long").alias("bytes"))
+    total = narrow.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("key").alias("first")).first()
+    if not total.n:
         return None
-    bounds = sorted({int(x) for x in found.q or []} - {found.top})
-    edges = F.array(*[F.lit(b) for b in bounds]).cast("array<long>")
-    low = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.size(F.filter(edges, lambda b: b < F.col("doc_id"))))
-    own = F.struct(low.alias("range"), F.lit(0).alias("guest"))
-    above = F.when(F.col("doc_id").isin(bounds), F.struct((low + 1).alias("range"), F.lit(1).alias("guest"))) if bounds else F.lit(None).cast("struct<range:int,guest:int>")
-    wrap = F.when(F.col("doc_id").eqNullSafe(F.lit(found.top)), F.struct(F.lit(0).alias("range"), F.lit(2).alias("guest")))
-    dealt = rows.select("doc_id", "text", F.explode(F.array_compact(F.array(own, above, wrap))).alias("d")).select("doc_id", "text", "d.range", "d.guest")
-    return dealt.repartition(len(bounds) + 1, "range").sortWithinPartitions("range", "guest", F.col("doc_id").desc_nulls_last(), "text")
+    ranges = int(min(MOST_RANGES, max(1, -(-total.bytes // range_bytes))))
+    bounds: list[tuple] = []
+    if ranges > 1:
+        drawn = narrow if total.n <= BOUND_ROWS else narrow.where(F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(1 << 40)) < int((1 << 40) * BOUND_ROWS / total.n))
+        seen = sorted((tuple(r.key), r.bytes) for r in drawn.collect())  # BOUND_ROWS rows or so
+        upto = np.cumsum([0, *[n for _, n in seen]])
+        at = np.unique(np.searchsorted(upto, upto[-1] * np.arange(1, ranges) / ranges))
+        bounds = sorted({seen[min(int(i), len(seen) - 1)][0] for i in at} - {tuple(total.first)})
+    kind = "struct<a:boolean,b:bigint,c:string,d:int>"
+    lit = lambda k: F.struct(F.lit(k[0]).alias("a"), F.lit(k[1]).cast("long").alias("b"), F.lit(k[2]).alias("c"), F.lit(k[3]).cast("int").alias("d")).cast(kind)
+    # of several hundred bounds, first the block, then the place in it
+    width = max(1, int(len(bounds) ** 0.5))
+    blocks = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+    below = lambda items: F.size(F.filter(F.array(*[lit(k) for k in items]).cast(f"array<{kind}>"), lambda x: x <= F.col("key")))
+    if len(blocks) <= 1:
+        low = below(bounds) if bounds else F.lit(0)
+    else:
+        block = below([b[0] for b in blocks])
+        table = F.array(*[F.array(*[lit(k) for k in b[1:]]).cast(f"array<{kind}>") for b in blocks])
+        inside = F.size(F.filter(F.get(table, F.greatest(block - 1, F.lit(0))), lambda x: x <= F.col("key")))
+        low = F.when(block == 0, 0).otherwise((block - 1) * width + 1 + inside)
+    placed = keyed.withColumn("range", low.cast("int"))
+    own = F.struct(F.col("range"), F.lit(0).alias("guest"))
+    is_first = F.col("key").isin(*[lit(k) for k in bounds]) if len(bounds) <= 64 else F.array_contains(F.array(*[lit(k) for k in bounds]), F.col("key"))
+    ahead = F.when(is_first, F.struct((F.col("range") - 1).alias("range"), F.lit(1).alias("guest"))) if bounds else F.lit(None).cast("struct<range:int,guest:int>")
+    wrap = F.when(F.col("key") == lit(tuple(total.first)), F.struct(F.lit(len(bounds)).alias("range"), F.lit(1).alias("guest")))
+    dealt = placed.select("doc_id", "text", "key", F.explode(F.array_compact(F.array(own, ahead, wrap))).alias("d")).select("doc_id", "text", "key", "d.range", "d.guest")
+    return dealt.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("guest", "key", "text").select("doc_id", "text", "range", "guest")
 
 
 def _pairs(batches: Iterator[pa.RecordBatch], size: int = 1 << 21) -> Iterator[tuple[list[int | None], list[str], list[str]]]:
@@ -167,9 +197,9 @@ def _pairs(batches: Iterator[pa.RecordBatch], size: int = 1 << 21) -> Iterator[t
         yield ids, texts, nexts
 
 
-def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
+def with_next(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(doc_id, text, next_text) in descending order of doc_id, where the first follows the last."""
-    dealt = _dealt(docs, parts)
+    dealt = _dealt(docs, range_bytes)
     schema = "doc_id long, text string, next_text string"
     if dealt is None:
         return docs.sparkSession.createDataFrame([], schema)
@@ -181,9 +211,9 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     return dealt.mapInArrow(read, schema)
 
 
-def fingerprint_edits(docs: DataFrame) -> DataFrame:
+def fingerprint_edits(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of each row."""
-    dealt = _dealt(docs, None)
+    dealt = _dealt(docs, range_bytes)
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     if dealt is None:
         return docs.sparkSession.createDataFrame([], schema)
@@ -225,30 +255,42 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(fingerprint_a, fingerprint_b, likeness) with a < b: the pairs of different non-empty fingerprints at or above threshold.
+    """docs with fingerprint, n_signatures and class_id: the smallest doc_id reachable by fingerprints whose likeness is threshold or more.
 
-    Documents with equal fingerprints share one; fingerprint_documents() has the membership.
+    A document with an empty fingerprint is in a class with the others of that kind, as is any group of
+    equal fingerprints. Links between different fingerprints are found by links_between().
     """
-    sets = saved(fingerprint_documents(docs.select("text")).where("n_signatures > 0").select("fingerprint", F.col("n_signatures").alias("n")).distinct(), "spots")
-    sets = sets.withColumn("id", F.xxhash64("fingerprint")).withColumn("range", F.floor(F.log("n") / F.log(F.lit(1 / threshold))).cast("int"))
-    each = sets.select("id", "n", "range", F.explode(F.array_distinct(F.regexp_extract_all("fingerprint", F.lit("........"), F.lit(0)))).alias("spot"))
-    counts = each.groupBy("spot").agg(F.count("*").alias("df"))
-    ranked = each.join(counts.where("df > 1"), "spot").groupBy("id", "n", "range").agg(F.array_sort(F.collect_list(F.struct("df", "spot"))).alias("spots"))
-    # spots that no other set has come first in the order of rarity and match nothing
-    spare = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("spots"))
-    prefix = ranked.where(spare > 0).select("id", "n", "range", F.explode(F.slice("spots", F.lit(1), spare.cast("int"))).alias("s")).select("id", "n", "range", "s.spot")
-    right = prefix.select(F.col("id").alias("id_b"), F.col("n").alias("n_b"), F.explode(F.array("range", F.col("range") + 1)).alias("range"), "spot")
-    left = prefix.withColumnsRenamed({"id": "id_a", "n": "n_a"})
-    close = (F.col("n_b") <= F.col("n_a")) & (F.col("n_b") >= threshold * F.col("n_a") - 1e-9) & ((F.col("n_b") < F.col("n_a")) | (F.col("id_a") < F.col("id_b")))
-    pairs = left.join(right, ["range", "spot"]).where(close).select("id_a", "id_b").distinct()
-    both = pairs.join(sets.select(F.col("id").alias("id_a"), F.col("fingerprint").alias("x")), "id_a").join(sets.select(F.col("id").alias("id_b"), F.col("fingerprint").alias("y")), "id_b")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            xs, ys = b["x"].to_pylist(), b["y"].to_pylist()
-            like = [likeness(np.frombuffer(bytes.fromhex(x), ">u4"), np.frombuffer(bytes.fromhex(y), ">u4")) for x, y in zip(xs, ys, strict=True)]
-            rows = [(min(x, y), max(x, y), v) for x, y, v in zip(xs, ys, like, strict=True) if v >= threshold - 1e-9]
-            cols = list(zip(*rows, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64())], names=["fingerprint_a", "fingerprint_b", "likeness"])
+    rows = saved(fingerprint_documents(docs).withColumn("__cls", F.xxhash64("fingerprint")), "fingerprints")
+    links = links_between(rows.select("fingerprint", "n_signatures"), threshold)
+    groups = components(links).withColumnRenamed("node", "__cls")
+    hot = hot_keys(groups, "component")
+    classes = rows.groupBy("__cls").agg(F.min("doc_id").alias("__doc")).join(groups, "__cls", "left").withColumn("component", F.coalesce("component", "__cls"))
+    least = classes.groupBy("component").agg(F.min("__doc").alias("class_id"))
+    of_class = spread_join(classes.select("__cls", "component"), least, "component", hot).select("__cls", "class_id")
+    found = spread_join(rows, of_class, "__cls", hot_keys(rows, "__cls"), "left")
+    return found.select(*[f"`{c}`" for c in rows.columns if c != "__cls"], "class_id")
+
+
+def links_between(prints: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) of hashed fingerprints that join all whose likeness is threshold or more, directly or in steps.
+
+    Sets are partitioned by length: partition r holds lengths from threshold**-r up. A
+    set's first signatures, one more than it can spare, are sought in its own and the next
+    partition, so that two sets whose lengths allow a link meet in one of them.
+    """
+    percent = round(100 * threshold)
+    one = prints.where("n_signatures > 0").select("fingerprint", F.col("n_signatures").alias("n")).dropDuplicates(["fingerprint"])
 
-    return both.select("x", "y").mapInArrow(compare, "fingerprint_a string, fingerprint_b string, likeness double")
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw, first = [], []
+            for shown_, n in zip(b["fingerprint"].to_pylist(), b["n"].to_pylist(), strict=True):
+                tokens = np.frombuffer(bytes.fromhex(shown_), ">u4").astype(_U) << _U(32)
+                raw.append(_packed(tokens))
+                first.append(_packed(tokens[np.argsort(mix(tokens))[: n - least_overlap(n, percent) + 1]]))
+            yield pa.RecordBatch.from_arrays([b["cls"], b["n"], pa.array([0] * b.num_rows, pa.int64()), pa.array([1] * b.num_rows, pa.int64()), pa.array(raw, pa.binary()), pa.array(first, pa.binary())], names=["cls", "n", "unshared", "m", "tokens", "prefix"])
+
+    sets = saved(one.select(F.xxhash64("fingerprint").alias("cls"), "n", "fingerprint").mapInArrow(read, "cls long, n long, unshared long, m long, tokens binary, prefix binary"), "spots")
+    part = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9).cast("long")
+    entries = _entries(sets, percent).withColumn("token", F.explode(F.array(F.xxhash64("token", part), F.xxhash64("token", part + 1))))
+    return links_of(sets, saved(entries, "entries"), percent)

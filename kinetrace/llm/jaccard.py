@@ -325,6 +325,21 @@ def _may_link(percent: int) -> Column:
     return lengths & (before + after >= need)
 
 
+def shares(a: np.ndarray, b: np.ndarray, need: int, step: int = 512) -> bool:
+    """Whether two sorted sets share need members at least; stops at the first slice of step members from which they cannot, or when they do."""
+    same = i = j = 0
+    while i < len(a) and j < len(b) and same < need:
+        if same + min(len(a) - i, len(b) - j) < need:
+            return False
+        top = min(a[min(i + step, len(a)) - 1], b[min(j + step, len(b)) - 1])
+        x, y = i + int(np.searchsorted(a[i : i + step], top, "right")), j + int(np.searchsorted(b[j : j + step], top, "right"))
+        both = np.concatenate([a[i:x], b[j:y]])
+        both.sort()
+        same += int((both[1:] == both[:-1]).sum())
+        i, j = x, y
+    return same >= need
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int, hot: DataFrame | None = None) -> DataFrame:
     """Those of the pairs (a, b) of classes that link; hot: the b of many pairs."""
     left = sets.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("x"))
@@ -334,10 +349,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, hot: DataFrame |
         for batch in batches:
             keep = []
             for i, (x, y, n_a, n_b) in enumerate(zip(batch["x"], batch["y"], batch["n_a"].to_pylist(), batch["n_b"].to_pylist(), strict=True)):
-                both = np.concatenate([_unpacked(x), _unpacked(y)])
-                both.sort()
-                same = int((both[1:] == both[:-1]).sum())
-                if 100 * same >= percent * (n_a + n_b - same):
+                if shares(_unpacked(x), _unpacked(y), -(-percent * (n_a + n_b) // (100 + percent))):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([batch["a"].take(pa.array(keep, pa.int64())), batch["b"].take(pa.array(keep, pa.int64()))], names=["a", "b"])
 

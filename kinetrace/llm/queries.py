@@ -62,12 +62,18 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def fingerprint_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other half of the fingerprints: every document's class of near copies; op9's columns do not need it."""
+    found = fingerprints.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_signatures", "class_id")
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.to_json("takes").alias("takes"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_language_id, op3_personal_data, op4_secret_scan, op5_quality, op6_decontamination, op7_html_extraction, op8_jaccard_join, op9_fingerprints, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_language_id, op3_personal_data, op4_secret_scan, op5_quality, op6_decontamination, op7_html_extraction, op8_jaccard_join, op9_fingerprints, fingerprint_classes, op10_source_mixing)}
 
 def _secret_sql() -> str:
     """Matches and the pieces between them give positions; a run of hex digits is sought by its least length."""
