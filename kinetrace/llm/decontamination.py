@@ -12,6 +12,9 @@ drops seeds that cannot join, successive hits become one segment with WINDOW
 words to either side, and only segments are shuffled. Joins are by hash, segment
 and item, all of them equi-joins; neither side is collected or broadcast by hand.
 
+The masks hit every placement of the substitutions that SHARE allows, in items and
+windows of any length from SPAN words on.
+
 Words are runs of letters, digits and non-ASCII characters, A-Z and À-Þ in lower case.
 Items of fewer than SPAN words are sought as they stand, whole; those with fewer
 than MIN_WORDS words are no evidence and match nothing.
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 from kinetrace.llm.store import bounded_batches, fields, saved
 from kinetrace.llm.words import PUNCTUATION, mix, slices, word_hashes
 
-MASKS = ((0, 1, 2, 4, 7, 9), (0, 2, 3, 6, 8, 10), (0, 1, 4, 5, 6, 10), (0, 3, 4, 7, 8, 9), (0, 1, 2, 3, 4, 5))
+MASKS = ((0, 1, 2, 4, 7, 9), (0, 2, 3, 6, 8, 10), (0, 1, 4, 5, 6, 10), (0, 3, 4, 7, 8, 9), (0, 1, 2, 3, 4, 5), (0, 1, 2, 5, 6, 7))
 SPAN = 11
 WINDOW, SHARE, MIN_WORDS = 20, 0.8, 5
 BITMAP_BITS = 23

@@ -1,8 +1,12 @@
 """Spaced seeds against a brute-force scan of all documents and items."""
 
+import itertools
+import math
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from kinetrace.llm import decontamination as dc
 
 from .conftest import SMALL, documents
@@ -69,3 +73,21 @@ def test_clean_keeps_the_rest(spark):
     assert dc.clean(df, bench).columns == df.columns
     assert dc.clean(df, bench.limit(0)).count() == df.count()
     assert dc.overlaps(df.limit(0), bench).count() == 0
+
+
+def test_masks_hit_every_allowed_substitution():
+    for n in range(dc.SPAN, dc.WINDOW + 1):
+        for wrong in itertools.combinations(range(n), n - math.ceil(dc.SHARE * n - 1e-9)):
+            assert any(not any(start + at in wrong for at in mask) for mask in dc.MASKS for start in range(n - max(mask)))
+
+
+def test_odd_texts_and_names(spark):
+    """Very long texts, columns named like those inside, repeated rows."""
+    docs, items = planted()
+    long = " ".join("z%d" % i for i in range(60_000)) + " " + items[0][1]
+    rows = [(1, long), (1, long), (2, "nothing here"), (None, items[1][1])]
+    df = documents(spark, rows).withColumns({c: F.lit("old") for c in ("row", "segment", "words", "hash", "item", "__bad_")})
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("words", F.lit(1))
+    assert sorted((r.doc_id or -1, r.item_id) for r in dc.overlaps(df, bench).collect()) == [(-1, 1), (1, 0)]
+    kept = dc.clean(df, bench).collect()
+    assert [(r.doc_id, r.row) for r in kept] == [(2, "old")] and dc.clean(df, bench).columns == df.columns
