@@ -2,16 +2,19 @@
 
 A conversation is logged again and again as it grows, so many logged rows are
 prefixes of longer ones. Each turn gets the hash of its conversation up to
-there: a running XOR of two 64-bit hashes of (position, role, text). A
+there: a running XOR of two 64-bit hashes of (position, role, text), where role
+and text are hashed before anything is shuffled. A
 conversation goes if another has its whole hash as the hash of a true prefix
 (left anti join on length and hash), and of equal conversations the smallest
-id stays. Only what stays is rendered.
+id stays. Only what stays is rendered: a bitmap of the ids that stay keeps the other
+texts from being shuffled.
 
 Prefix hashes are made distinct before the join (partial aggregation), so a
 first turn that many conversations share is one row of it. Rows of one
 conversation meet in one task, as its rendering is one string.
 
-Edge cases: turns are ordered by turn (null first), then role, then text, so
+Edge cases: turns are ordered by turn (null first), then role, then text (by its
+first HEAD characters, and a hash beyond), so
 ties and repeated rows have one order and repeats stay turns; gaps in turn do
 not count. A null role or text differs from an empty one in comparison and is
 rendered empty. Rows with a null conv_id form one conversation. An empty table
@@ -24,13 +27,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kinetrace.llm.store import maybe_in, saved
+
+
+HEAD = 64
+
 
 def _turns(conversations: DataFrame) -> DataFrame:
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
-    rows = conversations.select("conv_id", "turn", "role", "text").withColumn("k", F.row_number().over(order).cast("long"))
-    parts = [F.col("k"), F.col("role").isNull(), F.coalesce("role", F.lit("")), F.col("text").isNull(), F.coalesce("text", F.lit(""))]
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumns({"h1": F.bit_xor(F.xxhash64(F.lit(1), *parts)).over(upto), "h2": F.bit_xor(F.xxhash64(F.lit(2), *parts)).over(upto)}).withColumn("n_turns", F.max("k").over(Window.partitionBy("conv_id")))
+    parts = [F.col("role").isNull(), F.coalesce("role", F.lit("")), F.col("text").isNull(), F.coalesce("text", F.lit(""))]
+    # hashes are all that is shuffled of a text, with its head for the order of ties
+    hashed = conversations.select("conv_id", "turn", "role", F.substring("text", 1, HEAD).alias("head"), F.xxhash64(F.lit(1), *parts).alias("c1"), F.xxhash64(F.lit(2), *parts).alias("c2"))
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("head").asc_nulls_first(), "c1", "c2")
+    rows = hashed.select("conv_id", F.row_number().over(order).cast("long").alias("k"), "c1", "c2")
+    upto = Window.partitionBy("conv_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumns({f"h{i}": F.bit_xor(F.xxhash64(F.lit(i), "k", "c1", "c2")).over(upto) for i in (1, 2)}).withColumn("n_turns", F.max("k").over(Window.partitionBy("conv_id")))
 
 
 def maximal_conversations(conversations: DataFrame) -> DataFrame:
@@ -43,8 +53,9 @@ def maximal_conversations(conversations: DataFrame) -> DataFrame:
 
 def format_chats(conversations: DataFrame, turn_format: str = "<|%s|>\n%s\n", end: str = "<|end|>") -> DataFrame:
     """conv_id, n_turns, n_copies and text: the turns of each maximal conversation in order, then end."""
-    kept = maximal_conversations(conversations).alias("m")
-    rows = conversations.select("conv_id", "turn", "role", "text").alias("c").join(kept, F.col("c.conv_id").eqNullSafe(F.col("m.conv_id")))
+    kept = saved(maximal_conversations(conversations).withColumn("__key", F.xxhash64("conv_id")), "kept")
+    turns = maybe_in(conversations.select("conv_id", "turn", "role", "text").withColumn("__key", F.xxhash64("conv_id")), kept, "__key")
+    rows = turns.alias("c").join(kept.alias("m"), F.col("c.conv_id").eqNullSafe(F.col("m.conv_id")))
     turn = F.struct(F.col("c.turn"), F.col("c.role"), F.col("c.text"))
     chats = rows.groupBy(F.col("m.conv_id").alias("conv_id"), "n_turns", "n_copies").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     shown = F.transform("turns", lambda t: F.format_string(turn_format, F.coalesce(t["role"], F.lit("")), F.coalesce(t["text"], F.lit(""))))

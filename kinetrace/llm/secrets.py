@@ -31,7 +31,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinetrace.llm.store import saved
+from kinetrace.llm.store import maybe_in, saved
 
 ALL = (frozenset(),)
 #: Strings that a part of an expression may be spelt out to, alternatives of a query, and characters of a class.
@@ -201,21 +201,6 @@ def _scan(rule: Rule) -> Rule:
     return rule
 
 
-def _maybe(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """Those of the keyed rows whose hash is in the bitmap of the candidates found."""
-    bits = 1 << 15
-    wanted = BITS_EACH * found.count()
-    while bits < min(wanted, MOST_BITS):
-        bits *= 2
-    slot = F.pmod(F.col("__k1"), F.lit(bits))
-    table = found.groupBy(F.bitmap_bucket_number(slot).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("__bits"))
-    place = F.bitmap_bit_position(slot)
-    byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    known = F.expr("shiftright(__byte, cast(__place % 8 AS INT)) & 1") == 1
-    joined = rows.withColumn("__bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(table), "__bucket")
-    return joined.withColumns({"__byte": byte, "__place": place}).where(known).drop("__bucket", "__bits", "__byte", "__place")
-
-
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with spans: array of (start, no, end, kind), by start and then by the order of the rules."""
     docs = _keyed(docs.drop("spans", "__k1", "__k2"))
@@ -224,7 +209,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     none = F.array().cast(SPANS)
     numbered = list(enumerate(rules))
     tested = [F.when(F.array_contains("kinds", r.kind), _spans(F.col("text"), r, no)).otherwise(none) for no, r in numbered if r.trigrams()]
-    verified = _maybe(docs.select("__k1", "__k2", "text"), found).join(found, ["__k1", "__k2"]).select("__k1", "__k2", F.concat(none, *tested).alias("__spans"))
+    verified = maybe_in(docs.select("__k1", "__k2", "text"), found, "__k1", BITS_EACH, MOST_BITS).join(found, ["__k1", "__k2"]).select("__k1", "__k2", F.concat(none, *tested).alias("__spans"))
     verified = verified.where(F.size("__spans") > 0).dropDuplicates(["__k1", "__k2"])
     scanned = [F.when(F.rlike(text, F.lit(r.pattern)), _spans(text, r, no)).otherwise(none) for no, r in ((no, _scan(r)) for no, r in numbered if not r.trigrams())]
     rows = docs.withColumn("__scanned", F.concat(none, *scanned)).join(verified, ["__k1", "__k2"], "left")

@@ -77,3 +77,21 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | No
     spread = left.join(F.broadcast(hot), key, "left").withColumn("__part", F.pmod(F.xxhash64(*rest), parts).cast("int")).drop("__parts")
     copied = right.join(F.broadcast(hot), key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
     return spread.join(copied, [key, "__part"], how).drop("__part")
+
+
+def maybe_in(rows: DataFrame, found: DataFrame, key: str, bits_each: int = 16, most_bits: int = 1 << 26) -> DataFrame:
+    """Those of rows whose key, a 64-bit hash, may be one of the stored table found: a bitmap of most_bits at the most (8 MB), broadcast.
+
+    All rows of found's keys stay, and by chance some others: the more, the fuller the bitmap is.
+    """
+    bits = 1 << 15
+    wanted = bits_each * found.count()
+    while bits < min(wanted, most_bits):
+        bits *= 2
+    slot = F.pmod(F.col(key), F.lit(bits))
+    table = found.groupBy(F.bitmap_bucket_number(slot).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("__bits"))
+    place = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    joined = rows.withColumn("__bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(table), "__bucket")
+    known = F.expr("shiftright(__byte, cast(__place % 8 AS INT)) & 1") == 1
+    return joined.withColumns({"__byte": byte, "__place": place}).where(known).drop("__bucket", "__bits", "__byte", "__place")

@@ -146,6 +146,17 @@ def test_chat_ties_and_nulls(spark):
     assert got == {None: (2, "<|user|>\na\n<|user|>\nb\n<|end|>"), 1: (2, "<|user|>\nx\n<|user|>\nx\n<|end|>")}
 
 
+def test_chat_long_turns_and_ties_of_long_texts(spark):
+    """Very long turns; texts that differ only behind their heads have one order in every conversation."""
+    long = "word " * 40_000
+    a, b = "x" * 100 + "1", "x" * 100 + "2"
+    rows = [(1, 0, "user", long), (2, 0, "user", long), (2, 1, "assistant", "yes"), (3, 0, "user", long + "!"), (4, 0, "user", a), (4, 0, "user", b), (5, 0, "user", b), (5, 0, "user", a), (5, 1, "user", "z")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(0) for c in ("k", "c1", "head", "__key", "n_turns")})
+    got = {r.conv_id: r for r in chat.format_chats(df).collect()}
+    assert sorted(got) == [2, 3, 5] and got[2].n_turns == 2 and len(got[3].text) == len(long) + 1 + len("<|user|>\n\n<|end|>")
+    assert got[5].text == f"<|user|>\n{a}\n<|user|>\n{b}\n<|user|>\nz\n<|end|>"
+
+
 def brute_targets(sizes):
     left, out, free = float(sum(sizes)), [0.0] * len(sizes), {i for i, s in enumerate(sizes) if s}
     w = [(5, 2, 1)[i % 3] for i in range(len(sizes))]
