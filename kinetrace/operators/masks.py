@@ -37,6 +37,11 @@ def posture_valid() -> Column:
     return F.col("oriented") & ~F.col("bad") & ~F.col("excluded")
 
 
+def have_skeleton(posture: str = "posture") -> Column:
+    """A frame that is not bad and whose skeleton has a point that is not 0."""
+    return F.coalesce(F.exists(posture, lambda x: x > 0), F.lit(False)) & ~F.col("bad")
+
+
 def masked(rows: DataFrame, valid: Column, *columns: str) -> DataFrame:
     """rows with NULL in the columns where they are not valid."""
     return rows.withColumns({c: F.when(valid, F.col(c)) for c in columns})

@@ -6,11 +6,11 @@ frame is no unit of memory and frames of any size spread over the cluster.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinetrace.sources.store import shared_folder
+
 
 def crop(pixels: DataFrame, x: int, y: int, w: int, h: int) -> DataFrame:
     """The rectangle, with positions relative to it."""
@@ -43,10 +43,7 @@ def labelled(pixels: DataFrame, eight: bool = True) -> DataFrame:
     """
     context = pixels.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        folder = pixels.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(shared_folder(pixels.sparkSession))
     start = pixels.select("frame", "r", "c").distinct().withColumn("label", F.struct("r", "c"))
     around = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (eight or not (a and b))]
     labels = start.checkpoint()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql.window import Window
 from kinetrace.functions import scalar
 from kinetrace.operators import distributions, ensembles, headtail, kinematics, lagstats, masks, models, pixels, posture, sequences, simulate
 from kinetrace.plans import chains
-from kinetrace.sources import tables
+from kinetrace.sources import store, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -833,3 +834,179 @@ def strain_divergence(spark: SparkSession, d: str) -> DataFrame:
     p = counts.withColumnRenamed("strain", "a").crossJoin(strains.withColumnRenamed("strain", "b")).where("a != b")
     q = counts.withColumnRenamed("strain", "b").crossJoin(strains.withColumnRenamed("strain", "a")).where("a != b")
     return distributions.divergences(p, q, keys=["a", "b"]).select("a", "b", digits("kl", 9), digits("kl_strict", 9), digits("js", 9))
+
+
+# --- stores, skeletons and pixels ---------------------------------------------
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{store.shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def _observations(spark: SparkSession, d: str) -> DataFrame:
+    """The sample tracks as stored observations; a position of 0 stays, a body angle of NaN stands for a missing one."""
+    rows = tables.track(spark, d).withColumns({"video": F.concat(F.lit("v"), F.col("strain")), "animal": F.col("track").cast("string"), "time": F.col("frame") / tables.FRAME_RATE, "length": F.when(F.col("bad"), 0).otherwise(F.col("y") + 1), "body_angle": F.when(F.col("excluded"), float("nan")).otherwise(F.col("y") / 10), "bad_skeleton": "bad"})
+    return store.conformed(rows.drop("strain").withColumns({"strain": F.col("kind")}), store.OBSERVATION)
+
+
+@query(f"""WITH {TRACK} SELECT 'v' || strain AS video, kind AS strain, CAST(track AS VARCHAR) AS animal, count(*) AS n, round(sum(x / 0.05) / 7, 3) AS x, count(CASE WHEN NOT bad THEN 1 END) AS lengths, count(CASE WHEN NOT excluded THEN 1 END) AS angles FROM track GROUP BY 1, 2, 3""")
+def stored_observations(spark: SparkSession, d: str) -> DataFrame:
+    """Observations written and read: keys, positions in micrometres, stand-ins of missing values as NULL."""
+    path = _folder(spark)
+    store.write_observations(_observations(spark, d), path)
+    rows = store.read_observations(spark, path)
+    videos = store.tracks(rows).select("video").distinct().withColumn("pixels_per_micron", F.lit(0.05))
+    scaled = store.in_micrometres(rows, videos)
+    return scaled.groupBy(*store.KEYS).agg(F.count("*").alias("n"), F.round(F.sum("x") / 7, 3).alias("x"), F.count("length").alias("lengths"), F.count("body_angle").alias("angles"))
+
+
+@query(f"""WITH {DERIVED} SELECT track, count(*) AS n, count(s) AS speeds, round(sum(s), 3) AS path, count(dpsi) AS headings, count(*) FILTER (WHERE oriented) AS oriented FROM derived GROUP BY track""")
+def stored_derived(spark: SparkSession, d: str) -> DataFrame:
+    """Derived tracks and their segments written and read; masked values stay NULL."""
+    rows = derived(spark, d).withColumns({"video": F.lit("v"), "strain": F.col("strain").cast("string"), "animal": F.col("track").cast("string"), "t": F.col("frame") / tables.FRAME_RATE})
+    path = _folder(spark)
+    spans = sequences.islands(tables.track(spark, d), masks.centroid_valid()).withColumns({"video": F.lit("v"), "strain": F.lit("0"), "animal": F.col("track").cast("string")})
+    store.write_derived(rows, spans, path)
+    frames, _ = store.read_derived(spark, path)
+    return frames.groupBy(F.col("animal").cast("long").alias("track")).agg(F.count("*").alias("n"), F.count("s").alias("speeds"), F.round(F.sum("s"), 3).alias("path"), F.count("dpsi").alias("headings"), F.count_if("oriented").alias("oriented"))
+
+
+@query(f"""WITH {TRACK}, p AS (SELECT track, CASE WHEN max(y) > 95 THEN max(y) END AS a, CASE WHEN min(y) < 3 THEN min(y) END AS b FROM track GROUP BY track) SELECT track, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b FROM p WHERE a IS NOT NULL OR b IS NOT NULL""")
+def stored_parameters(spark: SparkSession, d: str) -> DataFrame:
+    """Fitted numbers written and read; tracks without any are left out."""
+    ends = tables.track(spark, d).groupBy("track").agg(F.max("y").alias("a"), F.min("y").alias("b"))
+    path = _folder(spark)
+    store.write_parameters(ends.select("track", F.when(F.col("a") > 95, F.col("a")).cast("double").alias("a"), F.when(F.col("b") < 3, F.col("b")).cast("double").alias("b")), path)
+    return spark.read.parquet(path)
+
+
+@query(f"""WITH {TRACK} SELECT a.track, 'drift' AS metric, CAST(b.frame - a.frame AS BIGINT) AS lag, CAST(b.frame - a.frame AS DOUBLE) AS tau, CAST(sum(b.x - a.x) AS DOUBLE) / count(*) AS value, count(*) AS windows
+FROM track a JOIN track b ON a.track = b.track AND b.frame - a.frame BETWEEN 0 AND 5 GROUP BY 1, 3, 4""")
+def stored_curves(spark: SparkSession, d: str) -> DataFrame:
+    """Curves written and read as one long table."""
+    curves = lagstats.drift(tables.track(spark, d), list(range(6)), "x").select("track", F.lit("drift").alias("metric"), "lag", F.col("lag").cast("double").alias("tau"), F.col("drift").alias("value"), F.col("pairs").alias("windows"))
+    path = _folder(spark)
+    store.write_curves(curves, path)
+    return spark.read.parquet(path).select("track", "metric", "lag", "tau", "value", "windows")
+
+
+@query("""SELECT n_name AS video, 'r' || n_regionkey AS strain, CAST(n_nationkey AS VARCHAR) AS animal, CAST(n_nationkey * 10 AS INTEGER) AS x, CAST(n_nationkey + 0.5 AS DOUBLE) AS radius, CAST(11.5 AS DOUBLE) AS frame_rate FROM nation""")
+def stored_setup(spark: SparkSession, d: str) -> DataFrame:
+    """Configurations of recordings written as YAML, read, written as tables, and read."""
+    n = F.col("n_nationkey")
+    nations = tables.read(spark, d, "nation")
+    videos = store.conformed(nations.select(F.col("n_name").alias("video"), F.col("n_name").alias("file"), F.lit("s").alias("store"), F.lit(11.5).alias("frame_rate"), F.lit(0.05).alias("pixels_per_micron")), store.VIDEO)
+    crop, food = F.struct((n * 10).alias("x"), n.alias("y"), F.lit(5).alias("w"), F.lit(6).alias("h")), F.struct(n.cast("double").alias("x"), n.cast("double").alias("y"), (n + 0.5).alias("r"))
+    regions = store.conformed(nations.select(F.col("n_name").alias("video"), F.concat(F.lit("r"), F.col("n_regionkey")).alias("strain"), n.cast("string").alias("animal"), crop.alias("crop"), food.alias("food")), store.REGION)
+    path = _folder(spark)
+    store.write_setup(*store.read_video_config(spark, store.video_config_as_yaml(videos, regions)), path)
+    read_videos, read_regions = store.read_setup(spark, path)
+    return read_regions.join(read_videos.select("video", "frame_rate"), "video").select("video", "strain", "animal", F.col("crop.x").alias("x"), F.col("food.r").alias("radius"), "frame_rate")
+
+
+@query(f"""WITH {POSTURE}, b AS (SELECT strain, frame, p, frame % 5 = 0 AS bad FROM posture) SELECT strain, count(*) FILTER (WHERE NOT bad AND len(list_filter(p[1:3], lambda x: x > 0)) > 0) AS n_skeleton, count(*) AS n FROM b GROUP BY strain""")
+def have_skeleton(spark: SparkSession, d: str) -> DataFrame:
+    """Frames that are not bad with a positive one of three numbers."""
+    rows = tables.posture(spark, d).withColumns({"bad": F.col("frame") % 5 == 0, "posture": F.slice("posture", 1, 3)})
+    return rows.groupBy("strain").agg(F.count_if(masks.have_skeleton()).alias("n_skeleton"), F.count("*").alias("n"))
+
+
+@query(f"""WITH {DERIVED} SELECT track, frame, round(atan2(vx, vy), 6) AS psi, round((atan2(vx, vy) + {PI}) - {TWO_PI} * floor((atan2(vx, vy) + {PI}) / {TWO_PI}) - {PI}, 6) AS wrapped_psi FROM derived""")
+def body_bearing(spark: SparkSession, d: str) -> DataFrame:
+    """Bearings from the y axis, as recordings have them of the body."""
+    rows = derived(spark, d).select("track", "frame", scalar.body_bearing(F.col("vx"), F.col("vy")).alias("psi"))
+    return rows.select("track", "frame", digits("psi"), F.round(scalar.wrapped(F.col("psi")), 6).alias("wrapped_psi"))
+
+
+_CHAIN = f"""{POSTURE}, pt AS (SELECT frame, i, CAST(p[2 * i - 1] AS DOUBLE) AS x, CAST(p[2 * i] AS DOUBLE) AS y FROM (SELECT frame, p, unnest(range(1, 33)) AS i FROM posture))"""
+
+
+@query(f"""WITH {_CHAIN}, r AS (SELECT frame, i, atan2(lead(y) OVER f - lag(y) OVER f, lead(x) OVER f - lag(x) OVER f) AS a FROM pt WINDOW f AS (PARTITION BY frame ORDER BY i)),
+d AS (SELECT frame, i, a, a - lag(a) OVER (PARTITION BY frame ORDER BY i) AS d FROM r WHERE i BETWEEN 2 AND 31), u AS (SELECT frame, i, first_value(a) OVER w + coalesce(sum((d + {PI}) - {TWO_PI} * floor((d + {PI}) / {TWO_PI}) - {PI}) OVER w, 0) AS a FROM d WINDOW w AS (PARTITION BY frame ORDER BY i ROWS UNBOUNDED PRECEDING))
+SELECT frame, CAST(i - 2 AS INTEGER) AS i, round(a - avg(a) OVER (PARTITION BY frame), 5) + 0.0::DOUBLE AS angle FROM u""")
+def tangent_angles(spark: SparkSession, d: str) -> DataFrame:
+    """Angles along each chain of points, unwrapped, less their mean."""
+    rows = _points(spark, d).select("frame", F.posexplode(scalar.tangent_angles(F.col("xs"), F.col("ys"))).alias("i", "angle"))
+    return rows.select("frame", "i", (F.round("angle", 5) + F.lit(0.0)).alias("angle"))
+
+
+@query(f"""WITH {_CHAIN}, s AS (SELECT *, coalesce(sqrt((x - lag(x) OVER f) ** 2 + (y - lag(y) OVER f) ** 2), 0) AS step FROM pt WINDOW f AS (PARTITION BY frame ORDER BY i)),
+c AS (SELECT *, sum(step) OVER (PARTITION BY frame ORDER BY i ROWS UNBOUNDED PRECEDING) AS upto, sum(step) OVER (PARTITION BY frame) / 2 AS half FROM s), n AS (SELECT *, lead(upto) OVER f AS un, lead(x) OVER f AS xn, lead(y) OVER f AS yn FROM c WINDOW f AS (PARTITION BY frame ORDER BY i)),
+m AS (SELECT frame, x + (half - upto) / (un - upto) * (xn - x) AS mx, y + (half - upto) / (un - upto) * (yn - y) AS my FROM n WHERE upto <= half AND un > half),
+w AS (SELECT pt.frame, 2 * min(sqrt((x - mx) ** 2 + (y - my) ** 2)) / 0.05 AS width FROM pt JOIN m ON pt.frame = m.frame GROUP BY 1), e AS (SELECT frame, max(x) FILTER (WHERE i = 1) AS hx, max(y) FILTER (WHERE i = 32) AS ty FROM pt GROUP BY frame)
+SELECT m.frame, round(mx, 6) AS mid_x, round(my, 6) AS mid_y, round(width, 5) AS width, round((hx + 3) / 0.05, 5) AS head_x, round((ty + 4) / 0.05, 5) AS tail_y FROM m JOIN w ON m.frame = w.frame JOIN e ON m.frame = e.frame""")
+def skeleton_measures(spark: SparkSession, d: str) -> DataFrame:
+    """Midpoint at half length, width at it, and the ends' places in the recording."""
+    rows = _points(spark, d).withColumn("m", scalar.midpoint(F.col("xs"), F.col("ys")))
+    return rows.select(
+        "frame", F.round("m.x", 6).alias("mid_x"), F.round("m.y", 6).alias("mid_y"), F.round(scalar.body_width(F.col("m.x"), F.col("m.y"), F.col("xs"), F.col("ys"), 0.05), 5).alias("width"),
+        F.round(scalar.end_position(F.col("xs"), 1, F.lit(3), 0.05), 5).alias("head_x"), F.round(scalar.end_position(F.col("ys"), -1, F.lit(4), 0.05), 5).alias("tail_y"),
+    )
+
+
+@query(f"""WITH {_CHAIN}, b AS (SELECT a.frame, a.i, p.x - a.x AS ux, p.y - a.y AS uy, q.x - a.x AS vx, q.y - a.y AS vy FROM pt a JOIN pt p ON p.frame = a.frame AND p.i = (a.i + 29) % 32 + 1 JOIN pt q ON q.frame = a.frame AND q.i = (a.i + 1) % 32 + 1)
+SELECT frame, CAST(i - 1 AS INTEGER) AS i, round(acos(greatest(least((ux * vx + uy * vy) / (sqrt(ux * ux + uy * uy) * sqrt(vx * vx + vy * vy)), 1.0), -1.0)), 5) AS angle FROM b""")
+def boundary_angles(spark: SparkSession, d: str) -> DataFrame:
+    """Angles at the points of closed outlines, two points to either side."""
+    rows = _points(spark, d).select("frame", F.posexplode(scalar.boundary_angles(F.col("xs"), F.col("ys"))).alias("i", "angle"))
+    return rows.select("frame", "i", digits("angle", 5))
+
+
+@query("""SELECT n_nationkey, round(2.0 * 3.0 * exp(-n_nationkey / 3.0), 9) AS speed_curve, round(exp(-0.25 * n_nationkey), 9) AS bearing_curve, CAST(n_nationkey * n_nationkey * 4.0 / 2 AS DOUBLE) AS variance, n_nationkey - 7 AS cropped, n_nationkey + 7 AS whole,
+ 'N2 ' || n_nationkey AS label, round((log10(n_nationkey + 1.0) - 1) * 2 + (log10(n_regionkey + 2.0) - 0.5) * 3, 6) AS score, list_sort(list_filter([n_nationkey, n_nationkey + 1, n_nationkey + 2], lambda x: x <> n_regionkey)) AS remaining FROM nation""")
+def model_scalars(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("n_nationkey")
+    return tables.read(spark, d, "nation").select(
+        "n_nationkey", F.round(scalar.speed_curve(n, 2.0, 3.0), 9).alias("speed_curve"), F.round(scalar.bearing_curve(n, 0.25), 9).alias("bearing_curve"), scalar.stationary_variance(n, F.lit(4.0)).alias("variance"),
+        scalar.cropped(n, F.lit(7)).alias("cropped"), scalar.uncropped(n, F.lit(7)).alias("whole"), scalar.label(F.lit("N2"), n.cast("string")).alias("label"),
+        F.round(scalar.mode_score([n + 1.0, F.col("n_regionkey") + 2.0], [1.0, 0.5], [2.0, 3.0]), 6).alias("score"), F.array_sort(scalar.remaining(F.array(n, n + 1, n + 2), F.array("n_regionkey"))).alias("remaining"),
+    )
+
+
+def _image(spark: SparkSession, d: str) -> DataFrame:
+    """Each embedding as an image of 8 by 8 pixels, grey by its numbers."""
+    cells = tables.posture(spark, d).select("frame", F.posexplode("posture").alias("i", "a"))
+    return cells.select("frame", F.expr("cast(i div 8 AS INT)").alias("r"), (F.col("i") % 8).alias("c"), F.round((F.col("a") + 1) * 100).cast("int").alias("v"))
+
+
+_IMAGE = f"""{POSTURE}, {CELLS}, im AS (SELECT frame, CAST(i // 8 AS INTEGER) AS r, CAST(i % 8 AS INTEGER) AS c, CAST(round((a + 1) * 100) AS INTEGER) AS v FROM cells)"""
+
+
+@query(f"""WITH {_IMAGE}, z AS (SELECT * FROM im WHERE c >= 2 AND c < 7 AND r >= 1 AND r < 7), g AS (SELECT z.frame, z.r, z.c, z.v FROM z WHERE NOT (r - 1 = 3 AND c - 2 < 3)), m AS (SELECT frame, min(v) AS lo, max(v) AS hi FROM g GROUP BY frame)
+SELECT g.frame, count(*) AS n, CAST(sum(CASE WHEN hi > lo THEN (v - lo) * 255 // (hi - lo) ELSE 0 END) AS BIGINT) AS grey FROM g JOIN m ON g.frame = m.frame GROUP BY 1""")
+def pixel_masks(spark: SparkSession, d: str) -> DataFrame:
+    """Crops of images, in which an ignored area is left out and grey is spread out."""
+    cut = pixels.crop(_image(spark, d), 2, 1, 5, 6)
+    ignored = spark.range(3).select(F.lit(3).alias("r"), F.col("id").cast("int").alias("c"))
+    return pixels.normalised(pixels.ignoring(cut, ignored)).groupBy("frame").agg(F.count("*").alias("n"), F.sum("v").alias("grey"))
+
+
+@query(f"""WITH {_IMAGE}, b AS (SELECT * FROM im WHERE v < 96), d AS (SELECT b.*, row_number() OVER (PARTITION BY frame, r, c ORDER BY (k - c) ** 2 + (k - r) ** 2, k) AS o, k FROM (SELECT b.*, unnest(range(0, 8)) AS k FROM b) b), n AS (SELECT * FROM d WHERE o = 1)
+SELECT frame, median(v) FILTER (WHERE k < 1) AS first_grey, median(v) FILTER (WHERE k >= 7) AS last_grey FROM n GROUP BY frame""")
+def end_brightness(spark: SparkSession, d: str) -> DataFrame:
+    """Median grey of the body's pixels nearest to either end of a diagonal skeleton."""
+    body = _image(spark, d).where("v < 96")
+    line = F.lit([float(i) for i in range(8)])
+    lines = body.select("frame").distinct().select("frame", line.alias("xs"), line.alias("ys"))
+    return pixels.end_brightness(body, lines).select("frame", F.col("first").alias("first_grey"), F.col("last").alias("last_grey"))
+
+
+@query(f"""WITH RECURSIVE {POSTURE}, {CELLS}, px AS (SELECT frame, CAST(i // 8 AS INTEGER) AS r, CAST(i % 8 AS INTEGER) AS c FROM cells WHERE a <= -0.05), z AS (SELECT frame, r, c, r * 8 + c AS k FROM px UNION SELECT p.frame, p.r, p.c, z.k FROM z JOIN px p ON p.frame = z.frame AND abs(p.r - z.r) <= 1 AND abs(p.c - z.c) <= 1),
+m AS (SELECT frame, r, c, min(k) AS k FROM z GROUP BY 1, 2, 3), t AS (SELECT DISTINCT frame, k FROM m WHERE (r = 0 AND c = 0) OR (r = 4 AND c = 4)), o AS (SELECT m.* FROM m WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.frame = m.frame AND t.k = m.k))
+SELECT frame, count(*) AS n_pixels, count(DISTINCT k) AS n_objects FROM o GROUP BY frame""")
+def passing_objects(spark: SparkSession, d: str) -> DataFrame:
+    """Components of dark pixels that touch none of the pixels which are always dark."""
+    cells = tables.posture(spark, d).select("frame", F.posexplode("posture").alias("i", "a")).where("a <= -0.05")
+    labels = pixels.labelled(cells.select("frame", F.expr("cast(i div 8 AS INT)").alias("r"), (F.col("i") % 8).alias("c")))
+    always = spark.createDataFrame([(0, 0), (4, 4)], "r int, c int")
+    return pixels.not_persistent(labels, always).groupBy("frame").agg(F.count("*").alias("n_pixels"), F.count_distinct("label").alias("n_objects"))
+
+
+@query(f"""WITH {TRACK}, q AS (SELECT track, frame, CASE WHEN y > 10 THEN CAST(x AS DOUBLE) END AS x FROM track), f AS (SELECT track, frame, lag(x) OVER W AS c, x AS d, max(frame) OVER (PARTITION BY track) AS last FROM q WINDOW {BOX}),
+g AS (SELECT *, unnest(range(greatest(CAST(floor((frame - 20) / 2.0) AS BIGINT) + 1, 0), CAST(floor(frame / 2.0) AS BIGINT) + 1)) AS no FROM f)
+SELECT track, no * 2 + 10 AS "window", count(*) AS n, sum(c * d) AS s FROM g WHERE no * 2 + 20 <= last + 1 AND c IS NOT NULL AND d IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 15""")
+def sliding_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Of windows that slide by a tenth, those with three quarters of their frames, with one of the sums of a regression."""
+    rows = tables.track(spark, d).withColumn("x", F.when(F.col("y") > 10, F.col("x").cast("double")))
+    sums = models.autoregression_windows(rows, ["track"], ["x"], 20)
+    return sums.where("i = 1 AND j = 1000").select("track", "window", "n", "s")

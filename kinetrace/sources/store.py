@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 import yaml
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,20 @@ REGION_KEYS = ("strainName", "wormName", "cropRegion", "foodCircle")
 TRACK_KEYS = ("storeFile", "strain", "wormID")
 
 
+_own: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; where that is unset, a temporary one in local mode and an error on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+    app = spark.sparkContext.applicationId
+    if not folder and app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="spark-")
+    return (folder or _own[app]).rstrip("/")
+
+
 def write_observations(observations: DataFrame, path: str) -> None:
     """Store by recording and strain, so that a read of one of them opens only its files."""
     observations.write.partitionBy("video", "strain").mode("overwrite").parquet(path)
