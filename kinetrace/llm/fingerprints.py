@@ -18,7 +18,7 @@ written out: the result is a class for each fingerprint.
 
 fingerprint_edits() needs each text's follower. Texts are dealt into ranges of about
 RANGE_BYTES in the order of their ids, each its own task, with the first row of the next range as a
-guest; each text is shuffled once. The bounds come from at most about BOUND_ROWS rows drawn by hash.
+guest; each text is shuffled once. The bounds come from about BOUND_ROWS rows, and EACH_RANGE for each range, drawn by hash.
 
 Words are runs of letters, digits and non-ASCII characters, A-Z and À-Þ in lower case.
 
@@ -52,7 +52,7 @@ ANCHORS = tuple(
     com da das do dos e em na não no o os para por que se um uma""".split()
 )
 CHAIN, EVERY = 2, 16
-RANGE_BYTES, MOST_RANGES, BOUND_ROWS, HEAD = 32 << 20, 1 << 16, 100_000, 32
+RANGE_BYTES, MOST_RANGES, BOUND_ROWS, EACH_RANGE, HEAD = 16 << 20, 1 << 16, 20_000, 16, 32
 _U = np.uint64
 _STEP = (_U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB))
 
@@ -149,8 +149,9 @@ def _dealt(docs: DataFrame, range_bytes: int) -> DataFrame | None:
     ranges = int(min(MOST_RANGES, max(1, -(-total.bytes // range_bytes))))
     bounds: list[tuple] = []
     if ranges > 1:
-        drawn = narrow if total.n <= BOUND_ROWS else narrow.where(F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(1 << 40)) < int((1 << 40) * BOUND_ROWS / total.n))
-        seen = sorted((tuple(r.key), r.bytes) for r in drawn.collect())  # BOUND_ROWS rows or so
+        most = BOUND_ROWS + EACH_RANGE * ranges
+        drawn = narrow if total.n <= most else narrow.where(F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(1 << 40)) < int((1 << 40) * most / total.n))
+        seen = sorted((tuple(r.key), r.bytes) for r in drawn.collect())  # most rows or so
         upto = np.cumsum([0, *[n for _, n in seen]])
         at = np.unique(np.searchsorted(upto, upto[-1] * np.arange(1, ranges) / ranges))
         bounds = sorted({seen[min(int(i), len(seen) - 1)][0] for i in at} - {tuple(total.first)})

@@ -62,8 +62,8 @@ from kinetrace.llm.store import bounded_batches, hot_keys, saved, spread_join
 from kinetrace.llm.words import mix, shingles, slices, word_hashes
 
 SKETCH_BITS = 22
-#: Bits of a bitmap for each shingle in it, and the least and most there may be (as powers of two; 64 MB at most).
-BITS_EACH, LEAST_BITS, MOST_BITS = 16, 18, 29
+#: Bits of a bitmap for each shingle in it, and the least and most there may be (as powers of two; 8 to 32 MB).
+BITS_EACH, LEAST_BITS, MOST_BITS = 8, 26, 28
 #: Matches that a prefix may stand for, as shares of the shingles that a set can spare; the first is the least.
 MATCHES = (0.5, 1.0)
 #: Cost of comparing two sets against reading one posting.
@@ -93,8 +93,14 @@ def _unpacked(raw: pa.Scalar | bytes) -> np.ndarray:
     return out.view(_U).ravel()
 
 
-def _class(tokens: np.ndarray, salt: int = 0x5DEECE66D) -> int:
-    total = mix(tokens + _U(salt)).sum(dtype=_U) + _U(len(tokens))
+def _class(tokens: np.ndarray) -> int:
+    total = mix(tokens + _U(0x5DEECE66D)).sum(dtype=_U) + _U(len(tokens))
+    return int(mix(np.array([total], _U)).view(np.int64)[0])
+
+
+def _second(tokens: np.ndarray) -> int:
+    """Another hash of a set, from products instead of mixed tokens."""
+    total = (tokens * (tokens | _U(1))).sum(dtype=_U) + _U(len(tokens))
     return int(mix(np.array([total], _U)).view(np.int64)[0])
 
 
@@ -237,7 +243,7 @@ def _picked(docs: DataFrame, order: object, shared: object, k: int, percent: int
                 keep = len(tokens) > 0 and int(shared.value(prefix).sum()) >= m
                 n.append(len(tokens))
                 cls.append(_class(tokens))
-                other.append(_class(tokens, 0x2545F4914F6CDD1D))
+                other.append(_second(tokens))
                 raw.append(tokens.tobytes() if keep else None)
                 size += len(raw[-1] or b"")
                 if size > 1 << 23:

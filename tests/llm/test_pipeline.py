@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from kinetrace.llm import pii
 from kinetrace.llm.store import saved
@@ -46,3 +48,17 @@ def test_masks_merge_overlaps():
     text = "mail a@b.co, ring +1 555 123 4567 890 1234 now"
     spans = sorted(x[:3] for x in [(5, 0, 11), (18, 3, 34), (18, 2, 42)])
     assert pii.masked(text, spans) == "mail <EMAIL>, ring <CARD> now"
+
+
+def test_stages_take_odd_rows(spark):
+    """Null, empty and repeated rows, an extra column with a clashing name, and an empty table go through every stage."""
+    table = spark.read.parquet(f"{SMALL}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (9001, None, "en", None, 3), (9002, "", None, "s", 0), (9003, "a b", "en", "s/x/1", 3), (9003, "a b", "en", "s/x/1", 3)], table.schema)
+    for docs in (table.limit(30).unionByName(odd), table.limit(0)):
+        step = docs.withColumn("words", F.lit("kept")).withColumn("tokens", F.lit(1))
+        for name, stage in corpus_pipeline.STAGES:
+            columns = step.columns
+            step = saved(stage(spark, step, SMALL), name)
+            assert name == "mixing" or step.columns == columns
+            assert step.where("words != 'kept' OR tokens != 1").count() == 0
+        assert step.count() <= docs.count()
