@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: A grid of evaluation points is a constant of the plan, up to this many.
 MOST_POINTS = 20_000
@@ -31,6 +32,28 @@ def root_histogram(rows: DataFrame, column: str, keys: list[str]) -> DataFrame:
     return joined.groupBy(*keys, at.alias("bin")).agg(F.count("*").alias("n"))
 
 
+def medians(rows: DataFrame, keys: list[str], column: str, bins: int = 4096) -> DataFrame:
+    """keys, median (exact) and n of large groups, by refinement.
+
+    Counts in even bins show which bins hold the middle ranks; only the values in
+    these, each once with its number, are put in order. So no group is held or sorted as a
+    whole, as the built-in exact median would.
+    """
+    valid = rows.where(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("__x"))
+    stats = valid.groupBy(*keys).agg(F.min("__x").alias("__lo"), F.max("__x").alias("__hi"), F.count("*").alias("n"))
+    at = F.least(F.floor((F.col("__x") - F.col("__lo")) / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0)) * bins), F.lit(bins - 1))
+    binned = valid.join(stats, keys).withColumn("__bin", F.coalesce(at, F.lit(0)).cast("int"))
+    counts = binned.groupBy(*keys, "n", "__bin").agg(F.count("*").alias("__c"))
+    upto = F.sum("__c").over(Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0))
+    lower, upper = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1  # the middle ranks, from 1
+    middle = counts.withColumn("__upto", upto).where((F.col("__upto") >= lower) & (F.col("__upto") - F.col("__c") < upper)).select(*keys, "__bin", (F.col("__upto") - F.col("__c")).alias("__before"))
+    values = binned.join(middle, [*keys, "__bin"]).groupBy(*keys, "n", "__bin", "__before", "__x").agg(F.count("*").alias("__c"))
+    rank = F.col("__before") + F.sum("__c").over(Window.partitionBy(*keys, "__bin").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = values.withColumn("__rank", rank)
+    holds = lambda r: F.min(F.when((F.col("__rank") >= r) & (F.col("__rank") - F.col("__c") < r), F.col("__x")))
+    return ranked.groupBy(*keys, "n").agg(((holds(lower) + holds(upper)) / 2).alias("median")).select(*keys, "median", "n")
+
+
 def grid(lo: float, hi: float, n: int) -> list[float]:
     return [lo + (hi - lo) * i / (n - 1) for i in range(n)]
 

@@ -250,6 +250,17 @@ def test_covariance_of_keys_and_lengths(spark):
     assert posture.covariance(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bins", [1, 3, 4096])
+def test_medians_are_exact(spark, bins):
+    r = random.Random(bins)
+    rows = [(k, r.choice([None, 1.0, r.uniform(-5, 5), r.gauss(0, 1e6)])) for k in range(7) for _ in range(40 + k)] + [(50, 2.5), (51, None), (52, 1.0), (52, 4.0)]
+    got = {x.k: (x.median, x.n) for x in distributions.medians(spark.createDataFrame(rows, "k long, x double"), ["k"], "x", bins).collect()}
+    for k in {k for k, _ in rows} - {51}:
+        values = [x for q, x in rows if q == k and x is not None]
+        assert got[k][1] == len(values) and abs(got[k][0] - np.median(values)) < 1e-9
+    assert 51 not in got
+
+
 def test_divergences(spark):
     table = lambda ns: spark.createDataFrame(list(enumerate(ns)), "bin long, n long")
     p, q = [1, 3, 0, 4], [2, 2, 3, 1]

@@ -73,3 +73,29 @@ def test_streams(spark, tmp_path):
     windows = run(spark, streams.windowed_activity(stream), "append", "acts")
     assert windows.where("track = 1").agg(F.sum("n")).first()[0] == 2 * len(values)
     assert run(spark, streams.visits(stream), "append", "visits").where("track = 1").first().n == len(values)
+
+
+def test_video_config_round_trip(spark):
+    videos, regions = store.read_video_config(spark, CONFIG)
+    again = store.read_video_config(spark, store.video_config_as_yaml(videos, regions))
+    assert again[0].collect() == videos.collect() and sorted(map(repr, again[1].collect())) == sorted(map(repr, regions.collect()))
+
+
+def test_sinks(spark, tmp_path):
+    videos, regions = store.read_video_config(spark, CONFIG)
+    store.write_setup(videos, regions, f"{tmp_path}/setup")
+    read = store.read_setup(spark, f"{tmp_path}/setup")
+    assert read[0].collect() == videos.collect() and read[1].count() == 2
+    fits = spark.createDataFrame([(1, 1.0, None), (2, None, None), (3, None, 2.0)], "track long, a double, b double")
+    store.write_parameters(fits, f"{tmp_path}/fits")
+    assert {r.track for r in spark.read.parquet(f"{tmp_path}/fits").collect()} == {1, 3}
+    curves = spark.createDataFrame([(1, "msd", 0, 0.0, 0.0, 3), (1, "vacf", 1, 0.1, None, 0)], "track long, metric string, lag long, tau double, value double, windows long")
+    store.write_curves(curves, f"{tmp_path}/curves")
+    assert spark.read.parquet(f"{tmp_path}/curves").where("metric = 'vacf'").first().value is None
+    frames = spark.createDataFrame([("v", "N2", "1", 0, 1.5, None)], "video string, strain string, animal string, frame long, x double, y double")
+    segments = spark.createDataFrame([("v", "N2", "1", 0, 9, 1, True)], store.SEGMENT)
+    store.write_derived(frames, segments, f"{tmp_path}/derived")
+    got = store.read_derived(spark, f"{tmp_path}/derived")
+    assert (got[0].first().x, got[0].first().y, got[0].first().posture) == (1.5, None, None) and got[1].first().flip
+    store.write_simulation(spark.range(130).withColumnRenamed("id", "replicate"), f"{tmp_path}/runs")
+    assert spark.read.parquet(f"{tmp_path}/runs").where("part = 1").count() == 3
