@@ -111,13 +111,13 @@ def with_food_and_edge(rows: DataFrame, arena: DataFrame, mode: str | None = Non
     return placed.withColumn("excluded", excluded).select(rows.columns)
 
 
-def fit_model(rows: DataFrame, lags: list[int], window: int, least_present: float = 0.1, dt: float = 1.0, within: int = 3, least_trend: float = 0.2) -> DataFrame:
+def fit_model(rows: DataFrame, lags: list[int], window: int, least_present: float = 0.1, dt: float = 1.0, within: int = 3, least_trend: float = 0.2, heading: Column | None = None) -> DataFrame:
     """track and PARAMETERS: mean speed off reversals, the speed's and the bearing's fits, the mean turning rate of windows, the two stays, the median length.
 
     rows: track, frame, x, y, bad, oriented, excluded and maybe length. A track with
     a share of least_present valid frames or less has NULL parameters, as has what cannot be fitted.
     """
-    moving = with_reversals(derived_track(rows, dt), within)
+    moving = with_reversals(derived_track(rows, dt, heading), within)
     curves = correlation_table(moving, lags, window, 0.5, dt)
     of = lambda metric: curves.where(F.col("metric") == metric)
     turned = masks.windows(kinematics.unwrap(moving, "psi", "__turned").withColumn("__t", F.col("frame") * dt), window)

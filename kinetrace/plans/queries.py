@@ -688,8 +688,13 @@ def autoregression_sums(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def posture_dynamics(spark: SparkSession, d: str) -> DataFrame:
-    sums = models.autoregression_sums(tables.track(spark, d), ["track"], ["x", "y"])
-    return models.autoregression(sums, ["track"], 2, 1, 1 / tables.FRAME_RATE)
+    """Frequencies and damping times of the first four modes of posture, one step ahead."""
+    rows = _skeletons(spark, d)
+    _, vectors = posture.modes(posture.covariance(rows.where("posture IS NOT NULL")))
+    names = [f"m{k}" for k in range(4)]
+    amplitudes = rows.select("track", "frame", *[posture.projection(F.col("posture"), vectors[:, k].tolist()).alias(m) for k, m in enumerate(names)])
+    sums = models.autoregression_sums(models.normalised_modes(amplitudes, ["track"], names), ["track"], names)
+    return models.autoregression(sums, ["track"], 4, 1, 1 / tables.FRAME_RATE)
 
 
 @query()

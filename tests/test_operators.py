@@ -484,6 +484,16 @@ def test_bundle_has_seven_metrics(spark):
     assert again.count() == 200 and model.scores(model.fit(rows).withColumns({p: F.lit(10.0) for p in chains.PARAMETERS}), [0.0] * 7, [1.0] * 7).first().score == 7.0
 
 
+def test_model_recovers_what_was_simulated(spark):
+    true = {"mu_s": 50.0, "tau_s": 1.0, "d_s": 40.0, "k_psi": 0.15, "d_psi": 0.01, "tau_forward": 8.0, "tau_reverse": 3.0}
+    runs = simulate.centroid_model(spark, 6, 4000, 0.1, *true.values(), seed=3)
+    rows = runs.select(F.col("replicate").alias("track"), "frame", "x", "y", F.col("psi").alias("body"), F.lit(False).alias("bad"), F.lit(True).alias("oriented"), F.lit(False).alias("excluded"), F.lit(900.0).alias("length"))
+    fits = chains.fit_model(rows, list(range(0, 120, 2)), 1000, dt=0.1, within=10, heading=F.col("body")).agg(*[F.avg(p).alias(p) for p in chains.PARAMETERS]).first()
+    assert fits.length == 900.0 and abs(fits.mu_s / true["mu_s"] - 1) < 0.1 and abs(fits.k_psi / true["k_psi"] - 1) < 0.25
+    assert 0.4 < fits.tau_s < 2.0 and 5 < fits.tau_forward < 14 and 1.5 < fits.tau_reverse < 5
+    assert true["d_psi"] < fits.d_psi < 0.3  # the curve is not freed of the drift, which decorrelates too
+
+
 def test_pixel_components_match_flood_fill(spark):
     r = random.Random(6)
     grid = {(y, x) for y in range(14) for x in range(14) if r.random() < 0.45}
