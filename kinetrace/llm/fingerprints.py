@@ -134,13 +134,13 @@ def edited_text(text: str, following: str) -> str:
 def _dealt(docs: DataFrame, range_bytes: int) -> DataFrame | None:
     """(doc_id, text, range, guest) in runs of descending doc_id, a guest behind each run; None for an empty table.
 
-    Rows are ordered by a key of their id, the head of the text and, so that equal rows
-    spread too, the partition they were read in. Ranges are parted by keys that occur:
+    Rows are ordered by a key of their id and the head of the text, so only rows that
+    agree in both are kept in one range. Ranges are parted by keys that occur:
     a range's first row is dealt to the one before it as well, and the very first row to the last range.
     """
     rows = bounded_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     number = F.coalesce(F.bitwise_not(F.col("doc_id").cast("long")), F.lit(0).cast("long"))
-    key = F.struct(F.col("doc_id").isNull().alias("a"), number.alias("b"), F.substring("text", 1, HEAD).alias("c"), F.spark_partition_id().alias("d"))
+    key = F.struct(F.col("doc_id").isNull().alias("a"), number.alias("b"), F.substring("text", 1, HEAD).alias("c"))
     keyed = rows.withColumn("key", key)
     narrow = keyed.select("key", F.octet_length("text").cast("long").alias("bytes"))
     total = narrow.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("key").alias("first")).first()
@@ -155,8 +155,8 @@ def _dealt(docs: DataFrame, range_bytes: int) -> DataFrame | None:
         upto = np.cumsum([0, *[n for _, n in seen]])
         at = np.unique(np.searchsorted(upto, upto[-1] * np.arange(1, ranges) / ranges))
         bounds = sorted({seen[min(int(i), len(seen) - 1)][0] for i in at} - {tuple(total.first)})
-    kind = "struct<a:boolean,b:bigint,c:string,d:int>"
-    lit = lambda k: F.struct(F.lit(k[0]).alias("a"), F.lit(k[1]).cast("long").alias("b"), F.lit(k[2]).alias("c"), F.lit(k[3]).cast("int").alias("d")).cast(kind)
+    kind = "struct<a:boolean,b:bigint,c:string>"
+    lit = lambda k: F.struct(F.lit(k[0]).alias("a"), F.lit(k[1]).cast("long").alias("b"), F.lit(k[2]).alias("c")).cast(kind)
     # of several hundred bounds, first the block, then the place in it
     width = max(1, int(len(bounds) ** 0.5))
     blocks = [bounds[i : i + width] for i in range(0, len(bounds), width)]
