@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetrace.llm import chat, decontamination, fingerprints, jaccard, langid, mixing, pages, pii, quality, secrets
+from kinetrace.llm import chat, decontamination, fingerprints, infill, jaccard, langid, mixing, pages, pii, quality, resampling, secrets, vectors
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -73,7 +73,22 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.to_json("takes").alias("takes"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_language_id, op3_personal_data, op4_secret_scan, op5_quality, op6_decontamination, op7_html_extraction, op8_jaccard_join, op9_fingerprints, fingerprint_classes, op10_source_mixing)}
+def op11_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = infill.fill_in_middle(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = infill.restored(F.col("output"), F.col("form"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resample(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_language_id, op3_personal_data, op4_secret_scan, op5_quality, op6_decontamination, op7_html_extraction, op8_jaccard_join, op9_fingerprints, fingerprint_classes, op10_source_mixing, op11_vector_duplicates, op12_fill_in_middle, op13_importance_resampling)}
 
 def _secret_sql() -> str:
     """Matches and the pieces between them give positions; a run of hex digits is sought by its least length."""
@@ -115,5 +130,40 @@ p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING
 l AS (SELECT x, y FROM p JOIN n nx ON x = nx.doc_id JOIN n ny ON y = ny.doc_id WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
 r AS (SELECT doc_id AS d, doc_id AS k FROM n UNION SELECT l.y, r.k FROM r JOIN l ON r.d = l.x)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.k, w.doc_id) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT d AS doc_id, min(k) AS k FROM r GROUP BY d) m USING (doc_id)
+""",
+    "op11_vector_duplicates": """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+n AS (SELECT x, count(*) AS n FROM l GROUP BY x),
+r AS (SELECT vec_id AS d, vec_id AS k FROM v UNION SELECT l.y, r.k FROM r JOIN l ON r.d = l.x),
+m AS (SELECT d, min(k) AS k FROM r GROUP BY d)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, m.k AS component_id, vec_id = m.k AS kept FROM v JOIN m ON m.d = vec_id LEFT JOIN n ON n.x = vec_id
+""",
+    "op12_fill_in_middle": """
+WITH h AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || doc_id) AS h FROM documents),
+d AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS u, list_transform(range(4), lambda i: CAST('0x' || substr(h, CAST(8 * i + 1 AS INT), 8) AS BIGINT)) AS h FROM h),
+c AS (SELECT *, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS pre, coalesce(array_to_string(u[a + 1:b], ''), '') AS mid, coalesce(array_to_string(u[b + 1:], ''), '') AS suf FROM c)
+SELECT doc_id, len(u) AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+""",
+    "op13_importance_resampling": r"""
+WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+x AS (SELECT doc_id AS id, 0 AS which, text FROM documents UNION ALL SELECT item_id, 1, text FROM benchmark),
+w AS (SELECT id, which, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM x),
+f AS (SELECT id, which, unnest(w) AS g FROM w UNION ALL SELECT id, which, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w),
+n AS (SELECT id, which, g, count(*) AS n FROM f GROUP BY ALL),
+e AS (SELECT g, hex(encode(g)) AS x FROM (SELECT DISTINCT g FROM n)),
+c AS (SELECT g, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(x) // 2 + 1), lambda i: CAST('0x' || substr(x, CAST(2 * i - 1 AS INT), 2) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS b FROM e, t),
+k AS (SELECT b, coalesce(sum(n) FILTER (WHERE which = 0), 0) AS s, coalesce(sum(n) FILTER (WHERE which = 1), 0) AS t FROM n JOIN c USING (g) GROUP BY b),
+z AS (SELECT b, floor(1000 * ln(CAST((t + 1) * ((SELECT sum(s) FROM k) + 10000) AS DOUBLE) / CAST((s + 1) * ((SELECT sum(t) FROM k) + 10000) AS DOUBLE))) AS gain FROM k),
+y AS (SELECT id, floor(sum(n * gain) / sum(n)) AS weight FROM n JOIN c USING (g) JOIN z USING (b) WHERE which = 0 GROUP BY id),
+d AS (SELECT doc_id, len(w) AS words, greatest(2 * len(w) - 1, 0) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+        CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) + 0.5) / 4294967296.0))) AS BIGINT) AS score
+      FROM documents JOIN w ON w.id = doc_id AND which = 0 LEFT JOIN y ON y.id = doc_id),
+o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM d WHERE words >= 20)
+SELECT doc_id, n_features, weight, score, rank FROM d LEFT JOIN (SELECT doc_id, rank FROM o WHERE rank <= 25 * n // 100) USING (doc_id)
 """,
 }
