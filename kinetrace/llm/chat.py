@@ -13,10 +13,10 @@ Prefix hashes are made distinct before the join (partial aggregation), so a
 first turn that many conversations share is one row of it. Rows of one
 conversation meet in one task, as its rendering is one string.
 
-Edge cases: turns are ordered by turn (null first), then role, then text (by its
-first HEAD characters, and a hash beyond), so
-ties and repeated rows have one order and repeats stay turns; gaps in turn do
-not count. A null role or text differs from an empty one in comparison and is
+Edge cases: turns are ordered by turn (null first), then role, then text, in hashing as in
+rendering, so ties and repeated rows have one order and repeats stay turns. Only
+the first HEAD characters of a text are shuffled for that, and whole texts where different ones
+begin alike in one turn and role. Gaps in turn do not count. A null role or text differs from an empty one in comparison and is
 rendered empty. Rows with a null conv_id form one conversation. An empty table
 gives an empty result; extra columns are ignored.
 """
@@ -33,14 +33,28 @@ from kinetrace.llm.store import maybe_in, saved
 HEAD = 64
 
 
-def _turns(conversations: DataFrame) -> DataFrame:
+def _hashed(conversations: DataFrame) -> DataFrame:
+    """What is shuffled of each turn: two hashes of role and text, the head of the text, and the hash of all that orders it so far."""
     parts = [F.col("role").isNull(), F.coalesce("role", F.lit("")), F.col("text").isNull(), F.coalesce("text", F.lit(""))]
-    # hashes are all that is shuffled of a text, with its head for the order of ties
-    hashed = conversations.select("conv_id", "turn", "role", F.substring("text", 1, HEAD).alias("head"), F.xxhash64(F.lit(1), *parts).alias("c1"), F.xxhash64(F.lit(2), *parts).alias("c2"))
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("head").asc_nulls_first(), "c1", "c2")
-    rows = hashed.select("conv_id", F.row_number().over(order).cast("long").alias("k"), "c1", "c2")
+    hashes = {f"c{i}": F.xxhash64(F.lit(i), *parts) for i in (1, 2)}
+    rows = conversations.select("conv_id", "turn", "role", "text", F.substring("text", 1, HEAD).alias("head"))
+    return rows.withColumns(hashes | {"tie": F.xxhash64("conv_id", "turn", "role", "head")})
+
+
+def _turns(conversations: DataFrame) -> DataFrame:
+    rows = _hashed(conversations)
+    order = ["conv_id", "turn", "role", "head", "c1", "c2", "tie"]
+    ties = saved(rows.groupBy("tie").agg(F.max(F.char_length("text")).alias("longest"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("c1", "c2") for f in (F.min, F.max)]).where("(min_c1 != max_c1 OR min_c2 != max_c2)").where(F.col("longest") > HEAD).select("tie"), "ties")
+    whole = F.lit(None).cast("string").alias("text")
+    if ties.limit(1).count():  # different texts that begin alike in one place: these rows are ordered by the whole text
+        tied = maybe_in(rows, ties, "tie").join(ties, "tie", "left_semi").select(*order, "text")
+        hashed = rows.select(*order, whole).join(ties, "tie", "left_anti").select(*order, "text").union(tied)
+    else:
+        hashed = rows.select(*order, whole)
+    place = Window.partitionBy("conv_id").orderBy(*[F.col(c).asc_nulls_first() for c in ("turn", "role", "head", "text")], "c1", "c2")
+    turns = hashed.select("conv_id", F.row_number().over(place).cast("long").alias("k"), "c1", "c2")
     upto = Window.partitionBy("conv_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumns({f"h{i}": F.bit_xor(F.xxhash64(F.lit(i), "k", "c1", "c2")).over(upto) for i in (1, 2)}).withColumn("n_turns", F.max("k").over(Window.partitionBy("conv_id")))
+    return turns.withColumns({f"h{i}": F.bit_xor(F.xxhash64(F.lit(i), "k", "c1", "c2")).over(upto) for i in (1, 2)}).withColumn("n_turns", F.max("k").over(Window.partitionBy("conv_id")))
 
 
 def maximal_conversations(conversations: DataFrame) -> DataFrame:

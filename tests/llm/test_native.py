@@ -157,6 +157,33 @@ def test_chat_long_turns_and_ties_of_long_texts(spark):
     assert got[5].text == f"<|user|>\n{a}\n<|user|>\n{b}\n<|user|>\nz\n<|end|>"
 
 
+def kept_chats(rows):
+    """(id, n_turns, copies) of the conversations that are prefixes of no other, by comparing all with all."""
+    chats = {}
+    for c, turn, role, text in rows:
+        chats.setdefault(c, []).append((turn, role, text))
+    chats = {c: [t[1:] for t in sorted(v)] for c, v in chats.items()}
+    copies = {c: [d for d in chats if chats[d] == v] for c, v in chats.items()}
+    gone = {c for c, v in chats.items() if any(len(w) > len(v) and w[: len(v)] == v for w in chats.values()) or min(copies[c]) != c}
+    return sorted((c, len(v), len(copies[c])) for c, v in chats.items() if c not in gone)
+
+
+def test_chat_partial_ties_behind_equal_heads(spark):
+    """Conversations of one turn beside such that hold it and another in the same place, with equal heads."""
+    head = "h" * chat.HEAD
+    rows, c = [], 0
+    for i in range(40):
+        a, b = f"{head}{i} a", f"{head}{i} b"
+        for texts in ((a,), (b,), (a, b), (b, a, b)):
+            rows += [(c, 0, "user", t) for t in texts]
+            c += 1
+    rows += [(c, 0, "user", head), (c, 0, "user", head + "z"), (c + 1, 0, "user", head), (c + 2, 0, "user", head + "z")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.format_chats(df).collect()
+    assert sorted((r.conv_id, r.n_turns, r.n_copies) for r in got) == kept_chats(rows)
+    assert {r.conv_id for r in got} >= {1, 5, 9, c, c + 2} and c + 1 not in {r.conv_id for r in got}
+
+
 def brute_targets(sizes):
     left, out, free = float(sum(sizes)), [0.0] * len(sizes), {i for i, s in enumerate(sizes) if s}
     w = [(5, 2, 1)[i % 3] for i in range(len(sizes))]
