@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinetrace.sources.store import shared_folder
+from kinetrace.sources.store import kept
 
 
 def crop(pixels: DataFrame, x: int, y: int, w: int, h: int) -> DataFrame:
@@ -39,20 +39,16 @@ def labelled(pixels: DataFrame, eight: bool = True) -> DataFrame:
     """pixels with label, the least pixel of their connected component.
 
     Least labels of the neighbours and a jump to the label's own label, until
-    nothing moves; each round is checkpointed, so a lost executor costs one round.
+    nothing moves; each round is written to the shared folder, so a lost executor costs one round.
     """
-    context = pixels.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(pixels.sparkSession))
-    start = pixels.select("frame", "r", "c").distinct().withColumn("label", F.struct("r", "c"))
     around = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (eight or not (a and b))]
-    labels = start.checkpoint()
+    labels = kept(pixels.select("frame", "r", "c").distinct().withColumn("label", F.struct("r", "c")), "labels")
     while True:
         near = labels.select("frame", "label", F.inline(F.array(*[F.struct((F.col("r") + a).alias("r"), (F.col("c") + b).alias("c")) for a, b in around])))
         least = near.groupBy("frame", "r", "c").agg(F.min("label").alias("__near"))
         lower = labels.join(least, ["frame", "r", "c"], "left").withColumn("__new", F.least("label", "__near"))
         root = lower.select("frame", F.struct("r", "c").alias("__new"), F.col("__new").alias("__root"))
-        stepped = lower.join(root, ["frame", "__new"]).select("frame", "r", "c", F.least("__new", "__root").alias("label"), (F.least("__new", "__root") != F.col("label")).alias("moved")).checkpoint()
+        stepped = kept(lower.join(root, ["frame", "__new"]).select("frame", "r", "c", F.least("__new", "__root").alias("label"), (F.least("__new", "__root") != F.col("label")).alias("moved")), "labels")
         labels = stepped.drop("moved")
         if stepped.where("moved").isEmpty():
             return pixels.join(labels, ["frame", "r", "c"])

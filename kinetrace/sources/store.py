@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 import yaml
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +39,13 @@ def shared_folder(spark: SparkSession) -> str:
     return (folder or _own[app]).rstrip("/")
 
 
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """rows written to the shared folder and read back: their lineage ends there."""
+    path = f"{shared_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def write_observations(observations: DataFrame, path: str) -> None:
     """Store by recording and strain, so that a read of one of them opens only its files."""
     observations.write.partitionBy("video", "strain").mode("overwrite").parquet(path)
