@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kinetrace.operators import morphology as mo
 from kinetrace.operators import skeletons as sk
+from kinetrace.plans import imaging
 
 
 def dense(spark, images):
@@ -276,3 +277,48 @@ def test_empty_frames(spark):
     assert sk.thinned(none).count() == sk.path_between_ends(none).count() == sk.in_order(none).count() == sk.outlines(none).count() == 0
     empty = dense(spark, [])
     assert mo.cleaned(empty, 2, 4, 4).count() == mo.distances(empty).count() == 0
+
+
+def components(im):
+    left, out = {tuple(map(int, p)) for p in zip(*np.nonzero(im), strict=True)}, []
+    while left:
+        part = reach([min(left)], left, SHIFTS)
+        left -= part
+        out.append(part)
+    return out
+
+
+def test_measured_bodies_with_reasons(spark):
+    """The chain after cleaning: the largest body of each region, its length and width, or why they lack."""
+    images = [np.zeros((24, 40), int) for _ in range(5)]
+    images[0][4:7, 2:18] = 1  # a bar on the left, a ring on the right
+    images[0][4:19, 22:37] |= ring_image()
+    images[1][2:4, 2:4] = 1  # too small; a branched body
+    images[1][:, 20:] |= bar((24, 20), [(3, 10), (20, 10), (11, 10), (11, 18)], 1.2)
+    images[2] |= bar((24, 40), [(4, 4), (10, 14)], 2.2) | bar((24, 40), [(18, 3), (18, 9)], 1.5) | bar((24, 40), [(4, 24), (20, 34)], 1.7)
+    images[3][:] = 1
+    settings = imaging.Settings(24, 40, areas=(10, 400), cell=7)
+    regions = spark.createDataFrame([("left", 0, 0, 20, 24), ("right", 20, 0, 20, 24)], "animal string, left int, top int, w int, h int")
+    got = {(x.frame, x.animal): x for x in imaging.measured(dense(spark, images), regions, settings).collect()}
+    assert len(got) == 10
+    reasons = set()
+    for (f, animal), x in got.items():
+        own = []
+        for p in components(images[f]):
+            cx = sum(c for _, c in p) / len(p)
+            if (cx < 19.5) == (animal == "left"):
+                own.append((len(p), p))
+        fit = [p for n, p in own if 10 <= n <= 400]
+        if not fit:
+            assert x.reason == ("size" if own else "nothing") and x.length is None
+            reasons.add(x.reason)
+            continue
+        body = max(fit, key=len)
+        im = np.zeros(images[f].shape, int)
+        im[tuple(zip(*body, strict=True))] = 1
+        n, _, best = shortest(thin(im))
+        assert (x.n_ends, x.area) == (n, len(body)) and x.reason == ("measured" if n == 2 else "crossed" if n < 2 else "spurs")
+        reasons.add(x.reason)
+        if n == 2:
+            assert abs(x.length - best[0]) < 1e-9 and 1 < x.width < 6
+    assert reasons == {"nothing", "size", "crossed", "spurs", "measured"}
