@@ -38,7 +38,8 @@ def in_regions(parts: DataFrame, regions: DataFrame, cell: int) -> DataFrame:
     spread = spread.select("*", F.explode("__rows").alias("__j")).drop("__rows")
     placed = parts.withColumns({"__i": F.floor((F.col("x") + 0.5) / cell), "__j": F.floor((F.col("y") + 0.5) / cell)})
     met = placed.join(spread, ["__i", "__j"])
-    inside = F.col("x").between(F.col("__left") - 0.5, F.col("__left") + F.col("__w") - 0.5) & F.col("y").between(F.col("__top") - 0.5, F.col("__top") + F.col("__h") - 0.5)
+    within = lambda at, lo, n: (F.col(at) >= F.col(lo) - 0.5) & (F.col(at) < F.col(lo) + F.col(n) - 0.5)
+    inside = within("x", "__left", "__w") & within("y", "__top", "__h")
     return met.where(inside).drop("__i", "__j", "__left", "__top", "__w", "__h")
 
 
