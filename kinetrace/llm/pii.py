@@ -40,8 +40,8 @@ KINDS = ("email", "ip", "card", "phone")
 WINDOW, MARGIN, BATCH = 256, 16, 2048
 HIDDEN = 10
 FAR, JOIN, SPARE = 24, 12, 3
-#: What a window must hold to be read: a digit, an at sign, a bracketed "at", or "at" and "dot" as words.
-_TRIGGER = re.compile(r"[0-9@]|[(\[{<]\x20*at\x20*[)\]}>]|\bat\b(?=[^@]{1,64}?\bdot\b)", re.I)
+#: What a window must hold to be read, which every valid span does: a digit, an at sign, a bracketed "at", or "at" as a word before a host with a dot in any writing.
+_TRIGGER = re.compile(r"[0-9@]|[(\[{<]\x20*at\x20*[)\]}>]|\x20at\x20++(?=[a-z0-9-]++(?:\.[a-z0-9-]|\x20*[(\[{<]\x20*(?:dot|\.)\x20*[)\]}>]|\x20+dot\x20))", re.I)
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _HOST = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -324,6 +324,7 @@ def writings(r: np.random.Generator) -> dict[str, tuple[int, Callable[[], str]]]
         "a [at] b [dot] com": (0, lambda: f"{name()} [at] {word()} [dot] {tld()}"),
         "a (at) b.com": (0, lambda: f"{name()}{r.choice([' ', ''])}({r.choice(['at', 'AT'])}){r.choice([' ', ''])}{word()}.{tld()}"),
         "a at b dot com": (0, lambda: f"{name()} at {word(3)} dot {tld()}"),
+        "a at b.com": (0, lambda: f"{name()} at {str(r.choice(['', word(3) + '.']))}{word(3)}.{tld()}"),
         "_ip": (1, lambda: ".".join(parts())),
         "1[.]2[.]3[.]4": (1, lambda: str(r.choice(["[.]", "(.)"])).join(parts())),
         "1 . 2 . 3 . 4": (1, lambda: " . ".join(parts())),
@@ -446,16 +447,32 @@ _NUMBER = re.compile("[0-9]+")
 _WORD = re.compile(r"\S+")
 
 
-def _valid(shown: str, kind: int) -> bool:
-    """Whether what is written, in whatever layout, can be of its kind."""
+# Words that stand before "at" and the name of a site, and before numbers with dots that are no addresses.
+_BEFORE_AT = frozenset("is are was were be been it us you him her them or and but not now here there online available found find see look read more only hosted live page site shop visit sold shown listed posted published meet start starts stay arrive".split())
+_VERSION = re.compile(r"(?:version|release|section|chapter|build|clause|ver|v)[\x20.:#-]*$", re.I)
+
+
+def _valid(shown: str, kind: int, before: str = "") -> bool:
+    """Whether what is written, in whatever layout, can be of its kind; before is the text in front of it.
+
+    A spelt-out "at" behind a word of prose makes no address, pairs of digits no
+    phone number unless they begin with 0, and a version no IP address.
+    """
     if kind == 0:
+        plain = re.split(r"\x20+at\x20+", shown, maxsplit=1, flags=re.I)
+        if len(plain) == 2 and plain[0].lower() in _BEFORE_AT:
+            return False
         return bool(_ADDRESS.fullmatch(_DOT.sub(".", _AT.sub("@", shown))))
+    if kind == 1 and _VERSION.search(before):
+        return False
     numbers = _NUMBER.findall(shown)
     if kind == 1:
         return len(numbers) == 4 and all(int(x) <= 255 for x in (y[-9:] for y in numbers)) and all(len(x.lstrip("0")) <= 3 for x in numbers) and not any(c.isalpha() for c in shown)
     digits = "".join(numbers)
     if any(c.isalpha() for c in shown):
         return False
+    if kind == 3 and len(numbers) > 1 and all(len(x) <= 2 for x in numbers) and digits[0] != "0" and "+" not in shown:
+        return False
     return 14 <= len(digits) <= 19 and luhn(digits) if kind == 2 else 10 <= len(digits) <= 15
 
 
@@ -503,7 +520,7 @@ def model_spans(tags: np.ndarray, text: str, taken: list[tuple[int, int, int, bo
             upto = bisect_left(starts, y)
             alone = not upto or ends[upto - 1] <= x
             bounded = (x == 0 or not (text[x - 1].isalnum() or text[x - 1] in "+-.")) and (y == len(text) or not text[y].isalnum())
-            if alone and bounded and _valid(text[x:y], kind):
+            if alone and bounded and _valid(text[x:y], kind, text[max(0, x - 16) : x]):
                 out.append((x, kind, y))
                 last = y
                 break

@@ -147,6 +147,34 @@ def test_recall_of_every_writing():
     assert added <= 2
 
 
+def test_every_valid_span_passes_the_gate():
+    """What makes a window be read stands in the span itself; digits elsewhere in the text change nothing."""
+    r = np.random.default_rng(12)
+    lines = ["", "in 2024 there were 17 of them and 3 more. ", "plain words stand around it, nothing else does. " * 12]
+    tagger, changed, seen = pii.trained(), 0, 0
+    for name, (kind, make) in pii.writings(r).items():
+        for _ in range(12):
+            shown = make()
+            alone = f"please write to {shown} for the details of the plan."
+            assert pii._TRIGGER.search(f"words {shown} words"), (name, shown)
+            found = []
+            for line in lines:
+                (spans,) = [s for _, s in pii._spans(tagger, [alone + " " + line])]
+                found.append([(a, k, b) for a, k, b in spans if a < len(alone)])
+            seen += 1
+            changed += any(f != found[0] for f in found[1:])
+    assert changed <= seen // 25  # the model reads what is near; the gate never hides a span
+
+
+def test_spelt_addresses_and_what_is_none():
+    tagger = pii.trained()
+    spans = lambda t: [(t[a:b], pii.KINDS[k]) for a, k, b in next(pii._spans(tagger, [t]))[1]]
+    for text in ("write to john.smith at example.com for the details of the plan.", "write to john.smith at example.com for the details of the plan in 2024."):
+        assert spans(text) == [("john.smith at example.com", "email")]
+    for text in ("it is at example.com now", "look at news.site.org today", "see version 2 . 4 . 1 . 0 of it", "rows 12 34 56 78 90 12 of the table"):
+        assert spans(text) == [], text
+
+
 def test_many_matches_take_linear_time():
     def seconds(n):
         text = "mail ab@cd.ef or 0123 456789 " * n
