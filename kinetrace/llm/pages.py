@@ -62,25 +62,28 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 RAW = frozenset("script style textarea title noscript template iframe svg math object xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("html head body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
-CERTAIN = frozenset("head nav footer aside menu button select option datalist dialog search audio video canvas label".split()) | RAW
-ENDING = frozenset("nav footer aside menu dialog search".split())
+CERTAIN = frozenset("head nav footer aside menu button select option datalist dialog search audio video canvas".split()) | RAW
+ENDING = frozenset("nav footer aside menu dialog search audio video canvas".split())
 PARTS = frozenset("article main section div header footer form table h1 h2 h3 h4 h5 h6 p".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ITEMS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",), "option": ("option",)}
 LISTED = frozenset("li td th dt dd".split())
 UNWANTED = frozenset(
     """ad ads adv advert adverts advertisement advertising adbox adslot sponsor sponsored sponsors promo promoted promotion banner cookie cookies consent gdpr
-    popup modal overlay newsletter subscribe subscription signup sharing social related recommended recommendations comment comments commentlist replies respond disqus sidebar widget widgets
-    menu nav navbar navigation navi breadcrumb breadcrumbs footer masthead toolbar pagination pager paging login contentinfo complementary outbrain taboola paywall""".split()
+    popup modal overlay newsletter subscribe subscription signup social related recommended recommendations comment comments commentlist replies respond disqus sidebar widget widgets
+    menu nav navbar navigation navi breadcrumb breadcrumbs footer masthead toolbar pagination pager paging contentinfo complementary outbrain taboola paywall""".split()
 )
 #: Names that may mean something else too: they count only on a part whose class has no other words.
-DOUBTFUL = frozenset("notice notices alert alerts warning share recommend more trending popular reply discussion foot search legal copyright dialog disclaimer feedback rating ratings skip toc".split())
+DOUBTFUL = frozenset("login sharing notice notices alert alerts warning share recommend more trending popular reply discussion foot search legal copyright dialog disclaimer feedback rating ratings skip toc".split())
 FILLERS = frozenset("list box wrap wrapper container area section block panel bar inner outer item items text content body form button row top bottom left right site page global main primary secondary post entry js".split())
 WANTED = frozenset("content article post entry main story body text prose".split())
 TEASERS = frozenset("comment comments reply ad advert advertisement sponsored promo related teaser recommended".split())
 REPLIES = frozenset("comment comments commentlist replies reply respond disqus discussion".split())
-#: Log odds that a page's own marks add to the classifier's.
-MARKS = {"article": 4.0, "outside": -4.0, "heading": 1.0, "wanted": 1.5, "unwanted": -12.0, "doubtful": -5.0, "header": -7.0}
+#: Log odds that a page's own marks add to the classifier's. An unwanted name decides alone only over a short part or over
+#: replies; a long part, a paragraph, and a name among other words weigh less than prose in an article can earn.
+MARKS = {"article": 4.0, "outside": -4.0, "heading": 1.0, "wanted": 1.5, "unwanted": -12.0, "long": -6.5, "doubtful": -5.0, "partly": -3.0, "header": -7.0}
+#: Words from which a part is long.
+LONG_PART = 60
 NEAR, DECAY = 1.2, 0.6
 
 
@@ -123,6 +126,8 @@ class _Element:
             others = [x for x in names if x not in UNWANTED and x not in DOUBTFUL and x not in FILLERS]
             if held:
                 weight = min(weight, MARKS["unwanted"] if not others and any(x in TEASERS for x in names) else 0.0)
+            elif known and (others or self.tag == "p" or self.tag in HEADINGS):
+                weight = min(weight, MARKS["partly" if others else "doubtful"])
             elif known:
                 weight = min(weight, MARKS["unwanted"])
             elif not others and any(x in DOUBTFUL for x in names) and self.tag not in HEADINGS:
@@ -136,8 +141,10 @@ class _Element:
             self.header |= names == ["header"] and not self.article
             self.wanted |= not WANTED.isdisjoint(names)
         self.header |= role == "banner"
-        if role in ("navigation", "complementary", "contentinfo", "search", "dialog", "alert", "menu"):
+        if role in ("navigation", "complementary", "contentinfo", "search", "dialog", "menu"):
             weight = MARKS["unwanted"]
+        elif role == "alert":
+            weight = min(weight, MARKS["doubtful"])
         return weight, not REPLIES.isdisjoint(x.lower() for x in _NAME.findall(f"{seen.get('class', '')} {seen.get('id', '')}"))
 
 
@@ -179,7 +186,7 @@ def blocks_of(page: str) -> list[Block]:
     open_: dict[str, int] = {}
     suspects: list[_Suspect] = []
     links = linked = at = made = 0
-    ends = [(m.start(), bool(m[1]), m[2].lower()) for m in re.finditer(r"<(/?)(nav|footer|aside|menu|dialog|search)(?=[\s/>])", page, re.I)]
+    ends = [(m.start(), bool(m[1]), m[2].lower()) for m in re.finditer(r"<(/?)(nav|footer|aside|menu|dialog|search|audio|video|canvas)(?=[\s/>])", page, re.I)]
     closed = _closed(ends)
     loose: list[_Element] = []  # open elements that nothing closes
 
@@ -290,7 +297,8 @@ def _weigh(blocks: list[Block], suspects: list[_Suspect]) -> None:
             s.up.article |= s.article
     for s in suspects:
         wrapper = s.main or not s.replies and ((s.heading or s.article) and 2 * s.words > total or total > 20 and 10 * s.words > 9 * total)
-        s.total = min(s.up.total if s.up else 0.0, 0.0 if wrapper else s.weight)
+        weight = max(s.weight, MARKS["long"]) if s.words >= LONG_PART and not s.replies else s.weight
+        s.total = min(s.up.total if s.up else 0.0, 0.0 if wrapper else weight)
 
 
 _CLOSING = frozenset(".!?…:;\"”»。！？")

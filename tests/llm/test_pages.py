@@ -109,6 +109,27 @@ def test_attributes_and_wrappers_lose_no_text(page):
     assert TARGET in got and ("Another" not in page or any(x.startswith("Another long") for x in got)) and "Home" not in got
 
 
+LONG = "This is a long paragraph about the subject of the article, with several clauses, and it ends like any other. It goes on for one more sentence."
+
+
+@pytest.mark.parametrize("text", [TARGET, LONG])
+@pytest.mark.parametrize(
+    "part",
+    ['<p class="ad-free">%s</p>', '<p class="menu">%s</p>', '<div class="login"><p>%s</p></div>', '<p class="related">%s</p>', '<div class="promo-code-explained"><p>%s</p></div>', '<div class="newsletter-archive"><p>%s</p></div>', '<div class="sharing economy"><p>%s</p></div>', "<div role=alert><p>%s</p></div>", "<label>%s</label>", "<audio src=x /><p>%s</p>", "<video><p>%s</p>", '<div class="share"><p>%s</p></div>', '<h2 class="promo">%s</h2>'],
+)
+def test_no_name_outvotes_prose_in_an_article(part, text):
+    got = pages.main_text(f"<article><h1>Rivers</h1>{MORE}{part % text}{MORE}</article>").split("\n\n")
+    assert text in got and got.count(MORE[3:-4]) == 2
+
+
+@pytest.mark.parametrize("name", sorted(pages.UNWANTED - pages.REPLIES))
+def test_long_prose_survives_every_name_and_short_notes_do_not(name):
+    """A part of some paragraphs in an article is its prose whatever it is called; a short one with that name alone is not."""
+    part = lambda text: f'<article><h1>Rivers</h1>{MORE}<div class="{name}">{text}</div>{MORE}</article>'
+    assert LONG in pages.main_text(part(f"<p>{LONG}</p>" * 4))
+    assert "Buy" not in pages.main_text(part("<p>Buy it now</p>"))
+
+
 def test_forms_and_comments_in_an_article_go():
     page = f'<article><h1>Rivers</h1><p>{TARGET}</p><form><p>Sign up please, all of you, now.</p><input></form>{MORE}<div class="comments"><p>I like it a lot, thank you for this.</p></div></article>'
     assert len(pages.main_text(page).split("\n\n")) == 3
