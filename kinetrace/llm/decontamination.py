@@ -41,7 +41,10 @@ from kinetrace.llm.words import PUNCTUATION, mix, slices, word_hashes
 MASKS = ((0, 1, 2, 4, 7, 9), (0, 2, 3, 6, 8, 10), (0, 1, 4, 5, 6, 10), (0, 3, 4, 7, 8, 9), (0, 1, 2, 3, 4, 5), (0, 1, 2, 5, 6, 7))
 SPAN = 11
 WINDOW, SHARE, MIN_WORDS = 20, 0.8, 5
-BITMAP_BITS = 23
+#: Bits of the bitmap of seeds for each seed, and their least and most number (as powers of two; 1 to 32 MB).
+BITS_EACH, LEAST_BITS, MOST_BITS = 32, 23, 28
+#: Rows to remove up to which their keys are broadcast.
+BROADCAST_ROWS = 1 << 20
 _U = np.uint64
 _ODD = mix(np.arange(1, 1 + SPAN, dtype=_U) * _U(0x2545F4914F6CDD1D)) | _U(1)
 
@@ -96,34 +99,47 @@ def _item_tables(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     return items, items.select("item", "words").mapInArrow(seed, "hash long, item long, place int")
 
 
-def _bit(hashes: np.ndarray, no: int) -> np.ndarray:
-    return ((hashes >> _U(no * BITMAP_BITS)) & _U((1 << BITMAP_BITS) - 1)).astype(np.int64)
+def _bit(hashes: np.ndarray, no: int, bits: int) -> np.ndarray:
+    return ((hashes >> _U(no * bits)) & _U((1 << bits) - 1)).astype(np.int64)
+
+
+def _has(table: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return (table[places >> 3] >> (7 - (places & 7)).astype(np.uint8) & 1).astype(bool)
 
 
 def segments(docs: DataFrame, seeds: DataFrame, short: tuple[int, ...]) -> DataFrame:
     """Stretches of documents with seeds that the benchmark may have: doc_id, row, segment, start, words, hits (hash, place)."""
     spark = bounded_batches(docs).sparkSession
 
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    size = min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * seeds.count() - 1).bit_length()))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Bytes of the bitmap that are not 0, from the seeds of a task."""
+        table = np.zeros(1 << (size - 3), np.uint8)
         for b in batches:
             h = b["hash"].to_numpy().view(_U)
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([_bit(h, 0), _bit(h, 1)])))], names=["bit"])
-
-    table = np.zeros(1 << BITMAP_BITS, bool)  # each of the bits comes once: the size is bounded whatever the benchmark's
-    table[seeds.select("hash").mapInArrow(bits, "bit long").distinct().toArrow()["bit"].to_numpy()] = True
-    shared = spark.sparkContext.broadcast(np.packbits(table))
+            for no in (0, 1):
+                at = _bit(h, no, size)
+                np.bitwise_or.at(table, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
+        used = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(table[used].astype(np.int32))], names=["at", "byte"])
+
+    table = np.zeros(1 << (size - 3), np.uint8)  # a row for each of its bytes at most, whatever the benchmark's size
+    found = seeds.select("hash").mapInArrow(packed, "at long, byte int").groupBy("at").agg(F.bit_or("byte").alias("byte")).toArrow()
+    table[found["at"].to_numpy()] = found["byte"].to_numpy()
+    shared = spark.sparkContext.broadcast(table)
     fits = _masks(short)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(shared.value).view(bool)
+        known = shared.value
         for b in batches:
             for lo, _, data, offsets in slices(b["text"]):
                 words, _, _, first = word_hashes(data, offsets, PUNCTUATION, latin=True)
                 found = []
                 for no, (width, mask) in enumerate(fits):
                     h = _seeds(words, no if no < len(MASKS) else 100 + width, width, mask)
-                    at = np.flatnonzero(known[_bit(h, 0)])
-                    at = at[known[_bit(h[at], 1)]]
+                    at = np.flatnonzero(_has(known, _bit(h, 0, size)))
+                    at = at[_has(known, _bit(h[at], 1, size))]
                     doc = np.searchsorted(first, at, "right") - 1
                     whole = at + width <= first[doc + 1]
                     found.append((at[whole], doc[whole], h[at[whole]]))
@@ -203,6 +219,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs without a verified overlap."""
-    bad = row_overlaps(docs, benchmark).select(F.col("row").alias("__bad")).distinct()
-    return docs.join(bad, row_key() == F.col("__bad"), "left_anti")
+    """The rows of docs without a verified overlap; no text is shuffled unless more than BROADCAST_ROWS rows go."""
+    bad = saved(row_overlaps(docs, benchmark).select(F.col("row").alias("__bad")).distinct(), "bad")
+    few = F.broadcast if bad.count() <= BROADCAST_ROWS else lambda df: df
+    return docs.join(few(bad), row_key() == F.col("__bad"), "left_anti")

@@ -32,15 +32,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kinetrace.llm.store import saved
+from kinetrace.llm.store import hot_keys, saved, spread_join
 
 BLOCKS = 4096
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
 #: A table of one row per source is broadcast up to this many sources, and joined by shuffle beyond.
 BROADCAST_SOURCES = 10_000
-#: Runs of sources for the draw, sources in a run at least, and parts of a source's rows in a join by shuffle.
-CHUNKS, CHUNK, SALTS = 4096, 1024, 32
+#: Runs of sources for the draw, and sources in a run at least.
+CHUNKS, CHUNK = 4096, 1024
 #: numpy draws from fewer block copies than this.
 MOST = 10**9
 OUTPUTS = ("size", "source_size", "target", "taken", "takes")
@@ -197,10 +197,9 @@ def mix(docs: DataFrame, shards: int = 16, weights: tuple[float, ...] = WEIGHTS,
 
     if sources <= BROADCAST_SOURCES:
         joined = rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("__source")))
-    else:  # a source of many rows is spread over SALTS tasks
-        salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        mine = rows.withColumn("__mine", F.pmod(F.col("__order"), F.lit(SALTS)))
-        joined = mine.join(salted, F.col("source").eqNullSafe(F.col("__source")) & (F.col("__mine") == F.col("__salt")))
+    else:  # a source goes to as many tasks as its words ask for
+        keyed = saved(table.withColumn("__key", F.xxhash64("__source")), "table")
+        joined = spread_join(rows.withColumn("__key", F.xxhash64("source")), keyed, "__key", hot_keys(keyed, "__key", "__source_size")).where(F.col("source").eqNullSafe(F.col("__source")))
     takes = F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.col("__copies")), take), lambda x: x["words"] > 0)
     taken = F.aggregate("takes", F.lit(0).cast("long"), lambda a, x: a + x["words"])
     return joined.withColumn("takes", takes).select(*[f"`{c}`" for c in docs.columns], "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), taken.alias("taken"), "takes")

@@ -33,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinetrace.llm.store import bounded_batches, fields, saved
+from kinetrace.llm.store import bounded_batches, fields, hot_keys, saved, spread_join
 from kinetrace.llm.words import PUNCTUATION, slices, word_hashes
 
 FIT_ROWS = 20_000
 DIMS = 1 << 16
 THRESHOLD, PRIOR = 0.5, 0.05
-BROADCAST_SITES, SALTS = 20_000, 32
+BROADCAST_SITES = 20_000
 #: A word is chosen if its share differs between classes by so many standard errors; at most so many for each head.
 STRONG, MOST_WORDS = 4.0, 300
 #: Of a path's shift against the global share, the part that counts as evidence on a document.
@@ -273,9 +273,9 @@ def assess(docs: DataFrame, labels: DataFrame, model: Classifier | None = None,
     here = F.col("__host").eqNullSafe(F.col("__s_host")) & F.col("__path").eqNullSafe(F.col("__s_path"))
     if sites.count() <= BROADCAST_SITES:
         rows = scored.join(F.broadcast(sites), here)
-    else:  # a site of many rows is spread over SALTS tasks
-        salted = sites.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = scored.withColumn("__mine", F.pmod(F.xxhash64("p_bad", "p_toxic", "doc_id"), F.lit(SALTS)).cast("int")).join(salted, here & (F.col("__mine") == F.col("__salt")))
+    else:  # a site goes to as many tasks as its documents ask for
+        keyed = saved(sites.withColumn("__site", F.xxhash64("__s_host", "__s_path")), "sites")
+        rows = spread_join(scored.withColumn("__site", F.xxhash64("__host", "__path")), keyed, "__site", hot_keys(keyed, "__site", "__s_n")).where(here)
     good = (1 - F.col("p_bad")) * (1 - F.col("p_toxic"))
     site, base = rates(known, {c: F.col(f"__s_{c}") for c in ("good", "n", "h_good", "h_n")}, good, 1)
     posterior = _logit(good) + F.lit(SITE_WEIGHT) * (_logit(site) - _logit(base))

@@ -91,3 +91,15 @@ def test_odd_texts_and_names(spark):
     assert sorted((r.doc_id or -1, r.item_id) for r in dc.overlaps(df, bench).collect()) == [(-1, 1), (1, 0)]
     kept = dc.clean(df, bench).collect()
     assert [(r.doc_id, r.row) for r in kept] == [(2, "old")] and dc.clean(df, bench).columns == df.columns
+
+
+def test_the_bitmap_follows_the_benchmark_and_large_removals_are_joined(spark, monkeypatch):
+    """Sizes of the bitmap and both ways of removing rows give the same rows."""
+    rows = [(i, f"some text {i} about things " + ("the item of the benchmark has these twelve words in it for you " if i % 3 == 0 else "nothing of the kind") ) for i in range(60)]
+    bench = spark.createDataFrame([(1, "The item of the benchmark has these twelve words in it for you")], "item_id long, text string")
+    kept = lambda: sorted(r.doc_id for r in dc.clean(documents(spark, rows), bench).collect())
+    want = [i for i in range(60) if i % 3]
+    assert kept() == want
+    monkeypatch.setattr(dc, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(dc, "LEAST_BITS", 10)
+    assert kept() == want
