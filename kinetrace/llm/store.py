@@ -74,9 +74,9 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | No
         return left.join(right, key, how)
     rest = [c for c in left.columns if c != key]
     parts = F.coalesce("__parts", F.lit(1))
-    spread = left.join(F.broadcast(hot), key, "left").withColumn("__part", F.pmod(F.xxhash64(*rest), parts).cast("int")).drop("__parts")
-    copied = right.join(F.broadcast(hot), key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
-    return spread.join(copied, [key, "__part"], how).drop("__part")
+    spread = left.join(F.broadcast(hot), key, "left").withColumn("__spread_part", F.pmod(F.xxhash64(*rest), parts).cast("int")).drop("__parts")
+    copied = right.join(F.broadcast(hot), key, "left").withColumn("__spread_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return spread.join(copied, [key, "__spread_part"], how).drop("__spread_part")
 
 
 def maybe_in(rows: DataFrame, found: DataFrame, key: str, bits_each: int = 16, most_bits: int = 1 << 26) -> DataFrame:
