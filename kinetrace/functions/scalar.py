@@ -136,6 +136,11 @@ def posture_points(pixels: Column) -> Column:
     return F.when(pixels > 60, 50).when(pixels > 40, 30).when(pixels > 20, 15).otherwise(0)
 
 
+def expected_pixels(length: Column, width: Column, scale: Column) -> Column:
+    """Struct (length, width, area, points) in pixels of a body of so many micrometres, by pixels per micrometre."""
+    return F.struct((length * scale).alias("length"), (width * scale).alias("width"), (length * scale * width * scale).alias("area"), posture_points(length * scale).alias("points"))
+
+
 def contour_area_and_centroid(xs: Column, ys: Column) -> Column:
     """Struct (area, x, y) of a closed polygon by the shoelace sums; x and y NULL for area 0."""
     n = F.size(xs)

@@ -173,3 +173,33 @@ def autoregression(sums: DataFrame, keys: list[str], dims: int, order: int, dt:
         return pd.DataFrame([[*key, i, abs(r.imag) / (2 * np.pi), -1 / r.real if r.real else None] for i, r in enumerate(rates[order_])], columns=[*keys, "mode", "frequency", "damping"])
 
     return sums.groupBy(*keys).applyInPandas(solve, f"{key_types}, mode int, frequency double, damping double")
+
+
+def dynamics(sums: DataFrame, keys: list[str], dims: int, dt: float, damp: float = 0.0) -> DataFrame:
+    """keys, mode, frequency, damping and noise of first-order dynamics without a constant, from autoregression_sums() or autoregression_windows().
+
+    The step matrix comes from least squares, with damp**2 added to its diagonal. Of each eigenvalue l, frequency is
+    its angle over a turn, and damping -sign(Re l) / log|l|, in time: a mode that changes
+    its sign from frame to frame has the opposite one. noise is the deviation of the residuals of the
+    amplitude of that number, over the root of dt. Modes come by falling damping time.
+    """
+    key_types = ", ".join(f"{k} {sums.schema[k].dataType.simpleString()}" for k in keys)
+
+    def solve(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        at = {0: 0} | {i + 1: i + 1 for i in range(dims)} | {1000 + d: 1 + dims + d for d in range(dims)}
+        m = np.zeros((1 + 2 * dims, 1 + 2 * dims))
+        for i, j, s in zip(part["i"], part["j"], part["s"], strict=True):
+            m[at[i], at[j]] = m[at[j], at[i]] = s
+        n, past, now = m[0, 0], slice(1, 1 + dims), slice(1 + dims, None)
+        w = np.linalg.lstsq(m[past, past] + damp**2 * np.eye(dims), m[past, now], rcond=None)[0]
+        squares = np.diag(m[now, now] - w.T @ m[past, now] - m[now, past] @ w + w.T @ m[past, past] @ w)
+        noise = np.sqrt(np.maximum(squares / n - ((m[0, now] - m[0, past] @ w) / n) ** 2, 0) / dt)
+        l = np.linalg.eigvals(w).astype(complex)  # noqa: E741
+        with np.errstate(divide="ignore", invalid="ignore"):
+            damping = -np.sign(l.real) / (np.log(np.abs(l)) / dt)
+        frequency = np.abs(np.angle(l)) / dt / (2 * np.pi)
+        order = np.lexsort((frequency, -damping))
+        rows = [[*key, i, float(frequency[k]), float(damping[k]) if np.isfinite(damping[k]) else None, float(noise[i])] for i, k in enumerate(order)]
+        return pd.DataFrame(rows, columns=[*keys, "mode", "frequency", "damping", "noise"])
+
+    return sums.groupBy(*keys).applyInPandas(solve, f"{key_types}, mode int, frequency double, damping double, noise double")

@@ -37,6 +37,22 @@ def mean_reverting(spark: SparkSession, replicates: int, frames: int, dt: float,
     return euler(spark, replicates, frames, dt, mu, lambda y, t: (mu - y) / tau, lambda y, t: sigma, seed)
 
 
+def mean_reverting_of(parameters: DataFrame, frames: int, dt: float, seed: int = 0) -> DataFrame:
+    """track, frame, y: one path for each row of (track, mu, tau, sigma), all paths of a batch stepped together; a track's numbers depend on seed and track only."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            mu, tau, sigma = (batch[c].to_numpy(float) for c in ("mu", "tau", "sigma"))
+            noise = np.stack([np.random.default_rng([seed, int(t)]).standard_normal(frames) for t in batch["track"]], axis=1) if len(batch) else np.empty((frames, 0))
+            y = np.empty((frames, len(batch)))
+            y[0] = mu
+            for i in range(1, frames):
+                y[i] = y[i - 1] + (mu - y[i - 1]) / tau * dt + sigma * np.sqrt(dt) * noise[i]
+            yield pd.DataFrame({"track": np.repeat(batch["track"].to_numpy(), frames), "frame": np.tile(np.arange(frames), len(batch)), "y": y.T.ravel()})
+
+    return parameters.select("track", "mu", "tau", "sigma").mapInPandas(run, "track long, frame long, y double")
+
+
 def drift_diffusion(spark: SparkSession, replicates: int, frames: int, dt: float, rate: float, diffusion: float, seed: int = 0) -> DataFrame:
     return euler(spark, replicates, frames, dt, 0.0, lambda y, t: rate, lambda y, t: float(np.sqrt(2 * diffusion)), seed)
 

@@ -180,17 +180,19 @@ def head_first(rows: DataFrame, told: DataFrame, jump: float, gap: int = 3, long
     return held.select(*kept, turn("xs"), turn("ys"), turn("posture"), F.coalesce(F.col("method") > 0, F.lit(False)).alias("oriented"))
 
 
-def head_and_tail_by_motion(rows: DataFrame, dt: float, jump: float, gap: int = 3, longest: int = 10_000, least: int = 150, brightness: DataFrame | None = None, **limits: float) -> DataFrame:
+def head_and_tail_by_motion(rows: DataFrame, dt: float, jump: float, gap: int = 3, longest: int = 10_000, least: int = 150, brightness: DataFrame | None = None, least_grey: float = 0.2, **limits: float) -> DataFrame:
     """track, begin, end, speed, n_first, n_last, first_speed, last_speed, method and flip: which end leads in each segment, by motion.
 
     rows: track, frame, x, y (centroid), xs, ys, posture; NULL where not valid. An
-    end leads in a frame if its direction from the centroid is nearer to that of the
-    motion. Speeds of the ends are those of the points against the centroid.
+    end leads in a frame if its direction from the origin is nearer to that of the
+    motion. Speeds of the ends are those of the points against the origin, which is
+    the body's midpoint if rows have it (mx, my), else the centroid.
     brightness: track, frame, first, last (grey values of both ends), for a third rule.
     """
     frames, segments = _oriented_segments(rows, jump, gap, longest, least)
     held = sequences.in_segments(frames, segments)
-    ends = {f"{e}{c}": F.try_element_at(f"{c}s", F.lit(i)) - F.col(c) for e, i in (("h", 1), ("t", -1)) for c in ("x", "y")}
+    origin = {c: f"m{c}" if f"m{c}" in rows.columns else c for c in "xy"}
+    ends = {f"{e}{c}": F.try_element_at(f"{c}s", F.lit(i)) - F.col(origin[c]) for e, i in (("h", 1), ("t", -1)) for c in ("x", "y")}
     ends = held.withColumns(ends | {f"v{c}": kinematics.centred_difference(c, dt) for c in ("x", "y")})
     w = Window.partitionBy("track", "begin").orderBy("frame")
     moves = lambda c: (F.lead(c).over(w) - F.lag(c).over(w)) / (2 * dt)
@@ -206,5 +208,5 @@ def head_and_tail_by_motion(rows: DataFrame, dt: float, jump: float, gap: int =
     if brightness is not None:
         grey = sequences.in_segments(brightness, segments.select("track", "begin", "end")).where("begin IS NOT NULL").groupBy("track", "begin").agg(F.avg("first").alias("__first"), F.avg("last").alias("__last"))
         found = found.join(grey, ["track", "begin"], "left")
-        told = headtail.by_brightness(told, F.col("__first"), F.col("__last"))
+        told = headtail.by_brightness(told, F.col("__first"), F.col("__last"), least_grey)
     return found.withColumn("__h", told).select(*[c for c in found.columns if not c.startswith("__")], "__h.method", "__h.flip")

@@ -177,13 +177,18 @@ def outline_measures(spark: SparkSession, d: str) -> DataFrame:
     return found.select("frame", F.col("label.r").alias("label_r"), F.col("label.c").alias("label_c"), "perimeter", "area", "inner")
 
 
-@query()
-def body_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Of frames whose largest body has two ends: the path between them with its width across at each inner point."""
+def largest_bodies(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The largest body of each frame, and the path between its ends if it has two."""
     labels = kept(pixels.labelled(smooth(spark, d).where("v = 1").select("frame", "r", "c")), "labels")
     largest = labels.groupBy("frame", "label").count().groupBy("frame").agg(F.max_by("label", F.struct("count", "label")).alias("label"))
     body = kept(labels.join(largest, ["frame", "label"], "left_semi").select("frame", "r", "c"), "body")
-    path = kept(skeletons.path_between_ends(skeletons.thinned(body)), "path")
+    return body, kept(skeletons.path_between_ends(skeletons.thinned(body)), "path")
+
+
+@query()
+def body_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Of frames whose largest body has two ends: the path between them with its width across at each inner point."""
+    body, path = largest_bodies(spark, d)
     widths = skeletons.perpendicular_widths(path, body, 8)
     return path.join(widths, ["frame", "place"], "left").join(skeletons.path_length(path), "frame").select("frame", "place", "r", "c", "width", digits("length"))
 

@@ -699,7 +699,12 @@ def posture_dynamics(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def simulated_mean_reversion(spark: SparkSession, d: str) -> DataFrame:
-    return simulate.mean_reverting(spark, 4, 400, 0.1, 1.0, 2.0, 0.5, seed=3)
+    """Each track's x simulated anew: a mean-reverting process with its mean, deviation and correlation from frame to frame."""
+    pairs = lagstats.lag_pairs(tables.track(spark, d), [1], ["x"])
+    sums = pairs.groupBy("track").agg(F.avg("x0").alias("mu"), F.stddev_pop("x0").alias("sd"), F.corr("x0", "x1").alias("r"))
+    tau = -1 / F.log(F.least(F.greatest(F.col("r"), F.lit(0.05)), F.lit(0.95)))
+    parameters = sums.where("sd > 0").select("track", "mu", tau.alias("tau"), (F.col("sd") * F.sqrt(2 / tau)).alias("sigma"))
+    return simulate.mean_reverting_of(parameters, 400, 0.1, seed=3)
 
 
 @query()
