@@ -293,5 +293,5 @@ def links_between(prints: DataFrame, threshold: float) -> DataFrame:
 
     sets = saved(one.select(F.xxhash64("fingerprint").alias("cls"), "n", "fingerprint").mapInArrow(read, "cls long, n long, unshared long, m long, tokens binary, prefix binary"), "spots")
     part = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9).cast("long")
-    entries = _entries(sets, percent).withColumn("token", F.explode(F.array(F.xxhash64("token", part), F.xxhash64("token", part + 1))))
+    entries = _entries(sets).withColumn("token", F.explode(F.array(F.xxhash64("token", part), F.xxhash64("token", part + 1))))
     return links_of(sets, saved(entries, "entries"), percent)

@@ -21,19 +21,20 @@ have makes no candidate by itself. Two sets with different m need the smaller on
 4. Among these sets shingles that occur once are found in the same way and put
    first in the order: they match nothing, so each shortens what its set can still
    reach, and the sets that cannot reach any link go.
-5. Stars: only the shingles that come first in a prefix, one more than a set can
-   spare, have postings from here on; two sets that link share one of these. For each
-   shared shingle the sets in its postings are compared with the
-   one that has the fewest unshared shingles. A large group of near copies
-   falls together here, by one comparison per set and shingle at most.
+5. Stars: each set has a posting for each shingle of the prefix chosen for it. For each
+   shared shingle the sets in its postings are set against the one that has the fewest
+   unshared shingles; a pair that meets in as many shingles as the smaller m of the two is
+   verified. A large group of near copies falls together here, with one such meeting per set and
+   shingle at most.
 6. Rest: where the postings of a shingle still lie in two or more groups, the sets
-   outside the group of its hub (the set with the fewest unshared shingles) are
-   compared with all sets near that hub, in blocks of bounded size and through
-   the postings in the block: sets that share enough prefix shingles are verified.
-   Of any two sets in different groups that share a prefix shingle one is outside
-   the hub's group, so no pair that may link is left out, and no pairs are written.
-   Pairs are joined only within postings of at most LONG sets, and compared if
-   their lengths and places allow a link.
+   outside the group of its hub (the set with the fewest unshared shingles) are set
+   against all sets near that hub. Within postings of at most LONG sets pairs are joined and
+   counted by a grouped sum, and those that share as many prefix shingles as the smaller m are
+   verified; through longer ones sets are compared in blocks of bounded size, which count
+   in the same way by the postings in the block. Two sets that share no long posting have all
+   their shared shingles in short ones, so no count is too low; of any two sets in different groups that share a prefix
+   shingle one is outside the hub's group, so no pair that may link is left out.
+   A pair is counted only if lengths and places allow a link.
 7. Components of all links by smallest labels and pointer jumping.
 
 Keys with many rows (a shingle of many sets, the hub of a large group, a set of many
@@ -65,7 +66,7 @@ SKETCH_BITS = 22
 #: Bits of a bitmap for each shingle in it, and the least and most there may be (as powers of two; 8 to 32 MB).
 BITS_EACH, LEAST_BITS, MOST_BITS = 8, 26, 28
 #: Matches that a prefix may stand for, as shares of the shingles that a set can spare; the first is the least.
-MATCHES = (0.5, 1.0)
+MATCHES = (0.5, 0.625, 0.75, 0.875, 1.0)
 #: Cost of comparing two sets against reading one posting.
 COMPARE = 20.0
 #: Sets on either side of a block, and the postings of a shingle up to which its pairs are joined.
@@ -306,13 +307,12 @@ def _narrowed(sets: DataFrame, order: object, shared: object, percent: int) -> D
     return sets.mapInArrow(read, "cls long, n long, unshared long, m long, tokens binary, prefix binary")
 
 
-def _entries(sets: DataFrame, percent: int) -> DataFrame:
-    """token, cls, n, unshared, m and place of the first prefix shingles of each set, one more than it can spare."""
+def _entries(sets: DataFrame) -> DataFrame:
+    """token, cls, n, unshared, m and place of each shingle of the sets' prefixes."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            first = [n - least_overlap(n, percent) - u + 1 for n, u in zip(b["n"].to_pylist(), b["unshared"].to_pylist(), strict=True)]
-            lists = [_unpacked(p)[:k] for p, k in zip(b["prefix"], first, strict=True)]
+            lists = [_unpacked(p) for p in b["prefix"]]
             row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
             at = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(x)) for x in lists]])
             columns = {c: b[c].to_numpy()[row] for c in ("cls", "n", "unshared", "m")}
@@ -436,7 +436,14 @@ def links_and_rows(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[Data
     picked = rows.where("tokens IS NOT NULL").select("cls", "n", "tokens")
     shared = share(_shared_bitmap(_tokens_of(picked)))
     sets = saved(_narrowed(picked, order, shared, percent).dropDuplicates(["cls"]), "sets")
-    return links_of(sets, saved(_entries(sets, percent), "entries"), percent), rows.select("doc_id", "n", "cls")
+    return links_of(sets, saved(_entries(sets), "entries"), percent), rows.select("doc_id", "n", "cls")
+
+
+def _enough(pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different classes among postings a and b of one token, that meet in as many tokens as the smaller m."""
+    first, second = F.least("a.cls", "b.cls"), F.greatest("a.cls", "b.cls")
+    met = pairs.where(F.col("a.cls") != F.col("b.cls")).groupBy(first.alias("a"), second.alias("b")).agg(F.count("*").alias("met"), F.min(F.least("a.m", "b.m")).alias("least"))
+    return met.where("met >= least").select("a", "b")
 
 
 def links_of(sets: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
@@ -445,12 +452,13 @@ def links_of(sets: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
     sets: cls, n, unshared, m, tokens and prefix (packed); entries: token, cls, n,
     unshared, m and place of the shingles by which candidates are sought. Both are stored tables.
     """
-    hub = F.min_by(F.struct("cls", "n", "unshared", "place"), F.struct("unshared", F.xxhash64("cls"))).alias("b")
-    stars = saved(entries.groupBy("token").agg(hub, F.count("*").alias("df")).where("df > 1").select("token", "b.*", "df"), "stars")
+    posting = ["cls", "n", "unshared", "m", "place"]
+    hub = F.min_by(F.struct(*posting), F.struct("unshared", F.xxhash64("cls"))).alias("b")
+    stars = saved(entries.groupBy("token").agg(hub, F.count("*").alias("df")).where("df > 1").select("token", "b", "df"), "stars")
     lines = hot_keys(entries, "token")
-    met = spread_join(entries.select("token", F.struct("cls", "n", "unshared", "place").alias("a")), stars.select("token", F.struct("cls", "n", "unshared", "place").alias("b")), "token", lines)
-    star_pairs = met.where((F.col("a.cls") != F.col("b.cls")) & _may_link(percent)).select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct()
-    star_links = saved(_verified(star_pairs, sets.select("cls", "n", "tokens"), percent, hot_keys(stars.select(F.col("cls").alias("b"), "df"), "b", "df")), "links")
+    met = spread_join(entries.select("token", F.struct(*posting).alias("a")), stars.select("token", "b"), "token", lines)
+    star_pairs = _enough(met.where(_may_link(percent)))
+    star_links = saved(_verified(star_pairs, sets.select("cls", "n", "tokens"), percent, hot_keys(stars.select(F.col("b.cls").alias("b"), "df"), "b", "df")), "links")
 
     groups = components(star_links)
     entries = saved(entries.join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("grp", F.coalesce("component", "cls")).drop("component"), "entries")
@@ -463,8 +471,7 @@ def links_of(sets: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
     short = open_.where(F.col("all") <= LONG)
     once = (F.col("b.grp") == F.col("b.hub_grp")) | (F.col("a.cls") < F.col("b.cls"))
     pairs = short.where("grp != hub_grp").alias("a").join(short.alias("b"), F.col("a.token") == F.col("b.token")).where((F.col("a.grp") != F.col("b.grp")) & once & _may_link(percent))
-    pairs = pairs.select(F.least("a.cls", "b.cls").alias("a"), F.greatest("a.cls", "b.cls").alias("b")).distinct()
-    rest = saved(blocked.union(_verified(pairs, sets.select("cls", "n", "tokens"), percent)), "links")
+    rest = saved(blocked.union(_verified(_enough(pairs), sets.select("cls", "n", "tokens"), percent)), "links")
     return star_links.union(rest)
 
 
