@@ -77,7 +77,9 @@ def kde(rows: DataFrame, column: str, points: list[float], keys: list[str], leas
 
 
 def kde_2d(rows: DataFrame, x: str, y: str, xs: list[float], ys: list[float], keys: list[str]) -> DataFrame:
-    """keys, gx, gy and density on the grid xs by ys: Gaussian kernels of the sample covariance times n**(-1/3)."""
+    """keys, gx, gy and density on the grid xs by ys, a stated, small one: Gaussian kernels of the sample covariance times n**(-1/3). kde_2d_binned() is for fine grids."""
+    if len(xs) * len(ys) > MOST_POINTS:
+        raise ValueError("evaluate so many points by parts, or with kde_2d_binned()")
     stats = rows.groupBy(*keys).agg(F.count("*").alias("__n"), F.var_samp(x).alias("__xx"), F.var_samp(y).alias("__yy"), F.covar_samp(x, y).alias("__xy"))
     stats = stats.withColumn("__f", F.pow(F.col("__n").cast("double"), F.lit(-1 / 3)))
     stats = stats.withColumns({c: F.col(c) * F.col("__f") for c in ("__xx", "__yy", "__xy")}).withColumn("__det", F.col("__xx") * F.col("__yy") - F.col("__xy") * F.col("__xy")).where("__det > 0")

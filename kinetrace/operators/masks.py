@@ -14,7 +14,7 @@ def by_frame(*order: str) -> Window:
 def flag_bad_size(rows: DataFrame, length: tuple[float, float] = (0.9, 1.1), width: tuple[float, float] = (0.7, 1.3)) -> DataFrame:
     """rows with bad: length or width missing, zero, or outside its band around the track's median of the measured frames.
 
-    The medians are one row per track, joined back, so no track is sorted.
+    The medians are one row per track, joined back; each holds the distinct values of its track in one buffer (distributions.medians() does not).
     """
     measured = F.coalesce((F.col("length") != 0) & (F.col("width") != 0), F.lit(False))
     medians = rows.where(measured).groupBy("track").agg(F.median("length").alias("mid_length"), F.median("width").alias("mid_width"))
@@ -38,7 +38,7 @@ def posture_valid() -> Column:
 
 
 def have_skeleton(posture: str = "posture") -> Column:
-    """A frame that is not bad and whose skeleton has a point that is not 0."""
+    """A frame that is not bad and whose skeleton has a point above 0."""
     return F.coalesce(F.exists(posture, lambda x: x > 0), F.lit(False)) & ~F.col("bad")
 
 

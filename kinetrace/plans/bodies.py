@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinetrace.functions import scalar
-from kinetrace.operators import headtail, models, posture, sequences, skeletons, splines
+from kinetrace.operators import ensembles, headtail, models, posture, sequences, skeletons, splines
 from kinetrace.plans import chains, frames
 from kinetrace.plans import queries as plans
-from kinetrace.plans.queries import BOX, SEGMENTED, TRACK, digits, query
+from kinetrace.plans.queries import BOX, ORACLE_SQL, SEGMENTED, TRACK, digits, query
 from kinetrace.sources import tables
 
 DT = 1 / tables.FRAME_RATE
@@ -92,6 +92,24 @@ def expected_sizes(spark: SparkSession, d: str) -> DataFrame:
     return tables.read(spark, d, "part").withColumn("e", sizes).select("p_partkey", F.round("e.length", 6).alias("length"), F.round("e.width", 6).alias("width"), F.round("e.area", 6).alias("area"), "e.points")
 
 
+@query(f"""SELECT track, metric, lag, tau, value, windows FROM ({ORACLE_SQL["correlation_table"]}) UNION ALL SELECT track, 's_dist' AS metric, CAST(speed / 1000 AS BIGINT) AS lag, speed AS tau, density AS value, CAST(1 AS BIGINT) AS windows FROM ({ORACLE_SQL["speed_distribution"]})""")
+def metric_bundle(spark: SparkSession, d: str) -> DataFrame:
+    """All seven metrics of each track in one table: six curves and the density of speed."""
+    rows = chains.with_reversals(plans.derived(spark, d), 3)
+    table = chains.metric_bundle(rows, list(range(8)), 20, [1000.0 * i for i in range(20)], 0.3, 1.0, 20)
+    scales = plans._SCALES | {"s_dist": (1e-4, 6)}
+    value = F.coalesce(*[F.when(F.col("metric") == m, F.round(F.col("value") / k, n)) for m, (k, n) in scales.items()])
+    return table.select("track", "metric", "lag", "tau", (value + F.lit(0.0)).alias("value"), "windows")
+
+
+@query()
+def averaged_speed_curves(spark: SparkSession, d: str) -> DataFrame:
+    """A curve given by the user, averaged over the tracks of each strain, with its band: the mean squared speed by quarters of a track."""
+    rows = plans.derived(spark, d).select("track", "strain", "frame", "s").where("s IS NOT NULL")
+    quarters = lambda part: part.assign(q=(4 * (part["frame"] - part["frame"].min()) // (part["frame"].max() - part["frame"].min() + 1))).groupby("q")["s"].apply(lambda s: float((s * s).mean()))
+    return ensembles.ensemble_average(rows, quarters, ["strain"], samples=50)
+
+
 @query()
 def smoothed_skeletons(spark: SparkSession, d: str) -> DataFrame:
     """Skeletons of the sample postures smoothed to 16 places, with the middle and their angles."""

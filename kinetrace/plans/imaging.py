@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinetrace.operators import morphology, pixels, skeletons
+from kinetrace.functions import scalar
+from kinetrace.operators import morphology, pixels, skeletons, splines
 from kinetrace.sources.store import kept
 
 
@@ -21,6 +22,8 @@ class Settings:
     background_radius: int = 5
     body_radius: int = 2
     areas: tuple[int, int] = (20, 2000)
+    #: Angles of a posture.
+    points: int = 15
     #: Side of the cells by which bodies and regions are matched.
     cell: int = 64
 
@@ -44,12 +47,13 @@ def in_regions(parts: DataFrame, regions: DataFrame, cell: int) -> DataFrame:
 
 
 def measured(clean: DataFrame, regions: DataFrame, s: Settings) -> DataFrame:
-    """frame, animal, reason, area, x, y, n_ends, length and width: one row for each frame and region.
+    """frame, animal, reason, area, x, y, n_ends, length, width, mid_x, mid_y and posture: one row for each frame and region.
 
     The body of a region is its largest component of a plausible area. reason is
     measured, or why there is no more: nothing (no component), size (none of a plausible
     area), crossed (the skeleton has fewer than two ends), spurs (more), broken (its ends are not joined).
-    width is twice the distance from the path's middle to the outline. Such a row has what could be measured.
+    length is that of the path between the ends; the middle and the posture (angles along the
+    body, less their mean) are those of the smoothed path, and width is twice the distance from the middle to the outline. Such a row has what could be measured.
     """
     labels = kept(pixels.labelled(clean.where("v = 1").select("frame", "r", "c")), "labels")
     parts = in_regions(pixels.components(labels), regions, s.cell)
@@ -60,10 +64,11 @@ def measured(clean: DataFrame, regions: DataFrame, s: Settings) -> DataFrame:
     own = kept(labels.join(chosen, ["frame", "label"]).select(F.struct("frame", "animal").alias("frame"), "r", "c"), "bodies")
     skeleton = skeletons.thinned(own)
     path = kept(skeletons.path_between_ends(skeleton), "path")
-    middle = path.join(path.groupBy("frame").agg(F.floor(F.max("place") / 2).cast("int").alias("place")), ["frame", "place"])
-    wide = skeletons.width_at(middle.select("frame", F.col("r").alias("y"), F.col("c").alias("x")), own)
-    of_body = skeletons.verdicts(skeleton).join(skeletons.path_length(path), "frame", "left").join(wide, "frame", "left")
-    of_body = of_body.select("frame.*", "n_ends", "crossed", "bad", "length", "width")
+    curves = splines.chains_of(path).select("frame", splines.smoothed(F.col("xs"), F.col("ys"), s.points).alias("s"))
+    curves = kept(curves.select("frame", F.col("s.mid_x").alias("mid_x"), F.col("s.mid_y").alias("mid_y"), scalar.tangent_angles(F.col("s.xs"), F.col("s.ys")).alias("posture")), "curves")
+    wide = skeletons.width_at(curves.select("frame", F.col("mid_y").alias("y"), F.col("mid_x").alias("x")), own)
+    of_body = skeletons.verdicts(skeleton).join(skeletons.path_length(path), "frame", "left").join(wide, "frame", "left").join(curves, "frame", "left")
+    of_body = of_body.select("frame.*", "n_ends", "crossed", "bad", "length", "width", "mid_x", "mid_y", "posture")
     everywhere = clean.select("frame").distinct().withColumn("__all", F.lit(1)).join(regions.select("animal", F.lit(1).alias("__all")), "__all").drop("__all")
     rows = everywhere.join(found, ["frame", "animal"], "left").join(of_body, ["frame", "animal"], "left")
     seen = found.select("frame", "animal", F.lit(True).alias("__seen"))
@@ -71,4 +76,4 @@ def measured(clean: DataFrame, regions: DataFrame, s: Settings) -> DataFrame:
         F.when(F.col("__seen").isNull(), "nothing").when(F.col("best").isNull(), "size").when(F.col("crossed"), "crossed")
         .when(F.col("bad"), "spurs").when(F.col("length").isNull(), "broken").otherwise("measured")
     )
-    return rows.join(seen, ["frame", "animal"], "left").select("frame", "animal", reason.alias("reason"), "best.area", "best.x", "best.y", "n_ends", "length", "width")
+    return rows.join(seen, ["frame", "animal"], "left").select("frame", "animal", reason.alias("reason"), "best.area", "best.x", "best.y", "n_ends", "length", "width", "mid_x", "mid_y", "posture")

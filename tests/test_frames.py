@@ -321,4 +321,7 @@ def test_measured_bodies_with_reasons(spark):
         reasons.add(x.reason)
         if n == 2:
             assert abs(x.length - best[0]) < 1e-9 and 1 < x.width < 6
+            assert len(x.posture) == 15 and abs(sum(x.posture)) < 1e-9 and im[round(x.mid_y), round(x.mid_x)]
+        else:
+            assert x.posture is None and x.mid_x is None
     assert reasons == {"nothing", "size", "crossed", "spurs", "measured"}
