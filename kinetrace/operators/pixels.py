@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from kinetrace.sources.store import kept
 
@@ -38,20 +39,30 @@ def normalised(pixels: DataFrame) -> DataFrame:
 def labelled(pixels: DataFrame, eight: bool = True) -> DataFrame:
     """pixels with label, the least pixel of their connected component.
 
-    Least labels of the neighbours and a jump to the label's own label, until
-    nothing moves; each round is written to the shared folder, so a lost executor costs one round.
+    Pixels that follow each other in a row are one run (a window along the row), so what is
+    labelled are runs, tied to those of the next row that they touch. Then the least labels of the
+    neighbours and a jump to the label's own label, until nothing moves; each round is
+    written to the shared folder, so a lost executor costs one round.
     """
-    around = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (eight or not (a and b))]
-    labels = kept(pixels.select("frame", "r", "c").distinct().withColumn("label", F.struct("r", "c")), "labels")
+    along = Window.partitionBy("frame", "r").orderBy("c")
+    begins = F.coalesce(F.col("c") - F.lag("c").over(along) > 1, F.lit(True))
+    cells = pixels.select("frame", "r", "c").distinct().withColumn("__begin", F.when(begins, F.col("c")))
+    run = F.last("__begin", True).over(along.rowsBetween(Window.unboundedPreceding, 0))
+    runs = kept(cells.select("frame", "r", "c", F.struct("r", run.alias("c")).alias("node")), "runs")
+    aside = F.explode(F.array(*[F.col("c") + d for d in ((-1, 0, 1) if eight else (0,))]))
+    below = runs.select("frame", (F.col("r") + 1).alias("r"), F.col("node").alias("a"), aside.alias("c"))
+    ties = below.join(runs.select("frame", "r", "c", F.col("node").alias("b")), ["frame", "r", "c"]).select("frame", "a", "b").distinct()
+    ties = kept(ties.union(ties.select("frame", F.col("b").alias("a"), F.col("a").alias("b"))), "ties")
+    labels = kept(runs.select("frame", "node").distinct().withColumn("label", F.col("node")), "labels")
     while True:
-        near = labels.select("frame", "label", F.inline(F.array(*[F.struct((F.col("r") + a).alias("r"), (F.col("c") + b).alias("c")) for a, b in around])))
-        least = near.groupBy("frame", "r", "c").agg(F.min("label").alias("__near"))
-        lower = labels.join(least, ["frame", "r", "c"], "left").withColumn("__new", F.least("label", "__near"))
-        root = lower.select("frame", F.struct("r", "c").alias("__new"), F.col("__new").alias("__root"))
-        stepped = kept(lower.join(root, ["frame", "__new"]).select("frame", "r", "c", F.least("__new", "__root").alias("label"), (F.least("__new", "__root") != F.col("label")).alias("moved")), "labels")
+        beside = labels.select("frame", F.col("node").alias("b"), "label")
+        least = ties.join(beside, ["frame", "b"]).groupBy("frame", F.col("a").alias("node")).agg(F.min("label").alias("__near"))
+        lower = labels.join(least, ["frame", "node"], "left").withColumn("__new", F.least("label", "__near"))
+        root = lower.select("frame", F.col("node").alias("__new"), F.col("__new").alias("__root"))
+        stepped = kept(lower.join(root, ["frame", "__new"]).select("frame", "node", F.least("__new", "__root").alias("label"), (F.least("__new", "__root") != F.col("label")).alias("moved")), "labels")
         labels = stepped.drop("moved")
         if stepped.where("moved").isEmpty():
-            return pixels.join(labels, ["frame", "r", "c"])
+            return pixels.join(runs.join(labels, ["frame", "node"]).drop("node"), ["frame", "r", "c"])
 
 
 def components(labels: DataFrame) -> DataFrame:
