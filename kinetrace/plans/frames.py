@@ -103,7 +103,7 @@ def morphological_cleaning(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {DARK_SQL}, {_around("dk", "o1", morphology.box(2, 2), "min")}, {_around("o1", "o2", morphology.box(2, 2), "max")} SELECT frame, count(*) FILTER (WHERE v = 1) AS n_body, CAST(sum(v * (r * 16 + c)) AS BIGINT) AS places FROM o2 GROUP BY frame""")
-def opening(spark: SparkSession, d: str) -> DataFrame:
+def box_opening(spark: SparkSession, d: str) -> DataFrame:
     """Dark pixels that an opening by a box of two by two leaves, by number and places."""
     left = morphology.opened(dark(spark, d), morphology.box(2, 2))
     return left.groupBy("frame").agg(F.sum("v").alias("n_body"), F.sum(F.col("v") * (F.col("r") * 16 + F.col("c"))).alias("places"))
