@@ -4,8 +4,9 @@ Each rule is a regular expression with the least length of one group. From the
 expression itself a Boolean trigram query is derived (trigram_query()): any one of
 several sets of trigrams, all of them, that every match must hold, case aside. The
 index holds (trigram, row) for the trigrams that some query names, over texts in
-lower case. A grouped count intersects the postings of each set; what remains are
-candidates, on whose texts the expression is run. A rule without a mandatory
+lower case. Each set has a leading trigram, the one of the rarest characters: the others of a set are sought
+only in texts that hold it, as their postings could not meet elsewhere. A grouped count intersects
+the postings of each set; what remains are candidates, on whose texts the expression is run. A rule without a mandatory
 trigram, such as a run of hex digits, is run on all texts in the scan that reads them.
 
 A bitmap of the candidates' hashes, sized by their number up to MOST_BITS, is
@@ -15,7 +16,8 @@ can tell apart, more texts are shuffled; none is left out. A row is known by two
 id and text, so null and repeated ids spread, and equal rows are looked at once.
 
 Matches are leftmost and do not overlap within a rule. Positions come from the
-pieces that split() leaves between them, in code points, end exclusive.
+pieces that split() leaves between them, in code points, end exclusive: they are summed within blocks
+of BLOCK matches and then over the blocks, so a text's work is in proportion to its matches.
 
 Edge cases: a null or empty text has no spans; rows with a null or repeated doc_id are
 told apart by their texts; an empty table gives an empty result; extra columns of the
@@ -38,6 +40,10 @@ ALL = (frozenset(),)
 SPELT, ALTERNATIVES, MEMBERS = 64, 64, 8
 #: Bits of the candidates' bitmap: BITS_EACH for each, MOST_BITS at most (8 MB).
 BITS_EACH, MOST_BITS = 16, 1 << 26
+#: Matches of one text whose positions are summed together.
+BLOCK = 256
+# Letters of English, the most frequent first.
+FREQUENT = "etaoinshrdlcumwfgypbvkjxqz"
 _parser = re._parser  # the standard library's own reader of expressions
 Query = tuple[frozenset[str], ...]
 
@@ -139,7 +145,7 @@ RULES = (
     Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, True),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16, True),
     Rule("hex", r"[0-9a-f]+", 0, 32, True),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[A-Za-z0-9+/=\x09-\x0D\x20]*-----END [A-Z ]{0,40}PRIVATE KEY-----)?"),
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[\x09-\x0D\x20]*(?:[A-Za-z0-9-]+:[^\x0A\x0D]*[\x0A\x0D]+){0,8}[A-Za-z0-9+/=\x09-\x0D\x20]*-----END [A-Z ]{0,40}PRIVATE KEY-----)?"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("connection", r"(?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|s?ftp)://[^\x00-\x20:@/]{1,64}:[^\x00-\x20@/]{4,128}@[A-Za-z0-9.-]+"),
     Rule("vendor", r"(?:gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})"),
@@ -152,12 +158,23 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"__k1": F.xxhash64(F.lit(1), "doc_id", F.col("doc_id").isNull(), "text"), "__k2": F.xxhash64(F.lit(2), "text", "doc_id")})
 
 
+def _leading(clause: frozenset[str]) -> str:
+    """The trigram of the rarest characters; what is no letter counts as rare."""
+    return max(sorted(clause), key=lambda t: sum(FREQUENT.index(c) if c in FREQUENT else len(FREQUENT) for c in t))
+
+
 def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The index: (trigram, __k1, __k2) for every trigram that a rule's query names."""
-    wanted = sorted({t for r in rules for s in r.trigrams() for t in s})
+    """The index: (trigram, __k1, __k2) for the trigrams that the rules' queries name, in texts with the leading trigram of a set that has them; a posting may occur twice."""
+    led: dict[str, set[str]] = {}
+    for clause in (s for r in rules for s in r.trigrams()):
+        led.setdefault(_leading(clause), set()).update(clause)
 
     def held(low: Column) -> Column:
-        return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in wanted])) if wanted else F.array().cast("array<string>")
+        def sought(t: str) -> Column:
+            return F.when(F.contains(low, F.lit(t)), F.lit(t))
+
+        sets = [F.when(F.contains(low, F.lit(t)), F.array(F.lit(t), *[sought(u) for u in sorted(others - {t})])) for t, others in sorted(led.items())]
+        return F.array_compact(F.flatten(F.array_compact(F.array(*sets)))) if sets else F.array().cast("array<string>")
 
     # a lambda takes the lowered text once; as a column of its own it would be put into each of the tests
     found = F.transform(F.array(F.lower(F.col("text"))), held)
@@ -184,14 +201,26 @@ def _spans(text: Column, rule: Rule, no: int) -> Column:
     spot = f"struct<at:int,spans:{SPANS}>"
     first = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans")).cast(spot)
 
+    def span(start: Column, end: Column) -> Column:
+        return F.struct(start.alias("start"), F.lit(no).alias("no"), end.alias("end"), F.lit(rule.kind).alias("kind"))
+
     def step(a: Column, x: Column) -> Column:
         start = a["at"] + x["before"]
         end = start + F.coalesce(x["len"], F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(no).alias("no"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        spans = F.when(F.coalesce(x["tested"], F.lit(0)) >= rule.least, F.concat(a["spans"], F.array(span))).otherwise(a["spans"])
+        spans = F.when(F.coalesce(x["tested"], F.lit(0)) >= rule.least, F.concat(a["spans"], F.array(span(start, end)))).otherwise(a["spans"])
         return F.struct(end.alias("at"), spans.alias("spans")).cast(spot)
 
-    return F.aggregate(sizes, first, step)["spans"]
+    def in_blocks(all_sizes: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(all_sizes), F.lit(BLOCK))
+        return F.transform(starts, lambda i: F.aggregate(F.slice(all_sizes, i, F.lit(BLOCK)), first, step))
+
+    def placed(blocks: Column) -> Column:
+        ahead = F.aggregate(F.slice(blocks, F.lit(1), F.size(blocks) - 1), F.array(F.lit(0)), lambda a, b: F.concat(a, F.array(F.element_at(a, -1) + b["at"])))
+        return F.flatten(F.zip_with(blocks, ahead, lambda b, at: F.transform(b["spans"], lambda s: span(s["start"] + at, s["end"] + at))))
+
+    # lambdas take what is used twice once
+    blocks = F.transform(F.array(sizes), in_blocks)
+    return F.flatten(F.transform(blocks, placed)).cast(SPANS)
 
 
 def _scan(rule: Rule) -> Rule:

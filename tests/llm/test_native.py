@@ -125,6 +125,33 @@ def test_secrets_beyond_the_bitmap(spark, monkeypatch):
     assert len(found) == 90 and all(r.got == brute_all(r.text) for r in found)
 
 
+def test_trigrams_behind_a_leading_one_lose_no_candidate(spark):
+    """Candidates are the rows that hold all trigrams of a set, whichever of them leads."""
+    texts = ODD + ADDED + [" ".join(sorted(s)) for r in secrets.RULES for s in r.trigrams()] + [" ".join(sorted(s)[1:]) for r in secrets.RULES for s in r.trigrams()]
+    df = documents(spark, [(i, t) for i, t in enumerate(texts)])
+    keys = {(r["__k1"], r["__k2"]): r.text for r in secrets._keyed(df).collect()}
+    got = {(keys[r["__k1"], r["__k2"]], k) for r in secrets.candidates(secrets.postings(df)).collect() for k in r.kinds}
+    want = {(t, r.kind) for t in texts if t for r in secrets.RULES if any(all(x in t.lower() for x in s) for s in r.trigrams())}
+    assert got == want
+
+
+def test_secrets_many_matches_in_one_text(spark, monkeypatch):
+    """Positions are summed over blocks of matches."""
+    text = "".join(f"é token={'x' * (8 + i % 5)} {'0a' * (16 + i % 3)} token=short" for i in range(700))
+    for block in (1, 7, 256, 5000):
+        monkeypatch.setattr(secrets, "BLOCK", block)
+        found = secrets.find_secrets(documents(spark, [(1, text), (2, text[:200]), (3, "")])).withColumn("got", secrets.span_text(F.col("spans"))).collect()
+        assert {r.doc_id: r.got for r in found} == {1: brute_all(text), 2: brute_all(text[:200]), 3: ""}
+
+
+def test_private_keys_with_headers_are_whole(spark):
+    head, tail = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    key = f"{head}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,0123ABCD\n\nQUJD+/==\n{tail}"
+    rows = [(1, f"x {key} y {key}"), (2, f"{head}\nlost: {tail[:9]}"), (3, f"{head}\n" + "a: b\n" * 5000)]
+    found = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "private_key"] for r in secrets.find_secrets(documents(spark, rows)).collect()}
+    assert found == {1: [(2, 2 + len(key)), (5 + len(key), 5 + 2 * len(key))], 2: [(0, len(head))], 3: [(0, len(head))]}
+
+
 def test_secrets_empty_table(spark):
     assert secrets.find_secrets(documents(spark, [])).count() == 0
 
