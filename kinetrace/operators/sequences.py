@@ -11,6 +11,8 @@ from kinetrace.operators.masks import by_frame
 
 BEFORE = (Window.unboundedPreceding, -1)
 UPTO = (Window.unboundedPreceding, 0)
+#: Runs of a track that are folded together.
+BLOCK = 256
 
 
 def last_good(rows: DataFrame, valid: Column, *columns: str) -> DataFrame:
@@ -66,8 +68,10 @@ def greedy_segments(rows: DataFrame, present: Column, jump: Column, gap: int = 3
     missing frames. A segment's own first frame counts neither as missing nor as a jump.
 
     Where a segment ends depends on where it began, but only at jumps and in runs
-    of missing frames: windows cut each track into runs, and one fold over the runs, far
-    fewer than the frames, does the rest. Within a run the breaks are evenly spaced.
+    of missing frames: windows cut each track into runs, and a fold over the runs, far
+    fewer than the frames, does the rest. A jump begins anew whatever came before, so each stretch
+    between jumps is a fold of its own; within it runs are folded BLOCK at a time, so that
+    the work grows with the runs. Within a run the breaks are evenly spaced.
     """
     w = by_frame()
     flags = rows.select("track", "frame", F.coalesce(present, F.lit(False)).alias("__here"), F.coalesce(jump, F.lit(False)).alias("__jump"))
@@ -76,7 +80,9 @@ def greedy_segments(rows: DataFrame, present: Column, jump: Column, gap: int = 3
     runs = flags.withColumn("__run", F.sum(cut.cast("int")).over(w.rowsBetween(*UPTO))).groupBy("track", "__run").agg(
         F.min("frame").alias("start"), F.max("frame").alias("last"), F.min_by("__here", "frame").alias("here"), F.min_by("__jump", "frame").alias("jump")
     )
-    lists = runs.groupBy("track").agg(F.array_sort(F.collect_list(F.struct("start", "last", "here", "jump"))).alias("runs"))
+    by_run = Window.partitionBy("track").orderBy("start")
+    runs = runs.withColumns({"__stretch": F.sum(F.col("jump").cast("int")).over(by_run.rowsBetween(*UPTO)), "next": F.lead("start").over(by_run)})
+    lists = runs.groupBy("track", "__stretch").agg(F.array_sort(F.collect_list(F.struct("start", "last", "here", "next"))).alias("runs"))
     spans = "array<struct<begin:bigint,end:bigint>>"
     state = f"struct<begin:bigint,out:{spans}>"
     period = min(gap + 2, longest)
@@ -93,11 +99,9 @@ def greedy_segments(rows: DataFrame, present: Column, jump: Column, gap: int = 3
         return F.when(many > 0, each).otherwise(none).cast(spans)
 
     def step(s: Column, r: Column) -> Column:
-        # frames that are here: a jump begins anew, and the length is cut
-        begin = F.when(r["jump"], r["start"]).otherwise(s["begin"])
-        closed = F.when(r["jump"], span(s["begin"], r["start"])).otherwise(none)
-        many = F.floor((r["last"] - begin) / longest).cast("bigint")
-        here = F.struct((begin + many * longest).alias("begin"), F.concat(s["out"], closed, even(begin, many, longest)).alias("out"))
+        # frames that are here: the length is cut
+        many = F.floor((r["last"] - s["begin"]) / longest).cast("bigint")
+        here = F.struct((s["begin"] + many * longest).alias("begin"), F.concat(s["out"], even(s["begin"], many, longest)).alias("out"))
         # missing frames: the first break, then one each period
         natural = F.when(s["begin"] == r["start"], s["begin"] + gap + 2).otherwise(r["start"] + gap + 1)
         first = F.least(natural, s["begin"] + longest)
@@ -105,9 +109,15 @@ def greedy_segments(rows: DataFrame, present: Column, jump: Column, gap: int = 3
         away = F.when(first <= r["last"] + 1, F.struct((first + more * period).alias("begin"), F.concat(s["out"], span(s["begin"], first), even(first, more, period)).alias("out"))).otherwise(F.struct(s["begin"].alias("begin"), s["out"].alias("out")))
         return F.when(r["here"], here.cast(state)).otherwise(away.cast(state))
 
-    start = F.struct(F.element_at("runs", 1)["start"].alias("begin"), none.alias("out")).cast(state)
-    end = F.element_at("runs", -1)["last"] + 1
-    folded = lists.select("track", F.aggregate("runs", start, step, lambda s: F.concat(s["out"], span(s["begin"], end))).alias("s"))
+    def block(s: Column, i: Column) -> Column:
+        begun = F.struct(s["begin"].alias("begin"), none.alias("out")).cast(state)
+        folded = F.array(F.aggregate(F.slice("runs", i, F.lit(BLOCK)), begun, step))  # a lambda takes it once
+        return F.element_at(F.transform(folded, lambda f: F.struct(f["begin"].alias("begin"), F.concat(s["out"], F.array(f["out"])).alias("out"))), 1)
+
+    start = F.struct(F.element_at("runs", 1)["start"].cast("bigint").alias("begin"), F.array().cast(f"array<{spans}>").alias("out"))
+    end = F.coalesce(F.element_at("runs", -1)["next"], F.element_at("runs", -1)["last"] + 1)
+    blocks = F.sequence(F.lit(1), F.size("runs"), F.lit(BLOCK))
+    folded = lists.select("track", F.aggregate(blocks, start, block, lambda s: F.concat(F.flatten(s["out"]), span(s["begin"], end))).alias("s"))
     return folded.select("track", F.inline("s"))
 
 

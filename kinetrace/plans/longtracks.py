@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from kinetrace.operators import blocks, distributions, lagstats
-from kinetrace.plans.queries import ORACLE_SQL, TRACK, derived, digits, query
+from kinetrace.operators import blocks, distributions, lagstats, sequences
+from kinetrace.plans.queries import GREEDY, ORACLE_SQL, TRACK, derived, digits, query
 from kinetrace.sources import tables
 
 #: Frames of a block, small enough for the sample tracks to have several.
 SIZE = 32
+#: How far x goes in a jump.
+LEAP = 10_000
 
 
 @query(ORACLE_SQL["unwrapped_bearing"])
@@ -30,6 +33,18 @@ def msd_in_blocks(spark: SparkSession, d: str) -> DataFrame:
     return lagstats.mean_over_pairs(pairs, ["track"], "msd", step * step)
 
 
+@query(f"""WITH RECURSIVE lt AS (SELECT user_id % 4 AS track, row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts, event_id) - 1 AS frame, CAST(round(value * 100) AS BIGINT) AS x, NOT event_type IN ('error', 'purchase') AS here FROM events),
+fr AS (SELECT track, frame, here, coalesce(here AND abs(x - last_value(CASE WHEN here THEN x END IGNORE NULLS) OVER (PARTITION BY track ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) > {LEAP}, false) AS jump FROM lt),
+{GREEDY.format(gap=1, longest=12)} SELECT track, "begin", "end" FROM sg WHERE "end" - "begin" > 3""")
+def long_track_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Segments of all events as four long tracks, that break where x leaps away from its last good place."""
+    events = tables.read(spark, d, "events").withColumn("track", F.col("user_id") % 4)
+    frame = F.row_number().over(Window.partitionBy("track").orderBy("ts", "event_id")) - 1
+    rows = events.select("track", frame.cast("long").alias("frame"), F.round(F.col("value") * 100).cast("long").alias("x"), (~F.col("event_type").isin("error", "purchase")).alias("here"))
+    seen = sequences.last_good(rows, F.col("here"), "x")
+    return sequences.greedy_segments(seen, F.col("here"), F.abs(F.col("x") - F.col("last_x")) > LEAP, 1, 12, 3)
+
+
 @query(ORACLE_SQL["orientation"])
 def orientation_in_blocks(spark: SparkSession, d: str) -> DataFrame:
     rows = tables.posture(spark, d).withColumn("track", F.col("strain").cast("long"))

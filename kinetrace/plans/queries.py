@@ -70,14 +70,16 @@ pu AS (SELECT track, frame, psi + {TWO_PI} * sum(CASE WHEN abs(d) > {PI} THEN -f
 o AS (SELECT d.track, d.strain, d.frame, d.excluded, d.psi, d.dpsi, CASE WHEN d.oriented THEN d.x END AS x, CASE WHEN d.oriented THEN d.y END AS y, CASE WHEN d.oriented THEN d.vx END AS vx, CASE WHEN d.oriented THEN d.vy END AS vy,
  CASE WHEN d.oriented THEN d.s END AS s, CASE WHEN d.oriented AND nr.frame IS NULL THEN d.s END AS free, pu.turned FROM derived d LEFT JOIN nr ON d.track = nr.track AND d.frame = nr.frame LEFT JOIN pu ON d.track = pu.track AND d.frame = pu.frame)"""
 #: Embeddings as tracks of skeletons, one for each strain: 32 points (numbers in turn are x and y) and 64 angles, missing where the first number is low.
+#: Segments sg of frames fr (track, frame, here, jump), one frame at a time.
+GREEDY = """sr AS (SELECT track, frame, frame AS "begin", 0 AS miss, false AS done FROM fr WHERE frame = 0 UNION ALL
+ SELECT f.track, f.frame, CASE WHEN sr.done OR f.jump OR f.frame - sr."begin" >= {longest} THEN f.frame ELSE sr."begin" END, CASE WHEN sr.done OR f.jump OR f.frame - sr."begin" >= {longest} OR f.here THEN 0 ELSE sr.miss + 1 END,
+  NOT (sr.done OR f.jump OR f.frame - sr."begin" >= {longest} OR f.here) AND sr.miss + 1 > {gap} FROM sr JOIN fr f ON f.track = sr.track AND f.frame = sr.frame + 1),
+sg AS (SELECT track, "begin", max(frame) + 1 AS "end" FROM sr GROUP BY track, "begin")"""
 SKELETON = f"""{POSTURE}, sk AS (SELECT CAST(strain AS BIGINT) AS track, row_number() OVER (PARTITION BY strain ORDER BY frame) - 1 AS frame, CASE WHEN p[1] >= -0.1 THEN list_transform(p, lambda e: CAST(e AS DOUBLE)) END AS p FROM posture),
 ql AS (SELECT *, last_value(p IGNORE NULLS) OVER (PARTITION BY track ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS q FROM sk),
 di AS (SELECT track, frame, p, ({" + ".join(f"sqrt((p[{2 * i - 1}] - q[{2 * i - 1}]) ** 2 + (p[{2 * i}] - q[{2 * i}]) ** 2)" for i in range(1, 33))}) / 32 AS direct, ({" + ".join(f"sqrt((p[{65 - 2 * i}] - q[{2 * i - 1}]) ** 2 + (p[{66 - 2 * i}] - q[{2 * i}]) ** 2)" for i in range(1, 33))}) / 32 AS flipped FROM ql),
 fr AS (SELECT *, sum(CASE WHEN flipped < direct THEN 1 ELSE 0 END) OVER (PARTITION BY track ORDER BY frame ROWS UNBOUNDED PRECEDING) % 2 = 1 AS flip, p IS NOT NULL AS here, coalesce(least(direct, flipped) >= {{jump}}, false) AS jump FROM di),
-sr AS (SELECT track, frame, frame AS "begin", 0 AS miss, false AS done FROM fr WHERE frame = 0 UNION ALL
- SELECT f.track, f.frame, CASE WHEN sr.done OR f.jump OR f.frame - sr."begin" >= {{longest}} THEN f.frame ELSE sr."begin" END, CASE WHEN sr.done OR f.jump OR f.frame - sr."begin" >= {{longest}} OR f.here THEN 0 ELSE sr.miss + 1 END,
-  NOT (sr.done OR f.jump OR f.frame - sr."begin" >= {{longest}} OR f.here) AND sr.miss + 1 > {{gap}} FROM sr JOIN fr f ON f.track = sr.track AND f.frame = sr.frame + 1),
-sg AS (SELECT track, "begin", max(frame) + 1 AS "end" FROM sr GROUP BY track, "begin")"""
+{GREEDY}"""
 CUTS = {"jump": 0.22, "gap": 1, "longest": 12}
 SEGMENTED = SKELETON.format(**CUTS)
 

@@ -166,6 +166,19 @@ def test_segments_match_a_loop(spark, gap, longest, least):
     assert {(x.track, x.begin, x.end): x.n for x in many} == {k: n for k, n in held.items() if n > 2}
 
 
+@pytest.mark.parametrize("block", [1, 3, 256])
+def test_segments_of_flickering_tracks_in_blocks(spark, monkeypatch, block):
+    """Runs are folded in blocks, and stretches between jumps apart; frames may be absent altogether."""
+    monkeypatch.setattr(sequences, "BLOCK", block)
+    r = random.Random(block)
+    seen = [(t, i, r.random() < 0.5, r.random() < t / 20) for t in range(4) for i in range(400)]
+    df = spark.createDataFrame(seen, "track long, frame long, here boolean, jump boolean")
+    for gap, longest, least in ((0, 50, 0), (1, 9, 2), (6, 10_000, 4)):
+        want = sorted((t, *x) for t in range(4) for x in loop_segments([x[2] for x in seen if x[0] == t], [x[3] for x in seen if x[0] == t], gap, longest, least))
+        got = sorted((x.track, x.begin, x.end) for x in sequences.greedy_segments(df, F.col("here"), F.col("jump"), gap, longest, least).collect())
+        assert got == want and len(got) > 4
+
+
 def test_segments_of_an_empty_table(spark):
     df = spark.createDataFrame([], "track long, frame long, here boolean, jump boolean")
     assert sequences.greedy_segments(df, F.col("here"), F.col("jump")).count() == 0
