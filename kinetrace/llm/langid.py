@@ -13,7 +13,8 @@ are left out, and the text's ends are boundaries. A language contains an n-gram
 that is at least SHARE times as frequent there as in the language where it is
 most frequent, and was seen MIN_COUNT times.
 
-Learning uses about FIT_ROWS labelled rows, drawn by hash; the filter has SLOTS
+Learning uses about FIT_ROWS labelled rows, drawn by hash, and of each language
+about FIT_EACH at least, or all it has: a rare one is learnt too. The filter has SLOTS
 entries whatever the input. Scoring is one map over whole texts.
 
 Edge cases: a text that is null or has no letter is `und` with score 0; one with
@@ -35,7 +36,7 @@ from kinetrace.llm.store import bounded_batches, fields
 from kinetrace.llm.words import mix, slices
 
 N, K, SLOT_BITS = 4, 3, 20
-SHARE, MIN_COUNT, FIT_ROWS = 0.3, 2, 4000
+SHARE, MIN_COUNT, FIT_ROWS, FIT_EACH = 0.3, 2, 4000, 200
 _BREAK = 0x20
 _FOLD = np.full(256, _BREAK, np.uint8)
 _FOLD[0x41:0x5B] = _FOLD[0x61:0x7B] = np.arange(0x61, 0x7B)
@@ -110,14 +111,17 @@ class LanguageFilter:
         return best, np.where(n > 0, np.nan_to_num(share).max(axis=0), 0.0)
 
 
-def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> LanguageFilter | None:
+def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, fit_each: int = FIT_EACH) -> LanguageFilter | None:
     """A filter learnt from (doc_id, text, lang); None if no row has text and lang."""
     usable = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    total = usable.count()
-    if not total:
+    had = usable.groupBy("lang").count().collect()  # a row for each language
+    if not had:
         return None
+    total = sum(r["count"] for r in had)
+    bounds = [(r.lang, int((1 << 40) * min(1.0, max(fit_rows / total, fit_each / r["count"])))) for r in had]
+    shares = labelled.sparkSession.createDataFrame(bounds, "lang string, bound long")
     draw = F.pmod(F.xxhash64(F.lit(11), "doc_id", "text"), F.lit(1 << 40))
-    sample = usable.where(draw < int((1 << 40) * min(1.0, fit_rows / total))) if total > fit_rows else usable
+    sample = usable.join(F.broadcast(shares), "lang").where(draw < F.col("bound")) if total > fit_rows else usable
     langs = {r.lang: r["count"] for r in sample.groupBy("lang").count().collect()}
     if not langs:
         return None

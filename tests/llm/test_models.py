@@ -39,6 +39,15 @@ def test_language_odd_rows(spark):
     assert langid.identify(df.limit(0), model, ["doc_id"]).count() == 0
 
 
+def test_rare_languages_are_learnt(spark):
+    """However few of all rows a language has, up to fit_each of them are learnt from."""
+    rows = [(i, f"the cat and the dog number {i} ran home", "en") for i in range(3000)] + [(5000 + i, "der hund und die katze laufen nach hause", "de") for i in range(3)]
+    model = langid.fit(documents(spark, rows), fit_rows=100, fit_each=10)
+    assert model.langs == ["en", "de"] and model.rows[1] == 3 and 50 < model.rows[0] < 200
+    got = {r.doc_id: r.lang_pred for r in langid.identify(documents(spark, [(1, "der hund und die katze", None), (2, "the dog and the cat", None)]), model, ["doc_id"]).collect()}
+    assert got == {1: "de", 2: "en"}
+
+
 def test_bloom_masks_have_every_language_of_an_ngram():
     grams = np.arange(500, dtype=np.uint32)
     slots = np.concatenate(langid._slots(grams))
