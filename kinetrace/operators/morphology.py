@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from kinetrace.operators import pixels
+from kinetrace.sources.store import dealt
 
 Element = list[tuple[int, int, int]]
 
@@ -84,7 +85,7 @@ def thresholded(frames: DataFrame, threshold: float, depth: int = 255) -> DataFr
 def _marked(frames: DataFrame, chosen: DataFrame, inside: int, v: int) -> DataFrame:
     """frames with v at those of the pixels of value inside which chosen (frame, r, c) names."""
     named = chosen.select("frame", "r", "c", F.lit(True).alias("__chosen"))
-    marked = frames.join(named, ["frame", "r", "c"], "left")
+    marked = frames.join(dealt(named), ["frame", "r", "c"], "left")
     return marked.withColumn("v", F.when(F.col("__chosen") & (F.col("v") == inside), v).otherwise(F.col("v")).cast("int")).drop("__chosen")
 
 
@@ -98,13 +99,13 @@ def _reaching(frames: DataFrame, value: int, height: int, width: int, eight: boo
 def border_cleared(frames: DataFrame, height: int, width: int) -> DataFrame:
     """Without the bodies (pixels joined at sides or corners) that touch the border."""
     labels, touching = _reaching(frames, 1, height, width, True)
-    return _marked(frames, labels.join(touching, ["frame", "label"], "left_semi"), 1, 0)
+    return _marked(frames, labels.join(dealt(touching), ["frame", "label"], "left_semi"), 1, 0)
 
 
 def filled(frames: DataFrame, height: int, width: int) -> DataFrame:
     """With the holes filled: background, joined at sides only, that does not reach the border."""
     labels, outside = _reaching(frames, 0, height, width, False)
-    return _marked(frames, labels.join(outside, ["frame", "label"], "left_anti"), 0, 1)
+    return _marked(frames, labels.join(dealt(outside), ["frame", "label"], "left_anti"), 0, 1)
 
 
 def majority(frames: DataFrame) -> DataFrame:

@@ -1,16 +1,18 @@
 """Frames as tables of pixels (frame, r, c, v): thresholds, masks, labelled components and their measures.
 
-Each step is a filter, a join on pixel positions or a grouped aggregate, so a
-frame is no unit of memory and frames of any size spread over the cluster.
+Each step is a filter, a join on pixel positions, a grouped aggregate or work on a tile of a
+frame, so a frame is no unit of memory and frames of any size spread over the cluster.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
-from kinetrace.sources.store import kept
+from kinetrace.sources.store import dealt, kept
 
 
 def crop(pixels: DataFrame, x: int, y: int, w: int, h: int) -> DataFrame:
@@ -36,33 +38,78 @@ def normalised(pixels: DataFrame) -> DataFrame:
     return pixels.join(span, "frame").withColumn("v", scaled.cast("int")).drop("__lo", "__hi")
 
 
+#: Side of the square tiles in which pixels are labelled at once.
+TILE = 64
+
+
+def _tile_of(column: str | Column) -> Column:
+    return F.floor((F.col(column) if isinstance(column, str) else column) / TILE)
+
+
+def _least_in_tile(r: np.ndarray, c: np.ndarray, eight: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of each pixel of one tile the least (r, c) that it is connected to within the tile: least codes of the neighbours, and jumps to the code's own code."""
+    y, x = r - r.min() + 1, c - c.min() + 1
+    wide = int(x.max()) + 2
+    own = y * wide + x
+    none = (int(y.max()) + 2) * wide
+    label = np.full(none + 1, none)
+    label[own] = own
+    aside = [1, wide] + ([wide - 1, wide + 1] if eight else [])
+    while True:
+        now = label[own]
+        for d in aside:
+            now = np.minimum(now, np.minimum(label[own - d], label[own + d]))
+        now = np.minimum(now, label[now])
+        if (now == label[own]).all():
+            return now // wide - 1 + r.min(), now % wide - 1 + c.min()
+        label[own] = now
+
+
+def _tiles_labelled(pixels: DataFrame, eight: bool) -> DataFrame:
+    """pixels with label, the least pixel of their component within their tile."""
+    rows = pixels.drop("label").withColumns({"__i": _tile_of("r"), "__j": _tile_of("c")})
+    kinds = {f.name: f.dataType for f in pixels.schema}
+    label = T.StructField("label", T.StructType([T.StructField(n, kinds[n]) for n in ("r", "c")]))
+    schema = T.StructType([*pixels.drop("label").schema.fields, label])
+
+    def label_tile(tile: pa.Table) -> pa.Table:
+        tile = tile.drop_columns(["__i", "__j"])
+        at = _least_in_tile(*(tile[n].to_numpy().astype(np.int64) for n in ("r", "c")), eight)
+        least = pa.StructArray.from_arrays([pa.array(v).cast(tile[n].type) for n, v in zip(("r", "c"), at, strict=True)], ["r", "c"])
+        return tile.append_column("label", least)
+
+    return rows.groupBy("frame", "__i", "__j").applyInArrow(label_tile, schema)
+
+
 def labelled(pixels: DataFrame, eight: bool = True) -> DataFrame:
     """pixels with label, the least pixel of their connected component.
 
-    Pixels that follow each other in a row are one run (a window along the row), so what is
-    labelled are runs, tied to those of the next row that they touch. Then the least labels of the
+    Frames are cut into tiles of TILE pixels across; within a tile, the most that a task holds at once, labels come
+    from arrays. What goes on are components of tiles that touch those of the next tile: the least labels of the
     neighbours and a jump to the label's own label, until nothing moves; each round is
-    written to the shared folder, so a lost executor costs one round.
+    written to the shared folder, so a lost executor costs one round. Frames within one tile take no round.
     """
-    along = Window.partitionBy("frame", "r").orderBy("c")
-    begins = F.coalesce(F.col("c") - F.lag("c").over(along) > 1, F.lit(True))
-    cells = pixels.select("frame", "r", "c").distinct().withColumn("__begin", F.when(begins, F.col("c")))
-    run = F.last("__begin", True).over(along.rowsBetween(Window.unboundedPreceding, 0))
-    runs = kept(cells.select("frame", "r", "c", F.struct("r", run.alias("c")).alias("node")), "runs")
-    aside = F.explode(F.array(*[F.col("c") + d for d in ((-1, 0, 1) if eight else (0,))]))
-    below = runs.select("frame", (F.col("r") + 1).alias("r"), F.col("node").alias("a"), aside.alias("c"))
-    ties = below.join(runs.select("frame", "r", "c", F.col("node").alias("b")), ["frame", "r", "c"]).select("frame", "a", "b").distinct()
+    tiled = kept(_tiles_labelled(pixels, eight), "tiles")
+    span = tiled.agg(*[f(_tile_of(n)) for n in ("r", "c") for f in (F.min, F.max)]).first()
+    if span[0] == span[1] and span[2] == span[3]:
+        return tiled
+    beyond = F.explode(F.array(*[F.struct((F.col("r") + y).alias("r"), (F.col("c") + x).alias("c")) for y, x in ([(0, 1), (1, -1), (1, 0), (1, 1)] if eight else [(0, 1), (1, 0)])]))
+    other = (_tile_of(F.col("to.r")) != _tile_of("r")) | (_tile_of(F.col("to.c")) != _tile_of("c"))
+    across = tiled.select("frame", "r", "c", F.col("label").alias("a"), beyond.alias("to")).where(other).select("frame", "to.r", "to.c", "a")
+    edge = F.pmod(F.col("r"), F.lit(TILE)).isin(0, TILE - 1) | F.pmod(F.col("c"), F.lit(TILE)).isin(0, TILE - 1)
+    ties = across.join(tiled.where(edge).select("frame", "r", "c", F.col("label").alias("b")), ["frame", "r", "c"]).select("frame", "a", "b").distinct()
     ties = kept(ties.union(ties.select("frame", F.col("b").alias("a"), F.col("a").alias("b"))), "ties")
-    labels = kept(runs.select("frame", "node").distinct().withColumn("label", F.col("node")), "labels")
+    labels = kept(ties.select("frame", F.col("a").alias("node")).distinct().withColumn("label", F.col("node")), "labels")
     while True:
         beside = labels.select("frame", F.col("node").alias("b"), "label")
         least = ties.join(beside, ["frame", "b"]).groupBy("frame", F.col("a").alias("node")).agg(F.min("label").alias("__near"))
         lower = labels.join(least, ["frame", "node"], "left").withColumn("__new", F.least("label", "__near"))
         root = lower.select("frame", F.col("node").alias("__new"), F.col("__new").alias("__root"))
-        stepped = kept(lower.join(root, ["frame", "__new"]).select("frame", "node", F.least("__new", "__root").alias("label"), (F.least("__new", "__root") != F.col("label")).alias("moved")), "labels")
+        stepped = kept(lower.join(dealt(root), ["frame", "__new"]).select("frame", "node", F.least("__new", "__root").alias("label"), (F.least("__new", "__root") != F.col("label")).alias("moved")), "labels")
         labels = stepped.drop("moved")
         if stepped.where("moved").isEmpty():
-            return pixels.join(runs.join(labels, ["frame", "node"]).drop("node"), ["frame", "r", "c"])
+            whole = labels.select("frame", F.col("node").alias("label"), F.col("label").alias("__whole"))
+            return tiled.join(whole, ["frame", "label"], "left").select(*[c for c in tiled.columns if c != "label"], F.coalesce("__whole", "label").alias("label"))
 
 
 def components(labels: DataFrame) -> DataFrame:
@@ -80,8 +127,8 @@ def off_border(parts: DataFrame, width: Column | int, height: Column | int, marg
 
 def not_persistent(labels: DataFrame, persistent: DataFrame) -> DataFrame:
     """Labels of components that touch none of the persistent (r, c) pixels."""
-    touched = labels.join(persistent.select("r", "c").distinct(), ["r", "c"], "left_semi").select("frame", "label").distinct()
-    return labels.join(touched, ["frame", "label"], "left_anti")
+    touched = labels.join(F.broadcast(persistent.select("r", "c").distinct()), ["r", "c"], "left_semi").select("frame", "label").distinct()
+    return labels.join(dealt(touched), ["frame", "label"], "left_anti")
 
 
 def end_brightness(pixels: DataFrame, skeletons: DataFrame, share: float = 1 / 6) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kinetrace.functions import scalar
 from kinetrace.operators import morphology, pixels, skeletons, splines
-from kinetrace.sources.store import kept
+from kinetrace.sources.store import dealt, kept
 
 
 @dataclass(frozen=True)
@@ -40,7 +40,7 @@ def in_regions(parts: DataFrame, regions: DataFrame, cell: int) -> DataFrame:
     spread = regions.select("animal", *[F.col(c).alias(f"__{c}") for c in ("left", "top", "w", "h")], F.explode(per("left", "w")).alias("__i"), per("top", "h").alias("__rows"))
     spread = spread.select("*", F.explode("__rows").alias("__j")).drop("__rows")
     placed = parts.withColumns({"__i": F.floor((F.col("x") + 0.5) / cell), "__j": F.floor((F.col("y") + 0.5) / cell)})
-    met = placed.join(spread, ["__i", "__j"])
+    met = placed.join(F.broadcast(spread), ["__i", "__j"])
     within = lambda at, lo, n: (F.col(at) >= F.col(lo) - 0.5) & (F.col(at) < F.col(lo) + F.col(n) - 0.5)
     inside = within("x", "__left", "__w") & within("y", "__top", "__h")
     return met.where(inside).drop("__i", "__j", "__left", "__top", "__w", "__h")
@@ -69,8 +69,8 @@ def measured(clean: DataFrame, regions: DataFrame, s: Settings) -> DataFrame:
     wide = skeletons.width_at(curves.select("frame", F.col("mid_y").alias("y"), F.col("mid_x").alias("x")), own)
     of_body = skeletons.verdicts(skeleton).join(skeletons.path_length(path), "frame", "left").join(wide, "frame", "left").join(curves, "frame", "left")
     of_body = of_body.select("frame.*", "n_ends", "crossed", "bad", "length", "width", "mid_x", "mid_y", "posture")
-    everywhere = clean.select("frame").distinct().withColumn("__all", F.lit(1)).join(regions.select("animal", F.lit(1).alias("__all")), "__all").drop("__all")
-    rows = everywhere.join(found, ["frame", "animal"], "left").join(of_body, ["frame", "animal"], "left")
+    everywhere = clean.select("frame").distinct().withColumn("__all", F.lit(1)).join(F.broadcast(regions.select("animal", F.lit(1).alias("__all"))), "__all").drop("__all")
+    rows = everywhere.join(found, ["frame", "animal"], "left").join(dealt(of_body), ["frame", "animal"], "left")
     seen = found.select("frame", "animal", F.lit(True).alias("__seen"))
     reason = (
         F.when(F.col("__seen").isNull(), "nothing").when(F.col("best").isNull(), "size").when(F.col("crossed"), "crossed")

@@ -39,11 +39,16 @@ def shared_folder(spark: SparkSession) -> str:
     return (folder or _own[app]).rstrip("/")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows whose next join deals out both sides. Small files of narrow rows would be broadcast, in each round of a loop anew, and all that is broadcast passes the driver."""
+    return rows.hint("merge")
+
+
 def kept(rows: DataFrame, name: str) -> DataFrame:
-    """rows written to the shared folder and read back: their lineage ends there."""
+    """rows written to the shared folder and read back: their lineage ends there. Joins deal them out; a small table that meets them is broadcast where that is asked for."""
     path = f"{shared_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
     rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    return dealt(rows.sparkSession.read.schema(rows.schema).parquet(path))
 
 
 def write_observations(observations: DataFrame, path: str) -> None:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from kinetrace.functions import scalar
 from kinetrace.operators import distributions, ensembles, headtail, kinematics, lagstats, masks, models, pixels, posture, sequences, simulate
 from kinetrace.plans import chains, protocol
+from kinetrace.sources import store
 
 TRACK = "track long, frame long, x double, y double"
 
@@ -527,3 +528,35 @@ def test_pixel_components_match_flood_fill(spark):
     assert pixels.off_border(parts, 14, 14).count() <= parts.count()
     assert pixels.crop(df, 2, 3, 4, 5).count() == 20 and pixels.ignoring(df, df.where("r = 0")).count() == 13 * 14
     assert pixels.normalised(df).agg(F.min("v"), F.max("v")).first()[:] == (0, 255)
+
+
+def test_labels_across_tiles_match_flood_fill(spark):
+    r, side = random.Random(8), 2 * pixels.TILE + 9
+    grids = {0: {(y, x) for y in range(side) for x in range(side) if r.random() < 0.4}, 1: {(y, x) for y in range(side) for x in range(side) if y % 4 == 0 or x == (side - 1) * (y % 8 > 4)}, 2: {(3, 4)}}
+    df = spark.createDataFrame([(f, y, x) for f, grid in grids.items() for y, x in grid], "frame int, r int, c int")
+    for eight in (True, False):
+        near = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if eight or not (a and b)]
+        want = {}
+        for f, grid in grids.items():
+            left = set(grid)
+            while left:
+                stack, seen = [left.pop()], []
+                while stack:
+                    y, x = stack.pop()
+                    seen.append((y, x))
+                    for p in [(y + a, x + b) for a, b in near]:
+                        if p in left:
+                            left.remove(p)
+                            stack.append(p)
+                want |= {(f, *p): min(seen) for p in seen}
+        assert {(p.frame, p.r, p.c): tuple(p.label) for p in pixels.labelled(df, eight).collect()} == want
+
+
+def test_joins_of_stored_tables_pass_nothing_through_the_driver(spark):
+    one, two = (store.kept(spark.range(50).select((F.col("id") % 7).alias("frame"), F.col("id").alias(n)), "small") for n in "ab")
+    met = one.where("a > 3").join(two.groupBy("frame").agg(F.max("b").alias("b")), "frame")
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and met.count() == 46
+    labels = pixels.labelled(one.select("frame", F.col("a").cast("int").alias("r"), F.lit(60).alias("c")))
+    plan = pixels.not_persistent(labels, spark.createDataFrame([(0, 60)], "r int, c int"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
