@@ -2,9 +2,9 @@
 
 lag_pairs() gives the pairs (frame, frame + lag). For some dozens of lags they
 come from one window per track: each row looks ahead, so nothing is joined and
-the pairs meet in partial sums before the next shuffle. For more lags the
-exploded lags are joined on (track, frame), which spreads a long track over the
-cluster. A pair is left out if an excluded frame lies in (frame, frame + lag];
+the pairs meet in partial sums before the next shuffle. For more lags the windows are
+those of blocks of frames, with copies of the frames that the block before looks at, which
+spreads a long track over the cluster; AT_ONCE lags are looked up in one pass. A pair is left out if an excluded frame lies in (frame, frame + lag];
 the first frame itself is not tested.
 """
 
@@ -16,6 +16,8 @@ from pyspark.sql.window import Window
 
 
 FEW_LAGS = 64
+#: Lags of one pass over the blocks, and the least frames of a block; longest lags ask for longer ones.
+AT_ONCE, BLOCK_FRAMES = 128, 50_000
 
 
 def lag_pairs(rows: DataFrame, lags: list[int], values: list[str], keys: list[str] | None = None, exclude: Column | None = None) -> DataFrame:
@@ -31,11 +33,22 @@ def lag_pairs(rows: DataFrame, lags: list[int], values: list[str], keys: list[st
         ahead = F.array(*[F.struct(F.lit(n).cast("long").alias("lag"), F.col(f"__to{n}").alias("to")) for n in lags])
         pairs = looked.select(*keys, "frame", "__cut", *now, F.explode(ahead).alias("p")).where((F.col("p.to.frame") == F.col("frame") + F.col("p.lag")) & (F.col("p.to.__cut") == F.col("__cut")))
         return pairs.select(*keys, F.col("p.lag").alias("lag"), *[f"{v}0" for v in values], *[F.col(f"p.to.{v}").alias(f"{v}1") for v in values])
-    first = base.select(*keys, "__cut", *now, F.explode(F.array(*[F.lit(n).cast("long") for n in lags])).alias("lag"), F.col("frame").alias("__from"))
-    first = first.withColumn("frame", F.col("__from") + F.col("lag"))
-    second = base.select(*keys, "frame", F.col("__cut").alias("__end"), *[F.col(v).alias(f"{v}1") for v in values])
-    met = first.join(second, [*keys, "frame"]).where("__cut = __end")
-    return met.select(*keys, "lag", *[f"{v}0" for v in values], *[f"{v}1" for v in values])
+    size, farthest = max(BLOCK_FRAMES, 4 * max(lags)), max(lags)
+    own = F.floor(F.col("frame") / size)
+    before = F.floor(F.greatest(F.col("frame") - farthest, F.lit(0)) / size)
+    blocks = base.withColumn("__block", F.explode(F.sequence(F.least(before, own), own)))
+    ahead = Window.partitionBy(*keys, "__block").orderBy("frame")
+    later, out = F.struct("frame", "__cut", *values), None
+    # of dense lags all rows up to the farthest frame are looked at, of few far ones the frames themselves
+    dense = farthest < 2 * len(lags)
+    steps = list(range(farthest + 1)) if dense else lags
+    for part in (steps[i : i + AT_ONCE] for i in range(0, len(steps), AT_ONCE)):
+        at = {f"__to{n}": (F.lead(later, n).over(ahead) if n else later) if dense else F.first(later).over(ahead.rangeBetween(n, n)) for n in part}
+        looked = blocks.withColumns(at).where(F.col("__block") == own)
+        pairs = looked.select(*keys, "frame", "__cut", *now, F.explode(F.array(*at)).alias("to")).withColumn("lag", F.col("to.frame") - F.col("frame"))
+        pairs = pairs.where(F.col("lag").isin(*lags) & (F.col("to.__cut") == F.col("__cut"))).select(*keys, F.col("lag").cast("long").alias("lag"), *[f"{v}0" for v in values], *[F.col(f"to.{v}").alias(f"{v}1") for v in values])
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
 
 
 def mean_over_pairs(pairs: DataFrame, keys: list[str], out: str, value: Column) -> DataFrame:
