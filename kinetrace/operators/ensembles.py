@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kinetrace.sources.store import kept
+
 
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
     """All members of both, repeats kept."""
@@ -109,7 +111,7 @@ def ensemble_average(tracks: DataFrame, curve: Callable[[pd.DataFrame], pd.Serie
     """keys, place, mean, low and high: a user's curve of each track, averaged over the tracks of each of the keys with its band at every place.
 
     curve takes one track's rows by frame and gives numbers, indexed by place (a lag, say).
-    It runs per track in pandas; all else is grouped sums. swap: bands over samples that exchange one track; else a bootstrap.
+    It runs per track in pandas, once: its numbers are stored before they are ranked and summed. All else is grouped sums. swap: bands over samples that exchange one track; else a bootstrap.
     """
     names = [*keys, "track"]
     kinds = ", ".join(f"{k} {tracks.schema[k].dataType.simpleString()}" for k in names)
@@ -123,7 +125,7 @@ def ensemble_average(tracks: DataFrame, curve: Callable[[pd.DataFrame], pd.Serie
 
     points = tracks.groupBy(*names).applyInPandas(apply, f"{kinds}, point double, value double").where("value IS NOT NULL AND NOT isnan(value)")
     at = [*keys, "point"]
-    placed = points.withColumn("place", (F.row_number().over(Window.partitionBy(*at).orderBy("track")) - 1).cast("long"))
+    placed = kept(points, "points").withColumn("place", (F.row_number().over(Window.partitionBy(*at).orderBy("track")) - 1).cast("long"))
     if not swap:
         return bootstrap_band(placed, at, samples, seed)
     sizes = placed.groupBy(*at).agg(F.count("*").alias("n"))
