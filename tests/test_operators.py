@@ -560,3 +560,41 @@ def test_joins_of_stored_tables_pass_nothing_through_the_driver(spark):
     labels = pixels.labelled(one.select("frame", F.col("a").cast("int").alias("r"), F.lit(60).alias("c")))
     plan = pixels.not_persistent(labels, spark.createDataFrame([(0, 60)], "r int, c int"))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan
+
+
+@pytest.mark.parametrize("lags", [list(range(71)), [0, 5, *range(600, 700)]])
+def test_pairs_of_many_lags_come_without_a_join(spark, monkeypatch, lags):
+    monkeypatch.setattr(lagstats, "BLOCK_FRAMES", 40)
+    r = random.Random(4)
+    rows = [(k, i, r.uniform(-1, 1), r.random() < 0.01) for k in range(2) for i in range(720) if r.random() < 0.9]
+    df = spark.createDataFrame(rows, "track long, frame long, x double, cut boolean")
+    pairs = lagstats.lag_pairs(df, lags, ["x"], exclude=F.col("cut"))
+    assert "Join" not in pairs._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for k in range(2):
+        own = {i: (x, c) for t, i, x, c in rows if t == k}
+        cuts = np.cumsum([own.get(i, (0, False))[1] for i in range(720)])
+        want |= {(k, n, x, own[i + n][0]): 1 for i, (x, _) in own.items() for n in lags if i + n in own and cuts[i] == cuts[i + n]}
+    assert sorted(tuple(p) for p in pairs.collect()) == sorted(want)
+
+
+def test_short_lists_share_a_call_from_spark(spark):
+    r = random.Random(5)
+    rows = spark.createDataFrame([(k, i, r.gauss(0, 1)) for k in range(30) for i in range(40)], "track long, frame long, x double")
+    found = models.dynamics(models.autoregression_sums(rows, ["track"], ["x"]), ["track"], 1, 1.0)
+    assert "InPandas" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 30
+    means = spark.createDataFrame([(k, float(x), math.exp(-0.01 * (k + 1) * x)) for k in range(40) for x in range(3 + k % 9)], "track long, tau double, value double")
+    fits = models.fit_curve(means, ["track"], "tau", "value", "bearing")
+    assert "InPandas" not in fits._jdf.queryExecution().executedPlan().toString()
+    assert all(abs(f.diffusion - 0.01 * (f.track + 1)) < 1e-6 for f in fits.collect()) and fits.count() == 40
+
+
+def test_a_curve_given_by_the_user_runs_once_for_each_track(spark):
+    runs = spark.sparkContext.accumulator(0)
+
+    def curve(part):
+        runs.add(1)
+        return part.groupby("frame")["x"].mean()
+
+    rows = spark.createDataFrame([(k % 2, k, i, float(k * i)) for k in range(10) for i in range(4)], "strain int, track long, frame long, x double")
+    assert ensembles.ensemble_average(rows, curve, ["strain"], samples=5).count() == 8 and runs.value == 10
