@@ -58,34 +58,28 @@ CURVES: dict[str, tuple[Curve, list[float], list[tuple[float, float]], list[str]
 }
 
 
-def least_squares(curve: Curve, t: np.ndarray, y: np.ndarray, start: np.ndarray, bounds: list[tuple[float, float]], rounds: int = 200, known: np.ndarray | None = None) -> np.ndarray:
-    """Damped Gauss-Newton within bounds, of one series or, with a row for each in t, y, start and known (which of its points count), of many at once."""
-    t, y, p = np.asarray(t, float), np.asarray(y, float), np.array(start, float)
-    if t.ndim == 1:
-        return least_squares(curve, t[None], y[None], p[None], bounds, rounds)[0]
+def least_squares(curve: Curve, t: np.ndarray, y: np.ndarray, start: list[float], bounds: list[tuple[float, float]], rounds: int = 200) -> np.ndarray:
+    """Damped Gauss-Newton within bounds."""
     lo, hi = np.array(bounds).T
-    p, damp, live = np.clip(p, lo, hi), np.full(len(p), 1e-2), np.arange(len(p))
-    weight = np.ones(t.shape) if known is None else known.astype(float)
-    of = lambda rows, q: curve(t[rows], [x[:, None] for x in q.T])
-    cost = (weight * (of(live, p) - y) ** 2).sum(axis=1)
+    p, damp = np.clip(np.array(start, float), lo, hi), 1e-2
+    cost = float(((curve(t, p) - y) ** 2).sum())
     for _ in range(rounds):
-        if not len(live):
-            break
-        own, w = p[live], weight[live]
-        base = of(live, own)
-        step = 1e-6 * np.maximum(np.abs(own), 1e-3)
-        jac = np.stack([w * (of(live, own + step * e) - base) / step[:, i, None] for i, e in enumerate(np.eye(p.shape[1]))], axis=2)
-        a, g = np.einsum("gni,gnj->gij", jac, jac), np.einsum("gni,gn->gi", jac, w * (base - y[live]))
-        a = a + np.eye(p.shape[1]) * (damp[live, None] * np.maximum(np.einsum("gii->gi", a), 1e-12))[:, None, :]
-        good = np.isfinite(a).all(axis=(1, 2)) & np.isfinite(g).all(axis=1)
-        live, own, a, g = live[good], own[good], a[good], g[good]
-        new = np.clip(own - np.einsum("gij,gj->gi", np.linalg.pinv(a, rcond=np.finfo(float).eps * p.shape[1]), g), lo, hi)
-        trial, was = (weight[live] * (of(live, new) - y[live]) ** 2).sum(axis=1), cost[live]
-        better = trial <= was
-        took = live[better]
-        p[took], cost[took], damp[took] = new[better], trial[better], np.maximum(damp[took] / 4, 1e-12)
-        damp[live[~better]] *= 4
-        live = live[np.where(better, was - trial > 1e-14 * np.maximum(was, 1e-300), damp[live] <= 1e12)]
+        base = curve(t, p)
+        step = 1e-6 * np.maximum(np.abs(p), 1e-3)
+        jac = np.stack([(curve(t, p + s * e) - base) / s for s, e in zip(step, np.eye(len(p)), strict=True)], axis=1)
+        a, g = jac.T @ jac, jac.T @ (base - y)
+        move = -np.linalg.lstsq(a + damp * np.diag(np.maximum(np.diag(a), 1e-12)), g, rcond=None)[0]
+        new = np.clip(p + move, lo, hi)
+        trial = float(((curve(t, new) - y) ** 2).sum())
+        if trial <= cost:
+            done = cost - trial <= 1e-14 * max(cost, 1e-300)
+            p, cost, damp = new, trial, max(damp / 4, 1e-12)
+            if done:
+                break
+        else:
+            damp *= 4
+            if damp > 1e12:
+                break
     return p
 
 
@@ -120,32 +114,23 @@ def fit_curve(means: DataFrame, keys: list[str], time: str, value: str, kind: st
     curve, start, bounds, names = CURVES[kind]
     key_types = ", ".join(f"{k} {means.schema[k].dataType.simpleString()}" for k in keys)
 
-    def begin(t: np.ndarray, y: np.ndarray) -> list[float]:
-        if scale_start and kind == "speed":
-            return [max(y[np.argmin(t)], 1e-9), max(float(np.ptp(t)) / 3, 1e-3)]
-        if scale_start and kind == "reversal":
-            return [max(float(np.ptp(t)) / 5, 1e-3), float(np.clip(y[np.argmax(t)], 0, 1))]
-        return start
-
-    kinds = T.StructType.fromDDL(f"{key_types}, {', '.join(f'{n} double' for n in names)}")
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = [(np.array(t, float), np.array(y, float)) for t, y in zip(b["__t"].to_pylist(), b["__v"].to_pylist(), strict=True)]
-            many = np.array([len(t) for t, _ in lists], int)
-            t, y = (np.zeros((len(lists), max(1, many.max(initial=0)))) for _ in range(2))
-            for i, (own_t, own_y) in enumerate(lists):
-                t[i, : len(own_t)], y[i, : len(own_y)] = own_t, own_y
-            enough = many > len(names)
-            first = np.array([begin(*own) if ok else start for own, ok in zip(lists, enough, strict=True)], float).reshape(len(lists), len(names))
-            p = least_squares(curve, t, y, first, bounds, known=np.arange(t.shape[1]) < many[:, None])
-            lacks = ~(enough & np.isfinite(p).all(axis=1))
-            yield pa.RecordBatch.from_arrays([*[b[k] for k in keys], *[pa.array(x, mask=lacks) for x in p.T]], names=[*keys, *names])
+    def fit(times: list[float], values: list[float]) -> list[tuple]:
+        t, y = np.array(times, float), np.array(values, float)
+        out = [None] * len(names)
+        if len(t) > len(names):
+            first = list(start)
+            if scale_start and kind == "speed":
+                first = [max(y[np.argmin(t)], 1e-9), max(float(np.ptp(t)) / 3, 1e-3)]
+            elif scale_start and kind == "reversal":
+                first = [max(float(np.ptp(t)) / 5, 1e-3), float(np.clip(y[np.argmax(t)], 0, 1))]
+            p = least_squares(curve, t, y, first, bounds)
+            out = p.tolist() if np.isfinite(p).all() else out
+        return [tuple(out)]
 
     present = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
     points = F.when(present(time) & present(value), F.struct(F.col(time).cast("double").alias("t"), F.col(value).cast("double").alias("v")))
-    listed = means.groupBy(*keys).agg(F.array_sort(F.collect_list(points)).alias("__p"))
-    return listed.select(*keys, F.col("__p.t").alias("__t"), F.col("__p.v").alias("__v")).mapInArrow(read, kinds)
+    listed = means.groupBy(*keys).agg(F.array_sort(F.collect_list(points)).alias("__p")).select(*keys, F.col("__p.t").alias("__t"), F.col("__p.v").alias("__v"))
+    return _of_each(listed, keys, ["__t", "__v"], fit, f"{key_types}, {', '.join(f'{n} double' for n in names)}")
 
 
 def reversal_rates(fits: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from kinetrace.functions.scalar import bearing, speed, wrapped
 from kinetrace.operators import distributions, headtail, kinematics, lagstats, masks, models, posture, sequences
+from kinetrace.sources import store
 
 
 def derived_track(rows: DataFrame, dt: float, heading: Column | None = None) -> DataFrame:
@@ -118,7 +119,8 @@ def fit_model(rows: DataFrame, lags: list[int], window: int, least_present: floa
     a share of least_present valid frames or less has NULL parameters, as has what cannot be fitted.
     """
     moving = with_reversals(derived_track(rows, dt, heading), within)
-    curves = correlation_table(moving, lags, window, 0.5, dt)
+    curves = correlation_table(moving, lags, window, 0.5, dt).where(F.col("metric").isin("dpsi_acf", "psi_acf", "s_acf"))
+    curves = store.kept(curves, "curves")  # three fits read it
     of = lambda metric: curves.where(F.col("metric") == metric)
     turned = masks.windows(kinematics.unwrap(moving, "psi", "__turned").withColumn("__t", F.col("frame") * dt), window)
     share = F.count("__turned").over(Window.partitionBy("track", "window")) / F.count("*").over(Window.partitionBy("track", "window"))
