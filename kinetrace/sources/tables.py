@@ -17,10 +17,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Rows of a task, where tracks are dealt out by their number.
+TASK_ROWS = 100_000
+
+
+def in_even_tasks(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt by key to so many tasks that each gets about TASK_ROWS, however few bytes they are before windows and lags widen them; left to Spark where its cores are as many."""
+    tasks = -(-rows.count() // TASK_ROWS)
+    return rows if tasks <= rows.sparkSession.sparkContext.defaultParallelism else rows.repartition(tasks, key)
+
+
 def track(spark: SparkSession, sf_dir: str) -> DataFrame:
     """track, strain, frame, x and y (whole numbers: hundredths of value, k of props), kind, bad, oriented, excluded; one track per user of events."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return read(spark, sf_dir, "events").select(
+    return in_even_tasks(read(spark, sf_dir, "events"), "user_id").select(
         F.col("user_id").alias("track"),
         (F.col("user_id") % 4).cast("int").alias("strain"),
         (F.row_number().over(order) - 1).cast("long").alias("frame"),

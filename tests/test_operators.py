@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from kinetrace.functions import scalar
 from kinetrace.operators import distributions, ensembles, headtail, kinematics, lagstats, masks, models, pixels, posture, sequences, simulate
 from kinetrace.plans import chains, protocol
-from kinetrace.sources import store
+from kinetrace.sources import store, tables
 
 TRACK = "track long, frame long, x double, y double"
 
@@ -598,3 +598,11 @@ def test_a_curve_given_by_the_user_runs_once_for_each_track(spark):
 
     rows = spark.createDataFrame([(k % 2, k, i, float(k * i)) for k in range(10) for i in range(4)], "strain int, track long, frame long, x double")
     assert ensembles.ensemble_average(rows, curve, ["strain"], samples=5).count() == 8 and runs.value == 10
+
+
+def test_tasks_of_tracks_grow_in_number_and_not_in_rows(spark, monkeypatch):
+    rows = spark.range(4000).select((F.col("id") % 800).alias("user_id"), "id")
+    assert tables.in_even_tasks(rows, "user_id").rdd.getNumPartitions() == rows.rdd.getNumPartitions()
+    monkeypatch.setattr(tables, "TASK_ROWS", 100)
+    dealt = tables.in_even_tasks(rows, "user_id")
+    assert dealt.rdd.getNumPartitions() == 40 and dealt.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 250
