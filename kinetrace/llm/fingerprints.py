@@ -8,11 +8,11 @@ anchors, lists and boilerplate few, so that what counts is running text; the rul
 the same for texts of any length. The likeness of two fingerprints is the
 Jaccard index of their sets.
 
-near_duplicates() compares fingerprints: sets are partitioned by length, so that
-sets of one pair lie in the same or the next partition at the wanted threshold;
-within them only sets that share one of their first signatures and whose lengths
-and places allow the threshold are compared, first with the set that stands for a
-posting, then in blocks (see jaccard.links_of()), and a comparison of two sets stops
+near_duplicates() compares fingerprints in the way of jaccard.py: common signatures come last
+in the order of prefixes, those of one set alone are put aside, and sets that cannot reach the
+threshold any more go. Sets are set against each other only if they share as many of their first
+signatures as any link of theirs needs and if lengths and places allow the threshold, first with the
+set that stands for a posting, then in blocks (see jaccard.links_of()); a comparison of two sets stops
 where the threshold is out of reach. Copies and pairs within a group are never
 written out: the result is a class for each fingerprint.
 
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinetrace.llm.jaccard import _entries, _packed, components, least_overlap, links_of
+from kinetrace.llm.jaccard import components, frequent, links_of_picked, may_meet, postings, shared_bitmap
 from kinetrace.llm.store import bounded_batches, fields, hot_keys, saved, spread_join
 from kinetrace.llm.words import PUNCTUATION, mix, slices, word_hashes
 
@@ -272,26 +272,36 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     return found.select(*[f"`{c}`" for c in rows.columns if c != "__cls"], "class_id")
 
 
+def _tokens(fingerprint: str) -> np.ndarray:
+    """Sorted signatures as 64-bit tokens: each in the leading bits, which comparisons carry whole, its mixed bits behind."""
+    own = np.frombuffer(bytes.fromhex(fingerprint), ">u4").astype(_U)
+    return own << _U(32) | mix(own) >> _U(32)
+
+
+def _held(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    return (np.frombuffer(raw.as_buffer(), _U) for raw in batch["tokens"])
+
+
 def links_between(prints: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) of hashed fingerprints that join all whose likeness is threshold or more, directly or in steps.
 
-    Sets are partitioned by length: partition r holds lengths from threshold**-r up. A
-    set's first signatures, one more than it can spare, are sought in its own and the next
-    partition, so that two sets whose lengths allow a link meet in one of them.
+    Signatures are counted first: in the order of their number, a set's first ones are
+    rare, and few sets meet in them. Only sets that meet others there go on.
     """
     percent = round(100 * threshold)
     one = prints.where("n_signatures > 0").select("fingerprint", F.col("n_signatures").alias("n")).dropDuplicates(["fingerprint"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw, first = [], []
-            for shown_, n in zip(b["fingerprint"].to_pylist(), b["n"].to_pylist(), strict=True):
-                tokens = np.frombuffer(bytes.fromhex(shown_), ">u4").astype(_U) << _U(32)
-                raw.append(_packed(tokens))
-                first.append(_packed(tokens[np.argsort(mix(tokens))[: n - least_overlap(n, percent) + 1]]))
-            yield pa.RecordBatch.from_arrays([b["cls"], b["n"], pa.array([0] * b.num_rows, pa.int64()), pa.array([1] * b.num_rows, pa.int64()), pa.array(raw, pa.binary()), pa.array(first, pa.binary())], names=["cls", "n", "unshared", "m", "tokens", "prefix"])
-
-    sets = saved(one.select(F.xxhash64("fingerprint").alias("cls"), "n", "fingerprint").mapInArrow(read, "cls long, n long, unshared long, m long, tokens binary, prefix binary"), "spots")
-    part = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9).cast("long")
-    entries = _entries(sets).withColumn("token", F.explode(F.array(F.xxhash64("token", part), F.xxhash64("token", part + 1))))
-    return links_of(sets, saved(entries, "entries"), percent)
+            yield pa.RecordBatch.from_arrays([b["cls"], b["n"], pa.array([_tokens(x).tobytes() for x in b["fingerprint"].to_pylist()], pa.binary())], names=["cls", "n", "tokens"])
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([may_meet(tokens, order.value, shared.value, percent) for tokens in _held(b)], pa.bool_()))
+
+    kind = "cls long, n long, tokens binary"
+    sets = saved(one.select(F.xxhash64("fingerprint").alias("cls"), "n", "fingerprint").mapInArrow(read, kind), "spots")
+    share = sets.sparkSession.sparkContext.broadcast
+    order = share(frequent(sets.select("tokens"), _held))
+    shared = share(shared_bitmap(postings(sets.select("tokens"), _held, order, percent)))
+    return links_of_picked(saved(sets.mapInArrow(pick, kind), "picked"), order, percent)

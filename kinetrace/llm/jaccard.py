@@ -52,7 +52,7 @@ no member has one. An empty table gives an empty result. Other columns are ignor
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -156,14 +156,22 @@ class _Order:
         return tokens[order[: take[0]]], take[1]
 
 
-def _frequent(docs: DataFrame, k: int) -> _Order:
-    """Slots of the sketch that hold far more than their share, from every text."""
+#: The tokens of each set in a batch.
+TokensOf = Callable[[pa.RecordBatch], Iterator[np.ndarray]]
+
+
+def _of_texts(k: int) -> TokensOf:
+    return lambda b: (tokens for _, tokens in _sets(b["text"], k))
+
+
+def frequent(rows: DataFrame, tokens_of: TokensOf) -> _Order:
+    """Slots of the sketch that hold far more than their share, from every set."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen = np.zeros(1 << SKETCH_BITS, np.int32), 0
         for b in batches:
             held, size = [], 0
-            for _, tokens in _sets(b["text"], k):
+            for tokens in tokens_of(b):
                 held.append((tokens >> _U(64 - SKETCH_BITS)).astype(np.int64))
                 size += len(tokens)
                 if size > 1 << 18:
@@ -176,7 +184,7 @@ def _frequent(docs: DataFrame, k: int) -> _Order:
         slots = np.flatnonzero(total > 4 * usual + 8)
         yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array((total[slots] - usual).astype(np.int64))], names=["slot", "n"])
 
-    found = docs.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # a row per slot at most
+    found = rows.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # a row per slot at most
     return _Order(found["slot"].to_numpy(), found["n"].to_numpy())
 
 
@@ -194,7 +202,7 @@ class _Bitmap:
         return out
 
 
-def _shared_bitmap(rows: DataFrame) -> _Bitmap:
+def shared_bitmap(rows: DataFrame) -> _Bitmap:
     """From (token, cls): a bitmap of the tokens that two classes have."""
     shared = saved(rows.groupBy("token").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a < b").select("token"), "shared")
     size = min(max(LEAST_BITS, (BITS_EACH * shared.count()).bit_length()), MOST_BITS)
@@ -207,13 +215,13 @@ def _shared_bitmap(rows: DataFrame) -> _Bitmap:
     return _Bitmap(size, out)
 
 
-def _postings(docs: DataFrame, order: object, k: int, percent: int) -> DataFrame:
+def postings(rows: DataFrame, tokens_of: TokensOf, order: object, percent: int) -> DataFrame:
     """(token, cls) of every prefix."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             held, cls, size = [], [], 0
-            for _, tokens in _sets(b["text"], k):
+            for tokens in tokens_of(b):
                 if len(tokens):
                     prefix = order.value.prefix(tokens, percent)[0]
                     held.append(prefix)
@@ -225,7 +233,13 @@ def _postings(docs: DataFrame, order: object, k: int, percent: int) -> DataFrame
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64)), pa.array(np.concatenate(cls))], names=["token", "cls"])
 
-    return docs.select("text").mapInArrow(read, "token long, cls long")
+    return rows.mapInArrow(read, "token long, cls long")
+
+
+def may_meet(tokens: np.ndarray, order: _Order, shared: _Bitmap, percent: int) -> bool:
+    """Whether a set shares as many tokens of its least prefix as any link of its needs."""
+    end, m = least_prefix(len(tokens), percent)
+    return len(tokens) > 0 and int(shared(order.prefix(tokens, percent)[0][:end]).sum()) >= m
 
 
 def _picked(docs: DataFrame, order: object, shared: object, k: int, percent: int) -> DataFrame:
@@ -239,9 +253,7 @@ def _picked(docs: DataFrame, order: object, shared: object, k: int, percent: int
                 return pa.RecordBatch.from_arrays([b["doc_id"][done : done + len(n)], pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(other, pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "n", "cls", "other", "tokens"])
 
             for _, tokens in _sets(b["text"], k):
-                end, m = least_prefix(len(tokens), percent)
-                prefix = order.value.prefix(tokens, percent)[0][:end]
-                keep = len(tokens) > 0 and int(shared.value(prefix).sum()) >= m
+                keep = may_meet(tokens, order.value, shared.value, percent)
                 n.append(len(tokens))
                 cls.append(_class(tokens))
                 other.append(_second(tokens))
@@ -268,7 +280,7 @@ def _told_apart(rows: DataFrame) -> DataFrame:
     return saved(apart.drop("other", "least"), "rows")
 
 
-def _tokens_of(sets: DataFrame) -> DataFrame:
+def marks_of(sets: DataFrame) -> DataFrame:
     """(token, cls) of every set, one of equal sets in a task."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,13 +442,19 @@ def _between_groups(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 def links_and_rows(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) of classes that join all classes which are linked, directly or in steps; doc_id, n and cls of every row."""
     share = bounded_batches(docs).sparkSession.sparkContext.broadcast
-    order = share(_frequent(docs, k))
-    shared = share(_shared_bitmap(_postings(docs, order, k, percent)))
+    texts, tokens_of = docs.select("text"), _of_texts(k)
+    order = share(frequent(texts, tokens_of))
+    shared = share(shared_bitmap(postings(texts, tokens_of, order, percent)))
     rows = _told_apart(saved(_picked(docs, order, shared, k, percent), "rows"))
     picked = rows.where("tokens IS NOT NULL").select("cls", "n", "tokens")
-    shared = share(_shared_bitmap(_tokens_of(picked)))
+    return links_of_picked(picked, order, percent), rows.select("doc_id", "n", "cls")
+
+
+def links_of_picked(picked: DataFrame, order: object, percent: int) -> DataFrame:
+    """Links (a, b) that join all linked classes of a stored table of cls, n and tokens; those in two classes are found first."""
+    shared = picked.sparkSession.sparkContext.broadcast(shared_bitmap(marks_of(picked)))
     sets = saved(_narrowed(picked, order, shared, percent).dropDuplicates(["cls"]), "sets")
-    return links_of(sets, saved(_entries(sets), "entries"), percent), rows.select("doc_id", "n", "cls")
+    return links_of(sets, saved(_entries(sets), "entries"), percent)
 
 
 def _enough(pairs: DataFrame) -> DataFrame:

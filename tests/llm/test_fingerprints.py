@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from kinetrace.llm import fingerprints as fp
+from kinetrace.llm import jaccard as jaccard_join
 from kinetrace.llm import queries, words
 from kinetrace.llm.jaccard import shares
 
@@ -166,6 +167,25 @@ def test_classes_match_brute_force(spark):
     assert fp.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_common_signatures_bring_no_pairs(spark, monkeypatch):
+    """Texts with one common passage and little else are compared with their near copies alone, not with each other."""
+    r = np.random.default_rng(5)
+    vocabulary = [f"v{i}" for i in range(3000)] + list(fp.ANCHORS[:40]) * 60
+    passage = " ".join(r.choice(vocabulary, 90))
+    texts = [passage + " " + " ".join(r.choice(vocabulary, 60)) for _ in range(40)]
+    texts += [t + " and so on" for t in texts[:10]]
+    compared, verified = [], jaccard_join._verified
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(jaccard_join, "_verified", counted)
+    got = {x.doc_id: x.class_id for x in fp.near_duplicates(documents(spark, list(enumerate(texts)))).collect()}
+    assert got == {i: i - 40 if i >= 40 else i for i in range(50)}
+    assert sum(compared) <= 60
+
+
 def test_comparisons_stop_early_and_agree():
     r = np.random.default_rng(1)
     for _ in range(200):
