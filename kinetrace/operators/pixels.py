@@ -6,6 +6,8 @@ frame, so a frame is no unit of memory and frames of any size spread over the cl
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -65,20 +67,38 @@ def _least_in_tile(r: np.ndarray, c: np.ndarray, eight: bool) -> tuple[np.ndarra
         label[own] = now
 
 
+def in_one_tile(cells: DataFrame) -> bool:
+    """Whether all pixels of a stored table lie in the same tile of their frames: then nothing goes on from tile to tile."""
+    span = cells.agg(*[f(_tile_of(n)) for n in ("r", "c") for f in (F.min, F.max)]).first()
+    return span[0] == span[1] and span[2] == span[3]
+
+
+def by_tiles(cells: DataFrame, step: Callable[[pa.Table], pa.Table], schema: T.StructType, halo: int = 0) -> DataFrame:
+    """step of each tile's rows of cells (frame, r, c and more), the most that a task holds at once.
+
+    halo: up to TILE; step also gets the rows of pixels so far beyond the tile, and own tells which are the tile's.
+    """
+    rows = cells.withColumns({"__i": _tile_of("r"), "__j": _tile_of("c")})
+    if halo:
+        near = lambda n: F.explode(F.array_distinct(F.array(*[_tile_of(F.col(n) + d) for d in (-halo, 0, halo)])))
+        rows = cells.select("*", near("r").alias("__i")).select("*", near("c").alias("__j"))
+    rows = rows.withColumn("own", (F.col("__i") == _tile_of("r")) & (F.col("__j") == _tile_of("c")))
+    return rows.groupBy("frame", "__i", "__j").applyInArrow(lambda tile: step(tile.drop_columns(["__i", "__j"])), schema)
+
+
 def _tiles_labelled(pixels: DataFrame, eight: bool) -> DataFrame:
     """pixels with label, the least pixel of their component within their tile."""
-    rows = pixels.drop("label").withColumns({"__i": _tile_of("r"), "__j": _tile_of("c")})
+    rows = pixels.drop("label")
     kinds = {f.name: f.dataType for f in pixels.schema}
     label = T.StructField("label", T.StructType([T.StructField(n, kinds[n]) for n in ("r", "c")]))
-    schema = T.StructType([*pixels.drop("label").schema.fields, label])
 
     def label_tile(tile: pa.Table) -> pa.Table:
-        tile = tile.drop_columns(["__i", "__j"])
+        tile = tile.drop_columns(["own"])
         at = _least_in_tile(*(tile[n].to_numpy().astype(np.int64) for n in ("r", "c")), eight)
         least = pa.StructArray.from_arrays([pa.array(v).cast(tile[n].type) for n, v in zip(("r", "c"), at, strict=True)], ["r", "c"])
         return tile.append_column("label", least)
 
-    return rows.groupBy("frame", "__i", "__j").applyInArrow(label_tile, schema)
+    return by_tiles(rows, label_tile, T.StructType([*rows.schema.fields, label]))
 
 
 def labelled(pixels: DataFrame, eight: bool = True) -> DataFrame:
@@ -90,8 +110,7 @@ def labelled(pixels: DataFrame, eight: bool = True) -> DataFrame:
     written to the shared folder, so a lost executor costs one round. Frames within one tile take no round.
     """
     tiled = kept(_tiles_labelled(pixels, eight), "tiles")
-    span = tiled.agg(*[f(_tile_of(n)) for n in ("r", "c") for f in (F.min, F.max)]).first()
-    if span[0] == span[1] and span[2] == span[3]:
+    if in_one_tile(tiled):
         return tiled
     beyond = F.explode(F.array(*[F.struct((F.col("r") + y).alias("r"), (F.col("c") + x).alias("c")) for y, x in ([(0, 1), (1, -1), (1, 0), (1, 1)] if eight else [(0, 1), (1, 0)])]))
     other = (_tile_of(F.col("to.r")) != _tile_of("r")) | (_tile_of(F.col("to.c")) != _tile_of("c"))

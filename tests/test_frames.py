@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinetrace.operators import morphology as mo
+from kinetrace.operators import pixels
 from kinetrace.operators import skeletons as sk
 from kinetrace.plans import imaging
 
@@ -272,6 +273,19 @@ def test_outlines_and_widths(spark):
     assert [x.width for x in sk.width_at(points, body).collect()] == [2.0]
 
 
+def test_skeletons_paths_and_outlines_across_tiles(spark, monkeypatch):
+    """Tiles of 8 pixels cut every body; what comes is what the plain loops give, and what one tile gives."""
+    images = [*BODIES, *(np.random.default_rng(k).random((23, 31)).__lt__(0.55).astype(int) for k in range(3))]
+    body = sparse(spark, images)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    found = lambda: [rows(sk.thinned(body)), rows(sk.path_between_ends(sk.thinned(body))), rows(sk.outlines(body)), rows(sk.in_order(sk.thinned(body)))]
+    whole = found()
+    monkeypatch.setattr(pixels, "TILE", 8)
+    assert found() == whole and all(whole)
+    same(back(sk.thinned(body), images, None), [thin(im) for im in images])
+    test_order_of_lines(spark)
+
+
 def test_empty_frames(spark):
     none = sparse(spark, [np.zeros((2, 2), int)])
     assert sk.thinned(none).count() == sk.path_between_ends(none).count() == sk.in_order(none).count() == sk.outlines(none).count() == 0
