@@ -173,7 +173,8 @@ def body_outlines(spark: SparkSession, d: str) -> DataFrame:
 SELECT frame, s // 10000 AS label_r, s // 10 % 1000 AS label_c, perimeter, abs(twice) / 2 AS area, twice < 0 AS "inner" FROM m""")
 def outline_measures(spark: SparkSession, d: str) -> DataFrame:
     """Perimeter and area of bodies and of their holes."""
-    found = skeletons.outline_measures(skeletons.outlines(smooth(spark, d).where("v = 1")))
+    edges = skeletons.outline_edges(smooth(spark, d).where("v = 1"))
+    found = skeletons.outline_measures(edges.select("frame", "label", "node.*"))
     return found.select("frame", F.col("label.r").alias("label_r"), F.col("label.c").alias("label_c"), "perimeter", "area", "inner")
 
 
