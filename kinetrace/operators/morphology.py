@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from kinetrace.operators import pixels
-from kinetrace.sources.store import dealt
+from kinetrace.sources.store import dealt, kept
 
 Element = list[tuple[int, int, int]]
 
@@ -150,9 +150,13 @@ def inverted(frames: DataFrame) -> DataFrame:
 
 
 def cleaned(frames: DataFrame, radius: int, height: int, width: int) -> DataFrame:
-    """Binary frames without bodies at the border, closed by a disk as wide as the body, with holes filled, parts that barely touch put right and the background's diagonals filled."""
+    """Binary frames without bodies at the border, closed by a disk as wide as the body, with holes filled, parts that barely touch put right and the background's diagonals filled.
+
+    What is labelled and then marked is stored first: it is read twice.
+    """
     disk = ellipse(radius + 1, radius + 1)
-    whole = filled(closed(border_cleared(frames, height, width), disk), height, width)
+    apart = border_cleared(kept(frames, "dark"), height, width)
+    whole = filled(kept(closed(apart, disk), "closed"), height, width)
     return inverted(diagonals_filled(inverted(majority(whole))))
 
 

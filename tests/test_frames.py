@@ -298,6 +298,13 @@ def test_frames_within_a_tile_take_one_round(spark, monkeypatch):
     assert sk.outlines(body).count() > 200 and len(stored) <= 4, stored
 
 
+def test_cleaning_computes_each_step_once(spark):
+    """What comes before a marking is stored, so the last plan holds the windows after it alone."""
+    frames = dense(spark, [blobs(4)])
+    plan = mo.cleaned(mo.background_removed(frames, 2), 2, 20, 26)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 4, plan
+
+
 def test_empty_frames(spark):
     none = sparse(spark, [np.zeros((2, 2), int)])
     assert sk.thinned(none).count() == sk.path_between_ends(none).count() == sk.in_order(none).count() == sk.outlines(none).count() == 0
