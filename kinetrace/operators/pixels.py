@@ -144,9 +144,15 @@ def off_border(parts: DataFrame, width: Column | int, height: Column | int, marg
     return parts.where((F.col("left") > margin) & (F.col("top") > margin) & (F.col("left") + F.col("w") < width - margin) & (F.col("top") + F.col("h") < height - margin))
 
 
+#: Most persistent pixels that every task gets, some MB through the driver. More are met by position, dealt out: then positions are keys enough.
+MASK_PIXELS = 100_000
+
+
 def not_persistent(labels: DataFrame, persistent: DataFrame) -> DataFrame:
     """Labels of components that touch none of the persistent (r, c) pixels."""
-    touched = labels.join(F.broadcast(persistent.select("r", "c").distinct()), ["r", "c"], "left_semi").select("frame", "label").distinct()
+    mask = kept(persistent.select("r", "c").distinct(), "mask")
+    mask = F.broadcast(mask) if mask.count() <= MASK_PIXELS else mask
+    touched = labels.join(mask, ["r", "c"], "left_semi").select("frame", "label").distinct()
     return labels.join(dealt(touched), ["frame", "label"], "left_anti")
 
 

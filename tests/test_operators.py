@@ -562,6 +562,16 @@ def test_joins_of_stored_tables_pass_nothing_through_the_driver(spark):
     assert "SortMergeJoin" in plan
 
 
+def test_a_large_mask_of_persistent_pixels_is_no_broadcast(spark):
+    labels = pixels.labelled(spark.createDataFrame([(f, 0, c) for f in range(3) for c in (0, 1, 3 + f, 9)], "frame int, r int, c int"))
+    few = spark.createDataFrame([(0, 1), (0, 1), (0, 4), (7, 9)], "r int, c int")
+    many = few.union(spark.range(100_000).select((F.col("id") + 9).cast("int"), F.lit(4)))
+    left = [pixels.not_persistent(labels, mask) for mask in (few, many)]
+    assert ["Broadcast" in x._jdf.queryExecution().executedPlan().toString() for x in left] == [True, False]
+    want = [(0, 3), (0, 9), (1, 9), (2, 5), (2, 9)]
+    assert [sorted((p.frame, p.c) for p in x.collect()) for x in left] == [want, want]
+
+
 @pytest.mark.parametrize("lags", [list(range(71)), [0, 5, *range(600, 700)]])
 def test_pairs_of_many_lags_come_without_a_join(spark, monkeypatch, lags):
     monkeypatch.setattr(lagstats, "BLOCK_FRAMES", 40)

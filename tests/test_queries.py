@@ -36,6 +36,13 @@ def test_others_run(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_passing_objects_sends_little_to_the_driver(spark):
+    spark.sparkContext.setJobGroup("passing_objects", "")
+    QUERIES["passing_objects"](spark, SF).write.format("noop").mode("overwrite").save()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("passing_objects")) < 30  # with a round of jobs and broadcasts for each step of a label it was a hundred
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(ORACLE_SQL) <= set(__spark_entry__.oracle_sql())
